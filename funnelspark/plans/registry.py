@@ -286,3 +286,118 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: f() for k, f in ORACLE.items() if k in QUERIES}
+
+
+# ---- pipeline health -------------------------------------------------------------------------
+from ..functions import rules as _R  # noqa: E402
+from ..operators import pipeline as _P  # noqa: E402
+
+_PIPE_CONTACT_COLS = ["enrollment_status", "final_lead_status", "lead_status", "lifecycle_stage", "latest_deal_stage"]
+
+
+def _pipe_cte() -> list[str]:
+    enrolled_pat = "|".join(_R.PIPELINE_ENROLLED_TERMS)
+    dead_pat = "|".join(_R.PIPELINE_DEAD_TERMS)
+    enrolled = " OR ".join(["coalesce(has_won_deal, false)"] + [
+        f"regexp_matches(lower({O.txt_na(c)}), {O.q(enrolled_pat)})" for c in _PIPE_CONTACT_COLS]
+        + ["coalesce(CAST(enrolled_revenue AS DOUBLE), 0.0) > 0"])
+    dead = " OR ".join(["coalesce(has_lost_deal, false)", f"lower({O.txt_na('lead_temperature')}) = 'dead'"] + [
+        f"regexp_matches(lower({O.txt_na(c)}), {O.q(dead_pat)})" for c in _PIPE_CONTACT_COLS if c != "enrollment_status"])
+    first = "coalesce(" + ", ".join([f"nullif({O.txt_na(c)}, '')" for c in _PIPE_CONTACT_COLS]
+                                    + [f"CASE WHEN {O.txt_na('lead_temperature')} <> '' THEN {O.txt_na('lead_temperature')} || ' Lead' END",
+                                       "'Missing Status'"]) + ")"
+    missing = " AND ".join(f"{O.txt_na(c)} = ''" for c in _PIPE_CONTACT_COLS)
+    fa = f"""fa AS (SELECT {O.txt('contact_id')} AS contact_id, {O.money_sum('revenue_attributed')} AS actual,
+        bool_or({O.txt('deal_id')} <> '') AS fact_deal, bool_or(coalesce(is_won, false)) AS fact_won
+      FROM lead_deal_fact WHERE {O.txt('contact_id')} <> '' GROUP BY 1)"""
+    pc0 = f"""pc0 AS (SELECT c.*, ({enrolled}) AS is_enrolled_pipeline, ({dead}) AS is_dead_pipeline,
+        ({missing}) AS formal_status_missing, {first} AS __first_status,
+        coalesce(CAST(potential_revenue AS DOUBLE), 0.0) AS pipeline_potential_revenue
+      FROM contacts_clean c WHERE contact_id IS NOT NULL)"""
+    pc = """pc AS (SELECT pc0.*, CASE WHEN is_enrolled_pipeline THEN 'Enrolled / Closed Won'
+             WHEN is_dead_pipeline THEN 'Closed Lost / Dead' ELSE __first_status END AS pipeline_status,
+        coalesce(fa.actual, 0.0) AS actual_revenue, coalesce(fa.fact_deal, false) AS fact_deal,
+        coalesce(fa.fact_won, false) AS fact_won
+      FROM pc0 LEFT JOIN fa USING (contact_id))"""
+    return [fa, pc0, pc]
+
+
+def sql_lead_status_summary():
+    return _sql(f"""SELECT pipeline_status AS status, count(DISTINCT contact_id) AS "total leads",
+        count(DISTINCT CASE WHEN paid_lead_flag THEN contact_id END) AS "paid leads",
+        count(DISTINCT CASE WHEN lead_temperature = 'Hot' THEN contact_id END) AS "hot leads",
+        count(DISTINCT CASE WHEN coalesce(CAST(days_since_last_activity AS DOUBLE), 9999.0) >= 14 THEN contact_id END) AS "stale leads",
+        count(DISTINCT CASE WHEN is_dead_pipeline THEN contact_id END) AS "dead leads",
+        count(DISTINCT CASE WHEN is_enrolled_pipeline THEN contact_id END) AS enrolled,
+        {O.money_sum('actual_revenue')} AS "actual revenue", {O.money_sum('pipeline_potential_revenue')} AS "potential revenue"
+      FROM pc GROUP BY 1 ORDER BY 2 DESC, 1""", _pipe_cte())
+
+
+def sql_stage_bottlenecks():
+    dead_any = " OR ".join(f"contains(lower(s), {O.q(t)})" for t in _R.PIPELINE_DEAD_TERMS)
+    inner = """SELECT pipeline_status AS s,
+        count(DISTINCT CASE WHEN NOT is_enrolled_pipeline AND NOT is_dead_pipeline AND coalesce(CAST(days_since_last_activity AS DOUBLE), 9999.0) >= 7 THEN contact_id END) AS s7,
+        count(DISTINCT CASE WHEN NOT is_enrolled_pipeline AND NOT is_dead_pipeline AND coalesce(CAST(days_since_last_activity AS DOUBLE), 9999.0) >= 14 THEN contact_id END) AS s14,
+        count(DISTINCT CASE WHEN NOT is_enrolled_pipeline AND NOT is_dead_pipeline AND coalesce(CAST(days_since_last_activity AS DOUBLE), 9999.0) >= 30 THEN contact_id END) AS s30,
+        avg(coalesce(CAST(lead_age_days AS DOUBLE), 0.0)) AS age FROM pc GROUP BY 1"""
+    return _sql(f"""SELECT s AS "stage/status", s7 AS "leads stuck 7+ days", s14 AS "leads stuck 14+ days",
+        s30 AS "leads stuck 30+ days", age AS "average age",
+        CASE WHEN contains(lower(s), 'missing') THEN 'Assign a meaningful lead status.'
+             WHEN {dead_any} THEN 'Confirm dead/lost reason and archive or nurture.'
+             WHEN s30 > 0 THEN 'Manager review: clear next step or close out.'
+             WHEN s14 > 0 THEN 'Schedule follow-up and update next activity.'
+             ELSE 'Monitor normal movement.' END AS "recommended action"
+      FROM ({inner}) ORDER BY s30 DESC, s14 DESC, s7 DESC, s""", _pipe_cte())
+
+
+def _sql_stacked(label: str, items: list[tuple[str, str, str | None]], order: str) -> str:
+    parts = []
+    for i, (name, mask, action) in enumerate(items):
+        act = f", {O.q(action)} AS \"recommended action\"" if action is not None else ""
+        parts.append(f"""SELECT {i} AS __order, {O.q(name)} AS "{label}",
+            count(DISTINCT CASE WHEN {mask} THEN contact_id END) AS leads,
+            count(DISTINCT CASE WHEN ({mask}) AND paid_lead_flag THEN contact_id END) AS "paid leads",
+            {O.money_sum(f'CASE WHEN {mask} THEN pipeline_potential_revenue END')} AS "potential revenue"{act} FROM pc""")
+    return _sql(f"SELECT * EXCLUDE (__order) FROM ({' UNION ALL '.join(parts)}) ORDER BY {order}", _pipe_cte())
+
+
+def sql_enrollment_path():
+    items = [("Lead created", "true", None),
+             ("Contacted", "(last_activity_date IS NOT NULL OR coalesce(CAST(num_notes AS DOUBLE), 0.0) > 0)", None),
+             ("Application / deal created", "(fact_deal OR has_open_deal OR has_won_deal OR has_lost_deal)", None),
+             ("Enrolled / closed won", "(is_enrolled_pipeline OR fact_won)", None),
+             ("Closed lost / dead", "is_dead_pipeline", None)]
+    return _sql_stacked("milestone", items, "__order")
+
+
+def sql_cleanup_needed():
+    open_ = "(NOT is_enrolled_pipeline AND NOT is_dead_pipeline)"
+    items = [("missing status", "formal_status_missing", "Populate lead/final/enrollment status."),
+             ("invalid status", f"regexp_matches(lower(pipeline_status), {O.q(_R.CLEANUP_INVALID_PATTERN)})",
+              "Clean invalid/test/duplicate statuses."),
+             ("old open leads", f"({open_} AND coalesce(CAST(lead_age_days AS DOUBLE), 0.0) >= 30)", "Review open leads older than 30 days."),
+             ("inactive owner with open leads", f"({open_} AND {O.txt('salesman_name')} IN ('', 'Unassigned'))", "Assign an active owner."),
+             ("no next activity", f"(({open_} AND next_activity_date IS NULL) OR ({open_} AND coalesce(CAST(days_since_last_activity AS DOUBLE), 9999.0) >= 14))",
+              "Set next activity or close the lead.")]
+    return _sql_stacked("cleanup issue", items, "leads DESC, __order")
+
+
+def _two(fn):
+    def run(spark, sf_dir):
+        s = _s(spark, sf_dir)
+        return fn(s["contacts_clean"], s["lead_deal_fact"])
+    return run
+
+
+QUERIES.update({
+    "lead_status_summary": _two(_P.lead_status_summary),
+    "stage_bottlenecks": _two(_P.stage_bottlenecks),
+    "enrollment_path": _two(_P.enrollment_path),
+    "cleanup_needed": _two(_P.cleanup_needed),
+})
+ORACLE.update({
+    "lead_status_summary": sql_lead_status_summary,
+    "stage_bottlenecks": sql_stage_bottlenecks,
+    "enrollment_path": sql_enrollment_path,
+    "cleanup_needed": sql_cleanup_needed,
+})
