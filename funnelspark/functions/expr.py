@@ -205,3 +205,15 @@ def with_parsed_datetimes(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def parse_datetime_text(c: Column) -> Column:
     """Row-level lenient parse for text that is never epoch milliseconds."""
     return F.try_to_timestamp(strip_ws(as_text(c)))
+
+
+def avg_exact(c: Column) -> Column:
+    """Mean via an exact decimal sum (row-order independent); NULL when there are no values."""
+    return (F.sum(c.cast("double").cast(T.DecimalType(28, 9))).cast("double") / F.count(c))
+
+
+def mode_by_group(df: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Most frequent value per group; ties go to the smallest value (D2).  Two partial
+    aggregations: (keys, value) counts, then the arg-max per group."""
+    counted = df.groupBy(*keys, value.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("__c")).alias("n"), F.col("__v").alias("v"))).getField("v").alias(out))

@@ -401,3 +401,149 @@ ORACLE.update({
     "enrollment_path": sql_enrollment_path,
     "cleanup_needed": sql_cleanup_needed,
 })
+
+
+# ---- cohorts ---------------------------------------------------------------------------------
+from ..operators import cohorts as _C  # noqa: E402
+
+
+def _avg_exact_sql(x: str) -> str:
+    return f"(CAST(sum(CAST(CAST({x} AS DOUBLE) AS DECIMAL(28,9))) AS DOUBLE) / count({x}))"
+
+
+def _term_start_sql(t: str) -> str:
+    low = f"lower({t})"
+    month = "(CASE " + " ".join(f"WHEN contains({low}, {O.q(s)}) THEN {m}" for s, m in _R.SEASON_START_MONTH) + " ELSE 1 END)"
+    year = f"regexp_extract({t}, '(20\\d{{2}})', 1)"
+    built = f"(CASE WHEN {year} <> '' THEN make_timestamp(CAST({year} AS BIGINT), {month}, 1, 0, 0, 0) END)"
+    return f"(CASE WHEN {t} <> '' THEN coalesce(TRY_CAST({t} AS TIMESTAMP), {built}) END)"
+
+
+def _cohort_ctes() -> list[str]:
+    off, st = O.txt_na("cohort"), O.txt_na("start_term")
+    wd = "__won_date"
+    return [
+        """wdates AS (SELECT coalesce(contact_id, '') AS contact_id, min(coalesce(closed_won_date, close_date, enrollment_date)) AS __won_date
+            FROM lead_deal_fact WHERE (coalesce(is_won, false) OR coalesce(has_won_deal, false))
+              AND coalesce(closed_won_date, close_date, enrollment_date) IS NOT NULL GROUP BY 1)""",
+        f"""crev AS (SELECT coalesce(contact_id, '') AS contact_id, {O.money_sum('revenue_attributed')} AS cohort_actual_revenue
+            FROM lead_deal_fact WHERE coalesce(contact_id, '') <> '' GROUP BY 1)""",
+        """cc0 AS (SELECT * EXCLUDE (__rn) FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY _seq NULLS LAST) AS __rn
+            FROM contacts_clean WHERE coalesce(contact_id, '') <> '') WHERE __rn = 1)""",
+        f"""cp AS (SELECT cc0.* EXCLUDE (cohort), w.__won_date,
+            coalesce(nullif(CASE WHEN {off} <> '' THEN {off} WHEN {st} <> '' THEN {st} WHEN {wd} IS NOT NULL THEN strftime({wd}, '%Y-%m')
+                 ELSE coalesce(strftime(contact_created_at, '%Y-%m'), 'Unknown') END, ''), 'Unknown') AS cohort,
+            CASE WHEN {off} <> '' THEN 'official cohort' WHEN {st} <> '' THEN 'start_term' WHEN {wd} IS NOT NULL THEN 'enrollment date'
+                 ELSE 'contact created month' END AS cohort_source,
+            CASE WHEN {off} <> '' THEN {_term_start_sql(off)} WHEN {st} <> '' THEN {_term_start_sql(st)}
+                 WHEN {wd} IS NOT NULL THEN date_trunc('month', {wd}) ELSE date_trunc('month', contact_created_at) END AS cohort_start_date,
+            coalesce(r.cohort_actual_revenue, 0.0) AS cohort_actual_revenue,
+            coalesce(CAST(enrolled_revenue AS DOUBLE), 0.0) AS cohort_estimated_revenue,
+            coalesce(CAST(potential_revenue AS DOUBLE), 0.0) AS cohort_potential_revenue,
+            paid_lead_flag AS cohort_is_paid,
+            (coalesce(has_won_deal, false) OR coalesce(CAST(enrolled_revenue AS DOUBLE), 0.0) > 0
+               OR regexp_matches(lower({O.txt_na('enrollment_status')}), {O.q(_R.COHORT_ENROLLED_PATTERN)})) AS cohort_is_enrolled,
+            CASE WHEN (CASE WHEN time_to_first_engagement IS NOT NULL THEN time_to_first_engagement / 86400000.0
+                            ELSE (epoch_us(coalesce(first_engagement_date, first_outreach_date, last_sales_activity_timestamp, last_activity_date))
+                                  - epoch_us(contact_created_at)) / 86400000000.0 END) >= 0
+                 THEN (CASE WHEN time_to_first_engagement IS NOT NULL THEN time_to_first_engagement / 86400000.0
+                            ELSE (epoch_us(coalesce(first_engagement_date, first_outreach_date, last_sales_activity_timestamp, last_activity_date))
+                                  - epoch_us(contact_created_at)) / 86400000000.0 END) END AS cohort_days_to_first_contact,
+            (epoch_us({wd}) - epoch_us(contact_created_at)) / 86400000000.0 AS cohort_days_to_enroll
+          FROM cc0 LEFT JOIN wdates w USING (contact_id) LEFT JOIN crev r USING (contact_id))""",
+        f"""cpp AS (SELECT cp.*, CASE WHEN cohort_is_enrolled THEN CAST(num_notes AS DOUBLE) END AS cohort_sales_touches_to_enroll,
+            (cohort_is_paid AND NOT cohort_is_enrolled AND ({O.txt_na('salesman_name')} IN ('', 'Unassigned') OR next_activity_date IS NULL
+              OR coalesce(CAST(days_since_last_activity AS DOUBLE), 9999.0) >= 14 OR NOT has_open_deal)) AS cohort_paid_leakage
+          FROM cp)""",
+    ]
+
+
+def _mode_sql(src: str, out: str, table: str = "cpp", key: str = "cohort") -> str:
+    v = f"CASE WHEN {O.txt_na(src)} = '' THEN 'Unknown' ELSE {O.txt_na(src)} END"
+    return f"""(SELECT {key}, v AS "{out}" FROM (SELECT {key}, v, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, v) AS rn
+        FROM (SELECT {key}, {v} AS v, count(*) AS n FROM {table} GROUP BY 1, 2)) WHERE rn = 1)"""
+
+
+def _cohort_summary_sql() -> str:
+    agg = f"""SELECT cohort, count(DISTINCT contact_id) AS leads, count_if(cohort_is_paid) AS "paid leads",
+        count_if(cohort_is_enrolled) AS "enrolled students",
+        {O.money_sum('cohort_actual_revenue')} AS "actual revenue", {O.money_sum('cohort_estimated_revenue')} AS "estimated revenue",
+        {O.money_sum('cohort_potential_revenue')} AS "potential revenue",
+        coalesce({_avg_exact_sql('cohort_days_to_first_contact')}, 0.0) AS "avg days to first contact",
+        coalesce({_avg_exact_sql('cohort_days_to_enroll')}, 0.0) AS "avg days to enroll",
+        coalesce({_avg_exact_sql('cohort_sales_touches_to_enroll')}, 0.0) AS "avg touches to enroll",
+        min(cohort_start_date) AS __start FROM cpp GROUP BY 1"""
+    return f"""SELECT a.cohort, m1."cohort source", a.leads, a."paid leads", {O.safe_div('a."paid leads"', 'a.leads')} AS "paid %",
+        a."enrolled students", {O.safe_div('a."enrolled students"', 'a.leads')} AS "enrollment rate",
+        a."actual revenue", a."estimated revenue", a."potential revenue", a."avg days to first contact", a."avg days to enroll",
+        a."avg touches to enroll", m2."top vendor", m3."top program", m4."top salesman", a.__start
+      FROM ({agg}) a LEFT JOIN {_mode_sql('cohort_source', 'cohort source')} m1 USING (cohort)
+        LEFT JOIN {_mode_sql('paid_vendor', 'top vendor')} m2 USING (cohort)
+        LEFT JOIN {_mode_sql('program', 'top program')} m3 USING (cohort)
+        LEFT JOIN {_mode_sql('salesman_name', 'top salesman')} m4 USING (cohort)"""
+
+
+def sql_cohort_summary():
+    return _sql(f"SELECT * EXCLUDE (__start) FROM ({_cohort_summary_sql()})", _cohort_ctes())
+
+
+def sql_cohort_fields():
+    ren = ", ".join(f'"{old}" AS {new}' for old, new in _C.FIELD_RENAMES)
+    return _sql(f"""SELECT s.cohort, {ren}, s.__start AS cohort_start_date,
+        {O.safe_div("h.hot", "h.n")} AS cohort_hot_lead_share, {O.safe_div("h.dead", "h.n")} AS cohort_dead_lead_share
+      FROM ({_cohort_summary_sql()}) s LEFT JOIN (SELECT cohort, count_if(lead_temperature = 'Hot') AS hot,
+        count_if(lead_temperature = 'Dead') AS dead, count(DISTINCT contact_id) AS n FROM cpp GROUP BY 1) h USING (cohort)""",
+                _cohort_ctes())
+
+
+def sql_cohort_comparison():
+    rev = 'CASE WHEN s."estimated revenue" <> 0 THEN s."estimated revenue" ELSE s."actual revenue" END'
+    return _sql(f"""SELECT s.cohort, s."enrollment rate", {O.safe_div(rev, 's.leads')} AS "revenue per lead",
+        s."avg days to enroll", s."avg touches to enroll", e."paid lead leakage", e."dead lead rate"
+      FROM ({_cohort_summary_sql()}) s LEFT JOIN (SELECT cohort, count_if(cohort_paid_leakage) AS "paid lead leakage",
+        {O.safe_div("count_if(lead_temperature = 'Dead')", "count(DISTINCT contact_id)")} AS "dead lead rate" FROM cpp GROUP BY 1) e
+        USING (cohort)""", _cohort_ctes())
+
+
+def sql_top_table(column: str, label: str, n: int = 10):
+    v = f"CASE WHEN {O.txt_na(column)} = '' THEN 'Unknown' ELSE {O.txt_na(column)} END"
+    return _sql(f"""SELECT {v} AS "{label}", count(DISTINCT contact_id) AS leads, count_if(paid_lead_flag) AS "paid leads",
+        count_if(cohort_is_enrolled) AS "enrolled students" FROM cpp GROUP BY 1 ORDER BY leads DESC, 1 LIMIT {n}""", _cohort_ctes())
+
+
+def sql_mix_table(column: str, label: str):
+    v = f"CASE WHEN {O.txt_na(column)} = '' THEN 'Unknown' ELSE {O.txt_na(column)} END"
+    return _sql(f"""SELECT "{label}", leads, {O.safe_div('leads', 'sum(leads) OVER ()')} AS share FROM (
+        SELECT {v} AS "{label}", count(DISTINCT contact_id) AS leads FROM cpp GROUP BY 1)""", _cohort_ctes())
+
+
+def sql_paid_mix():
+    return _sql(f"""SELECT * FROM (SELECT 'Paid' AS "paid vs organic", count_if(cohort_is_paid) AS leads,
+          {O.safe_div('count_if(cohort_is_paid)', 'count(*)')} AS share FROM cpp
+        UNION ALL SELECT 'Organic', count_if(NOT cohort_is_paid), {O.safe_div('count_if(NOT cohort_is_paid)', 'count(*)')} FROM cpp)""",
+                _cohort_ctes())
+
+
+def _prepared(spark, sf_dir):
+    s = _s(spark, sf_dir)
+    return _C.cohort_contacts(s["contacts_clean"], s["lead_deal_fact"])
+
+
+QUERIES.update({
+    "cohort_summary": lambda spark, d: _C.summary_only(_prepared(spark, d)),
+    "cohort_fields": lambda spark, d: _C.cohort_fields(_prepared(spark, d)),
+    "cohort_comparison": lambda spark, d: _C.cohort_comparison(_prepared(spark, d)),
+    "top_table": lambda spark, d: _C.top_table(_prepared(spark, d), "program", "program"),
+    "mix_table": lambda spark, d: _C.mix_table(_prepared(spark, d), "lead_temperature", "lead temperature"),
+    "paid_mix": lambda spark, d: _C.paid_mix(_prepared(spark, d)),
+    "enrollment_inputs": lambda spark, d: _C.enrollment_inputs(_prepared(spark, d)),
+    "status_before_enrollment": lambda spark, d: _C.status_before_enrollment(_prepared(spark, d)),
+})
+ORACLE.update({
+    "cohort_summary": sql_cohort_summary,
+    "cohort_fields": sql_cohort_fields,
+    "cohort_comparison": sql_cohort_comparison,
+    "top_table": lambda: sql_top_table("program", "program"),
+    "mix_table": lambda: sql_mix_table("lead_temperature", "lead temperature"),
+    "paid_mix": sql_paid_mix,
+})
