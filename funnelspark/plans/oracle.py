@@ -133,7 +133,7 @@ def view_ctes() -> list[str]:
     text = "(event_type || ' #' || json_extract_string(props, '$.k'))"
     acts = f"""raw_activities AS (SELECT {atype} AS activity_type, CAST(event_id AS VARCHAR) AS hs_object_id,
         CASE WHEN event_id % 50 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS contact_id,
-        CAST(epoch_ms(ts) - {V.ACTIVITY_SHIFT_DAYS} * 86400000 AS VARCHAR) AS hs_timestamp,
+        CAST((epoch_us(ts) // 1000) - CAST({V.ACTIVITY_SHIFT_DAYS} AS BIGINT) * 86400000 AS VARCHAR) AS hs_timestamp,
         CAST(event_id % 30 AS VARCHAR) AS hubspot_owner_id,
         CASE WHEN event_type = 'signup' THEN {text} END AS hs_call_title,
         CASE WHEN event_type = 'signup' THEN 'COMPLETED' END AS hs_call_status,
@@ -464,3 +464,35 @@ def silver_ctes() -> list[str]:
 
 def with_silver(select_sql: str) -> str:
     return "WITH " + ",\n".join(silver_ctes()) + "\n" + select_sql
+
+
+# ---- activity events -----------------------------------------------------------------------
+RAW_ACTIVITY_COLUMNS = ["activity_type", "hs_object_id", "contact_id", "hs_timestamp", "hubspot_owner_id",
+                        "hs_call_title", "hs_call_status", "hs_email_subject", "hs_email_status", "hs_meeting_title",
+                        "hs_meeting_outcome", "hs_note_body", "hs_task_subject", "hs_task_status"]
+
+
+def activity_ctes() -> list[str]:
+    at = f"lower({txt('activity_type')})"
+    label = ("(CASE " + " ".join(f"WHEN {at} = {q(k)} THEN {q(v)}" for k, v in R.ACTIVITY_TYPE_LABELS)
+             + f" WHEN {at} <> '' THEN upper({at}[1]) || {at}[2:] ELSE 'Activity' END)")
+
+    def per_type(table):
+        parts = []
+        for key, fields in table:
+            present = [f"nullif({txt(f)}, '')" for f in fields if f in RAW_ACTIVITY_COLUMNS]
+            val = f"coalesce({', '.join(present)}, '')" if present else "''"
+            parts.append(f"WHEN {at} = {q(key)} THEN {val}")
+        return "(CASE " + " ".join(parts) + " ELSE '' END)"
+
+    return [
+        f"""a0 AS (SELECT {txt('contact_id')} AS contact_id, {txt('coalesce(nullif(' + txt('hs_object_id') + ", ''), NULL)")} AS activity_id,
+            CASE WHEN {txt('hs_timestamp')} <> '' THEN hs_timestamp END AS event_raw, {label} AS event_type,
+            {clean_id('hubspot_owner_id')} AS owner_id, {per_type(R.ACTIVITY_DESCRIPTION_FIELDS)} AS description,
+            {per_type(R.ACTIVITY_OUTCOME_FIELDS)} AS outcome, 'activity_object' AS source FROM raw_activities)""",
+        ms_switch_cte("a_flags", "a0", ["event_raw"]),
+        f"""activity_events AS (SELECT DISTINCT a0.contact_id, a0.activity_id, {parsed('event_raw', '(SELECT f0 FROM a_flags)')} AS event_date,
+            a0.event_type, a0.owner_id, coalesce(owner_names.oname, 'Unassigned') AS owner, a0.description, a0.outcome, a0.source
+          FROM a0 LEFT JOIN owner_names ON owner_names.oid = a0.owner_id
+          WHERE a0.contact_id <> '' AND {parsed('event_raw', '(SELECT f0 FROM a_flags)')} IS NOT NULL)""",
+    ]

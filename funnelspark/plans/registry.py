@@ -547,3 +547,141 @@ ORACLE.update({
     "mix_table": lambda: sql_mix_table("lead_temperature", "lead temperature"),
     "paid_mix": sql_paid_mix,
 })
+
+
+# ---- journeys --------------------------------------------------------------------------------
+from ..operators import journey as _J  # noqa: E402
+from ..sources import crm_view as _V  # noqa: E402
+
+
+def _journey_ctes() -> list[str]:
+    owner = f"coalesce(nullif({O.txt('salesman_name')}, ''), 'Unassigned')"
+    specs = [("contact_created_at", "Contact created", "'HubSpot contact record created'", "''"),
+             ("owner_assigned_date", "Owner assigned", "'Contact owner assigned'", "''"),
+             ("first_outreach_date", "First outreach", "'First outreach date from HubSpot summary'", "''"),
+             ("first_engagement_date", "First engagement", "'First engagement date from HubSpot summary'", "''"),
+             ("application_date", "Application", "'Application date'", "''"),
+             ("enrollment_date", "Enrollment", "'Enrollment date'", "''"),
+             ("last_sales_activity_timestamp", "Last sales activity", "'Last sales activity timestamp'", "''"),
+             ("last_activity_date", "Last activity", "'Last activity date'", "''"),
+             ("next_activity_date", "Next activity", "'Next scheduled activity'", "''")]
+    cev = " UNION ALL ".join(
+        f"SELECT contact_id, {c} AS event_date, {O.q(t)} AS event_type, {owner} AS owner, {d} AS description, {o} AS outcome, false AS act "
+        f"FROM contacts_clean WHERE contact_id IS NOT NULL AND {c} IS NOT NULL" for c, t, d, o in specs)
+    fo = f"coalesce(nullif({O.txt('f.salesman_name')}, ''), 'Unassigned')"
+    fd = f"trim('Deal ' || {O.txt('f.deal_id')})"
+    fs = f"{O.txt('f.deal_stage')}"
+    fbase = f"FROM lead_deal_fact f WHERE {O.txt('f.contact_id')} <> '' AND {O.txt('f.contact_id')} IN (SELECT contact_id FROM contacts_clean)"
+    dev = " UNION ALL ".join([
+        f"SELECT {O.txt('f.contact_id')}, f.deal_created_at, 'Deal created', {fo}, {fd}, {fs}, false {fbase} AND f.deal_created_at IS NOT NULL",
+        f"SELECT {O.txt('f.contact_id')}, f.close_date, 'Deal close date', {fo}, {fd}, {fs}, false {fbase} AND f.close_date IS NOT NULL",
+        f"SELECT {O.txt('f.contact_id')}, CASE WHEN f.is_won THEN coalesce(f.closed_won_date, f.close_date) WHEN f.is_lost THEN f.close_date END, "
+        f"CASE WHEN f.is_won THEN 'Closed won' ELSE 'Closed lost' END, {fo}, {fd}, {fs}, false {fbase} "
+        f"AND (CASE WHEN f.is_won THEN coalesce(f.closed_won_date, f.close_date) WHEN f.is_lost THEN f.close_date END) IS NOT NULL"])
+    aev = ("SELECT contact_id, event_date, event_type, owner, description, outcome, true FROM activity_events "
+           "WHERE contact_id IN (SELECT contact_id FROM contacts_clean)")
+    return O.activity_ctes() + [f"jev AS ({cev} UNION ALL {dev} UNION ALL {aev})"]
+
+
+def sql_journey_events():
+    gap = ("CAST(floor((epoch_us(event_date) - epoch_us(lag(event_date) OVER (PARTITION BY contact_id ORDER BY event_date, event_type, description, owner, outcome)))"
+           " / 86400000000.0) AS BIGINT)")
+    return _sql(f"""SELECT contact_id, event_date, event_type, owner, description, outcome,
+        greatest(coalesce({gap}, 0), 0) AS days_since_previous_event FROM jev""", _journey_ctes())
+
+
+def sql_journey_metrics():
+    today = O.TODAY_TS
+    det = "event_type IN (" + ", ".join(O.q(t) for t in _R.DETAILED_EVENT_TYPES) + ")"
+    ev = f"""ev AS (SELECT contact_id, count_if({det}) AS detailed, count_if(event_type = 'Call') AS number_of_calls,
+        count_if(event_type = 'Email') AS number_of_emails, count_if(event_type = 'Meeting') AS number_of_meetings,
+        min(CASE WHEN {det} THEN event_date END) AS first_detailed,
+        max(CASE WHEN event_type NOT IN ('Contact created', 'Deal created') THEN event_date END) AS last_event,
+        min(CASE WHEN contains(lower(event_type), 'enrollment') THEN event_date END) AS enroll_event,
+        bool_or(act) AS has_acts FROM jev GROUP BY 1)"""
+    fd = f"""fd AS (SELECT {O.txt('contact_id')} AS contact_id, min(deal_created_at) AS first_deal FROM lead_deal_fact
+        WHERE {O.txt('contact_id')} <> '' GROUP BY 1)"""
+    m0 = f"""m0 AS (SELECT c.*, ev.* EXCLUDE (contact_id), fd.first_deal,
+        coalesce(ev.first_detailed, least(first_outreach_date, first_engagement_date, last_sales_activity_timestamp, last_activity_date),
+          CASE WHEN time_to_first_engagement >= 0 THEN make_timestamp(epoch_us(contact_created_at) + CAST(time_to_first_engagement * 1000 AS BIGINT)) END)
+          AS first_contact,
+        coalesce(least(enrollment_date, TRY_CAST({O.strip('start_term')} AS TIMESTAMP)), ev.enroll_event) AS enrollment,
+        coalesce(ev.last_event, least(last_activity_date, last_sales_activity_timestamp)) AS last_act,
+        CASE WHEN coalesce(ev.has_acts, false) THEN coalesce(ev.detailed, 0) ELSE CAST(trunc(coalesce(CAST(num_notes AS DOUBLE), 0.0)) AS BIGINT) END AS touches
+      FROM contacts_clean c LEFT JOIN ev USING (contact_id) LEFT JOIN fd USING (contact_id) WHERE c.contact_id IS NOT NULL)"""
+
+    def between(a, b):
+        d = O.days_floor(a, b)
+        return f"CASE WHEN {d} >= 0 THEN {d} END"
+
+    ds = O.days_floor("last_act", today)
+    return _sql(f"""SELECT contact_id, {between('contact_created_at', 'first_contact')} AS days_from_lead_creation_to_first_contact,
+        touches AS number_of_sales_touches, coalesce(number_of_calls, 0) AS number_of_calls,
+        coalesce(number_of_emails, 0) AS number_of_emails, coalesce(number_of_meetings, 0) AS number_of_meetings,
+        {between('contact_created_at', 'first_deal')} AS days_from_lead_creation_to_deal_creation,
+        {between('contact_created_at', 'enrollment')} AS days_from_lead_creation_to_enrollment,
+        {between('first_deal', 'enrollment')} AS days_from_deal_creation_to_enrollment,
+        {ds} AS days_since_last_activity,
+        coalesce(nullif({O.txt('lead_temperature')}, ''), 'Unknown') AS current_lead_temperature,
+        CASE WHEN lower({O.txt('lead_temperature')}) = 'hot' AND ({ds} IS NULL OR {ds} >= 1) THEN 'Call today and schedule the next enrollment step.'
+             WHEN has_open_deal AND ({ds} IS NULL OR {ds} >= 3) THEN 'Follow up on the open deal and confirm next action.'
+             WHEN touches = 0 THEN 'Make first contact attempt and log the outcome.'
+             WHEN coalesce({ds} >= 7, false) THEN 'Re-engage with a call and email sequence.'
+             ELSE 'Continue normal follow-up cadence.' END AS recommended_next_action
+      FROM m0""", _journey_ctes() + [ev, fd, m0])
+
+
+JOURNEY_CHECK = ["contact_id", "salesman_name", "contact_created_at", "first_activity_date", "last_activity_date",
+                 "program", "cohort", "lead_temperature", "deal_created_at", "deal_stage", "close_date", "actual_revenue",
+                 "estimated_enrolled_revenue", "potential_revenue"]
+
+
+def sql_student_journey_fact():
+    first = lambda c: (f"""(SELECT cid, {c} FROM (SELECT {O.txt('contact_id')} AS cid, {c}, row_number() OVER (PARTITION BY {O.txt('contact_id')}
+        ORDER BY coalesce(TRY_CAST(deal_id AS BIGINT), 9223372036854775807), coalesce(deal_id, '')) AS rn
+        FROM lead_deal_fact WHERE {O.txt('contact_id')} <> '' AND {c} IS NOT NULL) WHERE rn = 1) {c}_t""")
+    return _sql(f"""SELECT c.contact_id, c.salesman_name, c.contact_created_at,
+        coalesce(c.first_activity_date, e.amin) AS first_activity_date, coalesce(c.last_activity_date, e.amax) AS last_activity_date,
+        c.program, c.cohort, c.lead_temperature, deal_created_at_t.deal_created_at, deal_stage_t.deal_stage, close_date_t.close_date,
+        coalesce(r.actual_revenue, 0.0) AS actual_revenue, coalesce(CAST(c.enrolled_revenue AS DOUBLE), 0.0) AS estimated_enrolled_revenue,
+        c.potential_revenue
+      FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY _seq NULLS LAST) AS __rn FROM contacts_clean
+            WHERE contact_id IS NOT NULL) WHERE __rn = 1) c
+      LEFT JOIN (SELECT {O.txt('contact_id')} AS cid, {O.money_sum('revenue_attributed')} AS actual_revenue FROM lead_deal_fact
+                 WHERE {O.txt('contact_id')} <> '' GROUP BY 1) r ON r.cid = c.contact_id
+      LEFT JOIN {first('deal_created_at')} ON deal_created_at_t.cid = c.contact_id
+      LEFT JOIN {first('deal_stage')} ON deal_stage_t.cid = c.contact_id
+      LEFT JOIN {first('close_date')} ON close_date_t.cid = c.contact_id
+      LEFT JOIN (SELECT coalesce(contact_id, '') AS cid, min(event_date) AS amin, max(event_date) AS amax FROM activity_events GROUP BY 1) e
+        ON e.cid = c.contact_id""", O.activity_ctes())
+
+
+SEARCH_QUERY = "c12"
+
+
+def sql_search_students():
+    cond = " OR ".join(f"contains(lower(coalesce(CAST({c} AS VARCHAR), '')), {O.q(SEARCH_QUERY)})"
+                       for c in ["student_name", "email", "phone", "contact_id"])
+    return _sql(f"""SELECT contact_id, student_name, email, contact_created_at FROM contacts_clean WHERE {cond}
+        ORDER BY contact_created_at NULLS LAST, contact_id LIMIT 50""")
+
+
+def _events(spark, d):
+    s = _s(spark, d)
+    return s["contacts_clean"], s["lead_deal_fact"], s["activity_events"]
+
+
+QUERIES.update({
+    "journey_events": lambda spark, d: _J.journey_events(*_events(spark, d)),
+    "journey_metrics": lambda spark, d: _J.journey_metrics(*_events(spark, d), _V.TODAY),
+    "student_journey_fact": lambda spark, d: _J.student_journey_fact(*_events(spark, d)).select(*JOURNEY_CHECK),
+    "search_students": lambda spark, d: _J.search_students(_s(spark, d)["contacts_clean"], SEARCH_QUERY).select(
+        "contact_id", "student_name", "email", "contact_created_at"),
+    "student_profile": lambda spark, d: _J.student_profile(_s(spark, d)["contacts_clean"], _s(spark, d)["lead_deal_fact"]),
+})
+ORACLE.update({
+    "journey_events": sql_journey_events,
+    "journey_metrics": sql_journey_metrics,
+    "student_journey_fact": sql_student_journey_fact,
+    "search_students": sql_search_students,
+})
