@@ -292,3 +292,118 @@ def revenue_by(df: DataFrame, dim: str, columns: Sequence[str] | None = None) ->
     """Money totals per dimension (NULL group kept)."""
     columns = list(columns or REVENUE_COLUMNS + POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS)
     return df.groupBy(dim).agg(*[sum_money(F.col(c)).alias(c) for c in columns])
+
+
+# ---- paid vendor performance -----------------------------------------------------------------
+
+def vendor_costs(raw: DataFrame) -> DataFrame:
+    """Cost ledger: trimmed vendor, numeric spend; blank vendor or spend <= 0 dropped."""
+    out = raw.select(clean_text(F.col("vendor")).alias("vendor"),
+                     F.col("month") if "month" in raw.columns else F.lit(None).cast("string").alias("month"),
+                     F.coalesce(F.col("spend").cast("string").try_cast("double"), F.lit(0.0)).alias("spend"),
+                     F.col("notes") if "notes" in raw.columns else F.lit(None).cast("string").alias("notes"))
+    return out.where((F.col("vendor") != "") & (F.col("spend") > 0))
+
+
+def vendor_series(df: DataFrame) -> Column:
+    """vendor if any row has one, else paid_vendor if any, else utm_source / source_group; blank -> Unknown.
+    The table-level switch is a one-row scalar subquery."""
+    def txt(c):
+        return clean_text(F.col(c)) if c in df.columns else F.lit("")
+    flags = df.agg(F.struct(F.coalesce(F.max(txt("vendor") != ""), F.lit(False)).alias("v"),
+                            F.coalesce(F.max(txt("paid_vendor") != ""), F.lit(False)).alias("p"))).scalar()
+    utm = txt("utm_source")
+    src = clean_text(F.coalesce(F.col("source_group").cast("string"), F.lit("Unknown"))) if "source_group" in df.columns else F.lit("Unknown")
+    fallback = F.when(utm != "", utm).otherwise(src)
+    chosen = F.when(flags.getField("v"), txt("vendor")).when(flags.getField("p"), txt("paid_vendor")).otherwise(fallback)
+    return F.when(chosen == "", F.lit("Unknown")).otherwise(chosen)
+
+
+def contacted_mask(df: DataFrame) -> Column:
+    out = F.lit(False)
+    for c in ("last_activity_date", "last_sales_activity_timestamp", "first_outreach_date", "first_engagement_date"):
+        if c in df.columns:
+            out = out | (F.col(c).isNotNull() & (clean_text(F.col(c)) != ""))
+    if "num_notes" in df.columns:
+        out = out | (F.coalesce(F.col("num_notes").cast("double"), F.lit(0.0)) > 0)
+    return out
+
+
+VENDOR_KEYS = ["vendor", "source_group", "campaign"]
+VENDOR_COLUMNS = [
+    "vendor", "source_group", "campaign", "leads", "paid_leads", "contacted_leads", "uncontacted_leads", "hot_leads",
+    "dead_leads", "deals_created", "enrolled_students", "actual_revenue", "estimated_enrolled_revenue",
+    "open_potential_revenue", "close_rate", "enrollment_rate", "average_response_time", "average_days_to_enroll",
+    "average_sales_touches_before_enrollment", "cost_per_lead", "revenue_per_lead", "estimated_roi", "leakage_score",
+    "vendor_confidence", "vendor_source_field",
+]
+
+
+def _unknown_if_empty(c: Column, default: str) -> Column:
+    v = F.coalesce(c.cast("string"), F.lit(default))
+    return F.when(v == "", F.lit(default)).otherwise(v)
+
+
+def paid_vendor_performance(paid_contacts: DataFrame, fact: DataFrame, costs: DataFrame) -> DataFrame:
+    """25 columns per (vendor, source_group, campaign).  Fact rows join a group through the
+    contact id (T18); spend is allocated by the group's share of the vendor's paid leads."""
+    from ..functions.expr import avg_exact
+    c = paid_contacts.withColumns({
+        "vendor": vendor_series(paid_contacts),
+        "source_group": _unknown_if_empty(F.col("source_group"), "Unknown"),
+        "campaign": _unknown_if_empty(F.col("utm_campaign"), "Unknown"),
+        "vendor_confidence": _unknown_if_empty(F.col("vendor_confidence"), "Low"),
+        "vendor_source_field": F.coalesce(F.col("vendor_source_field").cast("string"), F.lit("")),
+        "__contacted": contacted_mask(paid_contacts),
+    })
+    membership = c.where(F.col("contact_id").isNotNull()).select("contact_id", *VENDOR_KEYS).distinct()
+    related = fact.where(F.col("contact_id").isNotNull()).drop(*[k for k in VENDOR_KEYS if k in fact.columns]).join(
+        membership, "contact_id")
+    won = countable_won(related)
+    enrolled_rev = F.coalesce(F.col("enrolled_revenue").cast("double"), F.lit(0.0))
+    conf = F.col("vendor_confidence")
+    field = F.col("vendor_source_field")
+    g = c.groupBy(*VENDOR_KEYS).agg(
+        F.countDistinct("contact_id").alias("paid_leads"),
+        F.countDistinct(F.when(F.col("__contacted"), F.col("contact_id"))).alias("contacted_leads"),
+        F.count_if(F.col("lead_temperature") == "Hot").alias("hot_leads"),
+        F.count_if(F.col("lead_temperature") == "Dead").alias("dead_leads"),
+        sum_money(F.col("open_pipeline_potential_revenue")).alias("open_potential_revenue"),
+        (avg_exact(F.col("time_to_first_engagement")) / F.lit(3600000.0)).alias("__resp"),
+        avg_exact(F.when(enrolled_rev > 0, F.col("num_notes").cast("double"))).alias("__touch"),
+        F.count_if(conf == "High").alias("__h"), F.count_if(conf == "Medium").alias("__m"), F.count_if(conf == "Low").alias("__l"),
+        F.array_join(F.array_sort(F.collect_set(F.when(field != "", field))), ", ").alias("__fields"),
+    )
+    f = related.groupBy(*VENDOR_KEYS).agg(F.countDistinct("deal_id").alias("deals_created"))
+    w = won.groupBy(*VENDOR_KEYS).agg(
+        sum_money(F.col("revenue_attributed")).alias("actual_revenue"),
+        F.countDistinct("deal_id").alias("__won_deals"),
+        F.avg("days_to_close").alias("__days"))
+    est = estimated_enrolled_revenue(c, related, VENDOR_KEYS)
+    spend = costs.groupBy("vendor").agg(F.sum("spend").alias("__spend"))
+    vendor_leads = c.groupBy("vendor").agg(F.countDistinct("contact_id").alias("__vendor_leads"))
+    j = (g.join(f, VENDOR_KEYS, "left").join(w, VENDOR_KEYS, "left").join(est, VENDOR_KEYS, "left")
+         .join(spend, "vendor", "left").join(vendor_leads, "vendor", "left"))
+    z = lambda n, d=0: F.coalesce(F.col(n), F.lit(d))
+    paid_n = F.col("paid_leads")
+    unc = F.greatest(paid_n - F.col("contacted_leads"), F.lit(0))
+    alloc = z("__spend", 0.0) * safe_div(paid_n, z("__vendor_leads"))
+    est_rev, act = z("estimated_enrolled_revenue", 0.0), z("actual_revenue", 0.0)
+    roi_rev = F.when(est_rev != 0, est_rev).otherwise(act)
+    out = j.select(
+        "vendor", "source_group", "campaign", paid_n.alias("leads"), paid_n.alias("paid_leads"), "contacted_leads",
+        unc.alias("uncontacted_leads"), "hot_leads", "dead_leads", z("deals_created").alias("deals_created"),
+        z("enrolled_students").alias("enrolled_students"), act.alias("actual_revenue"),
+        est_rev.alias("estimated_enrolled_revenue"), "open_potential_revenue",
+        safe_div(z("__won_deals"), paid_n).alias("close_rate"),
+        safe_div(z("enrolled_students"), paid_n).alias("enrollment_rate"),
+        z("__resp", 0.0).alias("average_response_time"), z("__days", 0.0).alias("average_days_to_enroll"),
+        z("__touch", 0.0).alias("average_sales_touches_before_enrollment"),
+        safe_div(alloc, paid_n).alias("cost_per_lead"), safe_div(roi_rev, paid_n).alias("revenue_per_lead"),
+        safe_div(roi_rev - alloc, alloc).alias("estimated_roi"),
+        F.least(safe_div(unc + F.col("dead_leads"), paid_n) * 100, F.lit(100.0)).alias("leakage_score"),
+        revenue_confidence_mix(F.col("__h"), F.col("__m"), F.col("__l")).alias("vendor_confidence"),
+        F.coalesce(F.nullif(F.col("__fields"), F.lit("")), F.lit("Unknown")).alias("vendor_source_field"),
+    )
+    return out.orderBy(F.desc("open_potential_revenue"), F.desc("estimated_enrolled_revenue"), F.desc("paid_leads"),
+                       *VENDOR_KEYS)

@@ -685,3 +685,88 @@ ORACLE.update({
     "student_journey_fact": sql_student_journey_fact,
     "search_students": sql_search_students,
 })
+
+
+# ---- paid vendor performance -----------------------------------------------------------------
+
+def q_paid_vendor_performance(spark, d):
+    s = _s(spark, d)
+    paid = s["contacts_clean"].where(F.col("paid_lead_flag"))
+    return kpi.paid_vendor_performance(paid, s["lead_deal_fact"], kpi.vendor_costs(_V.vendor_costs_raw(spark, d)))
+
+
+def q_vendor_costs(spark, d):
+    return kpi.vendor_costs(_V.vendor_costs_raw(spark, d))
+
+
+def _vendor_cost_cte() -> str:
+    cyc = O.cycle("s_suppkey", _V.VENDOR_COST_CYCLE)
+    return f"""costs AS (SELECT * FROM (SELECT {O.txt(cyc)} AS vendor, '2001-0' || CAST((s_suppkey % 9) + 1 AS VARCHAR) AS month,
+        coalesce(TRY_CAST(CAST(s_acctbal AS VARCHAR) AS DOUBLE), 0.0) AS spend, '' AS notes FROM supplier)
+      WHERE vendor <> '' AND spend > 0)"""
+
+
+def sql_paid_vendor_performance():
+    t = O.txt
+    flags = ("vflags AS (SELECT coalesce(max(" + t('vendor') + " <> ''), false) AS v, coalesce(max(" + t('paid_vendor')
+             + " <> ''), false) AS p FROM contacts_clean WHERE paid_lead_flag)")
+    src_expr = O.strip("coalesce(CAST(source_group AS VARCHAR), 'Unknown')")
+    fallback = f"CASE WHEN {t('utm_source')} <> '' THEN {t('utm_source')} ELSE {src_expr} END"
+    chosen = (f"CASE WHEN (SELECT v FROM vflags) THEN {t('vendor')} WHEN (SELECT p FROM vflags) THEN {t('paid_vendor')} "
+              f"ELSE {fallback} END")
+    unk = lambda x, dflt: f"CASE WHEN coalesce(CAST({x} AS VARCHAR), '{dflt}') = '' THEN '{dflt}' ELSE coalesce(CAST({x} AS VARCHAR), '{dflt}') END"
+    contacted = " OR ".join([f"({c} IS NOT NULL AND {t(c)} <> '')" for c in
+                             ["last_activity_date", "last_sales_activity_timestamp", "first_outreach_date", "first_engagement_date"]]
+                            + ["coalesce(CAST(num_notes AS DOUBLE), 0.0) > 0"])
+    vc = f"""vc AS (SELECT *, CASE WHEN ({chosen}) = '' THEN 'Unknown' ELSE ({chosen}) END AS g_vendor,
+        {unk('source_group', 'Unknown')} AS g_source, {unk('utm_campaign', 'Unknown')} AS g_campaign,
+        {unk('vendor_confidence', 'Low')} AS g_conf, coalesce(CAST(vendor_source_field AS VARCHAR), '') AS g_field,
+        ({contacted}) AS g_contacted FROM contacts_clean WHERE paid_lead_flag)"""
+    keys = "g_vendor, g_source, g_campaign"
+    memb = f"memb AS (SELECT DISTINCT contact_id, {keys} FROM vc WHERE contact_id IS NOT NULL)"
+    rel = f"rel AS (SELECT f.*, m.g_vendor, m.g_source, m.g_campaign FROM lead_deal_fact f JOIN memb m ON m.contact_id = f.contact_id)"
+    g = f"""g AS (SELECT {keys}, count(DISTINCT contact_id) AS paid_leads,
+        count(DISTINCT CASE WHEN g_contacted THEN contact_id END) AS contacted_leads,
+        count_if(lead_temperature = 'Hot') AS hot_leads, count_if(lead_temperature = 'Dead') AS dead_leads,
+        {O.money_sum('open_pipeline_potential_revenue')} AS open_potential_revenue,
+        {_avg_exact_sql('time_to_first_engagement')} / 3600000.0 AS resp,
+        {_avg_exact_sql("CASE WHEN coalesce(CAST(enrolled_revenue AS DOUBLE), 0.0) > 0 THEN CAST(num_notes AS DOUBLE) END")} AS touch,
+        count_if(g_conf = 'High') AS h, count_if(g_conf = 'Medium') AS m, count_if(g_conf = 'Low') AS l,
+        array_to_string(list_sort(list_distinct(list(CASE WHEN g_field <> '' THEN g_field END))), ', ') AS fields
+      FROM vc GROUP BY {keys})"""
+    fq = f"fq AS (SELECT {keys}, count(DISTINCT deal_id) AS deals_created FROM rel GROUP BY {keys})"
+    wq = f"""wq AS (SELECT {keys}, {O.money_sum('revenue_attributed')} AS actual_revenue, count(DISTINCT deal_id) AS won_deals,
+        avg(days_to_close) AS days FROM rel WHERE deal_countable AND is_won GROUP BY {keys})"""
+    est_c = f"""est_c AS (SELECT {keys}, contact_id, max(v) AS v FROM (
+        SELECT {keys}, contact_id, CAST(enrolled_revenue AS DOUBLE) AS v FROM vc WHERE coalesce(CAST(enrolled_revenue AS DOUBLE), 0) > 0
+        UNION ALL SELECT {keys}, contact_id, coalesce(CAST(total_program_revenue AS DOUBLE), 0.0) FROM rel
+          WHERE deal_countable AND is_won AND {t('contact_id')} <> '') GROUP BY ALL)"""
+    est = f"""est AS (SELECT {keys}, {O.money_sum('v')} AS estimated_enrolled_revenue, count(*) AS enrolled_students FROM est_c GROUP BY {keys})"""
+    sp = "sp AS (SELECT vendor AS g_vendor, sum(spend) AS spend FROM costs GROUP BY 1)"
+    vl = "vl AS (SELECT g_vendor, count(DISTINCT contact_id) AS vendor_leads FROM vc GROUP BY 1)"
+    j = f"""j AS (SELECT g.*, coalesce(fq.deals_created, 0) AS deals_created, coalesce(wq.actual_revenue, 0.0) AS actual_revenue,
+        coalesce(wq.won_deals, 0) AS won_deals, coalesce(wq.days, 0.0) AS days,
+        coalesce(est.estimated_enrolled_revenue, 0.0) AS estimated_enrolled_revenue, coalesce(est.enrolled_students, 0) AS enrolled_students,
+        coalesce(sp.spend, 0.0) * {O.safe_div('g.paid_leads', 'coalesce(vl.vendor_leads, 0)')} AS alloc
+      FROM g LEFT JOIN fq USING ({keys}) LEFT JOIN wq USING ({keys}) LEFT JOIN est USING ({keys})
+        LEFT JOIN sp USING (g_vendor) LEFT JOIN vl USING (g_vendor))"""
+    roi = "CASE WHEN estimated_enrolled_revenue <> 0 THEN estimated_enrolled_revenue ELSE actual_revenue END"
+    unc = "greatest(paid_leads - contacted_leads, 0)"
+    sel = f"""SELECT g_vendor AS vendor, g_source AS source_group, g_campaign AS campaign, paid_leads AS leads, paid_leads,
+        contacted_leads, {unc} AS uncontacted_leads, hot_leads, dead_leads, deals_created, enrolled_students, actual_revenue,
+        estimated_enrolled_revenue, open_potential_revenue, {O.safe_div('won_deals', 'paid_leads')} AS close_rate,
+        {O.safe_div('enrolled_students', 'paid_leads')} AS enrollment_rate, coalesce(resp, 0.0) AS average_response_time,
+        days AS average_days_to_enroll, coalesce(touch, 0.0) AS average_sales_touches_before_enrollment,
+        {O.safe_div('alloc', 'paid_leads')} AS cost_per_lead, {O.safe_div(roi, 'paid_leads')} AS revenue_per_lead,
+        {O.safe_div(f'({roi}) - alloc', 'alloc')} AS estimated_roi,
+        least({O.safe_div(f'{unc} + dead_leads', 'paid_leads')} * 100, 100.0) AS leakage_score,
+        'High: ' || h || ' / Medium: ' || m || ' / Low: ' || l AS vendor_confidence,
+        coalesce(nullif(fields, ''), 'Unknown') AS vendor_source_field FROM j"""
+    return _sql(sel, [_vendor_cost_cte(), flags, vc, memb, rel, g, fq, wq, est_c, est, sp, vl, j])
+
+
+QUERIES.update({"paid_vendor_performance": q_paid_vendor_performance, "vendor_costs": q_vendor_costs})
+ORACLE.update({
+    "paid_vendor_performance": sql_paid_vendor_performance,
+    "vendor_costs": lambda: _sql("SELECT * FROM costs", [_vendor_cost_cte()]),
+})

@@ -248,3 +248,19 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.timestamp_seconds(F.lit(TODAY_SECS) - ((k * 13) % 90) * DAY_SECS)).alias("last_activity_date"),
         F.when(k % 4 == 0, F.lit("Bachelor")).when(k % 4 == 1, F.lit("Master")).otherwise(F.lit("")).alias("degree"),
     )
+
+
+# FIXED VALUES (view): vendor names for the cost ledger, cycled by supplier key.
+VENDOR_COST_CYCLE = ["Meta", "Google", "Partner X", "newsletter", ""]
+
+
+def vendor_costs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost ledger rows (vendor, month, spend, notes) as text, from suppliers."""
+    s = read_table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(
+        _cycle(k, VENDOR_COST_CYCLE).alias("vendor"),
+        F.concat(F.lit("2001-0"), ((k % 9) + 1).cast("string")).alias("month"),
+        F.col("s_acctbal").cast("string").alias("spend"),
+        F.lit("").alias("notes"),
+    )
