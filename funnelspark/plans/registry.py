@@ -770,3 +770,227 @@ ORACLE.update({
     "paid_vendor_performance": sql_paid_vendor_performance,
     "vendor_costs": lambda: _sql("SELECT * FROM costs", [_vendor_cost_cte()]),
 })
+
+
+# ---- uploaded leads, enrollments, budget -----------------------------------------------------
+from ..operators import budget as _B  # noqa: E402
+from ..operators import enrollment as _E  # noqa: E402
+from . import oracle_uploaded as U  # noqa: E402
+
+SELECTED_TERMS = ["Summer 2"]
+
+
+def _leads(spark, d):
+    return _E.standardize_leads(_V.leads(spark, d), "HubSpot leads view")
+
+
+def _enr(spark, d):
+    return _E.standardize_enrollments(_V.enrollments(spark, d))
+
+
+_GRID_CACHE: dict = {}
+
+
+def _grid(spark, d):
+    """The landed budget grid is materialised once per session (reliable checkpoint), like a file."""
+    key = (id(spark), d)
+    if key not in _GRID_CACHE:
+        from ..session import cut_lineage
+        cells = cut_lineage(_V.budget_cells(spark, d))
+        _GRID_CACHE[key] = tuple(cut_lineage(x) for x in (
+            _B.budget_summary_rows(cells), _B.budget_allocations(cells), _B.budget_term_allocations(cells)))
+    return _GRID_CACHE[key]
+
+
+def _usql(select: str, extra: list[str] | None = None, grid: bool = False, leads: bool = False, enr: bool = False) -> str:
+    ctes = (U.leads_ctes() if leads else []) + (U.enr_ctes() if enr else []) + (U.grid_ctes() if grid else []) + (extra or [])
+    return "WITH " + ",\n".join(ctes) + "\n" + select
+
+
+def sql_lead_summary():
+    return _usql(f"""SELECT total AS total_leads, paid AS paid_leads, organic AS organic_leads, contacted AS contacted_leads,
+        applicants, crm_enrolled, bad AS bad_leads, greatest(total - contacted, 0) AS uncontacted_leads,
+        {O.safe_div('contacted', 'total')} AS lead_to_contact_rate, {O.safe_div('applicants', 'total')} AS lead_to_applicant_rate,
+        {O.safe_div('crm_enrolled', 'total')} AS lead_to_crm_enrolled_rate, {O.safe_div('bad', 'total')} AS bad_lead_rate
+      FROM (SELECT {U.lead_metric_select([])} FROM leads_f)""", leads=True)
+
+
+def sql_lead_performance_by(dim: str):
+    lab = f"CASE WHEN {O.txt(dim)} = '' THEN 'Unmapped' ELSE {O.txt(dim)} END"
+    return _usql(f"""SELECT {U.lead_perf_cols(dim)} FROM (SELECT {lab} AS {dim}, {U.lead_metric_select([])}
+        FROM leads_f GROUP BY 1)""", leads=True)
+
+
+def sql_enrollment_by(dim: str):
+    lab = f"CASE WHEN {O.txt(dim)} = '' THEN 'Missing' ELSE {O.txt(dim)} END"
+    return _usql(f"""SELECT {lab} AS {dim}, count(student) AS actual_enrollments, {O.money_sum('revenue')} AS revenue,
+        {_avg_exact_sql('days_to_enroll')} AS average_days_to_enroll FROM enr GROUP BY 1""", enr=True)
+
+
+def sql_program_mix():
+    parts = []
+    for d in _E.MIX_DIMENSIONS:
+        lab = f"CASE WHEN {O.txt(d)} = '' THEN 'Missing' ELSE {O.txt(d)} END"
+        parts.append(f"""SELECT {O.q(d)} AS dimension, {lab} AS value, count(student) AS actual_enrollments,
+            {O.money_sum('revenue')} AS revenue, {_avg_exact_sql('days_to_enroll')} AS average_days_to_enroll FROM enr GROUP BY 1, 2""")
+    return _usql(" UNION ALL ".join(parts), enr=True)
+
+
+def _roundup_sql(metric: str) -> str:
+    return (f"(SELECT numeric_value FROM summary WHERE lower({O.txt('metric')}) = {O.q(metric.lower())} ORDER BY _seq LIMIT 1)")
+
+
+def sql_enrollment_summary():
+    g = f"coalesce(CAST({_roundup_sql('Budget')} AS DOUBLE), 0.0)"
+    s = f"coalesce(CAST({_roundup_sql('Starts')} AS DOUBLE), 0.0)"
+    return _usql(f"""SELECT actual_enrollments, {g} AS enrollment_goal, {O.safe_div('actual_enrollments', g)} AS percent_of_goal,
+        greatest({g} - actual_enrollments, 0.0) AS remaining_enrollments, {s} AS starts,
+        {O.safe_div(s, 'actual_enrollments')} AS start_rate, revenue, {O.safe_div('revenue', 'actual_enrollments')} AS revenue_per_enrollment,
+        average_days_to_enroll FROM (SELECT count(*) AS actual_enrollments, {O.money_sum('revenue')} AS revenue,
+        coalesce({_avg_exact_sql('days_to_enroll')}, 0.0) AS average_days_to_enroll FROM enr)""", enr=True, grid=True)
+
+
+def sql_funnel():
+    return _usql(f"""SELECT stage, "count" FROM (SELECT total, contacted, applicants, crm_enrolled, (SELECT count(*) FROM enr) AS act
+        FROM (SELECT {U.lead_metric_select([])} FROM leads_f)) UNPIVOT ("count" FOR stage IN (total AS 'Leads', contacted AS 'Contacted',
+        applicants AS 'Applicants', crm_enrolled AS 'CRM enrolled', act AS 'Actual enrollments'))""", leads=True, enr=True)
+
+
+def sql_weekly(table: str, col: str, name: str, **kw):
+    return _usql(f"SELECT date_trunc('week', {col}) AS week, count(*) AS {name} FROM {table} WHERE {col} IS NOT NULL GROUP BY 1", **kw)
+
+
+ALLOC_COLS = ["sheet", "budget_dimension", "budget_name", "normalized_budget_name", "source", "planned_budget", "budget_metric", "_row"]
+TERM_COLS = ["sheet", "budget_dimension", "budget_name", "source", "raw_term", "term", "term_label", "term_metric", "term_value",
+             "term_budget", "planned_budget", "_row", "_col"]
+
+
+def _udr_budget_sql(selected: bool) -> list[str]:
+    names = f"lower({O.txt('budget_name')}) NOT IN ('total', 'starts', 'start%')"
+    sel = " AND term IN ('SU2')" if selected else ""
+    bym = f"""bym AS (SELECT budget_name, {O.money_sum("CASE WHEN lower(coalesce(term_metric, '')) = 'actual' THEN coalesce(term_value, 0.0) END")} AS budget_sheet_actual,
+        {O.money_sum("CASE WHEN lower(coalesce(term_metric, '')) = 'goal' THEN coalesce(term_value, 0.0) END")} AS term_goal
+      FROM term_allocations WHERE {names}{sel} AND lower(coalesce(term_metric, '')) IN ('actual', 'goal') GROUP BY 1)"""
+    if selected:
+        merged = "merged AS (SELECT budget_name, term_goal AS budget_goal, budget_sheet_actual FROM bym)"
+    else:
+        merged = f"""merged AS (SELECT coalesce(a.budget_name, b.budget_name) AS budget_name, coalesce(a.budget_goal, 0.0) AS budget_goal,
+            coalesce(b.budget_sheet_actual, 0.0) AS budget_sheet_actual
+          FROM (SELECT budget_name, {O.money_sum('planned_budget')} AS budget_goal FROM allocations GROUP BY 1) a
+          FULL OUTER JOIN bym b ON a.budget_name = b.budget_name)"""
+    bs = f"""bsum AS (SELECT {U.udr_key_sql('budget_name')} AS _udr_key, min({O.txt('budget_name')}) AS budget_udr,
+        {O.money_sum('budget_goal')} AS budget_goal, {O.money_sum('budget_sheet_actual')} AS budget_sheet_actual FROM merged GROUP BY 1)"""
+    return [bym, merged, bs]
+
+
+def sql_udr_budget_summary(selected: bool = False):
+    return _usql(f"""SELECT _udr_key, budget_udr, budget_goal, budget_sheet_actual,
+        greatest(budget_goal - budget_sheet_actual, 0.0) AS budget_remaining, {O.safe_div('budget_sheet_actual', 'budget_goal')} AS budget_pct_goal
+      FROM bsum""", _udr_budget_sql(selected), grid=True)
+
+
+def sql_roundup_term_stats():
+    names = f"lower({O.txt('budget_name')})"
+    m = "lower(coalesce(term_metric, ''))"
+    s = lambda cond: f"(CASE WHEN count(CASE WHEN {cond} THEN term_value END) > 0 THEN sum(CASE WHEN {cond} THEN term_value END) END)"
+    named = f"{names} NOT IN ('total', 'starts', 'start%')"
+    return _usql(f"""SELECT goal, actual, starts, CASE WHEN starts IS NOT NULL AND coalesce(actual <> 0, false) THEN starts / actual ELSE rate END AS start_rate
+      FROM (SELECT coalesce(gt, gn) AS goal, coalesce(a_t, an) AS actual, starts, rate FROM (SELECT
+        {s(f"{names} = 'total' AND {m} = 'goal'")} AS gt, {s(f"{names} = 'total' AND {m} = 'actual'")} AS a_t,
+        {s(f"{m} = 'starts'")} AS starts, {s(f"{named} AND {m} = 'goal'")} AS gn, {s(f"{named} AND {m} = 'actual'")} AS an,
+        avg(CASE WHEN {m} = 'start_rate' THEN term_value END) AS rate FROM term_allocations WHERE term IN ('SU2')))""", grid=True)
+
+
+def sql_udr_performance():
+    lab = f"CASE WHEN {O.txt('contact_owner')} = '' THEN 'Unmapped' ELSE {O.txt('contact_owner')} END"
+    lp0 = f"lp0 AS (SELECT {U.lead_perf_cols('contact_owner')} FROM (SELECT {lab} AS contact_owner, {U.lead_metric_select([])} FROM leads_f GROUP BY 1))"
+    lp = f"""lp AS (SELECT {U.udr_key_sql('contact_owner')} AS _udr_key, min({O.txt('contact_owner')}) AS lead_udr,
+        sum(leads) AS leads, sum(contacted_progressed) AS contacted_progressed, sum(applicants) AS applicants,
+        sum(crm_enrolled) AS crm_enrolled, sum(bad_leads) AS bad_leads, sum(uncontacted_leads) AS uncontacted_leads,
+        max(l2c) AS l2c, max(l2a) AS l2a, max(l2e) AS l2e, max(bad_lead_rate) AS bad_lead_rate FROM lp0 GROUP BY 1)"""
+    lab2 = f"CASE WHEN {O.txt('udr')} = '' THEN 'Missing' ELSE {O.txt('udr')} END"
+    ep0 = f"""ep0 AS (SELECT {lab2} AS udr, count(student) AS actual_enrollments, {O.money_sum('revenue')} AS revenue,
+        {_avg_exact_sql('days_to_enroll')} AS average_days_to_enroll FROM enr GROUP BY 1)"""
+    ep = f"""ep AS (SELECT {U.udr_key_sql('udr')} AS _udr_key, min({O.txt('udr')}) AS tracker_udr, sum(actual_enrollments) AS actual_enrollments,
+        {O.money_sum('revenue')} AS revenue, max(average_days_to_enroll) AS average_days_to_enroll FROM ep0 GROUP BY 1)"""
+    bp = f"""bp AS (SELECT _udr_key, budget_udr, budget_goal, budget_sheet_actual, greatest(budget_goal - budget_sheet_actual, 0.0) AS budget_remaining,
+        {O.safe_div('budget_sheet_actual', 'budget_goal')} AS budget_pct_goal FROM bsum)"""
+    z = lambda c: f"coalesce(CAST({c} AS DOUBLE), 0.0)"
+    nums = ["budget_goal", "budget_sheet_actual", "budget_pct_goal", "actual_enrollments", "budget_remaining", "leads",
+            "contacted_progressed", "applicants", "crm_enrolled", "bad_leads", "l2c", "l2a", "l2e", "bad_lead_rate", "revenue",
+            "average_days_to_enroll"]
+    udr = ("coalesce(" + ", ".join(f"nullif({O.txt(c)}, '')" for c in ["budget_udr", "tracker_udr", "lead_udr"]) + ", 'Unassigned')")
+    sel = ", ".join([f"{udr} AS udr"] + [f"{z(c)} AS {c}" for c in nums]
+                    + [f"{O.safe_div(z('actual_enrollments'), z('budget_goal'))} AS tracker_vs_budget_goal"])
+    return _usql(f"""SELECT _udr_key, {sel} FROM (SELECT coalesce(lp._udr_key, ep._udr_key, bp._udr_key) AS _udr_key, * EXCLUDE (_udr_key)
+        FROM lp FULL OUTER JOIN ep ON lp._udr_key = ep._udr_key FULL OUTER JOIN bp ON coalesce(lp._udr_key, ep._udr_key) = bp._udr_key)""",
+                 _udr_budget_sql(False) + [lp0, lp, ep0, ep, bp], leads=True, enr=True, grid=True)
+
+
+def sql_budget_performance():
+    total = f"(SELECT coalesce(sum(numeric_value), 0.0) FROM summary WHERE lower({O.txt('metric')}) = 'budget')"
+    appl = f"(SELECT {U.identity_sql('is_applicant')} FROM leads_f)"
+    return _usql(f"""SELECT {total} AS total_budget, actual_enrollments, {O.safe_div('actual_enrollments', total)} AS budget_variance,
+        {O.safe_div(total, '(SELECT count(*) FROM leads_f)')} AS cost_per_lead, {O.safe_div(total, appl)} AS cost_per_applicant,
+        {O.safe_div(total, 'actual_enrollments')} AS cost_per_enrollment FROM (SELECT count(*) AS actual_enrollments FROM enr)""",
+                 leads=True, enr=True, grid=True)
+
+
+def sql_source_performance():
+    lab = f"CASE WHEN {O.txt('normalized_source')} = '' THEN 'Unmapped' ELSE {O.txt('normalized_source')} END"
+    lab2 = f"CASE WHEN {O.txt('normalized_source')} = '' THEN 'Missing' ELSE {O.txt('normalized_source')} END"
+    lp = f"lp AS (SELECT {U.lead_perf_cols('normalized_source')} FROM (SELECT {lab} AS normalized_source, {U.lead_metric_select([])} FROM leads_f GROUP BY 1))"
+    ep = f"""ep AS (SELECT {lab2} AS normalized_source, count(student) AS actual_enrollments, {O.money_sum('revenue')} AS revenue,
+        {_avg_exact_sql('days_to_enroll')} AS average_days_to_enroll FROM enr GROUP BY 1)"""
+    bp = f"bp AS (SELECT source AS normalized_source, {O.money_sum('planned_budget')} AS planned_budget FROM allocations GROUP BY 1)"
+    z = lambda c: f"coalesce(CAST({c} AS DOUBLE), 0.0)"
+    return _usql(f"""SELECT normalized_source, {z('leads')} AS leads, paid_leads, organic_leads, contacted_progressed, {z('applicants')} AS applicants,
+        crm_enrolled, bad_leads, uncontacted_leads, l2c, l2a, l2e, bad_lead_rate, {z('actual_enrollments')} AS actual_enrollments,
+        {z('revenue')} AS revenue, average_days_to_enroll, {z('planned_budget')} AS planned_budget,
+        {O.safe_div(z('planned_budget'), z('leads'))} AS cost_per_lead, {O.safe_div(z('planned_budget'), z('applicants'))} AS cost_per_applicant,
+        {O.safe_div(z('planned_budget'), z('actual_enrollments'))} AS cost_per_enrollment
+      FROM (SELECT coalesce(lp.normalized_source, ep.normalized_source, bp.normalized_source) AS normalized_source, * EXCLUDE (normalized_source)
+        FROM lp FULL OUTER JOIN ep ON lp.normalized_source = ep.normalized_source
+        FULL OUTER JOIN bp ON coalesce(lp.normalized_source, ep.normalized_source) = bp.normalized_source)""",
+                 [lp, ep, bp], leads=True, enr=True, grid=True)
+
+
+QUERIES.update({
+    "lead_summary": lambda s, d: _E.lead_summary(_leads(s, d)),
+    "lead_performance_by": lambda s, d: _E.lead_performance_by(_leads(s, d), "normalized_source"),
+    "enrollment_summary": lambda s, d: _E.enrollment_summary(_enr(s, d), _B.roundup_value(_grid(s, d)[0], "Budget"),
+                                                             _B.roundup_value(_grid(s, d)[0], "Starts")),
+    "enrollment_by": lambda s, d: _E.enrollment_by(_enr(s, d), "udr"),
+    "program_mix": lambda s, d: _E.program_mix(_enr(s, d)),
+    "funnel_counts": lambda s, d: _E.funnel_counts(_leads(s, d), _enr(s, d).agg(F.count(F.lit(1))).scalar()),
+    "weekly_counts": lambda s, d: _E.weekly_counts(_enr(s, d), "enrolled_date", "enrollments"),
+    "weekly_leads": lambda s, d: _E.weekly_counts(_leads(s, d), "create_date", "leads"),
+    "budget_summary_rows": lambda s, d: _grid(s, d)[0],
+    "budget_allocations": lambda s, d: _grid(s, d)[1],
+    "budget_term_allocations": lambda s, d: _grid(s, d)[2],
+    "udr_budget_summary": lambda s, d: _B.udr_budget_summary(_grid(s, d)[2], _grid(s, d)[1]),
+    "udr_budget_summary_term": lambda s, d: _B.udr_budget_summary(_grid(s, d)[2], _grid(s, d)[1], SELECTED_TERMS),
+    "roundup_term_stats": lambda s, d: _B.roundup_term_stats(_grid(s, d)[2], SELECTED_TERMS),
+    "udr_performance": lambda s, d: _B.udr_performance(_leads(s, d), _enr(s, d), _grid(s, d)[2], _grid(s, d)[1]),
+    "budget_performance": lambda s, d: _B.budget_performance(_leads(s, d), _enr(s, d), _grid(s, d)[0]),
+    "source_performance": lambda s, d: _E.source_performance(_leads(s, d), _enr(s, d), _grid(s, d)[1]),
+})
+ORACLE.update({
+    "lead_summary": sql_lead_summary,
+    "lead_performance_by": lambda: sql_lead_performance_by("normalized_source"),
+    "enrollment_summary": sql_enrollment_summary,
+    "enrollment_by": lambda: sql_enrollment_by("udr"),
+    "program_mix": sql_program_mix,
+    "funnel_counts": sql_funnel,
+    "weekly_counts": lambda: sql_weekly("enr", "enrolled_date", "enrollments", enr=True),
+    "weekly_leads": lambda: sql_weekly("leads_f", "create_date", "leads", leads=True),
+    "budget_summary_rows": lambda: _usql("SELECT sheet, _seq, metric, value, numeric_value FROM summary", grid=True),
+    "budget_allocations": lambda: _usql("SELECT " + ", ".join(ALLOC_COLS) + " FROM allocations", grid=True),
+    "budget_term_allocations": lambda: _usql("SELECT " + ", ".join(TERM_COLS) + " FROM term_allocations", grid=True),
+    "udr_budget_summary": lambda: sql_udr_budget_summary(False),
+    "udr_budget_summary_term": lambda: sql_udr_budget_summary(True),
+    "roundup_term_stats": sql_roundup_term_stats,
+    "udr_performance": sql_udr_performance,
+    "budget_performance": sql_budget_performance,
+    "source_performance": sql_source_performance,
+})

@@ -28,6 +28,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    builder = builder.config("spark.driver.memory", os.environ.get("FUNNELSPARK_DRIVER_MEMORY", "8g"))
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -191,37 +191,36 @@ TERM_BY_QUARTER = ["SP1", "SP2", "SU1", "SU2"]
 
 
 def enrollments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enrollment ledger rows: lineitem joined to its order, part and supplier.
-
-    Joins are on the order / part / supplier keys; part and supplier are dimension tables and
-    AQE picks broadcast for them only when their measured size is under the threshold.
-    """
+    """Enrollment ledger rows: lineitem joined to its order, part, supplier and the supplier's
+    nation (the admissions owner).  Dimension joins are left to AQE / the broadcast threshold,
+    which only broadcasts a side whose measured size is under the limit."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag",
         "l_linestatus", "l_shipdate")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
          .join(p, li.l_partkey == p.p_partkey)
-         .join(s, li.l_suppkey == s.s_suppkey))
+         .join(s, li.l_suppkey == s.s_suppkey)
+         .join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left"))
     ok = F.col("l_orderkey")
-    quarter = F.quarter(F.col("l_shipdate").cast("timestamp"))
-    term = _cycle(quarter - 1, TERM_BY_QUARTER)
+    ship = F.col("l_shipdate").cast("timestamp")
     return j.select(
         F.concat(ok.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("row_key"),
         F.when(ok % 40 == 0, F.lit("")).otherwise(
             F.concat(F.lit("S"), ok.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))).alias("student"),
-        F.col("s_name").alias("udr"),
+        F.col("n_name").alias("udr"),
         F.col("p_type").alias("program"),
         F.col("l_returnflag").alias("modality"),
-        F.col("l_shipdate").cast("timestamp").alias("enrolled_date"),
+        ship.alias("enrolled_date"),
         F.when(F.col("l_linenumber") % 2 == 0, F.lit("New")).otherwise(F.lit("Returning")).alias("student_type"),
-        F.when(ok % 3 == 0, F.lit("Title IV")).otherwise(F.lit("Self Pay")).alias("payment_funding"),
+        F.when(ok % 3 == 0, F.lit("Title IV")).when(ok % 3 == 1, F.lit("Self Pay")).otherwise(F.lit("")).alias("payment_funding"),
         F.col("l_linestatus").alias("new_roll"),
-        term.alias("term"),
+        F.date_trunc("quarter", ship).alias("term"),
         F.when(F.col("l_partkey") % 30 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("source"),
-        F.floor((F.unix_seconds(F.col("l_shipdate")) - F.unix_seconds(F.col("o_orderdate").cast("timestamp"))) / DAY_SECS).cast("long").alias("days_to_enroll"),
+        F.floor((F.unix_seconds(ship) - F.unix_seconds(F.col("o_orderdate").cast("timestamp"))) / DAY_SECS).cast("long").alias("days_to_enroll"),
         F.col("l_extendedprice").alias("revenue"),
     )
 
@@ -264,3 +263,71 @@ def vendor_costs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_acctbal").cast("string").alias("spend"),
         F.lit("").alias("notes"),
     )
+
+
+# ---- budget grid (cells) -----------------------------------------------------------------------
+
+# FIXED VALUES (view): term column headings of the budget grid, in column order (term index, metric).
+BUDGET_TERM_HEADERS = [
+    ("SP-1 A", 1, "a"), ("SP1-G", 1, "g"), ("SP2-A", 2, "a"), ("SP2-G", 2, "g"),
+    ("SU1-A", 3, "a"), ("SU1-G", 3, "g"), ("SU2 -A", 4, "a"), ("SU2- G", 4, "g"),
+    ("FA1- A", 5, "a"), ("FA1 -G", 5, "g"), ("FA2 -A", 6, "a"), ("FA2 -G", 6, "g"),
+]
+BUDGET_SHEET = "Budget"
+FIRST_TERM_COL = 3
+
+
+def _num_text(c: Column) -> Column:
+    return c.cast("long").cast("string")
+
+
+def budget_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budget workbook as cells (sheet, row, col, value): a header row, one row per nation
+    (admissions owner), Total / Starts / Start% rows, a row past the stop row, then the summary
+    block (Budget, Enrolled, Starts, Start%, a blank Budget and a second Budget).  Goals and
+    actuals come from the nation key; totals are Spark aggregates over those rows."""
+    nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    k = F.col("n_nationkey")
+    n_rows = nat.agg(F.max("n_nationkey") + 1).scalar()
+    name = F.when(k % 5 == 0, F.concat(F.lit("UDR "), F.lpad(k.cast("string"), 2, "0"))).otherwise(F.col("n_name"))
+    goal = {t: k * 3 + t for t in range(1, 7)}
+    actual = {t: (k * 2 + (t % 5)) if t <= 4 else F.lit(None).cast("long") for t in range(1, 7)}
+    total = F.when(k % 8 == 7, F.lit(None).cast("long")).otherwise(k * 18 + 21)
+    per_nation = nat.select(
+        (k + 1).alias("row"), name.alias("name"), total.alias("total"),
+        *[(actual[t] if m == "a" else goal[t]).alias(f"t{i}") for i, (_, t, m) in enumerate(BUDGET_TERM_HEADERS)])
+    name_cells = per_nation.select("row", F.explode(F.array(
+        F.struct(F.lit(1).alias("col"), F.col("name").alias("value")),
+        F.struct(F.lit(2).alias("col"), F.coalesce(_num_text(F.col("total")), F.lit("")).alias("value")),
+        *[F.struct(F.lit(FIRST_TERM_COL + i).alias("col"), F.coalesce(_num_text(F.col(f"t{i}")), F.lit("")).alias("value"))
+          for i in range(len(BUDGET_TERM_HEADERS))])).alias("c")).select("row", "c.col", "c.value")
+    sums = per_nation.agg(F.sum("total").alias("total"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(len(BUDGET_TERM_HEADERS))])
+    a_idx = [i for i, (_, _, m) in enumerate(BUDGET_TERM_HEADERS) if m == "a"]
+    starts = {i: F.floor(F.col(f"t{i}") * 0.7) for i in a_idx}
+    rate = {i: F.round(F.try_divide(F.floor(F.col(f"t{i}") * 0.7), F.col(f"t{i}")), 4).cast("decimal(10,4)").cast("string") for i in a_idx}
+    all_actual = sum(F.coalesce(F.col(f"t{i}"), F.lit(0)) for i in a_idx)
+    all_starts = sum(F.coalesce(starts[i], F.lit(0)) for i in a_idx)
+    first_goals = F.col("t1") + F.col("t3")
+    base_row = n_rows + 1
+    fixed: list[tuple[Column, int, Column]] = [(F.lit(0), 1, F.lit("UDR")), (F.lit(0), 2, F.lit("Budget"))]
+    fixed += [(F.lit(0), FIRST_TERM_COL + i, F.lit(h)) for i, (h, _, _) in enumerate(BUDGET_TERM_HEADERS)]
+    fixed += [(base_row, 1, F.lit("Total")), (base_row, 2, _num_text(F.col("total")))]
+    fixed += [(base_row, FIRST_TERM_COL + i, F.coalesce(_num_text(F.col(f"t{i}")), F.lit(""))) for i in range(len(BUDGET_TERM_HEADERS))]
+    fixed += [(base_row + 1, 1, F.lit("Starts")), (base_row + 1, 2, F.lit(""))]
+    fixed += [(base_row + 1, FIRST_TERM_COL + i, F.coalesce(_num_text(starts[i]), F.lit(""))) for i in a_idx]
+    fixed += [(base_row + 2, 1, F.lit("Start%")), (base_row + 2, 2, F.lit(""))]
+    fixed += [(base_row + 2, FIRST_TERM_COL + i, F.coalesce(rate[i], F.lit(""))) for i in a_idx]
+    fixed += [(base_row + 3, 1, F.lit("After stop")), (base_row + 3, 2, F.lit("5"))]
+    summary = [
+        (5, "Budget", _num_text(F.col("total"))), (6, "Enrolled", _num_text(all_actual)), (7, "Starts", _num_text(all_starts)),
+        (8, "Start%", F.round(F.try_divide(all_starts, all_actual), 4).cast("decimal(10,4)").cast("string")),
+        (9, "Budget", F.lit("")), (10, "Budget", _num_text(first_goals)),
+    ]
+    for off, label, v in summary:
+        fixed += [(base_row + off, 1, F.lit(label)), (base_row + off, 2, v)]
+    fixed_cells = sums.select(F.explode(F.array(*[
+        F.struct(r.cast("long").alias("row"), F.lit(c).alias("col"), v.cast("string").alias("value")) for r, c, v in fixed
+    ])).alias("c")).select("c.row", "c.col", "c.value")
+    out = name_cells.unionByName(fixed_cells)
+    return out.select(F.lit(BUDGET_SHEET).alias("sheet"), F.col("row").cast("int").alias("row"),
+                      F.col("col").cast("int").alias("col"), F.col("value").cast("string").alias("value"))
