@@ -90,28 +90,62 @@ def detect_vendor(cols: Sequence[str], aliases=None) -> Column:
     return F.coalesce(*high, *medium, low)
 
 
-def add_source_classification(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """source_text, paid_lead_flag, source_group, vendor, vendor_confidence, vendor_source_field, paid_vendor."""
+def add_source_classification(df: DataFrame, cols: Sequence[str] | None = None, aliases=None) -> DataFrame:
+    """source_text, paid_lead_flag, source_group, vendor, vendor_confidence, vendor_source_field, paid_vendor.
+
+    Each source column's cleaned text and first '|' part are staged once as columns, so the
+    alias rules and the fallback run over column references, not re-derived text."""
+    aliases = R.VENDOR_ALIASES if aliases is None else aliases
     cols = vendor_source_columns(df.columns) if cols is None else [c for c in cols if c in df.columns]
     out = df.withColumn("source_text", source_text(cols))
+    staged = {f"__vt{i}": clean_text(F.col(c)) for i, c in enumerate(cols)}
+    staged["__sg"] = F.lower(strip_ws(F.coalesce(F.col("source_text"), F.lit(""))))
+    out = out.withColumns(staged)
+    out = out.withColumns({f"__vl{i}": F.lower(F.col(f"__vt{i}")) for i in range(len(cols))})
+    out = out.withColumns({f"__vp{i}": first_pipe_part(F.col(f"__vt{i}")) for i in range(len(cols))})
+    out = out.withColumns({f"__va{i}": F.when(F.col(f"__vt{i}") != "", _alias_vendor(F.col(f"__vl{i}"), aliases))
+                           for i in range(len(cols))})
+    high_v = F.coalesce(*[F.col(f"__va{i}") for i in range(len(cols))]) if cols else F.lit(None).cast("string")
+    med_v = F.coalesce(*[F.col(f"__vp{i}") for i in range(len(cols))]) if cols else F.lit(None).cast("string")
+    high_f = None
+    med_f = None
+    for i, c in enumerate(cols):
+        high_f = (F.when(F.col(f"__va{i}").isNotNull(), F.lit(c)) if high_f is None
+                  else high_f.when(F.col(f"__va{i}").isNotNull(), F.lit(c)))
+        med_f = (F.when(F.col(f"__vp{i}").isNotNull(), F.lit(c)) if med_f is None
+                 else med_f.when(F.col(f"__vp{i}").isNotNull(), F.lit(c)))
+    out = out.withColumns({"__hv": high_v, "__mv": med_v,
+                           "__hf": high_f if high_f is not None else F.lit(None).cast("string"),
+                           "__mf": med_f if med_f is not None else F.lit(None).cast("string")})
+    sg = F.col("__sg")
     out = out.withColumns({
-        "paid_lead_flag": paid_lead_flag(F.col("source_text")),
-        "source_group": source_group(F.col("source_text")),
-        "__vendor": detect_vendor(cols),
+        "paid_lead_flag": contains_any(sg, R.PAID_TERMS),
+        "source_group": _source_group_lower(sg),
+        "vendor": F.coalesce(F.col("__hv"), F.col("__mv"), F.lit("Unknown")),
+        "vendor_confidence": F.when(F.col("__hv").isNotNull(), "High").when(F.col("__mv").isNotNull(), "Medium").otherwise("Low"),
+        "vendor_source_field": F.coalesce(F.col("__hf"), F.col("__mf"), F.lit("")),
     })
-    return out.withColumns({
-        "vendor": F.col("__vendor.vendor"),
-        "vendor_confidence": F.col("__vendor.confidence"),
-        "vendor_source_field": F.col("__vendor.field"),
-        "paid_vendor": F.col("__vendor.vendor"),
-    }).drop("__vendor")
+    out = out.withColumn("paid_vendor", F.col("vendor"))
+    drop = [f"__{k}{i}" for i in range(len(cols)) for k in ("vt", "vl", "vp", "va")] + ["__sg", "__hv", "__mv", "__hf", "__mf"]
+    return out.drop(*drop)
+
+
+def _source_group_lower(t: Column) -> Column:
+    return (
+        F.when(t == "", "Unknown")
+        .when(contains_any(t, R.PAID_SOCIAL_TERMS), "Paid Social")
+        .when(contains_any(t, R.PAID_SEARCH_TERMS), "Paid Search")
+        .when(contains_any(t, ["organic", "seo"]), "Organic Search")
+        .when(contains_any(t, ["referral", "refer"]), "Referral")
+        .when(contains_any(t, ["email", "newsletter"]), "Email")
+        .when(t.contains("direct"), "Direct")
+        .otherwise("Other")
+    )
 
 
 # ---- uploaded-lead source mapping (modules flavour, T1 "collapse") ----------------------------
 
-def normalize_source_value(c: Column) -> Column:
-    """Clean text; blank/(blank)/nan/none -> Unmapped; alias table; else the cleaned text."""
-    text = clean_text(c, "collapse")
+def _alias_case(text: Column) -> Column:
     low = F.lower(text)
     out = F.when(text == "", F.lit(R.UNKNOWN_SOURCE))
     for key, value in R.SOURCE_ALIASES:
@@ -119,12 +153,25 @@ def normalize_source_value(c: Column) -> Column:
     return out.otherwise(text)
 
 
-def normalized_source(df: DataFrame, fields=None) -> Column:
+def normalize_source_value(c: Column) -> Column:
+    """Clean text; blank/(blank)/nan/none -> Unmapped; alias table; else the cleaned text."""
+    return _alias_case(clean_text(c, "collapse"))
+
+
+def with_normalized_source_value(df: DataFrame, src: Column, out: str) -> DataFrame:
+    """``normalize_source_value`` with the cleaned text staged once as a column."""
+    return df.withColumn("__nsv", clean_text(src, "collapse")).withColumn(out, _alias_case(F.col("__nsv"))).drop("__nsv")
+
+
+def _first_source(df: DataFrame, fields=None) -> Column:
     fields = R.SOURCE_PRIORITY if fields is None else fields
     present = [f for f in fields if f in df.columns]
     cleaned = [F.nullif(clean_text(F.col(f), "collapse"), F.lit("")) for f in present]
-    first = F.coalesce(*cleaned, F.lit("")) if cleaned else F.lit("")
-    return normalize_source_value(first)
+    return F.coalesce(*cleaned, F.lit("")) if cleaned else F.lit("")
+
+
+def normalized_source(df: DataFrame, fields=None) -> Column:
+    return normalize_source_value(_first_source(df, fields))
 
 
 def lead_type(df: DataFrame, source_col: Column | None = None) -> Column:
@@ -143,8 +190,10 @@ def lead_type(df: DataFrame, source_col: Column | None = None) -> Column:
 
 
 def add_source_columns(df: DataFrame) -> DataFrame:
-    out = df.withColumn("normalized_source", normalized_source(df))
-    return out.withColumn("lead_type", lead_type(df, F.col("normalized_source")))
+    out = df.withColumn("__first_src", _first_source(df))
+    out = with_normalized_source_value(out, F.col("__first_src"), "normalized_source").drop("__first_src")
+    out = out.withColumn("__src_low", F.lower(F.col("normalized_source")))
+    return out.withColumn("lead_type", lead_type(df, F.col("__src_low"))).drop("__src_low")
 
 
 def source_set(df: DataFrame, column: str = "normalized_source") -> DataFrame:

@@ -16,6 +16,8 @@ STATUS_FIELDS = ["lifecycle_stage", "lead_status", "deal_stage", "latest_deal_st
 
 def status_text(df: DataFrame) -> Column:
     """Non-blank lifecycle, lead status, deal stage and latest stage joined with ' | '."""
+    if "__status_text" in df.columns:
+        return F.col("__status_text")
     parts = [F.when(strip_ws(as_text(F.col(c))) != "", as_text(F.col(c))) for c in STATUS_FIELDS if c in df.columns]
     return F.concat_ws(" | ", *parts) if parts else F.lit("")
 
@@ -104,10 +106,11 @@ def score_leads(df: DataFrame, today) -> DataFrame:
         df = df.withColumn("has_open_deal", F.lit(False))
     out = lead_ages(df, today)
     out = out.withColumn("has_open_deal", as_bool(F.col("has_open_deal")))
+    out = out.withColumn("__status_text", status_text(out))
     out = out.withColumn("lead_score", lead_score(out))
     out = out.withColumn("dead_reason", dead_reason(out))
     out = out.withColumn("lead_temperature", lead_temperature(out))
     return out.withColumns({
         "reviveable_flag": reviveable_flag(out),
         "archive_remove_flag": archive_remove_flag(out),
-    })
+    }).drop("__status_text")

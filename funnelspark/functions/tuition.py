@@ -72,13 +72,33 @@ def tuition_struct(program: Column, explicit_level: Column | None = None) -> Col
 
 def add_program_tuition_fields(df: DataFrame, program_col: str = "program", degree_col: str = "degree_level") -> DataFrame:
     """Adds the 11 tuition columns; an explicit level is honoured only when revenue_confidence is
-    absent or 'High' (second pass on the fact)."""
+    absent or 'High' (second pass on the fact).  Intermediate texts are staged as columns so the
+    ordered rules are evaluated once per row, not once per looked-up field."""
     program = F.col(program_col) if program_col in df.columns else F.lit(None).cast("string")
     explicit = F.col(degree_col) if degree_col in df.columns else F.lit(None).cast("string")
     if "revenue_confidence" in df.columns:
         explicit = F.when(F.coalesce(as_text(F.col("revenue_confidence")), F.lit("")) == "High", explicit)
-    out = df.withColumn("__t", tuition_struct(program, explicit))
-    return out.withColumns({name: F.col(f"__t.{name}") for name in TUITION_FIELDS}).drop("__t")
+    out = df.withColumns({"__ex_txt": explicit.cast("string"), "__pg_txt": program.cast("string")})
+    out = out.withColumns({"__explicit": degree_level(F.col("__ex_txt")), "__inferred": degree_level(F.col("__pg_txt"))})
+    out = out.withColumn("__level", F.coalesce(F.col("__explicit"), F.col("__inferred")))
+    level = F.col("__level")
+    matched = level.isNotNull()
+    confidence = F.when(F.col("__explicit").isNotNull(), "High").when(F.col("__inferred").isNotNull(), "Medium").otherwise("Low")
+    out = out.withColumns({
+        "degree_level": level,
+        "program_degree_level": level,
+        "tuition_per_credit": _lookup(level, 1, "double"),
+        "credits_required": _lookup(level, 2, "double"),
+        "estimated_total_tuition": _lookup(level, 3, "double"),
+        "estimated_annual_tuition": _lookup(level, 4, "double"),
+        "program_duration_years": _lookup(level, 5, "double"),
+        "program_duration_months": _lookup(level, 6, "double"),
+        "duration_note": F.when(matched, _lookup(level, 7, "string"))
+        .otherwise("Program missing or not matched to a configured degree level."),
+        "tuition_estimate_source": F.when(matched, F.lit(R.TUITION_SOURCE_LABEL)).otherwise("unmatched_program"),
+        "revenue_confidence": confidence,
+    })
+    return out.drop("__ex_txt", "__pg_txt", "__explicit", "__inferred", "__level")
 
 
 def _per(total: Column, divisor: Column) -> Column:

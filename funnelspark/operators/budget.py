@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.classify import normalize_source_value
+from ..functions.classify import normalize_source_value, with_normalized_source_value
 from ..functions.expr import clean_text, safe_div, strip_ws, sum_money
 
 SPECIAL_LABELS = [("total", "Total"), ("starts", "Starts"), ("start%", "Start%")]
@@ -173,7 +173,8 @@ def budget_term_allocations(cells: DataFrame, dimension: str = "UDR allocation")
     named_ok = (F.col("label") != "") & ~(F.col("total").isNull() & (F.col("__n_terms") == 0))
     metric = (F.when(low == "total", F.col("meta.term_metric")).when(low == "starts", F.lit("starts"))
               .when(low == "start%", F.lit("start_rate")).otherwise(F.col("meta.term_metric")))
-    normalized = normalize_source_value(F.col("label"))
+    j = with_normalized_source_value(j, F.col("label"), "__norm")
+    normalized = F.col("__norm")
     planned = F.when(special, F.coalesce(F.col("total"), F.lit(0.0))).otherwise(
         F.coalesce(F.col("total"), F.coalesce(F.col("__goal_sum"), F.lit(0.0))))
     out = j.where(F.col("term_value").isNotNull() & (special | named_ok)).select(
@@ -194,7 +195,8 @@ def budget_allocations(cells: DataFrame, dimension: str = "UDR allocation") -> D
     low = F.lower(F.col("label"))
     keep = (F.col("label") != "") & ~low.isin(*[k for k, _ in SPECIAL_LABELS]) & F.col("total").isNotNull() & \
         (F.col("stop_row").isNull() | (F.col("row") < F.col("stop_row")))
-    norm = normalize_source_value(F.col("label"))
+    rows = with_normalized_source_value(rows, F.col("label"), "__norm")
+    norm = F.col("__norm")
     return rows.where(keep).select("sheet", F.lit(dimension).alias("budget_dimension"), F.col("label").alias("budget_name"),
                                    norm.alias("normalized_budget_name"), norm.alias("source"),
                                    F.col("total").alias("planned_budget"), F.lit("goal").alias("budget_metric"),

@@ -21,18 +21,20 @@ from ..sources import crm_view
 _CACHE: dict[tuple, dict[str, DataFrame]] = {}
 
 
-def process_crm(raw: dict[str, DataFrame], today, mapping=None) -> dict[str, DataFrame]:
+def process_crm(raw: dict[str, DataFrame], today, mapping=None, materialize=None) -> dict[str, DataFrame]:
+    """The full DAG.  ``materialize`` (e.g. ``cut_lineage``) is applied at stage boundaries so each
+    stage is planned over a short lineage and no stage is recomputed by the next one."""
     mapping = R.DEFAULT_MAPPING if mapping is None else mapping
+    cut = materialize or (lambda df: df)
     owners = raw["owners"]
+    deals = cut(deals_clean(raw["deals"], mapping))
+    links = cut(association_links(raw["associations"]))
     base = contacts_base(raw["contacts"], owners, mapping)
-    deals = deals_clean(raw["deals"], mapping)
-    links = association_links(raw["associations"])
-    contacts = build_contacts_clean(base, deals, links, owners, today)
-    fact = lead_deal_fact(contacts, deals, links, owners)
-    events = activity_events(raw["activities"], owners) if "activities" in raw else None
+    contacts = cut(build_contacts_clean(base, deals, links, owners, today))
+    fact = cut(lead_deal_fact(contacts, deals, links, owners))
     out = {"contacts_clean": contacts, "deals_clean": deals, "lead_deal_fact": fact, "links": links, "owners": owners}
-    if events is not None:
-        out["activity_events"] = events
+    if "activities" in raw:
+        out["activity_events"] = cut(activity_events(raw["activities"], owners))
     return out
 
 
@@ -41,9 +43,7 @@ def silver(spark: SparkSession, sf_dir: str, materialize: bool = True) -> dict[s
     key = (id(spark), sf_dir, materialize)
     if key in _CACHE:
         return _CACHE[key]
-    tables = process_crm(crm_view.raw_crm(spark, sf_dir), crm_view.TODAY)
-    if materialize:
-        tables = {name: cut_lineage(df) for name, df in tables.items()}
+    tables = process_crm(crm_view.raw_crm(spark, sf_dir), crm_view.TODAY, materialize=cut_lineage if materialize else None)
     _CACHE[key] = tables
     return tables
 
