@@ -208,3 +208,113 @@ DEFAULT_MAPPING = {
         "deal_amount": "amount",
     },
 }
+
+# --- FIXED VALUES: field profiling preferred candidates (logical field -> physical names) ----------
+DASHBOARD_FIELDS = {
+    "contact": {
+        "contact_id": ["hs_object_id"],
+        "contact_created_at": ["createdate"],
+        "contact_owner_id": ["hubspot_owner_id"],
+        "first_name": ["firstname", "first_name"],
+        "last_name": ["lastname", "last_name"],
+        "full_name": ["hs_full_name_or_email", "fullname", "full_name", "name"],
+        "email": ["email"],
+        "phone": ["phone", "mobilephone"],
+        "lifecycle_stage": ["lifecyclestage"],
+        "lead_status": ["hs_lead_status"],
+        "final_lead_status": ["final_lead_status"],
+        "original_source": ["hs_analytics_source"],
+        "latest_source": ["hs_latest_source"],
+        "source": ["source", "hs_analytics_source", "hs_latest_source"],
+        "source_detail": ["hs_analytics_source_data_1", "hs_analytics_source_data_2", "hs_latest_source_data_1",
+                          "hs_latest_source_data_2"],
+        "utm_source": ["utm_source"],
+        "utm_medium": ["utm_medium"],
+        "utm_campaign": ["utm_campaign"],
+        "campaign": ["utm_campaign", "campaign", "campaigns", "hs_analytics_source_data_2"],
+        "vendor": ["vendor", "partner", "agency", "referral_partner", "paid_lead_vendor", "paid_lead_list"],
+        "program": ["program", "program_of_interest", "degree_program", "academic_program"],
+        "degree_level": ["degree_level", "desired_degree_level"],
+        "degree_program": ["degree_program", "degree", "program"],
+        "intended_program": ["intended_program", "program_interest", "degreeprogram_interest"],
+        "student_type": ["student_type", "secondary_student_type", "transfer_student"],
+        "enrollment_status": ["enrollment_status", "hs_prospecting_agent_enrollment_status"],
+        "enrollment_date": ["enrollment_date", "enrolled_date", "student_enrollment_date", "start_date"],
+        "application_date": ["application_date", "application_submitted_date", "applied_date"],
+        "start_term": ["start_term", "session_start", "term_start", "start_date"],
+        "cohort": ["cohort", "cohort_term", "cohort_start"],
+        "campus": ["campus", "campus_location", "work_campus"],
+        "modality": ["modality", "learning_modality", "delivery_modality"],
+        "program_total_tuition": ["standard_tuition_total", "total_tuition_and_fees", "total_tuition",
+                                  "program_tuition_total", "tuition_total", "estimated_total_tuition"],
+        "last_activity_date": ["notes_last_updated", "hs_lastmodifieddate", "hs_sales_email_last_replied",
+                               "hs_last_sales_activity_timestamp"],
+        "owner_assigned_date": ["hubspot_owner_assigneddate"],
+        "first_activity_date": ["hs_first_outreach_date", "hs_sa_first_engagement_date", "hs_time_to_first_engagement"],
+        "next_activity_date": ["hs_next_activity_date"],
+        "number_of_sales_activities": ["num_notes", "hs_sales_email_clicks", "hs_sales_email_opens"],
+        "time_to_first_engagement": ["hs_time_to_first_engagement"],
+    },
+    "deal": {
+        "deal_id": ["hs_object_id"],
+        "deal_created_at": ["createdate"],
+        "deal_owner_id": ["hubspot_owner_id"],
+        "deal_owner_assigned_date": ["hubspot_owner_assigneddate"],
+        "deal_stage": ["dealstage"],
+        "pipeline": ["pipeline"],
+        "close_date": ["closedate"],
+        "closed_won_date": ["hs_closed_won_date"],
+        "deal_amount": ["amount", "revenue", "tuition", "net_revenue", "program_revenue"],
+        "revenue": ["amount", "revenue", "tuition", "net_revenue", "program_revenue"],
+        "is_closed_won": ["hs_is_closed_won"],
+        "is_closed": ["hs_is_closed"],
+    },
+}
+SEARCH_HINTS = {
+    "phone": ["phone", "mobile"],
+    "first_name": ["first", "name"],
+    "last_name": ["last", "name"],
+    "full_name": ["full", "name"],
+    "source_detail": ["source", "detail"],
+    "source": ["source"],
+    "campaign": ["campaign", "utm"],
+    "vendor": ["vendor", "partner", "agency", "referral", "source", "campaign"],
+    "program": ["program", "degree", "academic", "interest"],
+    "degree_level": ["degree", "level"],
+    "degree_program": ["degree", "program", "major", "academic"],
+    "intended_program": ["program", "degree", "major", "concentration", "academic", "interest"],
+    "student_type": ["student", "type"],
+    "enrollment_status": ["enrolled", "enrollment", "status", "student"],
+    "enrollment_date": ["enrolled", "enrollment", "date"],
+    "application_date": ["application", "applied", "date"],
+    "start_term": ["term", "start", "session"],
+    "cohort": ["cohort"],
+    "campus": ["campus"],
+    "modality": ["modality"],
+    "program_total_tuition": ["tuition", "total"],
+    "last_activity_date": ["last", "activity", "modified", "reply"],
+    "owner_assigned_date": ["owner", "assigned", "date"],
+    "first_activity_date": ["first", "activity", "engagement", "outreach"],
+    "next_activity_date": ["next", "activity"],
+    "number_of_sales_activities": ["sales", "activity", "notes"],
+    "time_to_first_engagement": ["time", "first", "engagement"],
+    "deal_amount": ["amount", "revenue", "tuition"],
+    "revenue": ["amount", "revenue", "tuition"],
+    "lead_status": ["lead", "status"],
+    "lifecycle_stage": ["lifecycle", "stage"],
+}
+
+# --- FIXED VALUES: text jobs ----------------------------------------------------------------------
+DATA_LINE_KEYWORDS = r"(enroll|lead|applicant|start|budget|revenue|goal|source|udr|summer|week|pace|conversion)"
+DATA_LINE_LIMIT = 25
+PRICE_LINE_PATTERNS = [
+    ("Certificate", r"Certificate Programs\s+\$([\d,]+)\s+(\d+)\s+\$([\d,]+)\s+\$([\d,]+)"),
+    ("Associate", r"Associate Degree\s+\$([\d,]+)\s+(\d+)\s+\$([\d,]+)\s+\$([\d,]+)"),
+    ("Bachelor", r"Bachelor'?s Degree\s+\$([\d,]+)\s+(\d+)\s+\$([\d,]+)\s+\$([\d,]+)"),
+    ("Master", r"Master'?s Degree Programs\s+\$([\d,]+)\s+(\d+)\s+\$([\d,]+)\s+\$([\d,]+)"),
+    ("Doctoral", r"Doctoral Degree Programs\s+\$([\d,]+)\s+(\d+)\s+\$([\d,]+)\s+\$([\d,]+)"),
+]
+HTML_BLOCK_TAG_PATTERN = r"(?i)<(br|p|div|li|tr|h[1-6])[^>]*>"
+
+# --- FIXED VALUES: privacy --------------------------------------------------------------------------
+PII_COLUMNS = ["first_name", "last_name", "email", "phone_number", "student", "notes", "sender"]

@@ -780,12 +780,23 @@ from . import oracle_uploaded as U  # noqa: E402
 SELECTED_TERMS = ["Summer 2"]
 
 
+_UPLOAD_CACHE: dict = {}
+
+
+def _landed(key, build):
+    """Uploaded spreadsheets are landed once per session (reliable checkpoint), like files."""
+    if key not in _UPLOAD_CACHE:
+        from ..session import cut_lineage
+        _UPLOAD_CACHE[key] = cut_lineage(build())
+    return _UPLOAD_CACHE[key]
+
+
 def _leads(spark, d):
-    return _E.standardize_leads(_V.leads(spark, d), "HubSpot leads view")
+    return _landed((id(spark), d, "leads"), lambda: _E.standardize_leads(_V.leads(spark, d), "HubSpot leads view"))
 
 
 def _enr(spark, d):
-    return _E.standardize_enrollments(_V.enrollments(spark, d))
+    return _landed((id(spark), d, "enr"), lambda: _E.standardize_enrollments(_V.enrollments(spark, d)))
 
 
 _GRID_CACHE: dict = {}
@@ -994,3 +1005,158 @@ ORACLE.update({
     "budget_performance": sql_budget_performance,
     "source_performance": sql_source_performance,
 })
+
+
+# ---- text jobs, privacy, profiling, payloads, audit, QA ---------------------------------------
+from ..operators import privacy as _PR  # noqa: E402
+from ..operators import profile as _PF  # noqa: E402
+from ..operators import quality as _Q  # noqa: E402
+from ..operators import textjobs as _T  # noqa: E402
+from ..sources import payloads as _PL  # noqa: E402
+from ..sources import storage as _ST  # noqa: E402
+
+RE2_LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+def _read(spark, d, name):
+    return _V.read_table(spark, d, name)
+
+
+def sql_extract_data_lines():
+    pat = O.q(RE2_LINE_BREAKS)
+    kw = O.q("(?i)" + _R.DATA_LINE_KEYWORDS)
+    return f"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, {pat})) AS raw,
+                  unnest(generate_series(1, len(string_split_regex(text, {pat})))) AS pos FROM documents),
+        f AS (SELECT doc_id, pos, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line FROM l
+              WHERE regexp_matches(raw, '\\p{{Nd}}') AND regexp_matches(raw, {kw}))
+      SELECT doc_id, line_no, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no
+        FROM f WHERE line <> '') WHERE line_no <= {_R.DATA_LINE_LIMIT}"""
+
+
+def sql_extract_price_table():
+    parts = []
+    for i, (level, _) in enumerate(_R.PRICE_LINE_PATTERNS):
+        t = f"(500 + (page_id * 7 + {i * 31}) % 400)"
+        c = f"(12 + (page_id + {i * 13}) % 110)"
+        parts.append(f"""SELECT page_id, {O.q(level)} AS program_degree_level, CAST({t} AS BIGINT) AS tuition_per_credit,
+            CAST({c} AS BIGINT) AS credits_required, CAST({t} * {c} AS BIGINT) AS estimated_total_tuition,
+            CAST(floor(({t} * {c}) / greatest(floor({c} / 30), 1)) AS BIGINT) AS estimated_annual_tuition
+          FROM pages WHERE page_id % 3 <> 0""")
+    return " UNION ALL ".join(parts)
+
+
+def sql_label_pseudonyms():
+    return _usql(f"""SELECT label, printf('UDR %02d', row_number() OVER (ORDER BY label)) AS pseudonym FROM (
+        SELECT DISTINCT label FROM (SELECT {O.txt('contact_owner')} AS label FROM leads_f UNION ALL SELECT {O.txt('udr')} FROM enr)
+        WHERE label <> '' AND label NOT IN ('Unassigned'))""", leads=True, enr=True)
+
+
+RAW_CONTACT_COLUMNS = ["hs_object_id", "createdate", "hubspot_owner_id", "hubspot_owner_assigneddate", "firstname", "lastname",
+                       "email", "phone", "lifecyclestage", "hs_lead_status", "utm_source", "utm_medium", "utm_campaign", "program",
+                       "degree_level", "enrollment_status", "enrollment_date", "application_date", "session_start", "cohort",
+                       "campus_location", "modality", "standard_tuition_total", "hs_first_outreach_date", "notes_last_updated",
+                       "notes_next_activity_date", "num_notes", "hs_time_to_first_engagement"]
+
+
+def q_profile_fields(spark, d):
+    raw = _V.contacts(spark, d).withColumn("__o", F.col("hs_object_id").cast("long"))
+    return _PF.profile_fields(raw, "contact", order_col="__o")
+
+
+def sql_profile_fields():
+    cols = ", ".join(RAW_CONTACT_COLUMNS)
+    return _sql(f"""SELECT 'contact' AS object_type, m.property_name, m.property_name AS label, CAST(NULL AS VARCHAR) AS data_type,
+        coalesce(c.n, 0) AS non_null_count,
+        CASE WHEN t.total > 0 THEN round(coalesce(c.n, 0) / t.total * 100, 2) ELSE 0.0 END AS percent_filled,
+        coalesce(s.sample_values, '') AS sample_values, coalesce(c.n, 0) > 0 AS usable
+      FROM (SELECT unnest({[c for c in RAW_CONTACT_COLUMNS]}) AS property_name) m
+      CROSS JOIN (SELECT count(*) AS total FROM raw_contacts) t
+      LEFT JOIN (SELECT property_name, count(*) AS n FROM u GROUP BY 1) c USING (property_name)
+      LEFT JOIN (SELECT property_name, string_agg(v, ' | ' ORDER BY rn) AS sample_values FROM (
+          SELECT property_name, v, row_number() OVER (PARTITION BY property_name ORDER BY f, v) AS rn
+          FROM (SELECT property_name, v, min(__o) AS f FROM u GROUP BY 1, 2)) WHERE rn <= 5 GROUP BY 1) s USING (property_name)""",
+                [f"""u AS (SELECT __o, property_name, {O.txt('v')} AS v FROM (UNPIVOT (SELECT CAST(hs_object_id AS BIGINT) AS __o, {cols}
+            FROM raw_contacts) ON COLUMNS(* EXCLUDE (__o)) INTO NAME property_name VALUE v) WHERE {O.txt('v')} <> '')"""])
+
+
+def q_flatten_crm_objects(spark, d):
+    raw = _V.contacts(spark, d)
+    return _PL.flatten_crm_objects(_PL.contact_pages(raw), raw.columns)
+
+
+def sql_flatten_crm_objects():
+    props = ", ".join(c for c in RAW_CONTACT_COLUMNS if c != "hs_object_id")
+    return _sql(f"""SELECT hs_object_id AS id, createdate AS "createdAt", createdate AS "updatedAt", false AS archived, {props},
+        hs_object_id FROM raw_contacts""")
+
+
+def q_flatten_links(spark, d):
+    return _PL.flatten_contact_deal_links(_PL.link_pages(_V.associations(spark, d)))
+
+
+def q_refresh_audit(spark, d):
+    s = _s(spark, d)
+    tables = {k: s[k] for k in ["contacts_clean", "deals_clean", "lead_deal_fact", "links", "owners", "activity_events"]}
+    return _ST.refresh_audit(tables, {"contacts": 10000, "deals": 10000}, _V.TODAY, True)
+
+
+def sql_refresh_audit():
+    counts = ", ".join(f"(SELECT count(*) FROM {t}) AS {n}_rows" for t, n in [
+        ("contacts_clean", "contacts_clean"), ("deals_clean", "deals_clean"), ("lead_deal_fact", "lead_deal_fact"),
+        ("links", "links"), ("raw_owners", "owners"), ("activity_events", "activity_events")])
+    return _sql(f"SELECT {counts}, 10000 AS max_contacts, 10000 AS max_deals, true AS include_activities, "
+                f"{O.TODAY_TS} AS refreshed_at", O.activity_ctes())
+
+
+def q_pivot_reconciliation(spark, d):
+    leads = _leads(spark, d)
+    cells = _Q.pivot_cells(leads, "contact_owner", "lead_status", "L2C")
+    pivot = _Q.pivot_sheet_rows(cells, ["grand_total"])
+    return _Q.pivot_reconciliation([_Q.compare_pivot_totals(leads, pivot, "contact_owner", "UDR L2C")])
+
+
+def sql_pivot_reconciliation():
+    return _usql(f"""SELECT 'UDR L2C' AS pivot_name, coalesce(r.g, p.g, 'Unmapped') AS "group", coalesce(r.n, 0.0) AS raw_total,
+        coalesce(p.n, 0.0) AS pivot_total, coalesce(r.n, 0.0) - coalesce(p.n, 0.0) AS difference
+      FROM (SELECT CASE WHEN {O.txt('contact_owner')} = '' THEN 'Unmapped' ELSE contact_owner END AS g, CAST(count(*) AS DOUBLE) AS n
+            FROM leads_f GROUP BY 1) r
+      FULL OUTER JOIN (SELECT CASE WHEN {O.txt('contact_owner')} = '' THEN '(blank)' ELSE {O.txt('contact_owner')} END AS g,
+            CAST(count(*) AS DOUBLE) AS n FROM leads_f WHERE {O.txt('record_id')} <> '' AND {O.txt('contact_owner')} <> '' GROUP BY 1) p
+        ON r.g = p.g""", leads=True)
+
+
+def q_qa_checks(spark, d):
+    leads, enr = _leads(spark, d), _enr(spark, d)
+    diffs = q_pivot_reconciliation(spark, d)
+    return _Q.qa_checks(leads, enr, _grid(spark, d)[1], diffs, {"token_present": False})
+
+
+def q_field_mapping(spark, d):
+    inv = q_profile_fields(spark, d)
+    return _PF.choose_field_mapping(inv, _PF.wanted_fields(spark))
+
+
+QUERIES.update({
+    "html_to_text": lambda s, d: _T.html_to_text(_read(s, d, "pages")).select("page_id", "text"),
+    "extract_data_lines": lambda s, d: _T.extract_data_lines(_read(s, d, "documents")),
+    "extract_price_table": lambda s, d: _T.extract_price_table(_T.price_page_text(_read(s, d, "pages"))),
+    "label_pseudonyms": lambda s, d: _PR.label_pseudonyms([(_leads(s, d), ["contact_owner"]), (_enr(s, d), ["udr"])], "UDR",
+                                                          keep=["Unassigned"]),
+    "profile_fields": q_profile_fields,
+    "choose_field_mapping": q_field_mapping,
+    "flatten_crm_objects": q_flatten_crm_objects,
+    "flatten_contact_deal_links": q_flatten_links,
+    "refresh_audit": q_refresh_audit,
+    "pivot_reconciliation": q_pivot_reconciliation,
+    "qa_checks": q_qa_checks,
+})
+ORACLE.update({
+    "extract_data_lines": sql_extract_data_lines,
+    "extract_price_table": sql_extract_price_table,
+    "label_pseudonyms": sql_label_pseudonyms,
+    "profile_fields": sql_profile_fields,
+    "flatten_crm_objects": sql_flatten_crm_objects,
+    "flatten_contact_deal_links": lambda: _sql("SELECT contact_id, deal_id, association_type FROM links"),
+    "refresh_audit": sql_refresh_audit,
+    "pivot_reconciliation": sql_pivot_reconciliation,
+})
