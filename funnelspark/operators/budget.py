@@ -323,3 +323,91 @@ def budget_performance(leads: DataFrame, enr: DataFrame, summary: DataFrame) ->
     return e.select(total.alias("total_budget"), act, safe_div(act, total).alias("budget_variance"),
                     safe_div(total, n_leads).alias("cost_per_lead"), safe_div(total, applicants).alias("cost_per_applicant"),
                     safe_div(total, act).alias("cost_per_enrollment"))
+
+
+def effective_term(selected: Sequence[str] | None, enr: DataFrame) -> Column:
+    """Explicit selection (first token), else the only term label in the ledger that is a term
+    token, else NULL — a one-row scalar subquery over the distinct labels."""
+    tokens = _tokens(selected)
+    if tokens:
+        return F.lit(tokens[0])
+    labels = with_term_token(enr.select("term_label").distinct(), "term_label", "__tok")
+    valid = labels.where(F.col("__tok").rlike(r"^(SP|SU|FA)[12]$"))
+    return valid.agg(F.when(F.countDistinct("__tok") == 1, F.min("__tok"))).scalar()
+
+
+def term_stats_for(terms: DataFrame, token: Column) -> DataFrame:
+    """``roundup_term_stats`` for a token given as a column (NULL token -> all statistics NULL)."""
+    t = with_term_token(terms, "term", "__tok").where(F.col("__tok") == token)
+    names = F.lower(clean_text(F.col("budget_name")))
+    metric = F.lower(F.coalesce(F.col("term_metric"), F.lit("")))
+    v = F.col("term_value").cast("double")
+    named = ~names.isin("total", "starts", "start%")
+
+    def s(cond: Column) -> Column:
+        return F.when(F.count(F.when(cond, v)) > 0, F.sum(F.when(cond, v)))
+
+    a = t.agg(s((names == "total") & (metric == "goal")).alias("gt"), s((names == "total") & (metric == "actual")).alias("at"),
+              s(metric == "starts").alias("starts"), s(named & (metric == "goal")).alias("gn"),
+              s(named & (metric == "actual")).alias("an"), F.avg(F.when(metric == "start_rate", v)).alias("rate"))
+    goal, actual = F.coalesce("gt", "gn"), F.coalesce("at", "an")
+    rate = F.when(F.col("starts").isNotNull() & F.coalesce(actual != 0, F.lit(False)), F.col("starts") / actual).otherwise(F.col("rate"))
+    return a.select(goal.alias("goal"), actual.alias("actual"), "starts", rate.alias("start_rate"))
+
+
+def required_weekly_pace(enr: DataFrame, remaining: Column, today) -> Column:
+    """remaining / max(days to the last term date / 7, 1); 0 when nothing remains or no term dates."""
+    from ..functions.expr import elapsed_days_floor, ts_literal
+    last = enr.agg(F.max(F.col("term").cast("timestamp"))).scalar()
+    days = F.greatest(elapsed_days_floor(ts_literal(today), last), F.lit(1))
+    return (F.when((remaining <= 0) | last.isNull(), F.lit(0.0))
+            .otherwise(remaining.cast("double") / F.greatest(days / F.lit(7.0), F.lit(1.0))))
+
+
+def _or_chain(*vals: Column) -> Column:
+    """Python ``a or b or c``: the first value that is neither NULL nor 0."""
+    out = None
+    for v in vals[:-1]:
+        cond = v.isNotNull() & (v != 0)
+        out = F.when(cond, v) if out is None else out.when(cond, v)
+    return out.otherwise(vals[-1]) if out is not None else vals[-1]
+
+
+def executive_overview(leads: DataFrame, paid_leads: DataFrame, enr: DataFrame, budget_summary: DataFrame,
+                       budget_terms: DataFrame, tracker_summary: DataFrame | None = None, tracker_terms: DataFrame | None = None,
+                       selected: Sequence[str] | None = None, today=None) -> DataFrame:
+    """26 measures with the goal / starts / actual / start-rate precedence chain (one row)."""
+    from .enrollment import enrollment_summary, lead_summary
+    tracker_summary = budget_summary.limit(0) if tracker_summary is None else tracker_summary
+    tracker_terms = budget_terms.limit(0) if tracker_terms is None else tracker_terms
+    tok = effective_term(selected, enr)
+    bts = term_stats_for(budget_terms, tok).select(F.struct("*").alias("s")).scalar()
+    tts = term_stats_for(tracker_terms, tok).select(F.struct("*").alias("s")).scalar()
+    first = lambda summ, m: roundup_value(summ, m)
+    goal = F.coalesce(bts.getField("goal"), tts.getField("goal"),
+                      _or_chain(first(tracker_summary, "Budget"), first(budget_summary, "Budget"), F.lit(0.0)))
+    starts = F.coalesce(tts.getField("starts"), _or_chain(first(tracker_summary, "Starts"), first(budget_summary, "Starts"), F.lit(0.0)))
+    enrolled = F.coalesce(tts.getField("actual"), _or_chain(first(tracker_summary, "Enrolled"), first(budget_summary, "Enrolled"), F.lit(0.0)))
+    start_pct = F.coalesce(tts.getField("start_rate"), _or_chain(first(tracker_summary, "Start%"), first(budget_summary, "Start%"),
+                                                                F.lit(None).cast("double")))
+    start_rate = F.when(start_pct.isNotNull(), start_pct).when(enrolled != 0, starts / enrolled).otherwise(F.lit(0.0))
+    ls = lead_summary(leads).select(F.struct("*").alias("s")).scalar()
+    ps = lead_summary(paid_leads).select(F.struct("*").alias("s")).scalar()
+    es = enrollment_summary(enr, goal, starts)
+    act, rem = F.col("actual_enrollments"), F.col("remaining_enrollments")
+    total_leads, applicants = ls.getField("total_leads"), ls.getField("applicants")
+    pace = required_weekly_pace(enr, rem, today) if today is not None else F.lit(0.0)
+    return es.select(
+        total_leads.alias("total_leads"),
+        _or_chain(ps.getField("total_leads"), ls.getField("paid_leads")).alias("paid_leads"),
+        _or_chain(ls.getField("organic_leads"), ps.getField("organic_leads")).alias("organic_leads"),
+        applicants.alias("applicants"), ls.getField("crm_enrolled").alias("crm_enrolled"), act,
+        F.col("enrollment_goal"), F.col("starts"), F.col("revenue"), ls.getField("bad_leads").alias("bad_leads"),
+        goal.alias("total_budget"), F.greatest(F.coalesce(goal, F.lit(0.0)) - act, F.lit(0.0)).alias("budget_remaining"),
+        ls.getField("contacted_leads").alias("contacted_leads"), ls.getField("lead_to_contact_rate").alias("lead_to_contact_rate"),
+        ls.getField("lead_to_applicant_rate").alias("lead_to_applicant_rate"),
+        ls.getField("lead_to_crm_enrolled_rate").alias("lead_to_crm_enrolled_rate"), F.col("percent_of_goal"), rem,
+        pace.alias("weekly_pace_required"), start_rate.alias("start_rate"), F.col("revenue_per_enrollment"),
+        F.col("average_days_to_enroll"), ls.getField("bad_lead_rate").alias("bad_lead_rate"),
+        safe_div(goal, total_leads).alias("cost_per_lead"), safe_div(goal, applicants).alias("cost_per_applicant"),
+        safe_div(goal, act).alias("cost_per_enrollment"))

@@ -24,6 +24,20 @@ POTENTIAL_REVENUE_COLUMNS = ["potential_program_revenue", "potential_six_month_r
 PIPELINE_REVENUE_COLUMNS = ["potential_revenue", "enrolled_revenue", "open_pipeline_potential_revenue"]
 
 
+def money_col(df: DataFrame, name: str) -> Column:
+    """Money column with the reference's substitutes: total_program_revenue falls back to
+    program_revenue_input then revenue_attributed; an absent column sums to 0."""
+    candidates = [name] + (["program_revenue_input", "revenue_attributed"] if name == "total_program_revenue" else [])
+    for c in candidates:
+        if c in df.columns:
+            return F.col(c)
+    return F.lit(0.0)
+
+
+def money_aggs(df: DataFrame, names) -> list[Column]:
+    return [sum_money(money_col(df, x)).alias(x) for x in names]
+
+
 def countable_won(fact: DataFrame) -> DataFrame:
     return fact.where(as_bool(F.col("deal_countable")) & as_bool(F.col("is_won")))
 
@@ -60,13 +74,13 @@ def executive_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:
         F.countDistinct(F.when(paid, F.col("contact_id"))).alias("paid_leads"),
         F.count_if(F.col("lead_temperature") == "Hot").alias("hot_leads"),
         F.count_if(F.col("lead_temperature") == "Dead").alias("dead_leads"),
-        *[sum_money(F.col(x)).alias(x) for x in POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS],
+        *money_aggs(contacts, POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS),
     )
     f = won.agg(
         F.countDistinct("deal_id").alias("won_deals"),
         F.countDistinct(F.when(as_bool(F.col("paid_lead_flag")), F.col("deal_id"))).alias("paid_won_deals"),
         F.coalesce(F.avg("days_to_close"), F.lit(0.0)).alias("average_days_to_close"),
-        *[sum_money(F.col(x)).alias(x) for x in REVENUE_COLUMNS],
+        *money_aggs(won, REVENUE_COLUMNS),
     )
     med = exact_median(won, "days_to_close", out="median_days_to_close")
     fs = _scalar_row(f, ["won_deals", "paid_won_deals", "average_days_to_close", *REVENUE_COLUMNS])
@@ -145,7 +159,7 @@ def salesman_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:
         F.count_if(as_bool(F.col("has_open_deal"))).alias("open_leads"),
         F.count_if(conf == "High").alias("__high"), F.count_if(conf == "Medium").alias("__med"),
         F.count_if(conf == "Low").alias("__low"),
-        *[sum_money(F.col(x)).alias(x) for x in POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS],
+        *money_aggs(cdist, POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS),
         sum_money(F.when(temp == "Hot", F.col("open_pipeline_potential_revenue"))).alias("hot_lead_potential_revenue"),
         sum_money(F.when(paid, F.col("open_pipeline_potential_revenue"))).alias("paid_lead_potential_revenue"),
     )
@@ -154,7 +168,7 @@ def salesman_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:
         F.countDistinct(F.when(as_bool(F.col("paid_lead_flag")), F.col("deal_id"))).alias("__paid_won"),
         F.avg("days_to_close").alias("average_days_to_close"),
         sum_money(F.col("revenue_attributed")).alias("actual_enrolled_revenue"),
-        *[sum_money(F.col(x)).alias(x) for x in REVENUE_COLUMNS],
+        *money_aggs(won, REVENUE_COLUMNS),
     )
     med = exact_median(won, "days_to_close", ["salesman_name"], "median_days_to_close")
     est = estimated_enrolled_revenue(cdist, fact.where(F.col("salesman_name").isNotNull()), ["salesman_name"])
@@ -207,10 +221,10 @@ def paid_lead_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:
     paid_c = contacts.where(as_bool(F.col("paid_lead_flag")))
     paid_f = countable_won(fact).where(as_bool(F.col("paid_lead_flag")))
     c = paid_c.agg(F.countDistinct("contact_id").alias("paid_leads"),
-                   *[sum_money(F.col(x)).alias(x) for x in POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS])
+                   *money_aggs(paid_c, POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS))
     f = paid_f.agg(F.countDistinct("deal_id").alias("paid_won_deals"),
                    F.coalesce(F.avg("days_to_close"), F.lit(0.0)).alias("average_paid_days_to_close"),
-                   *[sum_money(F.col(x)).alias(x) for x in REVENUE_COLUMNS])
+                   *money_aggs(paid_f, REVENUE_COLUMNS))
     fs = _scalar_row(f, ["paid_won_deals", "average_paid_days_to_close", *REVENUE_COLUMNS])
     return c.select(
         "paid_leads",
@@ -235,16 +249,11 @@ def stuck_leads(contacts: DataFrame) -> DataFrame:
     def no_activity(d: int) -> Column:
         return F.coalesce((inactive >= d) | (never & (age >= d)), F.lit(False))
 
-    def n(cond: Column) -> Column:
-        return F.countDistinct(F.when(cond, F.col("contact_id")))
-
-    return contacts.agg(
-        n(no_activity(7)).alias("leads_no_activity_7_days"),
-        n(no_activity(14)).alias("leads_no_activity_14_days"),
-        n(no_activity(30)).alias("leads_no_activity_30_days"),
-        n(paid & no_activity(7)).alias("paid_leads_with_no_activity"),
-        n(paid & F.coalesce(age > 30, F.lit(False)) & ~has_open).alias("paid_leads_older_30_days_no_open_deal"),
-    )
+    g = grouped_distinct(contacts.withColumn("__all", F.lit(0)), ["__all"], "contact_id", {
+        "leads_no_activity_7_days": no_activity(7), "leads_no_activity_14_days": no_activity(14),
+        "leads_no_activity_30_days": no_activity(30), "paid_leads_with_no_activity": paid & no_activity(7),
+        "paid_leads_older_30_days_no_open_deal": paid & F.coalesce(age > 30, F.lit(False)) & ~has_open})
+    return g.drop("__all")
 
 
 def data_quality_metrics(contacts: DataFrame, deals: DataFrame, fact: DataFrame) -> DataFrame:
@@ -291,7 +300,7 @@ def monthly_revenue(fact: DataFrame, column: str = "total_program_revenue") -> D
 def revenue_by(df: DataFrame, dim: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Money totals per dimension (NULL group kept)."""
     columns = list(columns or REVENUE_COLUMNS + POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS)
-    return df.groupBy(dim).agg(*[sum_money(F.col(c)).alias(c) for c in columns])
+    return df.groupBy(dim).agg(*money_aggs(df, columns))
 
 
 # ---- paid vendor performance -----------------------------------------------------------------
@@ -407,3 +416,28 @@ def paid_vendor_performance(paid_contacts: DataFrame, fact: DataFrame, costs: Da
     )
     return out.orderBy(F.desc("open_potential_revenue"), F.desc("estimated_enrolled_revenue"), F.desc("paid_leads"),
                        *VENDOR_KEYS)
+
+
+# ---- distinct counts without Expand --------------------------------------------------------------
+
+def grouped_distinct(df: DataFrame, keys: Sequence[str], id_col: str, flags: dict, sums: dict | None = None,
+                     row_counts: dict | None = None, means: dict | None = None) -> DataFrame:
+    """Several "distinct ids where <flag>" counts per group in two plain aggregations:
+    (keys, id) -> OR of each flag, partial money sums and row counts; then keys -> count_if /
+    sums.  Spark would otherwise ``Expand`` every row once per distinct aggregate (SURVEY §4
+    rule 1).  NULL ids are not counted but their money and rows still are."""
+    from ..functions.expr import money
+    keys = list(keys)
+    sums, row_counts, means = dict(sums or {}), dict(row_counts or {}), dict(means or {})
+    s1 = df.groupBy(*keys, id_col).agg(
+        *[F.bool_or(F.coalesce(c, F.lit(False))).alias(f"__f_{n}") for n, c in flags.items()],
+        *[F.sum(money(c)).alias(f"__s_{n}") for n, c in sums.items()],
+        *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"__r_{n}") for n, c in row_counts.items()],
+        *[F.sum(c.cast("double").cast("decimal(28,9)")).alias(f"__ms_{n}") for n, c in means.items()],
+        *[F.count(c).alias(f"__mc_{n}") for n, c in means.items()])
+    has_id = F.col(id_col).isNotNull()
+    return s1.groupBy(*keys).agg(
+        *[F.count_if(F.col(f"__f_{n}") & has_id).alias(n) for n in flags],
+        *[F.coalesce(F.sum(f"__s_{n}"), F.lit(0).cast("decimal(38,6)")).cast("double").alias(n) for n in sums],
+        *[F.coalesce(F.sum(f"__r_{n}"), F.lit(0)).cast("long").alias(n) for n in row_counts],
+        *[(F.sum(f"__ms_{n}").cast("double") / F.sum(f"__mc_{n}")).alias(n) for n in means])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.expr import as_bool, clean_text, has_text, sum_money
+from .kpi import grouped_distinct
 
 
 def _pattern(terms) -> str:
@@ -98,19 +99,14 @@ def _ids(cond: Column) -> Column:
 
 
 def lead_status_summary(contacts: DataFrame, fact: DataFrame) -> DataFrame:
-    p = pipeline_contacts(contacts, fact)
+    p = pipeline_contacts(contacts, fact).withColumn("status", F.col("pipeline_status"))
     paid = as_bool(F.col("paid_lead_flag"))
     stale = F.coalesce(F.col("days_since_last_activity").cast("double"), F.lit(9999.0)) >= 14
-    return p.groupBy(F.col("pipeline_status").alias("status")).agg(
-        F.countDistinct("contact_id").alias("total leads"),
-        _ids(paid).alias("paid leads"),
-        _ids(F.col("lead_temperature") == "Hot").alias("hot leads"),
-        _ids(stale).alias("stale leads"),
-        _ids(F.col("is_dead_pipeline")).alias("dead leads"),
-        _ids(F.col("is_enrolled_pipeline")).alias("enrolled"),
-        sum_money(F.col("actual_revenue")).alias("actual revenue"),
-        sum_money(F.col("pipeline_potential_revenue")).alias("potential revenue"),
-    ).orderBy(F.desc("total leads"), "status")
+    g = grouped_distinct(p, ["status"], "contact_id", {
+        "total leads": F.lit(True), "paid leads": paid, "hot leads": F.col("lead_temperature") == "Hot",
+        "stale leads": stale, "dead leads": F.col("is_dead_pipeline"), "enrolled": F.col("is_enrolled_pipeline")},
+        sums={"actual revenue": F.col("actual_revenue"), "potential revenue": F.col("pipeline_potential_revenue")})
+    return g.orderBy(F.desc("total leads"), "status")
 
 
 def bottleneck_action(status: Column, stuck_30: Column, stuck_14: Column) -> Column:
@@ -126,29 +122,27 @@ def bottleneck_action(status: Column, stuck_30: Column, stuck_14: Column) -> Col
 
 
 def stage_bottlenecks(contacts: DataFrame, fact: DataFrame) -> DataFrame:
-    p = pipeline_contacts(contacts, fact)
+    p = pipeline_contacts(contacts, fact).withColumn("stage/status", F.col("pipeline_status"))
     inactive = F.coalesce(F.col("days_since_last_activity").cast("double"), F.lit(9999.0))
     open_ = ~F.col("is_enrolled_pipeline") & ~F.col("is_dead_pipeline")
-    g = p.groupBy(F.col("pipeline_status").alias("stage/status")).agg(
-        _ids(open_ & (inactive >= 7)).alias("leads stuck 7+ days"),
-        _ids(open_ & (inactive >= 14)).alias("leads stuck 14+ days"),
-        _ids(open_ & (inactive >= 30)).alias("leads stuck 30+ days"),
-        F.avg(F.coalesce(F.col("lead_age_days").cast("double"), F.lit(0.0))).alias("average age"),
-    )
+    g = grouped_distinct(p, ["stage/status"], "contact_id", {
+        "leads stuck 7+ days": open_ & (inactive >= 7), "leads stuck 14+ days": open_ & (inactive >= 14),
+        "leads stuck 30+ days": open_ & (inactive >= 30)},
+        means={"average age": F.coalesce(F.col("lead_age_days").cast("double"), F.lit(0.0))})
     g = g.withColumn("recommended action", bottleneck_action(F.col("stage/status"), F.col("leads stuck 30+ days"),
                                                              F.col("leads stuck 14+ days")))
     return g.orderBy(F.desc("leads stuck 30+ days"), F.desc("leads stuck 14+ days"), F.desc("leads stuck 7+ days"), "stage/status")
 
 
 def _stacked(p: DataFrame, label: str, items: list[tuple[str, Column, str | None]]) -> DataFrame:
-    """One aggregate over all masks, then ``stack`` into one row per item."""
+    """Distinct-contact counts per item from one two-stage aggregate, then ``stack`` into rows."""
     paid = as_bool(F.col("paid_lead_flag"))
-    aggs = []
+    flags, sums = {}, {}
     for i, (_, mask, _) in enumerate(items):
         m = F.coalesce(mask, F.lit(False))
-        aggs += [_ids(m).alias(f"l{i}"), _ids(m & paid).alias(f"p{i}"),
-                 sum_money(F.when(m, F.col("pipeline_potential_revenue"))).alias(f"r{i}")]
-    agg = p.agg(*aggs)
+        flags[f"l{i}"], flags[f"p{i}"] = m, m & paid
+        sums[f"r{i}"] = F.when(m, F.col("pipeline_potential_revenue"))
+    agg = grouped_distinct(p.withColumn("__all", F.lit(0)), ["__all"], "contact_id", flags, sums=sums)
     with_action = any(a is not None for _, _, a in items)
     rows = []
     for i, (name, _, action) in enumerate(items):
@@ -157,12 +151,9 @@ def _stacked(p: DataFrame, label: str, items: list[tuple[str, Column, str | None
             vals.append(F.lit(action))
         rows.extend(vals)
     names = ["__order", label, "leads", "paid leads", "potential revenue"] + (["recommended action"] if with_action else [])
-    width = len(names)
     args = ", ".join(f"`c{i}`" for i in range(len(rows)))
-    stacked = agg.select(*[v.alias(f"c{i}") for i, v in enumerate(rows)]).selectExpr(
+    return agg.select(*[v.alias(f"c{i}") for i, v in enumerate(rows)]).selectExpr(
         f"stack({len(items)}, {args}) AS ({', '.join('`' + n + '`' for n in names)})")
-    assert width == len(names)
-    return stacked
 
 
 def enrollment_path(contacts: DataFrame, fact: DataFrame) -> DataFrame:

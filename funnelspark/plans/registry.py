@@ -1160,3 +1160,65 @@ ORACLE.update({
     "refresh_audit": sql_refresh_audit,
     "pivot_reconciliation": sql_pivot_reconciliation,
 })
+
+
+def q_executive_overview(spark, d):
+    leads = _leads(spark, d)
+    summ, _, terms = _grid(spark, d)
+    return _B.executive_overview(leads, leads.where(F.col("lead_type") == "Paid"), _enr(spark, d), summ, terms,
+                                 selected=None, today=_V.TODAY)
+
+
+def q_executive_overview_term(spark, d):
+    leads = _leads(spark, d)
+    summ, _, terms = _grid(spark, d)
+    return _B.executive_overview(leads, leads.where(F.col("lead_type") == "Paid"), _enr(spark, d), summ, terms,
+                                 selected=SELECTED_TERMS, today=_V.TODAY)
+
+
+QUERIES.update({"executive_overview": q_executive_overview, "executive_overview_term": q_executive_overview_term})
+
+
+def sql_executive_overview(token: str | None):
+    def first(metric):
+        return _roundup_sql(metric)
+
+    def orc(*vals):
+        parts = " ".join(f"WHEN ({v}) IS NOT NULL AND ({v}) <> 0 THEN ({v})" for v in vals[:-1])
+        return f"(CASE {parts} ELSE {vals[-1]} END)"
+
+    names = f"lower({O.txt('budget_name')})"
+    m = "lower(coalesce(term_metric, ''))"
+    s = lambda cond: f"(CASE WHEN count(CASE WHEN {cond} THEN term_value END) > 0 THEN sum(CASE WHEN {cond} THEN term_value END) END)"
+    named = f"{names} NOT IN ('total', 'starts', 'start%')"
+    tfilter = f"term = {O.q(token)}" if token else "false"
+    bts = f"""bts AS (SELECT coalesce(gt, gn) AS goal FROM (SELECT {s(f"{names} = 'total' AND {m} = 'goal'")} AS gt,
+        {s(f"{named} AND {m} = 'goal'")} AS gn FROM term_allocations WHERE {tfilter}))"""
+    goal = f"coalesce((SELECT goal FROM bts), {orc(first('Budget'), '0.0')})"
+    starts = orc(first("Starts"), "0.0")
+    enrolled = orc(first("Enrolled"), "0.0")
+    start_pct = orc(first("Start%"), "CAST(NULL AS DOUBLE)")
+    start_rate = f"(CASE WHEN {start_pct} IS NOT NULL THEN {start_pct} WHEN {enrolled} <> 0 THEN {starts} / {enrolled} ELSE 0.0 END)"
+    ls = f"ls AS (SELECT {U.lead_metric_select([])} FROM leads_f)"
+    ps = f"ps AS (SELECT {U.lead_metric_select([])} FROM leads_f WHERE lead_type = 'Paid')"
+    es = f"""es AS (SELECT count(*) AS act, {O.money_sum('revenue')} AS revenue,
+        coalesce({_avg_exact_sql('days_to_enroll')}, 0.0) AS avg_days, max(term) AS last_term FROM enr)"""
+    g, st = f"CAST({goal} AS DOUBLE)", f"CAST({starts} AS DOUBLE)"
+    rem = f"greatest({g} - es.act, 0.0)"
+    days = f"greatest({O.days_floor(O.TODAY_TS, 'es.last_term')}, 1)"
+    pace = f"(CASE WHEN {rem} <= 0 OR es.last_term IS NULL THEN 0.0 ELSE {rem} / greatest({days} / 7.0, 1.0) END)"
+    sel = f"""SELECT ls.total AS total_leads, {orc('ps.total', 'ls.paid')} AS paid_leads, {orc('ls.organic', 'ps.organic')} AS organic_leads,
+        ls.applicants, ls.crm_enrolled, es.act AS actual_enrollments, {g} AS enrollment_goal, {st} AS starts, es.revenue,
+        ls.bad AS bad_leads, {goal} AS total_budget, greatest(coalesce({goal}, 0.0) - es.act, 0.0) AS budget_remaining,
+        ls.contacted AS contacted_leads, {O.safe_div('ls.contacted', 'ls.total')} AS lead_to_contact_rate,
+        {O.safe_div('ls.applicants', 'ls.total')} AS lead_to_applicant_rate, {O.safe_div('ls.crm_enrolled', 'ls.total')} AS lead_to_crm_enrolled_rate,
+        {O.safe_div('es.act', g)} AS percent_of_goal, {rem} AS remaining_enrollments, {pace} AS weekly_pace_required,
+        {start_rate} AS start_rate, {O.safe_div('es.revenue', 'es.act')} AS revenue_per_enrollment, es.avg_days AS average_days_to_enroll,
+        {O.safe_div('ls.bad', 'ls.total')} AS bad_lead_rate, {O.safe_div(goal, 'ls.total')} AS cost_per_lead,
+        {O.safe_div(goal, 'ls.applicants')} AS cost_per_applicant, {O.safe_div(goal, 'es.act')} AS cost_per_enrollment
+      FROM ls, ps, es"""
+    return _usql(sel, [bts, ls, ps, es], leads=True, enr=True, grid=True)
+
+
+ORACLE.update({"executive_overview": lambda: sql_executive_overview(None),
+               "executive_overview_term": lambda: sql_executive_overview("SU2")})

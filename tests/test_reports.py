@@ -98,7 +98,7 @@ def test_journey_gaps_and_touches(spark):
                                     ("1", NOW - dt.timedelta(days=20), "Email", "Ana", "e", "")],
                                    "contact_id string, event_date timestamp, event_type string, owner string, description string, outcome string")
     ev = J.journey_events(_contacts(spark), _fact(spark), events).where("contact_id = '1'").orderBy("event_date", "event_type").collect()
-    assert [r.days_since_previous_event for r in ev][:3] == [0, 10, 10]
+    assert [r.days_since_previous_event for r in ev] == [0, 0, 10, 10, 20]  # created, last activity, call, email, next
     assert all(r.days_since_previous_event >= 0 for r in ev)
     m = {r.contact_id: r for r in J.journey_metrics(_contacts(spark), _fact(spark), events, "2026-06-10 00:00:00").collect()}
     assert m["1"].number_of_sales_touches == 2 and m["3"].number_of_sales_touches == 1  # num_notes when no activities
