@@ -373,41 +373,62 @@ def _or_chain(*vals: Column) -> Column:
     return out.otherwise(vals[-1]) if out is not None else vals[-1]
 
 
+def _packed(df: DataFrame, prefix: str) -> list[Column]:
+    """All columns of a one-row frame as columns of another row, through one scalar subquery."""
+    s = df.select(F.struct(*df.columns).alias("s")).scalar()
+    return [s.getField(c).alias(f"{prefix}{c}") for c in df.columns]
+
+
 def executive_overview(leads: DataFrame, paid_leads: DataFrame, enr: DataFrame, budget_summary: DataFrame,
                        budget_terms: DataFrame, tracker_summary: DataFrame | None = None, tracker_terms: DataFrame | None = None,
                        selected: Sequence[str] | None = None, today=None) -> DataFrame:
-    """26 measures with the goal / starts / actual / start-rate precedence chain (one row)."""
-    from .enrollment import enrollment_summary, lead_summary
+    """26 measures with the goal / starts / actual / start-rate precedence chain (one row).  Every
+    one-row input enters once as a packed scalar subquery; derived values are columns."""
+    from ..functions.expr import avg_exact, elapsed_days_floor, sum_money, ts_literal
+    from .enrollment import lead_summary
     tracker_summary = budget_summary.limit(0) if tracker_summary is None else tracker_summary
     tracker_terms = budget_terms.limit(0) if tracker_terms is None else tracker_terms
     tok = effective_term(selected, enr)
-    bts = term_stats_for(budget_terms, tok).select(F.struct("*").alias("s")).scalar()
-    tts = term_stats_for(tracker_terms, tok).select(F.struct("*").alias("s")).scalar()
-    first = lambda summ, m: roundup_value(summ, m)
-    goal = F.coalesce(bts.getField("goal"), tts.getField("goal"),
-                      _or_chain(first(tracker_summary, "Budget"), first(budget_summary, "Budget"), F.lit(0.0)))
-    starts = F.coalesce(tts.getField("starts"), _or_chain(first(tracker_summary, "Starts"), first(budget_summary, "Starts"), F.lit(0.0)))
-    enrolled = F.coalesce(tts.getField("actual"), _or_chain(first(tracker_summary, "Enrolled"), first(budget_summary, "Enrolled"), F.lit(0.0)))
-    start_pct = F.coalesce(tts.getField("start_rate"), _or_chain(first(tracker_summary, "Start%"), first(budget_summary, "Start%"),
-                                                                F.lit(None).cast("double")))
-    start_rate = F.when(start_pct.isNotNull(), start_pct).when(enrolled != 0, starts / enrolled).otherwise(F.lit(0.0))
-    ls = lead_summary(leads).select(F.struct("*").alias("s")).scalar()
-    ps = lead_summary(paid_leads).select(F.struct("*").alias("s")).scalar()
-    es = enrollment_summary(enr, goal, starts)
-    act, rem = F.col("actual_enrollments"), F.col("remaining_enrollments")
-    total_leads, applicants = ls.getField("total_leads"), ls.getField("applicants")
-    pace = required_weekly_pace(enr, rem, today) if today is not None else F.lit(0.0)
-    return es.select(
-        total_leads.alias("total_leads"),
-        _or_chain(ps.getField("total_leads"), ls.getField("paid_leads")).alias("paid_leads"),
-        _or_chain(ls.getField("organic_leads"), ps.getField("organic_leads")).alias("organic_leads"),
-        applicants.alias("applicants"), ls.getField("crm_enrolled").alias("crm_enrolled"), act,
-        F.col("enrollment_goal"), F.col("starts"), F.col("revenue"), ls.getField("bad_leads").alias("bad_leads"),
-        goal.alias("total_budget"), F.greatest(F.coalesce(goal, F.lit(0.0)) - act, F.lit(0.0)).alias("budget_remaining"),
-        ls.getField("contacted_leads").alias("contacted_leads"), ls.getField("lead_to_contact_rate").alias("lead_to_contact_rate"),
-        ls.getField("lead_to_applicant_rate").alias("lead_to_applicant_rate"),
-        ls.getField("lead_to_crm_enrolled_rate").alias("lead_to_crm_enrolled_rate"), F.col("percent_of_goal"), rem,
-        pace.alias("weekly_pace_required"), start_rate.alias("start_rate"), F.col("revenue_per_enrollment"),
-        F.col("average_days_to_enroll"), ls.getField("bad_lead_rate").alias("bad_lead_rate"),
-        safe_div(goal, total_leads).alias("cost_per_lead"), safe_div(goal, applicants).alias("cost_per_applicant"),
-        safe_div(goal, act).alias("cost_per_enrollment"))
+
+    def firsts(summ: DataFrame) -> DataFrame:
+        hit = summ.withColumn("__m", F.lower(clean_text(F.col("metric"))))
+        return hit.agg(*[F.min_by(F.when(F.col("__m") == m.lower(), F.col("numeric_value")),
+                                   F.when(F.col("__m") == m.lower(), F.col("_seq"))).alias(m.replace("%", "_pct"))
+                         for m in ("Budget", "Starts", "Enrolled", "Start%")])
+
+    base = enr.agg(F.count(F.lit(1)).alias("act"), sum_money(F.col("revenue")).alias("revenue"),
+                   F.coalesce(avg_exact(F.col("days_to_enroll")), F.lit(0.0)).alias("avg_days"),
+                   F.max(F.col("term").cast("timestamp")).alias("last_term"))
+    row = base.select("*", *_packed(term_stats_for(budget_terms, tok), "b_"), *_packed(term_stats_for(tracker_terms, tok), "t_"),
+                      *_packed(lead_summary(leads), "l_"), *_packed(lead_summary(paid_leads), "p_"),
+                      *_packed(firsts(tracker_summary), "ts_"), *_packed(firsts(budget_summary), "bs_"))
+    c = F.col
+    row = row.withColumns({
+        "goal": F.coalesce(c("b_goal"), c("t_goal"), _or_chain(c("ts_Budget"), c("bs_Budget"), F.lit(0.0))).cast("double"),
+        "starts": F.coalesce(c("t_starts"), _or_chain(c("ts_Starts"), c("bs_Starts"), F.lit(0.0))).cast("double"),
+        "enrolled": F.coalesce(c("t_actual"), _or_chain(c("ts_Enrolled"), c("bs_Enrolled"), F.lit(0.0))).cast("double"),
+        "start_pct": F.coalesce(c("t_start_rate"), _or_chain(c("ts_Start_pct"), c("bs_Start_pct"), F.lit(None).cast("double"))),
+    })
+    row = row.withColumns({
+        "start_rate": F.when(c("start_pct").isNotNull(), c("start_pct")).when(c("enrolled") != 0, c("starts") / c("enrolled"))
+        .otherwise(F.lit(0.0)),
+        "remaining": F.greatest(c("goal") - c("act"), F.lit(0.0)),
+    })
+    if today is not None:
+        days = F.greatest(elapsed_days_floor(ts_literal(today), c("last_term")), F.lit(1))
+        pace = F.when((c("remaining") <= 0) | c("last_term").isNull(), F.lit(0.0)).otherwise(
+            c("remaining") / F.greatest(days / F.lit(7.0), F.lit(1.0)))
+    else:
+        pace = F.lit(0.0)
+    return row.select(
+        c("l_total_leads").alias("total_leads"), _or_chain(c("p_total_leads"), c("l_paid_leads")).alias("paid_leads"),
+        _or_chain(c("l_organic_leads"), c("p_organic_leads")).alias("organic_leads"), c("l_applicants").alias("applicants"),
+        c("l_crm_enrolled").alias("crm_enrolled"), c("act").alias("actual_enrollments"), c("goal").alias("enrollment_goal"),
+        "starts", "revenue", c("l_bad_leads").alias("bad_leads"), c("goal").alias("total_budget"),
+        F.greatest(c("goal") - c("act"), F.lit(0.0)).alias("budget_remaining"), c("l_contacted_leads").alias("contacted_leads"),
+        c("l_lead_to_contact_rate").alias("lead_to_contact_rate"), c("l_lead_to_applicant_rate").alias("lead_to_applicant_rate"),
+        c("l_lead_to_crm_enrolled_rate").alias("lead_to_crm_enrolled_rate"), safe_div(c("act"), c("goal")).alias("percent_of_goal"),
+        c("remaining").alias("remaining_enrollments"), pace.alias("weekly_pace_required"), "start_rate",
+        safe_div(c("revenue"), c("act")).alias("revenue_per_enrollment"), c("avg_days").alias("average_days_to_enroll"),
+        c("l_bad_lead_rate").alias("bad_lead_rate"), safe_div(c("goal"), c("l_total_leads")).alias("cost_per_lead"),
+        safe_div(c("goal"), c("l_applicants")).alias("cost_per_applicant"), safe_div(c("goal"), c("act")).alias("cost_per_enrollment"))

@@ -61,23 +61,31 @@ def match_score(tokens, property_name, label):
     return F.size(F.filter(tokens, lambda t: hay.contains(F.lower(t))))
 
 
-def choose_field_mapping(inventory: DataFrame, wanted: DataFrame) -> DataFrame:
+def choose_field_mapping(inventory: DataFrame, wanted: DataFrame, fields=None) -> DataFrame:
     """First usable preferred candidate; else the best alternative with score >= min(2, #tokens),
-    by (score, % filled, name) descending.  Joined on object_type (an equi-join of the requested
-    fields with that object's inventory)."""
+    by (score, % filled, name) descending.
+
+    No field x property product is formed: preferred candidates are an equi-join on
+    (object_type, property_name); scores come from each property's matched hint tokens (a
+    ``filter`` over the fixed token vocabulary) equi-joined to the fields' tokens on the token."""
     inv = inventory.where(F.col("usable")).select("object_type", "property_name", "label", "percent_filled")
-    j = wanted.join(inv, "object_type")
-    pos = F.array_position(F.col("preferred"), F.col("property_name"))
-    score = match_score(F.col("tokens"), F.col("property_name"), F.coalesce(F.col("label"), F.lit("")))
-    threshold = F.least(F.lit(2), F.size("tokens"))
-    j = j.withColumns({"__pos": pos, "__score": score})
-    pref = j.where(F.col("__pos") > 0).groupBy("object_type", "logical_name").agg(
-        F.min(F.struct("__pos", "property_name")).getField("property_name").alias("__pref"))
-    alt = j.where(F.col("__score") >= threshold).groupBy("object_type", "logical_name").agg(
-        F.max(F.struct("__score", F.coalesce(F.col("percent_filled").cast("double"), F.lit(0.0)).alias("p"), "property_name"))
-        .getField("property_name").alias("__alt"))
-    out = wanted.select("object_type", "logical_name", "preferred").join(pref, ["object_type", "logical_name"], "left") \
-        .join(alt, ["object_type", "logical_name"], "left")
+    pref = (wanted.select("object_type", "logical_name", F.posexplode("preferred").alias("__pos", "property_name"))
+            .join(inv.select("object_type", "property_name"), ["object_type", "property_name"])
+            .groupBy("object_type", "logical_name").agg(F.min(F.struct("__pos", "property_name")).getField("property_name").alias("__pref")))
+    fields = R.DASHBOARD_FIELDS if fields is None else fields
+    vocab = sorted({t.lower() for obj in fields.values() for name in obj for t in _tokens(name)})
+    hay = F.regexp_replace(F.lower(F.concat_ws(" ", F.col("property_name"), F.coalesce(F.col("label"), F.lit("")))), "_", " ")
+    matched = inv.select("object_type", "property_name", F.coalesce(F.col("percent_filled").cast("double"), F.lit(0.0)).alias("p"),
+                         F.explode(F.filter(F.array(*[F.lit(t) for t in vocab]), lambda t: hay.contains(t))).alias("token"))
+    field_tokens = wanted.select("object_type", "logical_name", F.size("tokens").alias("n_tokens"),
+                                 F.explode(F.array_distinct(F.transform("tokens", lambda t: F.lower(t)))).alias("token"))
+    scored = (field_tokens.join(matched, ["object_type", "token"])
+              .groupBy("object_type", "logical_name", "property_name", "p", "n_tokens").agg(F.count(F.lit(1)).alias("score")))
+    alt = (scored.where(F.col("score") >= F.least(F.lit(2), F.col("n_tokens")))
+           .groupBy("object_type", "logical_name")
+           .agg(F.max(F.struct("score", "p", "property_name")).getField("property_name").alias("__alt")))
+    out = (wanted.select("object_type", "logical_name", "preferred").join(pref, ["object_type", "logical_name"], "left")
+           .join(alt, ["object_type", "logical_name"], "left"))
     return out.select("object_type", "logical_name", F.coalesce("__pref", "__alt").alias("selected_property"),
                       F.array_join("preferred", ", ").alias("preferred_candidates"))
 

@@ -65,11 +65,13 @@ def source_difference(a: DataFrame, a_col: str, b: DataFrame, b_col: str, prefix
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
-    """Combine one-row aggregates side by side with an equi-join on a constant key."""
-    out = frames[0].withColumn("__k", F.lit(1))
+    """Combine one-row aggregates side by side: each extra frame is one packed scalar subquery
+    (evaluated once), materialised as plain columns of the first frame's row."""
+    out = frames[0]
     for f in frames[1:]:
-        out = out.join(f.withColumn("__k", F.lit(1)), "__k")
-    return out.drop("__k")
+        packed = f.select(F.struct(*f.columns).alias("s")).scalar()
+        out = out.select("*", *[packed.getField(c).alias(c) for c in f.columns])
+    return out
 
 
 def qa_checks(leads: DataFrame, enr: DataFrame, allocations: DataFrame, pivot_diffs: DataFrame | None,
