@@ -69,19 +69,16 @@ def executive_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:
     """Leads, paid/organic, hot/dead rows, won deals, revenue windows, close rates, days, per-lead revenue."""
     won = countable_won(fact)
     paid = as_bool(F.col("paid_lead_flag"))
-    c = contacts.agg(
-        F.countDistinct("contact_id").alias("total_leads"),
-        F.countDistinct(F.when(paid, F.col("contact_id"))).alias("paid_leads"),
-        F.count_if(F.col("lead_temperature") == "Hot").alias("hot_leads"),
-        F.count_if(F.col("lead_temperature") == "Dead").alias("dead_leads"),
-        *money_aggs(contacts, POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS),
-    )
-    f = won.agg(
-        F.countDistinct("deal_id").alias("won_deals"),
-        F.countDistinct(F.when(as_bool(F.col("paid_lead_flag")), F.col("deal_id"))).alias("paid_won_deals"),
-        F.coalesce(F.avg("days_to_close"), F.lit(0.0)).alias("average_days_to_close"),
-        *money_aggs(won, REVENUE_COLUMNS),
-    )
+    c = grouped_distinct(contacts.withColumn("__all", F.lit(0)), ["__all"], "contact_id",
+                         {"total_leads": F.lit(True), "paid_leads": paid},
+                         sums={x: money_col(contacts, x) for x in POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS},
+                         row_counts={"hot_leads": F.col("lead_temperature") == "Hot",
+                                     "dead_leads": F.col("lead_temperature") == "Dead"}).drop("__all")
+    f = grouped_distinct(won.withColumn("__all", F.lit(0)), ["__all"], "deal_id",
+                         {"won_deals": F.lit(True), "paid_won_deals": as_bool(F.col("paid_lead_flag"))},
+                         sums={x: money_col(won, x) for x in REVENUE_COLUMNS},
+                         means={"average_days_to_close": F.col("days_to_close")}).drop("__all")
+    f = f.withColumn("average_days_to_close", F.coalesce(F.col("average_days_to_close"), F.lit(0.0)))
     med = exact_median(won, "days_to_close", out="median_days_to_close")
     fs = _scalar_row(f, ["won_deals", "paid_won_deals", "average_days_to_close", *REVENUE_COLUMNS])
     m = med.select(F.col("median_days_to_close")).scalar()
@@ -149,27 +146,18 @@ def salesman_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:
     leak = (cdist.where(paid).join(paid_won_ids, ["salesman_name", "contact_id"], "left_anti")
             .where((stale >= 7) | ~as_bool(F.col("has_open_deal")))
             .groupBy("salesman_name").agg(F.countDistinct("contact_id").alias("paid_lead_leakage")))
-    c = cdist.groupBy("salesman_name").agg(
-        F.countDistinct("contact_id").alias("total_leads_assigned"),
-        F.countDistinct(F.when(paid, F.col("contact_id"))).alias("paid_leads_assigned"),
-        F.count_if(temp == "Hot").alias("hot_leads"),
-        F.count_if(temp == "Warm").alias("warm_leads"),
-        F.count_if(temp == "Cold").alias("cold_leads"),
-        F.count_if(temp == "Dead").alias("dead_leads"),
-        F.count_if(as_bool(F.col("has_open_deal"))).alias("open_leads"),
-        F.count_if(conf == "High").alias("__high"), F.count_if(conf == "Medium").alias("__med"),
-        F.count_if(conf == "Low").alias("__low"),
-        *money_aggs(cdist, POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS),
-        sum_money(F.when(temp == "Hot", F.col("open_pipeline_potential_revenue"))).alias("hot_lead_potential_revenue"),
-        sum_money(F.when(paid, F.col("open_pipeline_potential_revenue"))).alias("paid_lead_potential_revenue"),
-    )
-    f = won.groupBy("salesman_name").agg(
-        F.countDistinct("deal_id").alias("won_deals"),
-        F.countDistinct(F.when(as_bool(F.col("paid_lead_flag")), F.col("deal_id"))).alias("__paid_won"),
-        F.avg("days_to_close").alias("average_days_to_close"),
-        sum_money(F.col("revenue_attributed")).alias("actual_enrolled_revenue"),
-        *money_aggs(won, REVENUE_COLUMNS),
-    )
+    c = grouped_distinct(cdist, ["salesman_name"], "contact_id",
+                         {"total_leads_assigned": F.lit(True), "paid_leads_assigned": paid},
+                         sums={**{x: money_col(cdist, x) for x in POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS},
+                               "hot_lead_potential_revenue": F.when(temp == "Hot", F.col("open_pipeline_potential_revenue")),
+                               "paid_lead_potential_revenue": F.when(paid, F.col("open_pipeline_potential_revenue"))},
+                         row_counts={"hot_leads": temp == "Hot", "warm_leads": temp == "Warm", "cold_leads": temp == "Cold",
+                                     "dead_leads": temp == "Dead", "open_leads": as_bool(F.col("has_open_deal")),
+                                     "__high": conf == "High", "__med": conf == "Medium", "__low": conf == "Low"})
+    f = grouped_distinct(won, ["salesman_name"], "deal_id",
+                         {"won_deals": F.lit(True), "__paid_won": as_bool(F.col("paid_lead_flag"))},
+                         sums={"actual_enrolled_revenue": F.col("revenue_attributed"), **{x: money_col(won, x) for x in REVENUE_COLUMNS}},
+                         means={"average_days_to_close": F.col("days_to_close")})
     med = exact_median(won, "days_to_close", ["salesman_name"], "median_days_to_close")
     est = estimated_enrolled_revenue(cdist, fact.where(F.col("salesman_name").isNotNull()), ["salesman_name"])
     names = cdist.select("salesman_name").unionByName(fact.where(F.col("salesman_name").isNotNull()).select("salesman_name")).distinct()
