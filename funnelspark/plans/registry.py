@@ -1222,3 +1222,70 @@ def sql_executive_overview(token: str | None):
 
 ORACLE.update({"executive_overview": lambda: sql_executive_overview(None),
                "executive_overview_term": lambda: sql_executive_overview("SU2")})
+
+
+def _qa_status_sql(severity: str, count: str) -> str:
+    if severity == "Info":
+        return "'Info'"
+    return f"CASE WHEN ({count}) = 0 THEN 'Pass' ELSE 'Review' END"
+
+
+def sql_qa_checks():
+    t = O.txt
+
+    def miss(c):
+        return f"count_if({t(c)} = '')"
+
+    def dup(c):
+        v = f"nullif({c}, '')"
+        return f"(count({v}) - count(DISTINCT {v}))"
+
+    def srcs(table, col):
+        return (f"SELECT DISTINCT s FROM (SELECT {U.norm_source(col)} AS s FROM {table} WHERE {col} IS NOT NULL) "
+                f"WHERE s <> {O.q(_R.UNKNOWN_SOURCE)}")
+
+    def diff(name, a, b):
+        return f"""{name} AS (SELECT count(*) AS n, coalesce(array_to_string(list_sort(list(s) FILTER (WHERE rn <= 12)), ', '), '') AS details
+            FROM (SELECT s, row_number() OVER (ORDER BY s) AS rn FROM ({a}) x WHERE s NOT IN ({b})))"""
+
+    la = f"""la AS (SELECT {dup(t('record_id'))} AS dup_id, {dup(f"lower({t('email')})")} AS dup_email, {miss('email')} AS m_email,
+        {miss('contact_owner')} AS m_owner, {miss('lead_status')} AS m_status, {miss('lifecycle_stage')} AS m_life,
+        {miss('create_date')} AS m_create, {miss('degree')} AS m_degree,
+        count_if(coalesce(normalized_source, {O.q(_R.UNKNOWN_SOURCE)}) = {O.q(_R.UNKNOWN_SOURCE)}) AS m_lsource,
+        count_if(lower({t('lifecycle_stage')}) = 'enrolled') AS crm_enrolled FROM leads_f)"""
+    ea = f"""ea AS (SELECT {miss('term')} AS m_term, {miss('enrolled_date')} AS m_date, {miss('source')} AS m_esource,
+        count_if(TRY_CAST(CAST(revenue AS VARCHAR) AS DOUBLE) IS NULL) AS m_rev, {miss('payment_funding')} AS m_pay,
+        count_if({t('enrolled_date')} <> '' AND TRY_CAST({t('enrolled_date')} AS TIMESTAMP) IS NULL) AS bad_date,
+        count_if(CAST(days_to_enroll AS DOUBLE) < 0) AS neg_days, count(*) AS actual FROM enr)"""
+    recon_select = sql_pivot_reconciliation()[sql_pivot_reconciliation().index("SELECT 'UDR L2C'"):]
+    pv = f"pv AS (SELECT count_if(coalesce(CAST(difference AS DOUBLE), 0.0) <> 0) AS pivot_n FROM ({recon_select}))"
+    rows = [("Duplicate Record IDs", "High", "''", "la.dup_id"), ("Duplicate emails", "Medium", "''", "la.dup_email"),
+            ("Missing email", "Medium", "''", "la.m_email"), ("Missing contact owner/UDR", "High", "''", "la.m_owner"),
+            ("Missing lead status", "Medium", "''", "la.m_status"), ("Missing lifecycle stage", "Medium", "''", "la.m_life"),
+            ("Missing create date", "Medium", "''", "la.m_create"), ("Missing Degree/Program", "Low", "''", "la.m_degree"),
+            ("Missing source", "High", "''", "la.m_lsource"), ("Missing enrollment term", "High", "''", "ea.m_term"),
+            ("Missing enrolled date", "High", "''", "ea.m_date"),
+            ("Missing source", "Medium", "'Enrollment tracker source field.'", "ea.m_esource"),
+            ("Missing revenue", "Medium", "''", "ea.m_rev"), ("Missing payment/funding", "Low", "''", "ea.m_pay"),
+            ("Invalid dates", "Medium", "''", "ea.bad_date"), ("Negative days to enroll", "High", "''", "ea.neg_days"),
+            ("HubSpot CRM enrolled vs tracker actual enrolled mismatch", "Medium",
+             "'CRM enrolled=' || format('{:,}', la.crm_enrolled) || '; tracker actual=' || format('{:,}', ea.actual) || '.'",
+             "abs(la.crm_enrolled - ea.actual)"),
+            ("Budget source not found in HubSpot", "Medium", "bh.details", "bh.n"),
+            ("HubSpot source not found in budget", "Medium", "hb.details", "hb.n"),
+            ("Tracker source not found in budget", "Medium", "tb.details", "tb.n"),
+            ("Uploaded pivot totals vs recalculated raw totals", "Medium", "''", "pv.pivot_n"),
+            ("HubSpot API fetch failure", "Info", "'No token configured; static uploaded baseline is in use.'", "1"),
+            ("Stale data warning", "Info", "'Live HubSpot data has not been refreshed in this session.'", "1")]
+    sel = " UNION ALL ".join(
+        f"SELECT {O.q(chk)} AS \"check\", "
+        f"{_qa_status_sql(sev, cnt)} AS status, "
+        f"{O.q(sev)} AS severity, CAST(coalesce({cnt}, 0) AS BIGINT) AS \"count\", {det} AS details FROM la, ea, bh, hb, tb, pv"
+        for chk, sev, det, cnt in rows)
+    return _usql(sel, [la, ea, diff("bh", srcs("allocations", "source"), srcs("leads_f", "normalized_source")),
+                       diff("hb", srcs("leads_f", "normalized_source"), srcs("allocations", "source")),
+                       diff("tb", srcs("enr", "normalized_source"), srcs("allocations", "source")), pv],
+                 leads=True, enr=True, grid=True)
+
+
+ORACLE.update({"qa_checks": sql_qa_checks})
