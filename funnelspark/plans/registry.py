@@ -280,8 +280,17 @@ ORACLE: dict[str, Callable[[], str]] = {
 }
 
 
+def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """CRM timestamps are UTC: pin the session time zone before planning."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: _utc(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -524,9 +533,17 @@ def sql_paid_mix():
                 _cohort_ctes())
 
 
+_PREPARED: dict = {}
+
+
 def _prepared(spark, sf_dir):
-    s = _s(spark, sf_dir)
-    return _C.cohort_contacts(s["contacts_clean"], s["lead_deal_fact"])
+    """Prepared cohort contacts (the gold input of every cohort table), materialised once."""
+    key = (id(spark), sf_dir)
+    if key not in _PREPARED:
+        from ..session import cut_lineage
+        s = _s(spark, sf_dir)
+        _PREPARED[key] = cut_lineage(_C.cohort_contacts(s["contacts_clean"], s["lead_deal_fact"]))
+    return _PREPARED[key]
 
 
 QUERIES.update({
