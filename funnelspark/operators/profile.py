@@ -18,11 +18,12 @@ from ..functions.expr import clean_text
 
 def profile_fields(df: DataFrame, object_type: str, properties: Sequence[tuple[str, str, str]] | None = None,
                    order_col: str | None = None, samples: int = 5) -> DataFrame:
-    """Per property: non-blank count, % filled (2 dp), up to 5 sample values (first seen), usable.
-    ``properties`` = (name, label, type); default every column."""
+    """Per property: non-blank count, % filled (2 dp), up to 5 sample values (first seen by
+    ``order_col``), usable.  ``properties`` = (name, label, type); default every column."""
     props = list(properties or [(c, c, None) for c in df.columns if c != order_col])
     names = [p[0] for p in props]
-    order = F.col(order_col).cast("long") if order_col else F.monotonically_increasing_id()
+    # Row order comes from a business key (O-list); without one, samples are the smallest values.
+    order = F.col(order_col).cast("long") if order_col else F.lit(0).cast("long")
     present = [n for n in names if n in df.columns]
     stacked = df.select(order.alias("__o"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("property_name"), clean_text(F.col(n)).alias("v")) for n in present])).alias("p"))
