@@ -37,9 +37,9 @@ DEGREE_TUITION = [
     ("Associate", 585, 60, 35100, 14040, 2.0, 24, ""),
     ("Bachelor", 585, 120, 70200, 14040, 4.0, 48, ""),
     ("Master", 841, 39, 32799, 15138, 2.0, 24, ""),
-    ("Doctoral", 884, 61, 53924, 10608, 4.0, 48, "confirm actual expected duration with CalMU policy"),
+    ("Doctoral", 884, 61, 53924, 10608, 4.0, 48, "confirm actual expected duration with institution policy"),
 ]
-TUITION_SOURCE_LABEL = "calmu_published_tuition_config"
+TUITION_SOURCE_LABEL = "published_tuition_config"
 
 # --- FIXED VALUES: lead scoring terms ------------------------------------------------------
 QUALIFIED_TERMS = ["mql", "sql", "qualified", "opportunity"]

@@ -132,7 +132,7 @@ def revenue_note(df: DataFrame) -> Column:
     months = _fmt_g(F.col("program_duration_months"))
     note = strip_ws(F.coalesce(F.col("duration_note"), F.lit("")))
     src = strip_ws(F.coalesce(F.col("program_revenue_source"), F.lit(""))) if "program_revenue_source" in df.columns else F.lit("")
-    source_text = (F.when(src == R.TUITION_SOURCE_LABEL, "published CalMU tuition")
+    source_text = (F.when(src == R.TUITION_SOURCE_LABEL, "published tuition")
                    .when(src == "contact_program_total_tuition", "HubSpot contact tuition")
                    .when(src == "deal_revenue", "HubSpot deal revenue")
                    .otherwise("available tuition/revenue"))
@@ -140,7 +140,7 @@ def revenue_note(df: DataFrame) -> Column:
     return (
         F.when(level.isNull() | (level == ""), F.lit("Program duration could not be matched; update config/degree_tuition.json."))
         .when(F.coalesce(F.col("total_program_revenue"), F.lit(0.0)) <= 0, F.concat(
-            level, F.lit(" potential tuition is based on CalMU published rates over "), months,
+            level, F.lit(" potential tuition is based on published rates over "), months,
             F.lit(" months; realized revenue is not counted until a deal is won/countable.")))
         .otherwise(F.concat(level, F.lit(" revenue uses "), source_text, F.lit(" over "), months, F.lit(" months"), suffix))
     )

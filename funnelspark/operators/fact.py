@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import elapsed_days_floor, to_number
+from ..functions.rules import TUITION_SOURCE_LABEL as R_TUITION_SOURCE_LABEL
 from ..functions.scoring import score_leads
 from ..functions.tuition import add_program_revenue_fields
 from .entities import ORDER_MAX, link_order, with_owner_name
@@ -137,7 +138,7 @@ def lead_deal_fact(contacts: DataFrame, deals: DataFrame, links: DataFrame, owne
         "program_revenue_source": F.when(~countable_won, "not_countable_or_not_won")
         .when(contact_tuition > 0, "contact_program_total_tuition")
         .when(deal_revenue > 0, "deal_revenue")
-        .when(published > 0, "calmu_published_tuition_config")
+        .when(published > 0, R_TUITION_SOURCE_LABEL)
         .otherwise("missing_revenue"),
     })
     fact = add_program_revenue_fields(fact, total_col="program_revenue_input")

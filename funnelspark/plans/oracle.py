@@ -448,7 +448,7 @@ def silver_ctes() -> list[str]:
         CASE WHEN NOT (revenue_countable AND is_won) THEN 0.0 WHEN {ct} > 0 THEN {ct} WHEN {dr} > 0 THEN {dr} ELSE {pub} END
           AS program_revenue_input,
         CASE WHEN NOT (revenue_countable AND is_won) THEN 'not_countable_or_not_won' WHEN {ct} > 0 THEN 'contact_program_total_tuition'
-             WHEN {dr} > 0 THEN 'deal_revenue' WHEN {pub} > 0 THEN 'calmu_published_tuition_config' ELSE 'missing_revenue' END
+             WHEN {dr} > 0 THEN 'deal_revenue' WHEN {pub} > 0 THEN {q(R.TUITION_SOURCE_LABEL)} ELSE 'missing_revenue' END
           AS program_revenue_source,
         {flevel} AS __flevel
       FROM f1 LEFT JOIN owner_names ON owner_names.oid = f1.salesman_id)""")
