@@ -1306,3 +1306,42 @@ def sql_qa_checks():
 
 
 ORACLE.update({"qa_checks": sql_qa_checks})
+
+
+def sql_choose_field_mapping():
+    rows = []
+    for obj, fields in _R.DASHBOARD_FIELDS.items():
+        for name, pref in fields.items():
+            toks = _R.SEARCH_HINTS.get(name) or name.split("_")
+            rows.append(f"({O.q(obj)}, {O.q(name)}, [{', '.join(O.q(p) for p in pref)}]::VARCHAR[], "
+                        f"[{', '.join(O.q(t.lower()) for t in toks)}]::VARCHAR[], {len(toks)})")
+    wanted = f"wanted AS (SELECT * FROM (VALUES {', '.join(rows)}) w(object_type, logical_name, preferred, tokens, n_tokens))"
+    inv = "inv AS (SELECT * FROM prof WHERE usable)"
+    prof_sql = sql_profile_fields()
+    prof_select = prof_sql[prof_sql.index("SELECT 'contact' AS object_type"):]
+    prof_ctes = [f"prof AS ({prof_select})"]
+    hay = "replace(lower(i.property_name || ' ' || coalesce(i.label, '')), '_', ' ')"
+    return _sql(f"""SELECT w.object_type, w.logical_name, coalesce(p.prop, a.prop) AS selected_property,
+        array_to_string(w.preferred, ', ') AS preferred_candidates
+      FROM wanted w
+      LEFT JOIN (SELECT object_type, logical_name, prop FROM (SELECT w.object_type, w.logical_name, i.property_name AS prop,
+            row_number() OVER (PARTITION BY w.object_type, w.logical_name ORDER BY list_position(w.preferred, i.property_name)) AS rn
+          FROM wanted w JOIN inv i ON i.object_type = w.object_type AND list_position(w.preferred, i.property_name) > 0) WHERE rn = 1) p
+        ON p.object_type = w.object_type AND p.logical_name = w.logical_name
+      LEFT JOIN (SELECT object_type, logical_name, prop FROM (SELECT w.object_type, w.logical_name, i.property_name AS prop,
+            row_number() OVER (PARTITION BY w.object_type, w.logical_name
+              ORDER BY len(list_filter(list_distinct(w.tokens), lambda t: contains({hay}, t))) DESC,
+                       coalesce(i.percent_filled, 0.0) DESC, i.property_name DESC) AS rn
+          FROM wanted w JOIN inv i ON i.object_type = w.object_type
+          WHERE len(list_filter(list_distinct(w.tokens), lambda t: contains({hay}, t))) >= least(2, w.n_tokens)) WHERE rn = 1) a
+        ON a.object_type = w.object_type AND a.logical_name = w.logical_name""",
+                [_profile_u_cte(), *prof_ctes, wanted, inv])
+
+
+def _profile_u_cte() -> str:
+    cols = ", ".join(RAW_CONTACT_COLUMNS)
+    return (f"""u AS (SELECT __o, property_name, {O.txt('v')} AS v FROM (UNPIVOT (SELECT CAST(hs_object_id AS BIGINT) AS __o, {cols}
+            FROM raw_contacts) ON COLUMNS(* EXCLUDE (__o)) INTO NAME property_name VALUE v) WHERE {O.txt('v')} <> '')""")
+
+
+ORACLE.update({"choose_field_mapping": sql_choose_field_mapping})
