@@ -1345,3 +1345,18 @@ def _profile_u_cte() -> str:
 
 
 ORACLE.update({"choose_field_mapping": sql_choose_field_mapping})
+
+
+def sql_status_before_enrollment():
+    parts = []
+    for col, label in [("lead_status", "lead status"), ("final_lead_status", "final lead status"),
+                       ("lifecycle_stage", "lifecycle stage"), ("enrollment_status", "enrollment status")]:
+        v = f"CASE WHEN {O.txt_na(col)} = '' THEN 'Unknown' ELSE {O.txt_na(col)} END"
+        parts.append(f"""(SELECT {O.q(label)} AS "status field", status, leads, share FROM (
+            SELECT status, leads, {O.safe_div('leads', 'sum(leads) OVER ()')} AS share FROM (
+              SELECT {v} AS status, count(DISTINCT contact_id) AS leads FROM cpp WHERE cohort_is_enrolled GROUP BY 1))
+            ORDER BY leads DESC, status LIMIT 10)""")
+    return _sql(" UNION ALL ".join(parts), _cohort_ctes())
+
+
+ORACLE.update({"status_before_enrollment": sql_status_before_enrollment})
