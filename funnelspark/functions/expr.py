@@ -195,11 +195,15 @@ def with_parsed_datetimes(df: DataFrame, names: Sequence[str]) -> DataFrame:
     todo = [n for n in present if n not in typed]
     out = {n: F.col(n).cast("timestamp") for n in typed}
     switches = epoch_ms_switch(df, todo)
-    for name in todo:
+    if todo:
+        # Bind the one-row decision once as a column so the scalar subquery is planned (and
+        # executed) once, not once per parsed column.
+        df = df.withColumn("__t2", F.struct(*[switches[n].alias(f"m{i}") for i, n in enumerate(todo)]))
+    for i, name in enumerate(todo):
         num = as_text(F.col(name)).try_cast("double")
         as_ms = F.timestamp_micros((num * F.lit(1000.0)).cast("long"))
-        out[name] = F.when(switches[name], as_ms).otherwise(parse_datetime_text(F.col(name)))
-    return df.withColumns(out) if out else df
+        out[name] = F.when(F.col(f"__t2.m{i}"), as_ms).otherwise(parse_datetime_text(F.col(name)))
+    return (df.withColumns(out).drop("__t2") if todo else df.withColumns(out)) if out else df
 
 
 def parse_datetime_text(c: Column) -> Column:

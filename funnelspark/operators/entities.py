@@ -142,6 +142,8 @@ def deals_clean(raw: DataFrame, mapping: Mapping | None = None) -> DataFrame:
     flags = df.agg(F.struct(
         F.coalesce(F.max(has_text(F.col("__closed_won"))), F.lit(False)).alias("won"),
         F.coalesce(F.max(has_text(F.col("__closed"))), F.lit(False)).alias("closed"))).scalar()
+    df = df.withColumn("__flags", flags)  # one subquery reference for both switches
+    flags = F.col("__flags")
     stage = F.lower(F.coalesce(as_text(F.col("deal_stage")), F.lit("")))
     is_won = F.when(flags.getField("won"), as_bool(F.col("__closed_won"))).otherwise(stage.contains("won"))
     df = df.withColumns({
@@ -150,7 +152,7 @@ def deals_clean(raw: DataFrame, mapping: Mapping | None = None) -> DataFrame:
     })
     df = df.withColumn("is_lost", F.when(flags.getField("closed"), as_bool(F.col("__closed")) & ~F.col("is_won"))
                        .otherwise(stage.contains("lost")))
-    return df.drop("__mapped_revenue", "__closed_won", "__closed")
+    return df.drop("__mapped_revenue", "__closed_won", "__closed", "__flags")
 
 
 def _first_text(raw: DataFrame, fields: list[str]) -> Column:
