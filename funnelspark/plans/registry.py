@@ -1360,3 +1360,20 @@ def sql_status_before_enrollment():
 
 
 ORACLE.update({"status_before_enrollment": sql_status_before_enrollment})
+
+
+def sql_enrollment_inputs():
+    meds = [("cohort_days_to_first_contact", "median days to first contact"),
+            ("cohort_sales_touches_to_enroll", "median number of touches"),
+            ("cohort_days_to_enroll", "median days to enrollment")]
+    parts = [f"SELECT {O.q(label)} AS metric, CAST(CAST(median({c}) AS DOUBLE) AS VARCHAR) AS value FROM cpp "
+             f"WHERE cohort_is_enrolled HAVING count({c}) > 0" for c, label in meds]
+    for c, label in [("source_group", "most common source"), ("paid_vendor", "most common vendor"),
+                     ("program", "most common program"), ("salesman_name", "most common salesman path")]:
+        v = f"CASE WHEN {O.txt_na(c)} = '' THEN 'Unknown' ELSE {O.txt_na(c)} END"
+        parts.append(f"""SELECT {O.q(label)} AS metric, v AS value FROM (SELECT v, row_number() OVER (ORDER BY n DESC, v) AS rn
+            FROM (SELECT {v} AS v, count(*) AS n FROM cpp WHERE cohort_is_enrolled GROUP BY 1)) WHERE rn = 1""")
+    return _sql(" UNION ALL ".join(parts), _cohort_ctes())
+
+
+ORACLE.update({"enrollment_inputs": sql_enrollment_inputs})
