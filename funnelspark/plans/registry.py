@@ -1377,3 +1377,25 @@ def sql_enrollment_inputs():
 
 
 ORACLE.update({"enrollment_inputs": sql_enrollment_inputs})
+
+
+def sql_student_profile():
+    src = {"degree_level": "degree_level_resolved"}
+    money = {"estimated_total_tuition", "actual_revenue", "potential_revenue"}
+    parts = []
+    for col, label in _J.PROFILE_FIELDS:
+        c = src.get(col, col)
+        if col in money:
+            v = f"'$' || format('{{:,.0f}}', coalesce(CAST({c} AS DOUBLE), 0.0))"
+        elif col == "paid_lead_flag":
+            v = f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+        else:
+            v = O.txt(c)
+        parts.append(f"SELECT contact_id, {O.q(label)} AS \"Field\", {v} AS \"Value\" FROM pc")
+    pc = f"""pc AS (SELECT c.*, coalesce(r.actual_revenue, 0.0) AS actual_revenue FROM contacts_clean c
+        LEFT JOIN (SELECT {O.txt('contact_id')} AS cid, {O.money_sum('revenue_attributed')} AS actual_revenue FROM lead_deal_fact
+                   WHERE {O.txt('contact_id')} <> '' GROUP BY 1) r ON r.cid = c.contact_id WHERE c.contact_id IS NOT NULL)"""
+    return _sql(" UNION ALL ".join(parts), [pc])
+
+
+ORACLE.update({"student_profile": sql_student_profile})
