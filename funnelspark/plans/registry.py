@@ -1399,3 +1399,22 @@ def sql_student_profile():
 
 
 ORACLE.update({"student_profile": sql_student_profile})
+
+
+# Named entities spelled out for the SQL side of html_to_text (the Spark side unescapes every
+# HTML entity); the driver pages use only these.  '&amp;' is replaced last so that '&amp;quot;'
+# becomes '&quot;', as a single left-to-right unescape does.
+SQL_HTML_ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
+                     ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+
+
+def sql_html_to_text():
+    t = "regexp_replace(regexp_replace(html, '<(br|p|div|li|tr|h[1-6])[^>]*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
+    for ent, ch in SQL_HTML_ENTITIES:
+        t = f"replace({t}, {O.q(ent)}, {O.q(ch)})"
+    # HTML5 also decodes the legacy '&amp' without a semicolon (e.g. a truncated title).
+    t = f"regexp_replace({t}, '&amp([^;]|$)', '&\\1', 'g')"
+    return f"SELECT page_id, {t} AS text FROM pages"
+
+
+ORACLE.update({"html_to_text": sql_html_to_text})
