@@ -54,3 +54,18 @@ def sanitize_frame(df: DataFrame, maps: Mapping[str, DataFrame], order_col: str
     for col, mapping in maps.items():
         out = apply_label_map(out, mapping, [col])
     return out
+
+
+def public_baseline(tables: Mapping[str, DataFrame], maps: Mapping[str, DataFrame], order_cols: Mapping[str, str] | None = None,
+                    folder: str | None = None) -> DataFrame:
+    """Sanitise every table (``sanitize_frame``), optionally write them under ``folder``, and
+    return the metadata rows (table, rows) of what was published."""
+    order_cols = dict(order_cols or {})
+    out = None
+    for name, df in tables.items():
+        clean = sanitize_frame(df, {c: m for c, m in maps.items() if c in df.columns}, order_cols.get(name))
+        if folder:
+            clean.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")
+        row = clean.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out

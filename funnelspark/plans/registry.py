@@ -1418,3 +1418,18 @@ def sql_html_to_text():
 
 
 ORACLE.update({"html_to_text": sql_html_to_text})
+
+
+def q_public_baseline(spark, d):
+    leads, enr = _leads(spark, d), _enr(spark, d)
+    alloc = _grid(spark, d)[1]
+    udr_map = _PR.label_pseudonyms([(leads, ["contact_owner"]), (enr, ["udr"]), (alloc, ["budget_name"])], "UDR", keep=["Unassigned"])
+    return _PR.public_baseline({"udr_leads": leads, "enrollments": enr, "budget_allocations": alloc},
+                               {"contact_owner": udr_map, "udr": udr_map, "budget_name": udr_map},
+                               {"enrollments": "row_key"})
+
+
+QUERIES.update({"public_baseline": q_public_baseline})
+ORACLE.update({"public_baseline": lambda: _usql(
+    "SELECT 'udr_leads' AS \"table\", count(*) AS \"rows\" FROM leads_f UNION ALL SELECT 'enrollments', count(*) FROM enr "
+    "UNION ALL SELECT 'budget_allocations', count(*) FROM allocations", leads=True, enr=True, grid=True)})
