@@ -19,8 +19,8 @@ Method: universe partition with the pigeonhole principle.
 * Candidates are verified exactly on the sets.
 
 Equal texts are merged first.  Candidates are not expanded inside large groups: each set is first
-verified against one centre, then only pairs whose ends lie in different classes so far are verified
-(all of those), so every link between different classes is found and classes are exact.
+verified against one centre; then sets are compared with whole blocks of sets, and only where
+their classes differ so far, so every link between different classes is found and classes are exact.
 
 Defined cases: null and empty texts have empty sets and are linked with nothing; with fewer words than
 n the whole sequence is one shingle; rows with equal ids and texts are one document, rows with equal
@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ SMALL_SET = 64
 SPARE, SPARE_LEAST = 1.25, 12
 #: Tokens handled at once inside a task.
 SLICE_TOKENS = 200_000
+#: Sets in a block, sets compared with a block at once, rows of one Python call.
+BLOCK_SETS, BLOCK_ASKS, BIN_ROWS = 512, 2_000, 5_000
 OWN, BELOW, OWN_LESS, BELOW_LESS, ASK_LESS, HEAD = range(6)
 SIGNATURES = "sig long, node long, kind tinyint, head struct<n:int,total:int,cover:int>"
 
@@ -174,6 +177,26 @@ def signatures(sets: DataFrame, percent: int = PERCENT, seed: int = 0) -> DataFr
     return sets.mapInArrow(run, SIGNATURES)
 
 
+def links_between(queries: pd.DataFrame, block: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """(query, member) for each query and each other class of which a member of the block is similar enough."""
+    size = np.array([len(x) for x in block["t_set"]], dtype=np.int64)
+    tokens = np.concatenate([np.asarray(x, dtype=np.int64) for x in block["t_set"]]) if len(size) else np.zeros(0, np.int64)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(size)), size)[order]
+    node, label = block["t_node"].to_numpy(), block["t_label"].to_numpy()
+    out = []
+    for q, q_label, q_set in zip(queries["q_node"], queries["q_label"], queries["q_set"], strict=True):
+        q_set = np.asarray(q_set, dtype=np.int64)
+        first, last = np.searchsorted(tokens, q_set, "left"), np.searchsorted(tokens, q_set, "right")
+        span = last - first
+        hits = np.repeat(first - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+        common = np.bincount(owner[hits], minlength=len(size))
+        good = np.flatnonzero((100 * common >= percent * (size + len(q_set) - common)) & (label != q_label))
+        _, one = np.unique(label[good], return_index=True)
+        out += [(int(q), int(node[i])) for i in good[one]]
+    return out
+
+
 class JaccardJoin:
     """The join over one table; ``classes()`` gives its result, one row per document."""
 
@@ -236,49 +259,69 @@ class JaccardJoin:
         open_ = open_.filter("take > 0")
         ranked = asks.join(open_, "node").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("cost", "sig")))
         asked = stored(ranked.filter("short or r <= take").select("sig", F.col("node").alias("x"), F.col("n").alias("xn"), "kind", "short"), f"{self.folder}/asked")
-        wanted = asked.select("sig").distinct()
-        held = (shared.filter(F.col("kind") < ASK_LESS).join(wanted, "sig", "left_semi").select("sig", F.col("node").alias("y"), F.col("kind").alias("yk")).distinct()
-                .join(heads.select(F.col("node").alias("y"), F.col("n").alias("yn")), "y"))
-        held = stored(held, f"{self.folder}/held")
-        nodes = asked.select(F.col("x").alias("node")).unionByName(held.select(F.col("y").alias("node"))).distinct()
-        sets = self._sets(self.singles.join(checked_small(nodes), "node", "left_semi"))
+        wanted = asked.groupBy("sig").agg(F.max("short").alias("short"))
+        members = shared.filter(F.col("kind") != HEAD).join(wanted, "sig").filter(F.col("kind").isin(OWN, BELOW) | F.col("short"))
+        members = stored(members.select("sig", "node").distinct(), f"{self.folder}/members")
+        sets = self._sets(self.singles.join(checked_small(members.select("node").distinct()), "node", "left_semi"))
         sets = stored(sets.dropDuplicates(["node"]) if self.repeats or self._has_repeated_rows() else sets, f"{self.folder}/sets")
 
-        centre = held.filter(F.col("yk").isin(OWN, BELOW)).groupBy("sig").agg(F.min_by(F.struct("y", "yn"), "y").alias("c"))
-        near = asked.join(centre, "sig").filter("x != c.y").select("x", F.col("c.y").alias("y")).filter("x != y")
-        best = near.groupBy("x", "y").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("y", F.struct("k", -F.col("y"))).alias("y"))
-        links = stored(self._verified(best, sets), f"{self.folder}/links0")
+        # first against one centre: of each signature the set with the largest share of common segments
+        share = members.groupBy("node").agg(F.count("*").alias("k")).join(heads, "node").select("node", (F.col("k") / F.col("n")).alias("share"))
+        centre = members.join(share, "node").groupBy("sig").agg(F.max_by("node", F.struct("share", -F.col("node"))).alias("centre"))
+        best = members.join(centre, "sig").groupBy("node", "centre").agg(F.count("*").alias("k"))
+        best = stored(best.groupBy("node").agg(F.max_by("centre", F.struct("k", -F.col("centre"))).alias("centre")), f"{self.folder}/best")
+        pairs = best.filter("node != centre").select(F.greatest("node", "centre").alias("x"), F.least("node", "centre").alias("y")).distinct()
+        links = stored(self._verified(pairs, sets), f"{self.folder}/links0")
         labels = stored(components(links, f"{self.folder}/cc0"), f"{self.folder}/labels0")
-        rest = self._between(asked, held, labels)
-        more = stored(self._verified(rest, sets), f"{self.folder}/links1")
+        more = stored(self._between(members, best, sets, labels), f"{self.folder}/links1")
         return links.unionByName(more)
 
     def _has_repeated_rows(self) -> bool:
         return not self.rows.groupBy("node").count().filter("count > 1").isEmpty()
 
-    def _between(self, asked: DataFrame, held: DataFrame, labels: DataFrame) -> DataFrame:
-        """Distinct candidate pairs (x, y) whose ends lie in different classes.
+    def _between(self, members: DataFrame, best: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between sets that share a signature and lie in different classes so far.
 
-        Of every signature the class with most members is set apart, and pairs are only made with a
-        member outside it, so a large class costs its size and not its square.
+        Sets are dealt into blocks of about BLOCK_SETS by their centre.  Of every signature the class
+        with most members is set apart; the members outside it are compared with all blocks that hold
+        the signature.  A row stands for a set and a block, never for a pair, and a set reports one
+        link per block and class.
         """
-        def labelled(df: DataFrame, col: str) -> DataFrame:
-            mark = labels.select(F.col("node").alias(col), F.col("label").alias(f"l{col}"))
-            return df.join(mark, col, "left").withColumn(f"l{col}", F.coalesce(f"l{col}", col))
-
-        held, asked = labelled(held, "y"), labelled(asked, "x")
-        per = held.select("sig", F.col("ly").alias("l"), F.lit(1).alias("k")).unionByName(asked.select("sig", F.col("lx").alias("l"), F.lit(1).alias("k")))
-        per = per.groupBy("sig", "l").agg(F.sum("k").alias("k")).groupBy("sig").agg(
-            F.max_by("l", F.struct("k", "l")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
-        per = stored(per, f"{self.folder}/mains")
-        held = stored(held.join(per, "sig"), f"{self.folder}/held_open").drop("main")
-        asked = stored(asked.join(per, "sig"), f"{self.folder}/asked_open")
-        fits = ((F.col("lx") != F.col("ly")) & (F.col("yn") <= F.col("xn")) & (100 * F.col("yn") >= self.percent * F.col("xn"))
-                & (F.col("short") | F.col("yk").isin(OWN, BELOW)))
-        minor = asked.filter("lx != main").join(held, "sig").filter(fits).select("x", "y")
-        major = asked.filter("lx = main").join(held.withColumnRenamed("sig", "s").join(per, F.col("s") == F.col("sig")).filter("ly != main")
-                                               .drop("main", "s"), "sig").filter(fits).select("x", "y")
-        return minor.unionByName(major).distinct()
+        named = best.join(labels, "node", "left").select("node", "centre", F.coalesce("label", "node").alias("label"))
+        chunks = named.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("chunks"))
+        named = named.join(chunks, "centre").withColumn("block", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("chunks"))))
+        named = stored(named.select("node", "label", "block"), f"{self.folder}/named")
+        held = members.join(named, "node")
+        main = held.groupBy("sig", "label").agg(F.count("*").alias("k")).groupBy("sig").agg(
+            F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
+        held = stored(held.join(main, "sig"), f"{self.folder}/held")
+        places = held.groupBy("sig", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        asks = held.filter("label != main").select("sig", "node", "label")
+        asks = asks.join(places, "sig").filter("lo != label or hi != label").select("node", "label", F.col("block").alias("at")).distinct()
+        asks = stored(asks, f"{self.folder}/asks")
+        rounds = asks.groupBy("at").agg(F.count("*").alias("k"), F.ceil(F.count("*") / BLOCK_ASKS).cast("long").alias("rounds"))
+        totals = rounds.agg(F.sum("k"), F.sum("rounds")).first()
+        bins = max(1, -(-((totals[0] or 0) + BLOCK_SETS * (totals[1] or 0)) // BIN_ROWS))
+
+        def binned(df: DataFrame, p: str) -> DataFrame:
+            own = df.select(*[F.col(c).alias(p + c) for c in ("at", "round", "node", "label", "set")])
+            return own.withColumn(f"{p}bin", F.pmod(F.xxhash64(f"{p}at", f"{p}round"), F.lit(bins)))
+
+        left = asks.join(rounds.drop("k"), "at").withColumn("round", F.pmod(F.xxhash64("node"), F.col("rounds"))).drop("rounds")
+        left = binned(left.join(sets, "node"), "q_")
+        right = named.join(rounds.drop("k"), named["block"] == rounds["at"]).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
+        right = binned(right.join(sets, "node"), "t_")
+        percent = self.percent
+
+        def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            targets = dict(tuple(held.groupby(["t_at", "t_round"])))
+            out: list[tuple[int, int]] = []
+            for key, queries in asked.groupby(["q_at", "q_round"]):
+                if key in targets:
+                    out += links_between(queries, targets[key], percent)
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        return left.groupBy("q_bin").cogroup(right.groupBy("t_bin")).applyInPandas(compare, "a long, b long")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (x, y) that reach the threshold, as links (a, b)."""
