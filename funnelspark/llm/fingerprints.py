@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from funnelspark.llm.common import lower_ascii, words
 
@@ -54,7 +55,7 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash_udf(hashes: pd.Series) -> pd.Series:
     return pd.Series([simhash(np.asarray(h)) if h is not None and len(h) else 0 for h in hashes], dtype="int64")
 
