@@ -287,17 +287,26 @@ class JaccardJoin:
         the signature.  A row stands for a set and a block, never for a pair, and a set reports one
         link per block and class.
         """
-        named = best.join(labels, "node", "left").select("node", "centre", F.coalesce("label", "node").alias("label"))
-        chunks = named.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("chunks"))
+        above = best.select(F.col("node").alias("centre"), F.col("centre").alias("root"))  # a centre may prefer another one
+        named = best.join(above, "centre").select("node", F.col("root").alias("centre"))
+        named = named.join(labels, "node", "left").select("node", "centre", F.coalesce("label", "node").alias("label"))
+        chunks = named.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("chunks"))
         named = named.join(chunks, "centre").withColumn("block", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("chunks"))))
-        named = stored(named.select("node", "label", "block"), f"{self.folder}/named")
+        named = stored(named, f"{self.folder}/named")
         held = members.join(named, "node")
         main = held.groupBy("sig", "label").agg(F.count("*").alias("k")).groupBy("sig").agg(
             F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
         held = stored(held.join(main, "sig"), f"{self.folder}/held")
-        places = held.groupBy("sig", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        asks = held.filter("label != main").select("sig", "node", "label")
-        asks = asks.join(places, "sig").filter("lo != label or hi != label").select("node", "label", F.col("block").alias("at")).distinct()
+        places = held.groupBy("sig", "centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        # the centres of a signature, not its members
+        places = places.groupBy("sig").agg(F.collect_list(F.struct("centre", "lo", "hi")).alias("places"))
+        asks = held.filter("label != main").select("sig", "node", "label").join(places, "sig")
+        open_places = F.filter("places", lambda p: (p["lo"] != F.col("label")) | (p["hi"] != F.col("label")))
+        asks = asks.select("node", "label", F.transform(open_places, lambda p: p["centre"]).alias("centres"))
+        asks = asks.groupBy("node", "label").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("centres"))
+        asks = asks.select("node", "label", F.explode("centres").alias("centre"))
+        blocks = named.select(F.col("centre").alias("c"), F.col("block").alias("at")).distinct()
+        asks = asks.join(blocks, F.col("centre") == F.col("c")).select("node", "label", "at")
         asks = stored(asks, f"{self.folder}/asks")
         rounds = asks.groupBy("at").agg(F.count("*").alias("k"), F.ceil(F.count("*") / BLOCK_ASKS).cast("long").alias("rounds"))
         totals = rounds.agg(F.sum("k"), F.sum("rounds")).first()
@@ -309,7 +318,7 @@ class JaccardJoin:
 
         left = asks.join(rounds.drop("k"), "at").withColumn("round", F.pmod(F.xxhash64("node"), F.col("rounds"))).drop("rounds")
         left = binned(left.join(sets, "node"), "q_")
-        right = named.join(rounds.drop("k"), named["block"] == rounds["at"]).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
+        right = named.select("node", "label", "block").join(rounds.drop("k"), F.col("block") == F.col("at")).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
         right = binned(right.join(sets, "node"), "t_")
         percent = self.percent
 
