@@ -306,7 +306,6 @@ SEARCH_HINTS = {
 
 # --- FIXED VALUES: text jobs ----------------------------------------------------------------------
 DATA_LINE_KEYWORDS = r"(enroll|lead|applicant|start|budget|revenue|goal|source|udr|summer|week|pace|conversion)"
-DATA_LINE_LIMIT = 25
 PRICE_LINE_PATTERNS = [
     ("Certificate", r"Certificate Programs\s+\$([\d,]+)\s+(\d+)\s+\$([\d,]+)\s+\$([\d,]+)"),
     ("Associate", r"Associate Degree\s+\$([\d,]+)\s+(\d+)\s+\$([\d,]+)\s+\$([\d,]+)"),
@@ -318,3 +317,17 @@ HTML_BLOCK_TAG_PATTERN = r"(?i)<(br|p|div|li|tr|h[1-6])[^>]*>"
 
 # --- FIXED VALUES: privacy --------------------------------------------------------------------------
 PII_COLUMNS = ["first_name", "last_name", "email", "phone_number", "student", "notes", "sender"]
+# FIXED VALUES: what a published table loses, and whose labels are replaced or kept.
+PUBLISHED_DROP_COLUMNS = ["first_name", "last_name", "email", "phone_number", "record_id", "contact_owner_id", "id",
+                          "hs_object_id", "student", "notes", "sender"]
+OWNER_LABEL_COLUMNS = ["contact_owner", "udr", "budget_name", "normalized_budget_name"]
+SOURCE_LABEL_COLUMNS = ["source", "normalized_source", "paid_lead_list", "organic_lead_list", "event_attended", "campaign",
+                        "utm_source", "utm_campaign", "utm_medium"]
+PUBLIC_KEEP_VALUES = ["", "unmapped", "unknown", "missing", "nan", "none", "(blank)", "total", "starts", "start%"]
+# FIXED VALUES: raw lead headings and the logical columns they feed.
+LEAD_HEADINGS = {
+    "hs_object_id": "record_id", "firstname": "first_name", "lastname": "last_name", "hs_lead_status": "lead_status",
+    "lifecyclestage": "lifecycle_stage", "phone": "phone_number", "hubspot_owner_id": "contact_owner_id",
+    "hs_last_sales_activity_timestamp": "last_activity_date", "notes_last_updated": "last_activity_date",
+    "createdate": "create_date", "program": "degree",
+}

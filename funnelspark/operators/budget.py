@@ -7,14 +7,15 @@ grid is parsed with joins and filters, never by iterating rows on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.classify import normalize_source_value, with_normalized_source_value
-from ..functions.expr import clean_text, safe_div, strip_ws, sum_money
+from ..functions.expr import avg_exact, clean_text, safe_div, strip_ws, sum_money
 
 SPECIAL_LABELS = [("total", "Total"), ("starts", "Starts"), ("start%", "Start%")]
 SUMMARY_METRICS = ["budget", "enrolled", "starts", "start%"]
@@ -189,6 +190,18 @@ def budget_term_allocations(cells: DataFrame, dimension: str = "UDR allocation")
     return out
 
 
+def roundup_allocations(cells: DataFrame) -> DataFrame:
+    """The tracker's roundup sheet: the term rows of ``budget_term_allocations`` under the dimension 'UDR',
+    with labels as they stand, and one row per named line for its total."""
+    terms = budget_term_allocations(cells, "UDR").withColumn("source", F.col("budget_name"))
+    totals = budget_allocations(cells, "UDR").select(
+        "sheet", "budget_dimension", "budget_name", F.col("budget_name").alias("source"), F.lit(None).cast("string").alias("raw_term"),
+        F.lit("Total").alias("term"), F.lit("Total").alias("term_label"), F.lit("total").alias("term_metric"),
+        F.col("planned_budget").alias("term_value"), F.col("planned_budget").alias("term_budget"), "planned_budget",
+        "_row", F.lit(None).cast("int").alias("_col"))
+    return terms.unionByName(totals)
+
+
 def budget_allocations(cells: DataFrame, dimension: str = "UDR allocation") -> DataFrame:
     """One row per named line (not Total/Starts/Start%) that has a total in the total column."""
     rows, _ = _grid_rows(cells)
@@ -211,46 +224,48 @@ def udr_key(c: Column) -> Column:
 
 
 def _tokens(selected: Sequence[str] | None) -> list[str]:
-    """Plan-time normalisation of user-selected term labels (parameters, not data)."""
-    import re
-    out = []
-    for t in selected or []:
-        text = re.sub(r"\s+", " ", str(t).replace(" ", " ")).strip()
-        compact = re.sub(r"[\s_ -]+", "", text.upper())
-        m = re.match(r"^(SP|SU|FA)-?([12])(?:-?([AG]))?$", re.sub(r"[\s_ ]+", "", text.upper()))
-        if m:
-            out.append(m.group(1) + m.group(2))
-            continue
-        m = re.match(r"^(SP|SU|FA)([12])$", compact)
-        if m:
-            out.append(m.group(0))
-            continue
-        words = re.sub(r"[^A-Z0-9]+", " ", text.upper()).strip()
-        m = re.match(r"^(SPRING|SUMMER|FALL)\s*([12])$", words)
-        if m:
-            out.append({label.upper(): code for code, label in R.SEASON_LABELS}[m.group(1)] + m.group(2))
-    return sorted(set(out))
-
-
-def udr_budget_summary(terms: DataFrame, allocations: DataFrame, selected: Sequence[str] | None = None) -> DataFrame:
-    """Annual goals (only with no term selected) ⟗ term actual/goal pivot; per UDR key sums,
-    remaining >= 0, % of goal (T21)."""
+    """Plan-time normalisation of user-selected term labels (parameters, not data), as ``with_term_token``
+    does for data: a season code, or the label itself; blank labels are none."""
+    seasons = {label.upper(): code for code, label in R.SEASON_LABELS}
+    out = set()
+    for label in selected or []:
+        text = " ".join(str(label).replace("\u00a0", " ").split())
+        compact = re.sub(r"[\s_]+", "", text.upper()).translate({0x2013: "-", 0x2014: "-"})
+        code = re.match(TERM_HEADER_PATTERN, compact) or re.match("^(SP|SU|FA)([12])$", compact.replace("-", ""))
+        named = re.match(r"^(SPRING|SUMMER|FALL)\s*([12])$", re.sub(r"[^A-Z0-9]+", " ", text.upper()).strip())
+        if code:
+            out.add(code[1] + code[2])
+        elif named:
+            out.add(seasons[named[1]] + named[2])
+        elif text:
+            out.add(text)
+    return sorted(out)
+
+
+def udr_budget_summary(terms: DataFrame, allocations: DataFrame, selected: Sequence[str] | None = None,
+                       enr: DataFrame | None = None) -> DataFrame:
+    """Annual goals (only with no term in force) ⟗ term actual/goal pivot; per UDR key sums,
+    remaining >= 0, % of goal (T21).  With ``enr`` the ledger's only term is in force if none is selected."""
     tokens = _tokens(selected)
     names_low = F.lower(clean_text(F.col("budget_name")))
     t = with_term_token(terms.where(~names_low.isin("total", "starts", "start%")), "term", "__tok")
     if tokens:
         t = t.where(F.col("__tok").isin(tokens))
+        any_term = F.lit(True)
+    elif enr is not None:
+        one = only_term(enr)
+        t, any_term = t.where(one.isNull() | (F.col("__tok") == one)), one.isNotNull()
+    else:
+        any_term = F.lit(False)
     metric = F.lower(F.coalesce(F.col("term_metric"), F.lit("")))
     value = F.coalesce(F.col("term_value").cast("double"), F.lit(0.0))
     by_metric = (t.where(metric.isin("actual", "goal")).groupBy("budget_name")
                  .agg(sum_money(F.when(metric == "actual", value)).alias("budget_sheet_actual"),
                       sum_money(F.when(metric == "goal", value)).alias("term_goal")))
-    if tokens:
-        merged = by_metric.withColumn("budget_goal", F.col("term_goal"))
-    else:
-        annual = allocations.groupBy("budget_name").agg(sum_money(F.col("planned_budget")).alias("budget_goal"))
-        merged = annual.join(by_metric, "budget_name", "full_outer")
-    merged = merged.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ["budget_goal", "term_goal", "budget_sheet_actual"]})
+    annual = allocations.groupBy("budget_name").agg(sum_money(F.col("planned_budget")).alias("annual_goal"))
+    merged = annual.where(~any_term).join(by_metric, "budget_name", "full_outer")
+    merged = merged.withColumns({"budget_goal": F.coalesce(F.when(any_term, F.col("term_goal")).otherwise(F.col("annual_goal")), F.lit(0.0)),
+                                 "budget_sheet_actual": F.coalesce(F.col("budget_sheet_actual"), F.lit(0.0))})
     merged = merged.withColumns({"budget_udr": clean_text(F.col("budget_name")), "_udr_key": udr_key(F.col("budget_name"))})
     g = merged.groupBy("_udr_key").agg(F.min("budget_udr").alias("budget_udr"),
                                         sum_money(F.col("budget_goal")).alias("budget_goal"),
@@ -261,11 +276,11 @@ def udr_budget_summary(terms: DataFrame, allocations: DataFrame, selected: Seque
     })
 
 
-def roundup_term_stats(terms: DataFrame, selected: Sequence[str] | None) -> DataFrame:
-    """goal / actual / starts / start_rate for the selected terms, falling back from the Total row
-    to the sum of named rows (T22).  One row; NULL where a statistic is unknown."""
-    tokens = _tokens(selected)
-    t = with_term_token(terms, "term", "__tok").where(F.col("__tok").isin(tokens or ["\u0000"]))
+def term_stats(terms: DataFrame, chosen: Callable[[Column], Column]) -> DataFrame:
+    """goal / actual / starts / start_rate over the rows whose term token is ``chosen``, falling back from
+    the Total row to the sum of named rows (T22).  One row; NULL where a statistic is unknown."""
+    t = with_term_token(terms, "term", "__tok")
+    t = t.where(chosen(F.col("__tok")))
     names = F.lower(clean_text(F.col("budget_name")))
     metric = F.lower(F.coalesce(F.col("term_metric"), F.lit("")))
     v = F.col("term_value").cast("double")
@@ -283,20 +298,33 @@ def roundup_term_stats(terms: DataFrame, selected: Sequence[str] | None) -> Data
     return a.select(goal.alias("goal"), actual.alias("actual"), "starts", rate.alias("start_rate"))
 
 
+def roundup_term_stats(terms: DataFrame, selected: Sequence[str] | None) -> DataFrame:
+    """``term_stats`` of the selected terms."""
+    tokens = _tokens(selected)
+    return term_stats(terms, lambda tok: tok.isin(tokens) if tokens else F.lit(False))
+
+
 def udr_performance(leads: DataFrame, enr: DataFrame, terms: DataFrame, allocations: DataFrame,
-                    selected: Sequence[str] | None = None) -> DataFrame:
-    """Lead performance ⟗ enrollment performance ⟗ budget by UDR key; tracker vs goal; sorted."""
-    from .enrollment import enrollment_by, lead_performance_by
+                    selected: Sequence[str] | None = None, tracker_terms: DataFrame | None = None) -> DataFrame:
+    """Lead performance ⟗ enrollment performance ⟗ budget by UDR key; tracker vs goal; sorted.
+
+    Owners that share a key are added up and their rates taken from the sums.  The terms in force are
+    the selected ones or the ledger's only one; without budget terms the tracker's serve."""
+    from .enrollment import label_or, lead_performance_by
     lp = lead_performance_by(leads, "contact_owner")
     lp = lp.withColumns({"lead_udr": clean_text(F.col("contact_owner")), "_udr_key": udr_key(F.col("contact_owner"))}).drop("contact_owner")
     lp = lp.groupBy("_udr_key").agg(F.min("lead_udr").alias("lead_udr"), *[F.sum(c).alias(c) for c in [
-        "leads", "contacted_progressed", "applicants", "crm_enrolled", "bad_leads", "uncontacted_leads"]],
-        *[F.max(c).alias(c) for c in ["l2c", "l2a", "l2e", "bad_lead_rate"]])
-    ep = enrollment_by(enr, "udr")
-    ep = ep.withColumns({"tracker_udr": clean_text(F.col("udr")), "_udr_key": udr_key(F.col("udr"))}).drop("udr")
-    ep = ep.groupBy("_udr_key").agg(F.min("tracker_udr").alias("tracker_udr"), F.sum("actual_enrollments").alias("actual_enrollments"),
-                                    sum_money(F.col("revenue")).alias("revenue"), F.max("average_days_to_enroll").alias("average_days_to_enroll"))
-    bp = udr_budget_summary(terms, allocations, selected)
+        "leads", "contacted_progressed", "applicants", "crm_enrolled", "bad_leads", "uncontacted_leads"]])
+    lp = lp.withColumns({rate: safe_div(F.col(part), F.col("leads")) for rate, part in [
+        ("l2c", "contacted_progressed"), ("l2a", "applicants"), ("l2e", "crm_enrolled"), ("bad_lead_rate", "bad_leads")]})
+    owner = label_or(F.col("udr"), "Missing")
+    ep = enr.groupBy(udr_key(owner).alias("_udr_key")).agg(
+        F.min(owner).alias("tracker_udr"), F.count("student").alias("actual_enrollments"),
+        sum_money(F.col("revenue")).alias("revenue"), avg_exact(F.col("days_to_enroll")).alias("average_days_to_enroll"))
+    if tracker_terms is not None:
+        bare = terms.agg(F.count(F.lit(1)) == 0).scalar()
+        terms = terms.unionByName(tracker_terms.where(bare), allowMissingColumns=True)
+    bp = udr_budget_summary(terms, allocations, selected, enr)
     j = lp.join(ep, "_udr_key", "full_outer").join(bp, "_udr_key", "full_outer")
     udr = F.coalesce(*[F.nullif(clean_text(F.col(c)), F.lit("")) for c in ["budget_udr", "tracker_udr", "lead_udr"]], F.lit("Unassigned"))
     nums = ["leads", "contacted_progressed", "applicants", "crm_enrolled", "bad_leads", "uncontacted_leads", "actual_enrollments",
@@ -325,34 +353,20 @@ def budget_performance(leads: DataFrame, enr: DataFrame, summary: DataFrame) ->
                     safe_div(total, act).alias("cost_per_enrollment"))
 
 
-def effective_term(selected: Sequence[str] | None, enr: DataFrame) -> Column:
-    """Explicit selection (first token), else the only term label in the ledger that is a term
-    token, else NULL — a one-row scalar subquery over the distinct labels."""
+def in_effective_terms(token: Column, selected: Sequence[str] | None, enr: DataFrame) -> Column:
+    """Whether a term token is in force: any of the selected terms, or, with none selected, the only term
+    label of the ledger (no term is in force where the ledger has several)."""
     tokens = _tokens(selected)
     if tokens:
-        return F.lit(tokens[0])
-    labels = with_term_token(enr.select("term_label").distinct(), "term_label", "__tok")
-    valid = labels.where(F.col("__tok").rlike(r"^(SP|SU|FA)[12]$"))
-    return valid.agg(F.when(F.countDistinct("__tok") == 1, F.min("__tok"))).scalar()
+        return token.isin(tokens)
+    return F.coalesce(token == only_term(enr), F.lit(False))
 
 
-def term_stats_for(terms: DataFrame, token: Column) -> DataFrame:
-    """``roundup_term_stats`` for a token given as a column (NULL token -> all statistics NULL)."""
-    t = with_term_token(terms, "term", "__tok").where(F.col("__tok") == token)
-    names = F.lower(clean_text(F.col("budget_name")))
-    metric = F.lower(F.coalesce(F.col("term_metric"), F.lit("")))
-    v = F.col("term_value").cast("double")
-    named = ~names.isin("total", "starts", "start%")
-
-    def s(cond: Column) -> Column:
-        return F.when(F.count(F.when(cond, v)) > 0, F.sum(F.when(cond, v)))
-
-    a = t.agg(s((names == "total") & (metric == "goal")).alias("gt"), s((names == "total") & (metric == "actual")).alias("at"),
-              s(metric == "starts").alias("starts"), s(named & (metric == "goal")).alias("gn"),
-              s(named & (metric == "actual")).alias("an"), F.avg(F.when(metric == "start_rate", v)).alias("rate"))
-    goal, actual = F.coalesce("gt", "gn"), F.coalesce("at", "an")
-    rate = F.when(F.col("starts").isNotNull() & F.coalesce(actual != 0, F.lit(False)), F.col("starts") / actual).otherwise(F.col("rate"))
-    return a.select(goal.alias("goal"), actual.alias("actual"), "starts", rate.alias("start_rate"))
+def only_term(enr: DataFrame) -> Column:
+    """The token of the ledger's only non-blank term label, else NULL (one scalar subquery)."""
+    labels = enr.select(clean_text(F.col("term_label")).alias("term_label")).where(F.col("term_label") != "").distinct()
+    labels = with_term_token(labels, "term_label", "__tok")
+    return labels.agg(F.when(F.count(F.lit(1)) == 1, F.min("__tok"))).scalar()
 
 
 def required_weekly_pace(enr: DataFrame, remaining: Column, today) -> Column:
@@ -384,11 +398,11 @@ def executive_overview(leads: DataFrame, paid_leads: DataFrame, enr: DataFrame,
                        selected: Sequence[str] | None = None, today=None) -> DataFrame:
     """26 measures with the goal / starts / actual / start-rate precedence chain (one row).  Every
     one-row input enters once as a packed scalar subquery; derived values are columns."""
-    from ..functions.expr import avg_exact, elapsed_days_floor, sum_money, ts_literal
+    from ..functions.expr import elapsed_days_floor, ts_literal
     from .enrollment import lead_summary
     tracker_summary = budget_summary.limit(0) if tracker_summary is None else tracker_summary
     tracker_terms = budget_terms.limit(0) if tracker_terms is None else tracker_terms
-    tok = effective_term(selected, enr)
+    chosen = lambda tok: in_effective_terms(tok, selected, enr)
 
     def firsts(summ: DataFrame) -> DataFrame:
         hit = summ.withColumn("__m", F.lower(clean_text(F.col("metric"))))
@@ -399,7 +413,7 @@ def executive_overview(leads: DataFrame, paid_leads: DataFrame, enr: DataFrame,
     base = enr.agg(F.count(F.lit(1)).alias("act"), sum_money(F.col("revenue")).alias("revenue"),
                    F.coalesce(avg_exact(F.col("days_to_enroll")), F.lit(0.0)).alias("avg_days"),
                    F.max(F.col("term").cast("timestamp")).alias("last_term"))
-    row = base.select("*", *_packed(term_stats_for(budget_terms, tok), "b_"), *_packed(term_stats_for(tracker_terms, tok), "t_"),
+    row = base.select("*", *_packed(term_stats(budget_terms, chosen), "b_"), *_packed(term_stats(tracker_terms, chosen), "t_"),
                       *_packed(lead_summary(leads), "l_"), *_packed(lead_summary(paid_leads), "p_"),
                       *_packed(firsts(tracker_summary), "ts_"), *_packed(firsts(budget_summary), "bs_"))
     c = F.col

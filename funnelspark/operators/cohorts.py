@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -170,13 +170,14 @@ def cohort_comparison(prepared: DataFrame) -> DataFrame:
             .orderBy(F.col("__start").desc_nulls_last(), F.col("cohort").desc()).drop("__start"))
 
 
-def top_table(df: DataFrame, column: str, label: str, limit: int = 10) -> DataFrame:
-    """Top-N values of a column with leads, paid leads, enrolled students (the limit is the feature)."""
-    return (df.groupBy(_text_or_unknown(column).alias(label)).agg(
+def top_table(df: DataFrame, column: str, label: str, limit: int | None = None) -> DataFrame:
+    """Values of a column by falling leads with leads, paid leads, enrolled students; all of them, or the first ``limit``."""
+    out = (df.groupBy(_text_or_unknown(column).alias(label)).agg(
         F.countDistinct("contact_id").alias("leads"),
         F.count_if(as_bool(F.col("paid_lead_flag"))).alias("paid leads"),
         F.count_if(F.col("cohort_is_enrolled")).alias("enrolled students"))
-        .orderBy(F.desc("leads"), F.col(label)).limit(limit))
+        .orderBy(F.desc("leads"), F.col(label)))
+    return out if limit is None else out.limit(limit)
 
 
 def mix_table(df: DataFrame, column: str, label: str) -> DataFrame:
@@ -212,19 +213,19 @@ def enrollment_inputs(df: DataFrame) -> DataFrame:
 
 
 def status_before_enrollment(df: DataFrame) -> DataFrame:
-    """Top-10 mix over four status columns among enrolled contacts, stacked with the field label."""
+    """Mix over four status columns among enrolled contacts, stacked with the field label; ``rank``
+    counts a field's statuses by falling leads (a caller cuts where it likes)."""
     enrolled = df.where(F.col("cohort_is_enrolled"))
     parts = []
     for column, label in [("lead_status", "lead status"), ("final_lead_status", "final lead status"),
                           ("lifecycle_stage", "lifecycle stage"), ("enrollment_status", "enrollment status")]:
         if column not in enrolled.columns:
             continue
-        m = mix_table(enrolled, column, "status").limit(10)
-        parts.append(m.select(F.lit(label).alias("status field"), "status", "leads", "share"))
+        parts.append(mix_table(enrolled, column, "status").select(F.lit(label).alias("status field"), "status", "leads", "share"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("status field").orderBy(F.desc("leads"), "status")))
 
 
 def cohort_filter(df: DataFrame, filters: Mapping[str, Sequence[str]]) -> DataFrame:

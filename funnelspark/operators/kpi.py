@@ -191,7 +191,7 @@ def salesman_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:
         *[z(x, 0.0).alias(x) for x in REVENUE_COLUMNS + POTENTIAL_REVENUE_COLUMNS + PIPELINE_REVENUE_COLUMNS],
         z("total_program_revenue", 0.0).alias("revenue"),
     )
-    return out
+    return out.orderBy(F.desc("action_load"), F.desc("open_pipeline_potential_revenue"), F.desc("paid_lead_leakage"), "salesman_name")
 
 
 def paid_leads_by_source(contacts: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def paid_leads_by_source(contacts: DataFrame) -> DataFrame:
 
 def paid_leads_by_campaign(contacts: DataFrame) -> DataFrame:
     paid = contacts.where(as_bool(F.col("paid_lead_flag")) & (clean_text(F.col("utm_campaign")) != ""))
-    return paid.groupBy("utm_campaign").agg(F.countDistinct("contact_id").alias("paid_leads")).orderBy(F.desc("paid_leads"))
+    return paid.groupBy("utm_campaign").agg(F.countDistinct("contact_id").alias("paid_leads")).orderBy(F.desc("paid_leads"), "utm_campaign")
 
 
 def paid_lead_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Privacy and public-baseline sanitising.
 
-Pseudonyms are numbered over the *distinct* label set only (a global window over distinct
-labels, bounded by the label domain); frames are relabelled with an equi-join on the label.
+Pseudonyms are numbered over the *distinct* owner labels only; frames are relabelled with an
+equi-join on the label; students are numbered range by range.
 """
 
 from __future__ import annotations
@@ -12,22 +12,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.expr import clean_text
+from ..functions.expr import clean_text, sum_money
+from ..session import cut_lineage
 
 
 def redact_pii(df: DataFrame, pii=None) -> DataFrame:
     return df.drop(*[c for c in (R.PII_COLUMNS if pii is None else pii) if c in df.columns])
 
 
+def numbered(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """``df`` with the rows' numbers in the order of ``keys`` (from 1) as ``out``, without bringing all
+    rows together.
+
+    Rows are range-partitioned and stored; a task numbers one range, and the ranges' counts, added
+    up, say where each begins.  Rows with equal keys are numbered in no particular order."""
+    rows = cut_lineage(df.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id()))
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row per range
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*keys))
+    return rows.withColumn("__r", rank).join(starts, "__p").withColumn(out, F.col("__start") + F.col("__r")).drop("__p", "__r", "__start")
+
+
 def label_pseudonyms(frames: Sequence[tuple[DataFrame, Sequence[str]]], prefix: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Sorted distinct non-blank labels over (frame, columns) pairs -> '<prefix> 01', ...;
-    labels in ``keep`` are not renamed and do not consume a number."""
+    """Sorted distinct labels over (frame, columns) pairs -> '<prefix> 01', ...; labels in ``keep`` or in
+    the public keep list (case does not matter) are not renamed and take no number."""
+    stay = [*R.PUBLIC_KEEP_VALUES, *[k.lower() for k in keep]]
     parts = [f.select(clean_text(F.col(c)).alias("label")) for f, cols in frames for c in cols if c in f.columns]
     labels = parts[0]
     for p in parts[1:]:
         labels = labels.unionByName(p)
-    labels = labels.where((F.col("label") != "") & ~F.col("label").isin(list(keep))).distinct()
-    n = F.row_number().over(Window.orderBy("label"))
+    labels = labels.where(~F.lower("label").isin(stay)).distinct()
+    n = F.row_number().over(Window.orderBy("label"))  # one task over the distinct owner labels only
     return labels.select("label", F.format_string(f"{prefix} %02d", n).alias("pseudonym"))
 
 
@@ -43,29 +59,29 @@ def apply_label_map(df: DataFrame, mapping: DataFrame, columns: Sequence[str]) -
     return out
 
 
-def sanitize_frame(df: DataFrame, maps: Mapping[str, DataFrame], order_col: str | None = None) -> DataFrame:
-    """Drop PII and unnamed columns, number students ('Student 0001' in ``order_col`` order),
-    pseudonymise the mapped columns."""
-    out = df
-    if "student" in out.columns and order_col:
-        out = out.withColumn("student", F.format_string("Student %04d", F.row_number().over(Window.orderBy(order_col))))
-    out = redact_pii(out, [c for c in R.PII_COLUMNS if c != "student"])
-    out = out.drop(*[c for c in out.columns if c.startswith("unnamed")])
-    for col, mapping in maps.items():
-        out = apply_label_map(out, mapping, [col])
-    return out
+def sanitize_frame(df: DataFrame, owners: DataFrame, student_order: Sequence[str] | None = None, row_labels: DataFrame | None = None) -> DataFrame:
+    """What may be published of ``df``: private and unnamed columns go, owner, budget and source labels
+    that are owners become pseudonyms, and students become 'Student 0001', ... in that order."""
+    out = df.drop(*[c for c in df.columns if c in R.PUBLISHED_DROP_COLUMNS or c.lower().startswith("unnamed")])
+    if student_order:
+        out = numbered(out, student_order, "__student").withColumn("student", F.format_string("Student %04d", "__student")).drop("__student")
+    out = apply_label_map(out, owners, [*R.OWNER_LABEL_COLUMNS, *R.SOURCE_LABEL_COLUMNS])
+    return out if row_labels is None else apply_label_map(out, row_labels, ["row_label"])
+
+
+def public_metadata(leads: DataFrame, paid: DataFrame, enrollments: DataFrame, allocations: DataFrame, term: str = "") -> DataFrame:
+    """One row: what was published (row counts, tracker revenue, workbook term)."""
+    rows = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return enrollments.agg(F.count(F.lit(1)).alias("enrollment_rows"), sum_money(F.col("revenue").try_cast("double")).alias("tracker_revenue")).select(
+        rows(paid).alias("paid_rows"), rows(leads).alias("udr_rows"), "enrollment_rows", F.coalesce("tracker_revenue", F.lit(0.0)).alias("tracker_revenue"),
+        rows(allocations).alias("budget_allocation_rows"), F.lit(term).alias("workbook_term"))
 
 
-def public_baseline(tables: Mapping[str, DataFrame], maps: Mapping[str, DataFrame], order_cols: Mapping[str, str] | None = None,
-                    folder: str | None = None) -> DataFrame:
-    """Sanitise every table (``sanitize_frame``), optionally write them under ``folder``, and
-    return the metadata rows (table, rows) of what was published."""
-    order_cols = dict(order_cols or {})
-    out = None
-    for name, df in tables.items():
-        clean = sanitize_frame(df, {c: m for c, m in maps.items() if c in df.columns}, order_cols.get(name))
-        if folder:
-            clean.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")
-        row = clean.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
-        out = row if out is None else out.unionByName(row)
+def public_baseline(tables: Mapping[str, DataFrame], owners: DataFrame, student_orders: Mapping[str, Sequence[str]] | None = None,
+                    folder: str | None = None) -> dict[str, DataFrame]:
+    """Every table sanitised, by name; written as CSV below ``folder`` if one is given."""
+    out = {name: sanitize_frame(df, owners, (student_orders or {}).get(name)) for name, df in tables.items()}
+    if folder:
+        for name, df in out.items():
+            df.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")
     return out

@@ -1,8 +1,8 @@
 """QA checks, pivot grids and reconciliation.
 
 Each table is scanned once by a wide aggregate; check rows are produced with ``stack``.  Source
-coverage uses ``left_anti`` joins over distinct source sets, and the details list keeps only the
-first 12 names (a window over the distinct difference set), so nothing unbounded is collected.
+coverage uses ``left_anti`` joins over distinct source sets; the names are a table of their own
+(``source_coverage``) and the check rows hold their number.
 """
 
 from __future__ import annotations
@@ -52,16 +52,20 @@ def _rows(agg: DataFrame, specs: Sequence[tuple[str, str, str, Column]]) -> Data
     return agg.select(F.explode(F.array(*cols)).alias("r")).select("r.*")
 
 
-def source_difference(a: DataFrame, a_col: str, b: DataFrame, b_col: str, prefix: str, keep: int = 12) -> DataFrame:
-    """One row: number of normalised sources in ``a`` but not in ``b`` and the first ``keep`` names."""
-    def sources(df, col):
-        n = normalize_source_value(F.col(col))
-        return df.where(F.col(col).isNotNull()).select(n.alias("s")).where(F.col("s") != R.UNKNOWN_SOURCE).distinct()
-    diff = sources(a, a_col).join(sources(b, b_col), "s", "left_anti")
-    ranked = diff.withColumn("__rn", F.row_number().over(Window.orderBy("s")))
-    return ranked.agg(F.count(F.lit(1)).alias(f"{prefix}_n"),
-                      F.coalesce(F.array_join(F.array_sort(F.collect_list(F.when(F.col("__rn") <= keep, F.col("s")))), ", "),
-                                 F.lit("")).alias(f"{prefix}_details"))
+def known_sources(df: DataFrame, col: str) -> DataFrame:
+    """Distinct normalised sources (``s``) of a column, the unknown one left out."""
+    return df.where(F.col(col).isNotNull()).select(normalize_source_value(F.col(col)).alias("s")).where(F.col("s") != R.UNKNOWN_SOURCE).distinct()
+
+
+def source_coverage(leads: DataFrame, enr: DataFrame, allocations: DataFrame) -> DataFrame:
+    """(check, source): every source of one table that another lacks, one row each, uncut."""
+    crm, budget, tracker = known_sources(leads, "normalized_source"), known_sources(allocations, "source"), known_sources(enr, "normalized_source")
+    out = None
+    for check, a, b in [("Budget source not found in HubSpot", budget, crm), ("HubSpot source not found in budget", crm, budget),
+                        ("Tracker source not found in budget", tracker, budget)]:
+        part = a.join(b, "s", "left_anti").select(F.lit(check).alias("check"), F.col("s").alias("source"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
@@ -88,12 +92,13 @@ def qa_checks(leads: DataFrame, enr: DataFrame, allocations: DataFrame, pivot_di
     enr_agg = enr.agg(
         missing_count(F.col("term")).alias("m_term"), missing_count(F.col("enrolled_date")).alias("m_date"),
         missing_count(F.col("source")).alias("m_esource"), F.count_if(F.col("revenue").cast("string").try_cast("double").isNull()).alias("m_rev"),
-        missing_count(F.col("payment_funding")).alias("m_pay"), invalid_date_count(F.col("enrolled_date").cast("string")).alias("bad_date"),
+        missing_count(F.col("payment_funding")).alias("m_pay"), invalid_date_count(F.col("enrolled_date_text")).alias("bad_date"),
         F.count_if(F.col("days_to_enroll").cast("double") < 0).alias("neg_days"), F.count(F.lit(1)).alias("actual"))
-    frames = [lead_agg, enr_agg,
-              source_difference(allocations, "source", leads, "normalized_source", "bh"),
-              source_difference(leads, "normalized_source", allocations, "source", "hb"),
-              source_difference(enr, "normalized_source", allocations, "source", "tb")]
+    n_of = lambda check: F.count_if(F.col("check") == check)
+    gaps = source_coverage(leads, enr, allocations).agg(
+        n_of("Budget source not found in HubSpot").alias("bh_n"), n_of("HubSpot source not found in budget").alias("hb_n"),
+        n_of("Tracker source not found in budget").alias("tb_n"))
+    frames = [lead_agg, enr_agg, gaps]
     if pivot_diffs is not None:
         frames.append(pivot_diffs.agg(F.count_if(F.coalesce(F.col("difference").cast("double"), F.lit(0.0)) != 0).alias("pivot_n")))
     row = _one_row(*frames)
@@ -111,14 +116,14 @@ def qa_checks(leads: DataFrame, enr: DataFrame, allocations: DataFrame, pivot_di
         ("HubSpot CRM enrolled vs tracker actual enrolled mismatch", "Medium",
          F.concat(F.lit("CRM enrolled="), F.format_number(c("crm_enrolled"), 0), F.lit("; tracker actual="),
                   F.format_number(c("actual"), 0), F.lit(".")), F.abs(c("crm_enrolled") - c("actual"))),
-        ("Budget source not found in HubSpot", "Medium", c("bh_details"), c("bh_n")),
-        ("HubSpot source not found in budget", "Medium", c("hb_details"), c("hb_n")),
-        ("Tracker source not found in budget", "Medium", c("tb_details"), c("tb_n")),
+        ("Budget source not found in HubSpot", "Medium", "", c("bh_n")),
+        ("HubSpot source not found in budget", "Medium", "", c("hb_n")),
+        ("Tracker source not found in budget", "Medium", "", c("tb_n")),
     ]
     if pivot_diffs is not None:
         specs.append(("Uploaded pivot totals vs recalculated raw totals", "Medium", "", c("pivot_n")))
     if state.get("error"):
-        specs.append(("HubSpot API fetch failure", "High", str(state["error"])[:220], F.lit(1)))
+        specs.append(("HubSpot API fetch failure", "High", str(state["error"]), F.lit(1)))
     elif not state.get("token_present"):
         specs.append(("HubSpot API fetch failure", "Info", "No token configured; static uploaded baseline is in use.", F.lit(1)))
     else:

@@ -34,15 +34,16 @@ def html_to_text(pages: DataFrame, html_col: str = "html", out: str = "text") ->
 
 
 def extract_data_lines(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
-                       limit: int = R.DATA_LINE_LIMIT) -> DataFrame:
-    """Lines holding a digit and a keyword, whitespace collapsed, first ``limit`` per document
-    (the limit is the feature).  Lines keep their position so 'first' is the text order."""
+                       limit: int | None = None) -> DataFrame:
+    """Lines holding a digit and a keyword, whitespace collapsed, numbered in text order;
+    every line, or the first ``limit`` of each document."""
     lines = docs.select(key, F.posexplode(F.split(F.col(text_col), LINE_BREAKS)).alias("pos", "raw"))
     keep = F.col("raw").rlike(r"\p{Nd}") & F.col("raw").rlike("(?i)" + R.DATA_LINE_KEYWORDS)
     lines = lines.where(keep).select(key, "pos", F.trim(F.regexp_replace(F.col("raw"), r"\s+", " ")).alias("line"))
     lines = lines.where(F.col("line") != "")
     rn = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return lines.withColumn("line_no", rn).where(F.col("line_no") <= limit).select(key, "line_no", "line")
+    lines = lines.withColumn("line_no", rn).select(key, "line_no", "line")
+    return lines if limit is None else lines.where(F.col("line_no") <= limit)
 
 
 def price_page_text(pages: DataFrame) -> DataFrame:
@@ -66,7 +67,9 @@ def price_page_text(pages: DataFrame) -> DataFrame:
 
 def extract_price_table(pages_text: DataFrame, text_col: str = "text", key: str = "page_id") -> DataFrame:
     """Four numbers per degree level from page text (whitespace normalised, case-insensitive)."""
-    norm = F.regexp_replace(F.col(text_col), r"\s+", " ")
+    pages_text = pages_text.where(F.contains(F.col(text_col), F.lit("$")))  # no pattern matches without a price
+    pages_text = pages_text.select(key, F.regexp_replace(F.col(text_col), r"\s+", " ").alias("__norm"))
+    norm = F.col("__norm")
     num = lambda s: F.regexp_replace(s, ",", "").try_cast("long")
     rows = []
     for level, pattern in R.PRICE_LINE_PATTERNS:

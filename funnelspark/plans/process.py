@@ -4,8 +4,8 @@ raw contacts/deals/owners/links/activities -> contacts_base, deals_clean, activi
 -> contact_deal_summary (links ⋈ deals) -> enriched + scored contacts_clean -> lead_deal_fact.
 
 ``silver(spark, sf_dir)`` materialises contacts_clean, deals_clean, the fact and the events once
-per session with a reliable ``checkpoint()`` into ``spark.checkpoint.dir`` (shared storage on a
-cluster; survives executor loss) so every gold query reads the same cut lineage.
+per session as Parquet below ``spark.checkpoint.dir`` (shared storage on a cluster; survives
+executor loss), so every gold query reads only the columns it needs.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def process_crm(raw: dict[str, DataFrame], today, mapping=None, materialize=None
 
 def silver(spark: SparkSession, sf_dir: str, materialize: bool = True) -> dict[str, DataFrame]:
     """Silver tables for the CRM view over ``sf_dir`` (cached per session and folder)."""
-    key = (id(spark), sf_dir, materialize)
+    key = (spark.sparkContext.applicationId, sf_dir, materialize)
     if key in _CACHE:
         return _CACHE[key]
     tables = process_crm(crm_view.raw_crm(spark, sf_dir), crm_view.TODAY, materialize=cut_lineage if materialize else None)

@@ -514,10 +514,10 @@ def sql_cohort_comparison():
         USING (cohort)""", _cohort_ctes())
 
 
-def sql_top_table(column: str, label: str, n: int = 10):
+def sql_top_table(column: str, label: str):
     v = f"CASE WHEN {O.txt_na(column)} = '' THEN 'Unknown' ELSE {O.txt_na(column)} END"
     return _sql(f"""SELECT {v} AS "{label}", count(DISTINCT contact_id) AS leads, count_if(paid_lead_flag) AS "paid leads",
-        count_if(cohort_is_enrolled) AS "enrolled students" FROM cpp GROUP BY 1 ORDER BY leads DESC, 1 LIMIT {n}""", _cohort_ctes())
+        count_if(cohort_is_enrolled) AS "enrolled students" FROM cpp GROUP BY 1""", _cohort_ctes())
 
 
 def sql_mix_table(column: str, label: str):
@@ -538,7 +538,7 @@ _PREPARED: dict = {}
 
 def _prepared(spark, sf_dir):
     """Prepared cohort contacts (the gold input of every cohort table), materialised once."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PREPARED:
         from ..session import cut_lineage
         s = _s(spark, sf_dir)
@@ -679,8 +679,7 @@ SEARCH_QUERY = "c12"
 def sql_search_students():
     cond = " OR ".join(f"contains(lower(coalesce(CAST({c} AS VARCHAR), '')), {O.q(SEARCH_QUERY)})"
                        for c in ["student_name", "email", "phone", "contact_id"])
-    return _sql(f"""SELECT contact_id, student_name, email, contact_created_at FROM contacts_clean WHERE {cond}
-        ORDER BY contact_created_at NULLS LAST, contact_id LIMIT 50""")
+    return _sql(f"""SELECT contact_id, student_name, email, contact_created_at FROM contacts_clean WHERE {cond}""")
 
 
 def _events(spark, d):
@@ -801,7 +800,7 @@ _UPLOAD_CACHE: dict = {}
 
 
 def _landed(key, build):
-    """Uploaded spreadsheets are landed once per session (reliable checkpoint), like files."""
+    """Uploaded spreadsheets are landed once per session (Parquet below the shared folder), like files."""
     if key not in _UPLOAD_CACHE:
         from ..session import cut_lineage
         _UPLOAD_CACHE[key] = cut_lineage(build())
@@ -809,19 +808,19 @@ def _landed(key, build):
 
 
 def _leads(spark, d):
-    return _landed((id(spark), d, "leads"), lambda: _E.standardize_leads(_V.leads(spark, d), "HubSpot leads view"))
+    return _landed((spark.sparkContext.applicationId, d, "leads"), lambda: _E.standardize_leads(_V.leads(spark, d), "HubSpot leads view"))
 
 
 def _enr(spark, d):
-    return _landed((id(spark), d, "enr"), lambda: _E.standardize_enrollments(_V.enrollments(spark, d)))
+    return _landed((spark.sparkContext.applicationId, d, "enr"), lambda: _E.standardize_enrollments(_V.enrollments(spark, d)))
 
 
 _GRID_CACHE: dict = {}
 
 
 def _grid(spark, d):
-    """The landed budget grid is materialised once per session (reliable checkpoint), like a file."""
-    key = (id(spark), d)
+    """The landed budget grid is materialised once per session (Parquet below the shared folder), like a file."""
+    key = (spark.sparkContext.applicationId, d)
     if key not in _GRID_CACHE:
         from ..session import cut_lineage
         cells = cut_lineage(_V.budget_cells(spark, d))
@@ -929,18 +928,19 @@ def sql_roundup_term_stats():
         avg(CASE WHEN {m} = 'start_rate' THEN term_value END) AS rate FROM term_allocations WHERE term IN ('SU2')))""", grid=True)
 
 
-def sql_udr_performance():
+def sql_udr_performance(selected: bool = False):
     lab = f"CASE WHEN {O.txt('contact_owner')} = '' THEN 'Unmapped' ELSE {O.txt('contact_owner')} END"
     lp0 = f"lp0 AS (SELECT {U.lead_perf_cols('contact_owner')} FROM (SELECT {lab} AS contact_owner, {U.lead_metric_select([])} FROM leads_f GROUP BY 1))"
     lp = f"""lp AS (SELECT {U.udr_key_sql('contact_owner')} AS _udr_key, min({O.txt('contact_owner')}) AS lead_udr,
         sum(leads) AS leads, sum(contacted_progressed) AS contacted_progressed, sum(applicants) AS applicants,
         sum(crm_enrolled) AS crm_enrolled, sum(bad_leads) AS bad_leads, sum(uncontacted_leads) AS uncontacted_leads,
-        max(l2c) AS l2c, max(l2a) AS l2a, max(l2e) AS l2e, max(bad_lead_rate) AS bad_lead_rate FROM lp0 GROUP BY 1)"""
+        {O.safe_div('sum(contacted_progressed)', 'sum(leads)')} AS l2c, {O.safe_div('sum(applicants)', 'sum(leads)')} AS l2a,
+        {O.safe_div('sum(crm_enrolled)', 'sum(leads)')} AS l2e, {O.safe_div('sum(bad_leads)', 'sum(leads)')} AS bad_lead_rate
+      FROM lp0 GROUP BY 1)"""
     lab2 = f"CASE WHEN {O.txt('udr')} = '' THEN 'Missing' ELSE {O.txt('udr')} END"
-    ep0 = f"""ep0 AS (SELECT {lab2} AS udr, count(student) AS actual_enrollments, {O.money_sum('revenue')} AS revenue,
-        {_avg_exact_sql('days_to_enroll')} AS average_days_to_enroll FROM enr GROUP BY 1)"""
-    ep = f"""ep AS (SELECT {U.udr_key_sql('udr')} AS _udr_key, min({O.txt('udr')}) AS tracker_udr, sum(actual_enrollments) AS actual_enrollments,
-        {O.money_sum('revenue')} AS revenue, max(average_days_to_enroll) AS average_days_to_enroll FROM ep0 GROUP BY 1)"""
+    ep0 = f"ep0 AS (SELECT * REPLACE ({lab2} AS udr) FROM enr)"
+    ep = f"""ep AS (SELECT {U.udr_key_sql('udr')} AS _udr_key, min(udr) AS tracker_udr, count(student) AS actual_enrollments,
+        {O.money_sum('revenue')} AS revenue, {_avg_exact_sql('days_to_enroll')} AS average_days_to_enroll FROM ep0 GROUP BY 1)"""
     bp = f"""bp AS (SELECT _udr_key, budget_udr, budget_goal, budget_sheet_actual, greatest(budget_goal - budget_sheet_actual, 0.0) AS budget_remaining,
         {O.safe_div('budget_sheet_actual', 'budget_goal')} AS budget_pct_goal FROM bsum)"""
     z = lambda c: f"coalesce(CAST({c} AS DOUBLE), 0.0)"
@@ -952,7 +952,17 @@ def sql_udr_performance():
                     + [f"{O.safe_div(z('actual_enrollments'), z('budget_goal'))} AS tracker_vs_budget_goal"])
     return _usql(f"""SELECT _udr_key, {sel} FROM (SELECT coalesce(lp._udr_key, ep._udr_key, bp._udr_key) AS _udr_key, * EXCLUDE (_udr_key)
         FROM lp FULL OUTER JOIN ep ON lp._udr_key = ep._udr_key FULL OUTER JOIN bp ON coalesce(lp._udr_key, ep._udr_key) = bp._udr_key)""",
-                 _udr_budget_sql(False) + [lp0, lp, ep0, ep, bp], leads=True, enr=True, grid=True)
+                 _udr_budget_sql(selected) + [lp0, lp, ep0, ep, bp], leads=True, enr=True, grid=True)
+
+
+def sql_roundup_allocations():
+    cols = ["sheet", "budget_dimension", "budget_name", "source", "raw_term", "term", "term_label", "term_metric", "term_value",
+            "term_budget", "planned_budget", "_row", "_col"]
+    return _usql(f"""SELECT {', '.join(cols)} FROM (SELECT * REPLACE (
+            CASE WHEN budget_dimension = 'roundup_metric' THEN budget_dimension ELSE 'UDR' END AS budget_dimension, budget_name AS source)
+          FROM term_allocations)
+        UNION ALL SELECT sheet, 'UDR', budget_name, budget_name, NULL, 'Total', 'Total', 'total', planned_budget, planned_budget,
+          planned_budget, _row, NULL FROM allocations""", grid=True)
 
 
 def sql_budget_performance():
@@ -1000,6 +1010,9 @@ QUERIES.update({
     "udr_budget_summary_term": lambda s, d: _B.udr_budget_summary(_grid(s, d)[2], _grid(s, d)[1], SELECTED_TERMS),
     "roundup_term_stats": lambda s, d: _B.roundup_term_stats(_grid(s, d)[2], SELECTED_TERMS),
     "udr_performance": lambda s, d: _B.udr_performance(_leads(s, d), _enr(s, d), _grid(s, d)[2], _grid(s, d)[1]),
+    "udr_performance_term": lambda s, d: _B.udr_performance(_leads(s, d), _enr(s, d), _grid(s, d)[2].limit(0), _grid(s, d)[1],
+                                                            SELECTED_TERMS, tracker_terms=_grid(s, d)[2]),
+    "roundup_allocations": lambda s, d: _B.roundup_allocations(_V.budget_cells(s, d)),
     "budget_performance": lambda s, d: _B.budget_performance(_leads(s, d), _enr(s, d), _grid(s, d)[0]),
     "source_performance": lambda s, d: _E.source_performance(_leads(s, d), _enr(s, d), _grid(s, d)[1]),
 })
@@ -1019,6 +1032,8 @@ ORACLE.update({
     "udr_budget_summary_term": lambda: sql_udr_budget_summary(True),
     "roundup_term_stats": sql_roundup_term_stats,
     "udr_performance": sql_udr_performance,
+    "udr_performance_term": lambda: sql_udr_performance(True),
+    "roundup_allocations": sql_roundup_allocations,
     "budget_performance": sql_budget_performance,
     "source_performance": sql_source_performance,
 })
@@ -1039,33 +1054,53 @@ def _read(spark, d, name):
     return _V.read_table(spark, d, name)
 
 
+def q_extract_data_lines(spark, d):
+    pages = _T.html_to_text(_read(spark, d, "pages"))
+    landed = pages.select("page_id", F.concat_ws("\n", "url", "text").alias("text"))
+    return _T.extract_data_lines(landed, key="page_id")
+
+
 def sql_extract_data_lines():
     pat = O.q(RE2_LINE_BREAKS)
     kw = O.q("(?i)" + _R.DATA_LINE_KEYWORDS)
-    return f"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, {pat})) AS raw,
-                  unnest(generate_series(1, len(string_split_regex(text, {pat})))) AS pos FROM documents),
-        f AS (SELECT doc_id, pos, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line FROM l
+    return f"""WITH landed AS (SELECT p.page_id, concat_ws(chr(10), p.url, t.text) AS text FROM pages p
+                  JOIN ({sql_html_to_text()}) t ON t.page_id = p.page_id),
+        l AS (SELECT page_id, unnest(string_split_regex(text, {pat})) AS raw,
+                  unnest(generate_series(1, len(string_split_regex(text, {pat})))) AS pos FROM landed),
+        f AS (SELECT page_id, pos, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line FROM l
               WHERE regexp_matches(raw, '\\p{{Nd}}') AND regexp_matches(raw, {kw}))
-      SELECT doc_id, line_no, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no
-        FROM f WHERE line <> '') WHERE line_no <= {_R.DATA_LINE_LIMIT}"""
+      SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS line_no, line FROM f WHERE line <> ''"""
 
 
 def sql_extract_price_table():
-    parts = []
+    """Builds the landed text and parses it with the same patterns (never the numbers themselves)."""
+    blocks = []
     for i, (level, _) in enumerate(_R.PRICE_LINE_PATTERNS):
-        t = f"(500 + (page_id * 7 + {i * 31}) % 400)"
-        c = f"(12 + (page_id + {i * 13}) % 110)"
-        parts.append(f"""SELECT page_id, {O.q(level)} AS program_degree_level, CAST({t} AS BIGINT) AS tuition_per_credit,
-            CAST({c} AS BIGINT) AS credits_required, CAST({t} * {c} AS BIGINT) AS estimated_total_tuition,
-            CAST(floor(({t} * {c}) / greatest(floor({c} / 30), 1)) AS BIGINT) AS estimated_annual_tuition
-          FROM pages WHERE page_id % 3 <> 0""")
-    return " UNION ALL ".join(parts)
+        t, c = f"(500 + (page_id * 7 + {i * 31}) % 400)", f"(12 + (page_id + {i * 13}) % 110)"
+        head = {"Certificate": "'Certificate Programs'", "Associate": "'Associate Degree'",
+                "Bachelor": "CASE WHEN page_id % 2 = 0 THEN 'Bachelor''s Degree' ELSE 'Bachelors Degree' END",
+                "Master": "'Master''s Degree Programs'", "Doctoral": "'Doctoral Degree Programs'"}[level]
+        money = lambda x: f"'$' || format('{{:,}}', CAST({x} AS BIGINT))"
+        blocks.append(f"({head}) || chr(10) || '  ' || {money(t)} || '  ' || CAST({c} AS VARCHAR) || ' ' || {money(f'{t} * {c}')} || chr(9) || "
+                      + money(f"floor(({t} * {c}) / greatest(floor({c} / 30), 1))"))
+    block = f"CASE WHEN page_id % 3 <> 0 THEN {' || chr(10) || '.join(blocks)} ELSE '' END"
+    parts = []
+    for level, pattern in _R.PRICE_LINE_PATTERNS:
+        pat = O.q("(?i)" + pattern)
+        num = lambda g: f"TRY_CAST(replace(regexp_extract(norm, {pat}, {g}), ',', '') AS BIGINT)"  # noqa: E731,B023
+        parts.append(f"""SELECT page_id, {O.q(level)} AS program_degree_level, {num(1)} AS tuition_per_credit, {num(2)} AS credits_required,
+            {num(3)} AS estimated_total_tuition, {num(4)} AS estimated_annual_tuition FROM landed WHERE regexp_matches(norm, {pat})""")
+    return f"""WITH landed AS (SELECT page_id, regexp_replace(text || chr(10) || {block}, '\\s+', ' ', 'g') AS norm
+        FROM ({sql_html_to_text()})) """ + " UNION ALL ".join(parts)
+
+
+_KEEP_SQL = ", ".join(O.q(x) for x in _R.PUBLIC_KEEP_VALUES)
 
 
 def sql_label_pseudonyms():
     return _usql(f"""SELECT label, printf('UDR %02d', row_number() OVER (ORDER BY label)) AS pseudonym FROM (
         SELECT DISTINCT label FROM (SELECT {O.txt('contact_owner')} AS label FROM leads_f UNION ALL SELECT {O.txt('udr')} FROM enr)
-        WHERE label <> '' AND label NOT IN ('Unassigned'))""", leads=True, enr=True)
+        WHERE lower(label) NOT IN ({_KEEP_SQL}, 'unassigned'))""", leads=True, enr=True)
 
 
 RAW_CONTACT_COLUMNS = ["hs_object_id", "createdate", "hubspot_owner_id", "hubspot_owner_assigneddate", "firstname", "lastname",
@@ -1114,14 +1149,14 @@ def q_flatten_links(spark, d):
 def q_refresh_audit(spark, d):
     s = _s(spark, d)
     tables = {k: s[k] for k in ["contacts_clean", "deals_clean", "lead_deal_fact", "links", "owners", "activity_events"]}
-    return _ST.refresh_audit(tables, {"contacts": 10000, "deals": 10000}, _V.TODAY, True)
+    return _ST.refresh_audit(tables, {"contacts": 0, "deals": 0}, _V.TODAY, True)
 
 
 def sql_refresh_audit():
     counts = ", ".join(f"(SELECT count(*) FROM {t}) AS {n}_rows" for t, n in [
         ("contacts_clean", "contacts_clean"), ("deals_clean", "deals_clean"), ("lead_deal_fact", "lead_deal_fact"),
         ("links", "links"), ("raw_owners", "owners"), ("activity_events", "activity_events")])
-    return _sql(f"SELECT {counts}, 10000 AS max_contacts, 10000 AS max_deals, true AS include_activities, "
+    return _sql(f"SELECT {counts}, 0 AS max_contacts, 0 AS max_deals, true AS include_activities, "
                 f"{O.TODAY_TS} AS refreshed_at", O.activity_ctes())
 
 
@@ -1155,7 +1190,7 @@ def q_field_mapping(spark, d):
 
 QUERIES.update({
     "html_to_text": lambda s, d: _T.html_to_text(_read(s, d, "pages")).select("page_id", "text"),
-    "extract_data_lines": lambda s, d: _T.extract_data_lines(_read(s, d, "documents")),
+    "extract_data_lines": q_extract_data_lines,
     "extract_price_table": lambda s, d: _T.extract_price_table(_T.price_page_text(_read(s, d, "pages"))),
     "label_pseudonyms": lambda s, d: _PR.label_pseudonyms([(_leads(s, d), ["contact_owner"]), (_enr(s, d), ["udr"])], "UDR",
                                                           keep=["Unassigned"]),
@@ -1193,10 +1228,18 @@ def q_executive_overview_term(spark, d):
                                  selected=SELECTED_TERMS, today=_V.TODAY)
 
 
-QUERIES.update({"executive_overview": q_executive_overview, "executive_overview_term": q_executive_overview_term})
+def q_executive_overview_terms(spark, d):
+    leads = _leads(spark, d)
+    summ, _, terms = _grid(spark, d)
+    return _B.executive_overview(leads, leads.where(F.col("lead_type") == "Paid"), _enr(spark, d), summ, terms,
+                                 selected=["Summer 2", "Spring 1"], today=_V.TODAY)
+
 
+QUERIES.update({"executive_overview": q_executive_overview, "executive_overview_term": q_executive_overview_term,
+                "executive_overview_terms": q_executive_overview_terms})
 
-def sql_executive_overview(token: str | None):
+
+def sql_executive_overview(tokens: tuple[str, ...] = ()):
     def first(metric):
         return _roundup_sql(metric)
 
@@ -1208,7 +1251,7 @@ def sql_executive_overview(token: str | None):
     m = "lower(coalesce(term_metric, ''))"
     s = lambda cond: f"(CASE WHEN count(CASE WHEN {cond} THEN term_value END) > 0 THEN sum(CASE WHEN {cond} THEN term_value END) END)"
     named = f"{names} NOT IN ('total', 'starts', 'start%')"
-    tfilter = f"term = {O.q(token)}" if token else "false"
+    tfilter = f"term IN ({', '.join(map(O.q, tokens))})" if tokens else "false"
     bts = f"""bts AS (SELECT coalesce(gt, gn) AS goal FROM (SELECT {s(f"{names} = 'total' AND {m} = 'goal'")} AS gt,
         {s(f"{named} AND {m} = 'goal'")} AS gn FROM term_allocations WHERE {tfilter}))"""
     goal = f"coalesce((SELECT goal FROM bts), {orc(first('Budget'), '0.0')})"
@@ -1237,8 +1280,9 @@ def sql_executive_overview(token: str | None):
     return _usql(sel, [bts, ls, ps, es], leads=True, enr=True, grid=True)
 
 
-ORACLE.update({"executive_overview": lambda: sql_executive_overview(None),
-               "executive_overview_term": lambda: sql_executive_overview("SU2")})
+ORACLE.update({"executive_overview": sql_executive_overview,
+               "executive_overview_term": lambda: sql_executive_overview(("SU2",)),
+               "executive_overview_terms": lambda: sql_executive_overview(("SP1", "SU2"))})
 
 
 def _qa_status_sql(severity: str, count: str) -> str:
@@ -1262,8 +1306,7 @@ def sql_qa_checks():
                 f"WHERE s <> {O.q(_R.UNKNOWN_SOURCE)}")
 
     def diff(name, a, b):
-        return f"""{name} AS (SELECT count(*) AS n, coalesce(array_to_string(list_sort(list(s) FILTER (WHERE rn <= 12)), ', '), '') AS details
-            FROM (SELECT s, row_number() OVER (ORDER BY s) AS rn FROM ({a}) x WHERE s NOT IN ({b})))"""
+        return f"{name} AS (SELECT count(*) AS n FROM ({a}) x WHERE s NOT IN ({b}))"
 
     la = f"""la AS (SELECT {dup(t('record_id'))} AS dup_id, {dup(f"lower({t('email')})")} AS dup_email, {miss('email')} AS m_email,
         {miss('contact_owner')} AS m_owner, {miss('lead_status')} AS m_status, {miss('lifecycle_stage')} AS m_life,
@@ -1288,9 +1331,9 @@ def sql_qa_checks():
             ("HubSpot CRM enrolled vs tracker actual enrolled mismatch", "Medium",
              "'CRM enrolled=' || format('{:,}', la.crm_enrolled) || '; tracker actual=' || format('{:,}', ea.actual) || '.'",
              "abs(la.crm_enrolled - ea.actual)"),
-            ("Budget source not found in HubSpot", "Medium", "bh.details", "bh.n"),
-            ("HubSpot source not found in budget", "Medium", "hb.details", "hb.n"),
-            ("Tracker source not found in budget", "Medium", "tb.details", "tb.n"),
+            ("Budget source not found in HubSpot", "Medium", "''", "bh.n"),
+            ("HubSpot source not found in budget", "Medium", "''", "hb.n"),
+            ("Tracker source not found in budget", "Medium", "''", "tb.n"),
             ("Uploaded pivot totals vs recalculated raw totals", "Medium", "''", "pv.pivot_n"),
             ("HubSpot API fetch failure", "Info", "'No token configured; static uploaded baseline is in use.'", "1"),
             ("Stale data warning", "Info", "'Live HubSpot data has not been refreshed in this session.'", "1")]
@@ -1352,10 +1395,10 @@ def sql_status_before_enrollment():
     for col, label in [("lead_status", "lead status"), ("final_lead_status", "final lead status"),
                        ("lifecycle_stage", "lifecycle stage"), ("enrollment_status", "enrollment status")]:
         v = f"CASE WHEN {O.txt_na(col)} = '' THEN 'Unknown' ELSE {O.txt_na(col)} END"
-        parts.append(f"""(SELECT {O.q(label)} AS "status field", status, leads, share FROM (
+        parts.append(f"""(SELECT {O.q(label)} AS "status field", status, leads, share,
+              CAST(row_number() OVER (ORDER BY leads DESC, status) AS INTEGER) AS rank FROM (
             SELECT status, leads, {O.safe_div('leads', 'sum(leads) OVER ()')} AS share FROM (
-              SELECT {v} AS status, count(DISTINCT contact_id) AS leads FROM cpp WHERE cohort_is_enrolled GROUP BY 1))
-            ORDER BY leads DESC, status LIMIT 10)""")
+              SELECT {v} AS status, count(DISTINCT contact_id) AS leads FROM cpp WHERE cohort_is_enrolled GROUP BY 1)))""")
     return _sql(" UNION ALL ".join(parts), _cohort_ctes())
 
 
@@ -1420,16 +1463,104 @@ def sql_html_to_text():
 ORACLE.update({"html_to_text": sql_html_to_text})
 
 
+PUBLISHED_LEADS = ["contact_owner", "lead_status", "lifecycle_stage", "create_date", "last_activity_date", "paid_lead_list",
+                   "organic_lead_list", "degree", "utm_source", "normalized_source", "lead_type"]
+PUBLISHED_ENROLLMENTS = ["row_key", "student", "udr", "program", "modality", "enrolled_date", "student_type", "payment_funding",
+                         "new_roll", "term", "source", "days_to_enroll", "revenue", "normalized_source"]
+
+
+# row_key repeats in the driver tables; the further columns order its rows
+STUDENT_ORDER = ["row_key", "revenue", "udr", "program", "source", "enrolled_date", "modality", "new_roll", "payment_funding"]
+
+
+def _owner_map(spark, d):
+    _, alloc, terms = _grid(spark, d)
+    frames = [(x, _R.OWNER_LABEL_COLUMNS) for x in (_leads(spark, d), _enr(spark, d), alloc, terms)]
+    return _PR.label_pseudonyms(frames, "UDR")
+
+
+def _published(name, columns):
+    def query(spark, d):
+        df = {"leads": lambda: _leads(spark, d), "enrollments": lambda: _enr(spark, d), "allocations": lambda: _grid(spark, d)[1]}[name]()
+        clean = _PR.sanitize_frame(df, _owner_map(spark, d), STUDENT_ORDER if name == "enrollments" else None)
+        return clean.select(*columns) if columns else clean
+    return query
+
+
 def q_public_baseline(spark, d):
-    leads, enr = _leads(spark, d), _enr(spark, d)
-    alloc = _grid(spark, d)[1]
-    udr_map = _PR.label_pseudonyms([(leads, ["contact_owner"]), (enr, ["udr"]), (alloc, ["budget_name"])], "UDR", keep=["Unassigned"])
-    return _PR.public_baseline({"udr_leads": leads, "enrollments": enr, "budget_allocations": alloc},
-                               {"contact_owner": udr_map, "udr": udr_map, "budget_name": udr_map},
-                               {"enrollments": "row_key"})
+    leads = _leads(spark, d)
+    return _PR.public_metadata(leads, leads.where(F.col("lead_type") == "Paid"), _enr(spark, d), _grid(spark, d)[1])
+
+
+def _owner_map_sql() -> str:
+    parts = [("contact_owner", "leads_f"), ("udr", "enr"), ("budget_name", "allocations"), ("normalized_budget_name", "allocations"),
+             ("budget_name", "term_allocations")]
+    labels = " UNION ALL ".join(f"SELECT {O.txt(c)} AS label FROM {t}" for c, t in parts)
+    return (f"owner_map AS (SELECT label, printf('UDR %02d', row_number() OVER (ORDER BY label)) AS pseudonym FROM (SELECT DISTINCT label "
+            f"FROM ({labels}) WHERE lower(label) NOT IN ({_KEEP_SQL})))")
+
+
+def _sql_published(table: str, columns: list[str]) -> str:
+    renamed = {*_R.OWNER_LABEL_COLUMNS, *_R.SOURCE_LABEL_COLUMNS}
+    sel, joins = [], []
+    for c in columns:
+        if c in renamed:
+            joins.append(f"LEFT JOIN owner_map m_{c} ON m_{c}.label = {O.txt(f't.{c}')}")
+            sel.append(f"coalesce(m_{c}.pseudonym, t.{c}) AS {c}")
+        elif c == "student":
+            sel.append("printf('Student %04d', row_number() OVER (ORDER BY " + ", ".join(f"t.{x}" for x in STUDENT_ORDER) + ")) AS student")
+        else:
+            sel.append(f"t.{c}")
+    return _usql(f"SELECT {', '.join(sel)} FROM {table} t {' '.join(joins)}", [_owner_map_sql()], leads=True, enr=True, grid=True)
+
+
+def q_enrollment_bad_dates(spark, d):
+    """Ledger rows whose date is no date: kept, with a NULL date, and counted."""
+    raw = _V.enrollments(spark, d)
+    bad = F.floor(F.col("days_to_enroll")) % 7 == 0
+    raw = raw.withColumn("enrolled_date", F.when(bad, F.lit("TBD")).otherwise(F.date_format("enrolled_date", "yyyy-MM-dd")))
+    enr = _E.standardize_enrollments(raw)
+    return enr.groupBy("udr").agg(F.count(F.lit(1)).alias("rows"), _Q.invalid_date_count(F.col("enrolled_date_text")).alias("invalid_dates"),
+                                  F.count("enrolled_date").alias("dated_rows"))
+
+
+def sql_enrollment_bad_dates():
+    return _usql("""SELECT udr, count(*) AS "rows", count_if(days_to_enroll % 7 = 0) AS invalid_dates,
+        count(*) - count_if(days_to_enroll % 7 = 0) AS dated_rows FROM enr GROUP BY 1""", enr=True)
+
 
+def q_source_coverage(spark, d):
+    return _Q.source_coverage(_leads(spark, d), _enr(spark, d), _grid(spark, d)[1])
 
-QUERIES.update({"public_baseline": q_public_baseline})
-ORACLE.update({"public_baseline": lambda: _usql(
-    "SELECT 'udr_leads' AS \"table\", count(*) AS \"rows\" FROM leads_f UNION ALL SELECT 'enrollments', count(*) FROM enr "
-    "UNION ALL SELECT 'budget_allocations', count(*) FROM allocations", leads=True, enr=True, grid=True)})
+
+def sql_source_coverage():
+    def sources(table, col):
+        return (f"SELECT DISTINCT s FROM (SELECT {U.norm_source(col)} AS s FROM {table} WHERE {col} IS NOT NULL) "
+                f"WHERE s <> {O.q(_R.UNKNOWN_SOURCE)}")
+    crm, budget, tracker = sources("leads_f", "normalized_source"), sources("allocations", "source"), sources("enr", "normalized_source")
+    parts = [f"SELECT {O.q(check)} AS \"check\", s AS source FROM ({a}) WHERE s NOT IN ({b})" for check, a, b in [
+        ("Budget source not found in HubSpot", budget, crm), ("HubSpot source not found in budget", crm, budget),
+        ("Tracker source not found in budget", tracker, budget)]]
+    return _usql(" UNION ALL ".join(parts), leads=True, enr=True, grid=True)
+
+
+ALLOCATION_COLUMNS = ["sheet", "budget_dimension", "budget_name", "normalized_budget_name", "source", "planned_budget", "budget_metric", "_row"]
+
+QUERIES.update({
+    "public_baseline": q_public_baseline,
+    "sanitize_leads": _published("leads", PUBLISHED_LEADS),
+    "sanitize_enrollments": _published("enrollments", PUBLISHED_ENROLLMENTS),
+    "sanitize_budget": _published("allocations", ALLOCATION_COLUMNS),
+    "enrollment_bad_dates": q_enrollment_bad_dates,
+    "source_coverage": q_source_coverage,
+})
+ORACLE.update({
+    "public_baseline": lambda: _usql(f"""SELECT (SELECT count(*) FROM leads_f WHERE lead_type = 'Paid') AS paid_rows,
+        (SELECT count(*) FROM leads_f) AS udr_rows, count(*) AS enrollment_rows, coalesce({O.money_sum('revenue')}, 0.0) AS tracker_revenue,
+        (SELECT count(*) FROM allocations) AS budget_allocation_rows, '' AS workbook_term FROM enr""", leads=True, enr=True, grid=True),
+    "sanitize_leads": lambda: _sql_published("leads_f", PUBLISHED_LEADS),
+    "sanitize_enrollments": lambda: _sql_published("enr", PUBLISHED_ENROLLMENTS),
+    "sanitize_budget": lambda: _sql_published("allocations", ALLOCATION_COLUMNS),
+    "enrollment_bad_dates": sql_enrollment_bad_dates,
+    "source_coverage": sql_source_coverage,
+})

@@ -1,6 +1,6 @@
 """Session construction and lineage cuts.
 
-Executors may be lost at any time, so long lineages are cut with ``checkpoint()`` into the
+Executors may be lost at any time, so long lineages are cut by a Parquet table written into the
 shared folder named by ``spark.checkpoint.dir`` (never ``localCheckpoint``).  A checkpoint
 folder is only set here when the session has none (local runs and tests).
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster[...] has executors of its own
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster (no machine-local fallback)")
     local = tempfile.mkdtemp(prefix="funnelspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
@@ -55,6 +57,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table below the shared checkpoint folder and read it back.
+
+    Later reads see only the columns and row groups they need (a checkpoint would hand back whole
+    rows).  The folder is new for every call, so tables of different data never mix.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -66,9 +66,9 @@ def flatten_activity_links(pages: DataFrame, activity_type: str) -> DataFrame:
         F.lit(activity_type).alias("activity_type"), "activity_id", "contact_id", F.col("association_type").alias("type"))
 
 
-def latest_records(df: DataFrame, n: int, by: str = "createdate") -> DataFrame:
-    """Top-N newest objects by create date (n = 0 keeps all); a TakeOrderedAndProject."""
-    ordered = df.orderBy(F.col(by).desc_nulls_last())
+def latest_records(df: DataFrame, n: int = 0, by: str = "createdate", key: str = "hs_object_id") -> DataFrame:
+    """Newest objects by create date, equal dates by falling id; all, or the first ``n`` if it is not 0."""
+    ordered = df.orderBy(F.col(by).desc_nulls_last(), *([F.col(key).desc_nulls_last()] if key in df.columns else []))
     return ordered.limit(n) if n else df
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ def load_tables(spark: SparkSession, folder: str, schemas: Mapping[str, str], fm
             out[name] = (spark.read.schema(schema).option("header", True).csv(path) if fmt == "csv"
                          else spark.read.schema(schema).parquet(path))
             out[name].schema  # noqa: B018 - resolve now so a missing path falls through
-        except Exception:  # noqa: BLE001 - missing table -> empty frame
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # only a missing table is an empty one
+                raise
             out[name] = spark.createDataFrame([], schema)
     return out
 

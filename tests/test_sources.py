@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from funnelspark.sources import payloads as P
@@ -41,6 +43,10 @@ def test_storage_round_trip_and_freshness(spark, tmp_path):
     S.save_tables({"t": df}, str(tmp_path / "store"))
     loaded = S.load_tables(spark, str(tmp_path / "store"), {"t": "id long, x long", "missing": "a string"})
     assert loaded["t"].count() == 5 and loaded["missing"].count() == 0
+    (tmp_path / "store" / "broken").mkdir()
+    (tmp_path / "store" / "broken" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017 - a broken table is no empty table
+        S.load_tables(spark, str(tmp_path / "store"), {"broken": "not a schema"})
     log = S.refresh_log_row(spark, dt.datetime(2026, 6, 9, 12, 0, 0))
     f = S.table_freshness(log, loaded, "2026-06-10 18:00:00").first()
     assert f.age_hours == 30.0 and f.stale is True and f.empty_tables == ["missing"] and f.has_cache is True
