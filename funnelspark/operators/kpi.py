@@ -43,21 +43,30 @@ def countable_won(fact: DataFrame) -> DataFrame:
 
 
 def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "median") -> DataFrame:
-    """Exact median per group from a (group, value) histogram.
+    """Exact median per group, fractional values included, without a group in one task.
 
-    The histogram has one row per distinct value per group, so the window over it is bounded by
-    the value domain (days, counts), not by the number of rows."""
+    Values are first counted per whole unit (days, touches: few per group), whose running counts say
+    which units hold the middle ranks; only the rows of those units are then counted by value."""
     keys = list(keys)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__cnt"))
-    w_cum = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    hist = hist.withColumns({"__cum": F.sum("__cnt").over(w_cum), "__n": F.sum("__cnt").over(w_all)})
-    lo = F.floor((F.col("__n") + 1) / 2)
-    hi = F.floor(F.col("__n") / 2) + 1
-    v = F.col(value).cast("double")
-    agg = hist.groupBy(*keys).agg(((F.min(F.when(F.col("__cum") >= lo, v)) + F.min(F.when(F.col("__cum") >= hi, v))) / 2).alias(out))
-    return agg
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    rows = rows.withColumn("__unit", F.floor("__v"))
+    group = Window.partitionBy(*keys)
+    units = rows.groupBy(*keys, "__unit").agg(F.count(F.lit(1)).alias("__cnt"))
+    units = units.withColumns({
+        "__before": F.coalesce(F.sum("__cnt").over(group.orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "__n": F.sum("__cnt").over(group)})
+    units = units.withColumns({"__lo": F.floor((F.col("__n") + 1) / 2), "__hi": F.floor(F.col("__n") / 2) + 1})
+    middle = units.where("__before < __hi and __before + __cnt >= __lo").select(
+        *[F.col(k).alias(f"__m_{k}") for k in keys], F.col("__unit").alias("__m_unit"), "__before", "__lo", "__hi")
+    same = F.col("__unit") == F.col("__m_unit")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__m_{k}"))
+    hist = rows.join(middle, same).groupBy(*keys, "__unit", "__v", "__before", "__lo", "__hi").agg(F.count(F.lit(1)).alias("__cnt"))
+    running = Window.partitionBy(*keys, "__unit").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("__cum", F.col("__before") + F.sum("__cnt").over(running))
+    at = lambda rank: F.min(F.when(F.col("__cum") >= F.col(rank), F.col("__v")))
+    middle_mean = (at("__lo") + at("__hi")) / 2
+    return hist.groupBy(*keys).agg(middle_mean.alias(out)) if keys else hist.agg(middle_mean.alias(out))
 
 
 def _scalar_row(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
@@ -245,33 +254,31 @@ def stuck_leads(contacts: DataFrame) -> DataFrame:
 
 
 def data_quality_metrics(contacts: DataFrame, deals: DataFrame, fact: DataFrame) -> DataFrame:
-    """Ten completeness / attribution counts."""
+    """Ten completeness / attribution counts; distinct ids are counted in two plain passes."""
+    def distinct(df: DataFrame, id_col: str, flags: dict, row_counts: dict | None = None) -> DataFrame:
+        return grouped_distinct(df.withColumn("__all", F.lit(0)), ["__all"], id_col, flags, row_counts=row_counts).drop("__all")
+
     owner_blank = clean_text(F.col("salesman_id")) == ""
     missing_source = (F.coalesce(F.col("source_group"), F.lit("Unknown")) == "Unknown") | (clean_text(F.col("source_text")) == "")
-    c = contacts.agg(
-        F.countDistinct(F.when(owner_blank, F.col("contact_id"))).alias("records_missing_owner"),
-        F.countDistinct(F.when(missing_source, F.col("contact_id"))).alias("records_missing_source"),
-        F.count_if(F.col("contact_created_at").isNull()).alias("records_missing_contact_created_date"),
-    )
-    d = deals.agg(F.count_if(F.col("close_date").isNull()).alias("m_close"),
-                  F.count_if(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)) <= 0).alias("m_rev"))
+    c = distinct(contacts, "contact_id", {"owner": owner_blank, "source": missing_source}, {"created": F.col("contact_created_at").isNull()})
+    d = deals.agg(F.count_if(F.col("close_date").isNull()).alias("close"),
+                  F.count_if(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)) <= 0).alias("revenue"))
     won = as_bool(F.col("deal_countable")) & as_bool(F.col("is_won"))
-    f = fact.agg(
-        F.count_if(won & (F.coalesce(F.col("total_program_revenue").cast("double"), F.lit(0.0)) <= 0)).alias("m_prog"),
-        F.countDistinct(F.when(F.col("fact_record_type") == "contact_without_deal", F.col("contact_id"))).alias("c_nodeal"),
-        F.countDistinct(F.when(F.col("fact_record_type") == "deal_without_contact", F.col("deal_id"))).alias("d_nocontact"),
-        F.count_if(F.col("attribution_type") == "fallback_to_deal_owner").alias("fallback"),
-        F.countDistinct(F.when(as_bool(F.col("unclear_revenue_attribution")), F.col("deal_id"))).alias("unclear"),
-    )
-    ds = _scalar_row(d, ["m_close", "m_rev"])
-    fs = _scalar_row(f, ["m_prog", "c_nodeal", "d_nocontact", "fallback", "unclear"])
-    return c.select(
-        "records_missing_owner", "records_missing_source", "records_missing_contact_created_date",
-        ds["m_close"].alias("records_missing_close_date"), ds["m_rev"].alias("records_missing_revenue"),
-        fs["m_prog"].alias("won_records_missing_program_revenue"), fs["c_nodeal"].alias("contacts_without_deals"),
-        fs["d_nocontact"].alias("deals_without_contacts"), fs["fallback"].alias("deal_owner_fallback_used"),
-        fs["unclear"].alias("unclear_revenue_attribution"),
-    )
+    by_contact = distinct(fact, "contact_id", {"no_deal": F.col("fact_record_type") == "contact_without_deal"})
+    by_deal = distinct(fact, "deal_id", {"no_contact": F.col("fact_record_type") == "deal_without_contact",
+                                         "unclear": as_bool(F.col("unclear_revenue_attribution"))},
+                       {"no_program": won & (F.coalesce(F.col("total_program_revenue").cast("double"), F.lit(0.0)) <= 0),
+                        "fallback": F.col("attribution_type") == "fallback_to_deal_owner"})
+    parts = {"c": c, "d": d, "fc": by_contact, "fd": by_deal}
+    packed = {k: df.select(F.struct(*df.columns).alias("s")).scalar() for k, df in parts.items()}
+    n = lambda part, name: F.coalesce(packed[part].getField(name), F.lit(0)).cast("long")
+    one = deals.sparkSession.range(1)
+    return one.select(
+        n("c", "owner").alias("records_missing_owner"), n("c", "source").alias("records_missing_source"),
+        n("c", "created").alias("records_missing_contact_created_date"), n("d", "close").alias("records_missing_close_date"),
+        n("d", "revenue").alias("records_missing_revenue"), n("fd", "no_program").alias("won_records_missing_program_revenue"),
+        n("fc", "no_deal").alias("contacts_without_deals"), n("fd", "no_contact").alias("deals_without_contacts"),
+        n("fd", "fallback").alias("deal_owner_fallback_used"), n("fd", "unclear").alias("unclear_revenue_attribution"))
 
 
 def monthly_leads(contacts: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def profile_fields(df: DataFrame, object_type: str, properties: Sequence[tuple[s
     props = list(properties or [(c, c, None) for c in df.columns if c != order_col])
     names = [p[0] for p in props]
     # Row order comes from a business key (O-list); without one, samples are the smallest values.
-    order = F.col(order_col).cast("long") if order_col else F.lit(0).cast("long")
+    order = F.col(order_col).cast("string").try_cast("long") if order_col else F.lit(0).cast("long")
     present = [n for n in names if n in df.columns]
     stacked = df.select(order.alias("__o"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("property_name"), clean_text(F.col(n)).alias("v")) for n in present])).alias("p"))

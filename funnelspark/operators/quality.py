@@ -30,10 +30,10 @@ def missing_count(c: Column) -> Column:
     return F.count_if(clean_text(c) == "")
 
 
-def duplicate_count(c: Column) -> Column:
-    """Non-blank rows minus distinct non-blank values."""
-    v = F.nullif(clean_text(c), F.lit(""))
-    return F.count(v) - F.countDistinct(v)
+def duplicate_count(df: DataFrame, c: Column, out: str) -> DataFrame:
+    """One row: non-blank values minus distinct non-blank values, by counting per value first."""
+    values = df.select(clean_text(c).alias("__v")).where(F.col("__v") != "").groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
+    return values.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias(out))
 
 
 def invalid_date_count(c: Column) -> Column:
@@ -83,7 +83,6 @@ def qa_checks(leads: DataFrame, enr: DataFrame, allocations: DataFrame, pivot_di
     """Up to 23 check rows (check, status, severity, count, details)."""
     state = dict(state or {})
     lead_agg = leads.agg(
-        duplicate_count(F.col("record_id")).alias("dup_id"), duplicate_count(F.lower(clean_text(F.col("email")))).alias("dup_email"),
         missing_count(F.col("email")).alias("m_email"), missing_count(F.col("contact_owner")).alias("m_owner"),
         missing_count(F.col("lead_status")).alias("m_status"), missing_count(F.col("lifecycle_stage")).alias("m_life"),
         missing_count(F.col("create_date")).alias("m_create"), missing_count(F.col("degree")).alias("m_degree"),
@@ -98,7 +97,8 @@ def qa_checks(leads: DataFrame, enr: DataFrame, allocations: DataFrame, pivot_di
     gaps = source_coverage(leads, enr, allocations).agg(
         n_of("Budget source not found in HubSpot").alias("bh_n"), n_of("HubSpot source not found in budget").alias("hb_n"),
         n_of("Tracker source not found in budget").alias("tb_n"))
-    frames = [lead_agg, enr_agg, gaps]
+    frames = [lead_agg, enr_agg, gaps, duplicate_count(leads, F.col("record_id"), "dup_id"),
+              duplicate_count(leads, F.lower(clean_text(F.col("email"))), "dup_email")]
     if pivot_diffs is not None:
         frames.append(pivot_diffs.agg(F.count_if(F.coalesce(F.col("difference").cast("double"), F.lit(0.0)) != 0).alias("pivot_n")))
     row = _one_row(*frames)

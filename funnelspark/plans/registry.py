@@ -1111,7 +1111,7 @@ RAW_CONTACT_COLUMNS = ["hs_object_id", "createdate", "hubspot_owner_id", "hubspo
 
 
 def q_profile_fields(spark, d):
-    raw = _V.contacts(spark, d).withColumn("__o", F.col("hs_object_id").cast("long"))
+    raw = _V.contacts(spark, d).withColumn("__o", F.col("hs_object_id").try_cast("long"))
     return _PF.profile_fields(raw, "contact", order_col="__o")
 
 

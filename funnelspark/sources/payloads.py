@@ -92,16 +92,18 @@ def contact_pages(contacts_raw: DataFrame, page_size: int = 100) -> DataFrame:
     obj = F.struct(F.col("hs_object_id").alias("id"), F.col("createdate").alias("createdAt"),
                    F.col("createdate").alias("updatedAt"), F.lit(False).alias("archived"),
                    F.map_from_arrays(F.array(*[F.lit(p) for p in props]), F.array(*[F.col(p) for p in props])).alias("properties"))
-    page = F.floor(F.col("hs_object_id").cast("long") / page_size)
+    pages = contacts_raw.agg(F.greatest(F.ceil(F.count(F.lit(1)) / page_size), F.lit(1))).scalar()
+    page = F.pmod(F.xxhash64("hs_object_id"), pages)
     return contacts_raw.groupBy(page.alias("page")).agg(F.collect_list(obj).alias("results"))
 
 
 def link_pages(assoc_raw: DataFrame, page_size: int = 100) -> DataFrame:
-    """Raw associations as API link pages: one result per contact, ``to[]`` its deals."""
+    """Raw associations as API link pages of about ``page_size`` results; a result holds one link, so a
+    contact with very many deals is spread over the pages."""
     to = F.struct(F.col("deal_id").alias("toObjectId"), F.array(F.struct(
         F.lit("HUBSPOT_DEFINED").alias("category"), F.lit(4).cast("bigint").alias("typeId"),
         F.col("association_type").alias("label"))).alias("associationTypes"))
-    per_contact = assoc_raw.groupBy("contact_id").agg(F.collect_list(to).alias("to"))
-    res = F.struct(F.struct(F.col("contact_id").alias("id")).alias("from"), F.col("to"))
-    page = F.abs(F.hash("contact_id")) % F.lit(1 << 20)
-    return per_contact.groupBy(F.floor(page / page_size).alias("page")).agg(F.collect_list(res).alias("results"))
+    res = F.struct(F.struct(F.col("contact_id").alias("id")).alias("from"), F.array(to).alias("to"))
+    pages = assoc_raw.agg(F.greatest(F.ceil(F.count(F.lit(1)) / page_size), F.lit(1))).scalar()
+    page = F.pmod(F.xxhash64("contact_id", "deal_id", "association_type"), pages)
+    return assoc_raw.groupBy(page.alias("page")).agg(F.collect_list(res).alias("results"))
