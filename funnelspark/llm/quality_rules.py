@@ -113,7 +113,8 @@ def score_documents(docs: DataFrame, weights: list[int], threshold: float = THRE
         F.col("_r").alias("n_repeat_words"), base_failed.alias("base_failed"),
         (~base_failed & (F.col("_sum") >= limit * n_grams)).alias("kept"),
         F.when(n > 0, F.col("_sum") / (F.lit(float(SCALE)) * n_grams)).alias("score"))
-    return step.select(*docs.columns, verdict.alias("_q"))
+    # the explode keeps a later filter on the verdict from being moved below, which would repeat the work per word
+    return step.select(*docs.columns, F.explode(F.array(verdict)).alias("_q"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
