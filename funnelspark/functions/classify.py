@@ -44,17 +44,7 @@ def paid_lead_flag(text: Column, paid_terms=None) -> Column:
 
 def source_group(text: Column, social=None, search=None) -> Column:
     """Paid Social -> Paid Search -> Organic Search -> Referral -> Email -> Direct -> Other."""
-    t = F.lower(strip_ws(F.coalesce(text, F.lit(""))))
-    return (
-        F.when(t == "", "Unknown")
-        .when(contains_any(t, R.PAID_SOCIAL_TERMS if social is None else social), "Paid Social")
-        .when(contains_any(t, R.PAID_SEARCH_TERMS if search is None else search), "Paid Search")
-        .when(contains_any(t, ["organic", "seo"]), "Organic Search")
-        .when(contains_any(t, ["referral", "refer"]), "Referral")
-        .when(contains_any(t, ["email", "newsletter"]), "Email")
-        .when(t.contains("direct"), "Direct")
-        .otherwise("Other")
-    )
+    return _source_group_lower(F.lower(strip_ws(F.coalesce(text, F.lit("")))), social, search)
 
 
 def _alias_vendor(text_lower: Column, aliases) -> Column:
@@ -90,7 +80,8 @@ def detect_vendor(cols: Sequence[str], aliases=None) -> Column:
     return F.coalesce(*high, *medium, low)
 
 
-def add_source_classification(df: DataFrame, cols: Sequence[str] | None = None, aliases=None) -> DataFrame:
+def add_source_classification(df: DataFrame, cols: Sequence[str] | None = None, aliases=None,
+                              paid_terms=None, social_terms=None, search_terms=None) -> DataFrame:
     """source_text, paid_lead_flag, source_group, vendor, vendor_confidence, vendor_source_field, paid_vendor.
 
     Each source column's cleaned text and first '|' part are staged once as columns, so the
@@ -119,8 +110,8 @@ def add_source_classification(df: DataFrame, cols: Sequence[str] | None = None,
                            "__mf": med_f if med_f is not None else F.lit(None).cast("string")})
     sg = F.col("__sg")
     out = out.withColumns({
-        "paid_lead_flag": contains_any(sg, R.PAID_TERMS),
-        "source_group": _source_group_lower(sg),
+        "paid_lead_flag": contains_any(sg, R.PAID_TERMS if paid_terms is None else paid_terms),
+        "source_group": _source_group_lower(sg, social_terms, search_terms),
         "vendor": F.coalesce(F.col("__hv"), F.col("__mv"), F.lit("Unknown")),
         "vendor_confidence": F.when(F.col("__hv").isNotNull(), "High").when(F.col("__mv").isNotNull(), "Medium").otherwise("Low"),
         "vendor_source_field": F.coalesce(F.col("__hf"), F.col("__mf"), F.lit("")),
@@ -130,11 +121,11 @@ def add_source_classification(df: DataFrame, cols: Sequence[str] | None = None,
     return out.drop(*drop)
 
 
-def _source_group_lower(t: Column) -> Column:
+def _source_group_lower(t: Column, social=None, search=None) -> Column:
     return (
         F.when(t == "", "Unknown")
-        .when(contains_any(t, R.PAID_SOCIAL_TERMS), "Paid Social")
-        .when(contains_any(t, R.PAID_SEARCH_TERMS), "Paid Search")
+        .when(contains_any(t, R.PAID_SOCIAL_TERMS if social is None else social), "Paid Social")
+        .when(contains_any(t, R.PAID_SEARCH_TERMS if search is None else search), "Paid Search")
         .when(contains_any(t, ["organic", "seo"]), "Organic Search")
         .when(contains_any(t, ["referral", "refer"]), "Referral")
         .when(contains_any(t, ["email", "newsletter"]), "Email")

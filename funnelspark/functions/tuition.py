@@ -6,6 +6,8 @@ nothing to broadcast).  ``tuition_table`` exposes the same rows as a DataFrame.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,39 +41,31 @@ def degree_level(program: Column) -> Column:
     )
 
 
-def _lookup(level: Column, index: int, cast: str) -> Column:
-    out = None
-    for row in R.DEGREE_TUITION:
-        value = F.lit(row[index]).cast(cast)
-        out = F.when(level == row[0], value) if out is None else out.when(level == row[0], value)
-    return out
+TUITION_FIELDS = ["tuition_per_credit", "credits_required", "estimated_total_tuition", "estimated_annual_tuition",
+                  "duration_years", "duration_months", "note"]
 
 
-def tuition_struct(program: Column, explicit_level: Column | None = None) -> Column:
-    """Explicit level (High) else inferred from program (Medium) else unmatched (Low)."""
-    explicit = degree_level(explicit_level) if explicit_level is not None else F.lit(None).cast("string")
-    inferred = degree_level(program)
-    level = F.coalesce(explicit, inferred)
-    confidence = F.when(explicit.isNotNull(), "High").when(inferred.isNotNull(), "Medium").otherwise("Low")
-    matched = level.isNotNull()
-    return F.struct(
-        level.alias("degree_level"),
-        level.alias("program_degree_level"),
-        _lookup(level, 1, "double").alias("tuition_per_credit"),
-        _lookup(level, 2, "double").alias("credits_required"),
-        _lookup(level, 3, "double").alias("estimated_total_tuition"),
-        _lookup(level, 4, "double").alias("estimated_annual_tuition"),
-        _lookup(level, 5, "double").alias("program_duration_years"),
-        _lookup(level, 6, "double").alias("program_duration_months"),
-        F.when(matched, _lookup(level, 7, "string"))
-         .otherwise("Program missing or not matched to a configured degree level.").alias("duration_note"),
-        F.when(matched, F.lit(R.TUITION_SOURCE_LABEL)).otherwise("unmatched_program").alias("tuition_estimate_source"),
-        confidence.alias("revenue_confidence"),
-    )
+def tuition_rows(overrides: Mapping | None = None) -> dict[str, dict]:
+    """The fixed tuition table with overrides per level merged in (keys that start with '_' are comments)."""
+    rows = {r[0]: dict(zip(TUITION_FIELDS, r[1:], strict=True)) for r in R.DEGREE_TUITION}
+    for level, values in (overrides or {}).items():
+        if not str(level).startswith("_") and isinstance(values, Mapping):
+            rows[level] = {**rows.get(level, {}), **values}
+    return rows
 
 
-def add_program_tuition_fields(df: DataFrame, program_col: str = "program", degree_col: str = "degree_level") -> DataFrame:
-    """Adds the 11 tuition columns; an explicit level is honoured only when revenue_confidence is
+def _lookup(level: Column, field: str, rows: Mapping[str, Mapping]) -> Column:
+    """A level's value as a folded CASE; levels without the field have NULL."""
+    cast = "string" if field == "note" else "double"
+    out = F.when(F.lit(False), F.lit(None).cast(cast))
+    for name, values in rows.items():
+        out = out.when(level == name, F.lit(values.get(field)).cast(cast))
+    return out
+
+
+def add_program_tuition_fields(df: DataFrame, program_col: str = "program", degree_col: str = "degree_level",
+                               config: Mapping | None = None) -> DataFrame:
+    """Adds the 11 tuition columns (``config`` overrides the fixed table); an explicit level is honoured only when revenue_confidence is
     absent or 'High' (second pass on the fact).  Intermediate texts are staged as columns so the
     ordered rules are evaluated once per row, not once per looked-up field."""
     program = F.col(program_col) if program_col in df.columns else F.lit(None).cast("string")
@@ -81,19 +75,19 @@ def add_program_tuition_fields(df: DataFrame, program_col: str = "program", degr
     out = df.withColumns({"__ex_txt": explicit.cast("string"), "__pg_txt": program.cast("string")})
     out = out.withColumns({"__explicit": degree_level(F.col("__ex_txt")), "__inferred": degree_level(F.col("__pg_txt"))})
     out = out.withColumn("__level", F.coalesce(F.col("__explicit"), F.col("__inferred")))
-    level = F.col("__level")
+    level, rows = F.col("__level"), tuition_rows(config)
     matched = level.isNotNull()
     confidence = F.when(F.col("__explicit").isNotNull(), "High").when(F.col("__inferred").isNotNull(), "Medium").otherwise("Low")
     out = out.withColumns({
         "degree_level": level,
         "program_degree_level": level,
-        "tuition_per_credit": _lookup(level, 1, "double"),
-        "credits_required": _lookup(level, 2, "double"),
-        "estimated_total_tuition": _lookup(level, 3, "double"),
-        "estimated_annual_tuition": _lookup(level, 4, "double"),
-        "program_duration_years": _lookup(level, 5, "double"),
-        "program_duration_months": _lookup(level, 6, "double"),
-        "duration_note": F.when(matched, _lookup(level, 7, "string"))
+        "tuition_per_credit": _lookup(level, "tuition_per_credit", rows),
+        "credits_required": _lookup(level, "credits_required", rows),
+        "estimated_total_tuition": _lookup(level, "estimated_total_tuition", rows),
+        "estimated_annual_tuition": _lookup(level, "estimated_annual_tuition", rows),
+        "program_duration_years": _lookup(level, "duration_years", rows),
+        "program_duration_months": _lookup(level, "duration_months", rows),
+        "duration_note": F.when(matched, _lookup(level, "note", rows))
         .otherwise("Program missing or not matched to a configured degree level."),
         "tuition_estimate_source": F.when(matched, F.lit(R.TUITION_SOURCE_LABEL)).otherwise("unmatched_program"),
         "revenue_confidence": confidence,
@@ -146,9 +140,10 @@ def revenue_note(df: DataFrame) -> Column:
     )
 
 
-def add_program_revenue_fields(df: DataFrame, total_col: str = "revenue_attributed", program_col: str = "program") -> DataFrame:
+def add_program_revenue_fields(df: DataFrame, total_col: str = "revenue_attributed", program_col: str = "program",
+                               config: Mapping | None = None) -> DataFrame:
     """Tuition fields, realised windows, potential windows, pipeline revenue, note (T4, T5)."""
-    out = add_program_tuition_fields(df, program_col)
+    out = add_program_tuition_fields(df, program_col, config=config)
     total = to_number(F.col(total_col), floor_zero=True, fill=0) if total_col in out.columns else F.lit(0.0)
     potential = to_number(F.col("estimated_total_tuition"), floor_zero=True, fill=0)
     months = F.col("program_duration_months")
@@ -177,19 +172,9 @@ def add_program_revenue_fields(df: DataFrame, total_col: str = "revenue_attribut
     return out.withColumn("revenue_realization_note", revenue_note(out))
 
 
-def tuition_table(spark: SparkSession, overrides: dict | None = None) -> DataFrame:
-    """Defaults merged with overrides (keys starting with '_' skipped) as a DataFrame."""
-    rows = {r[0]: {"tuition_per_credit": float(r[1]), "credits_required": float(r[2]),
-                   "estimated_total_tuition": float(r[3]), "estimated_annual_tuition": float(r[4]),
-                   "duration_years": float(r[5]), "duration_months": float(r[6]), "note": r[7]}
-            for r in R.DEGREE_TUITION}
-    for level, values in (overrides or {}).items():
-        if str(level).startswith("_") or not isinstance(values, dict):
-            continue
-        rows.setdefault(level, {}).update({k: v for k, v in values.items()})
-    cols = ["tuition_per_credit", "credits_required", "estimated_total_tuition", "estimated_annual_tuition",
-            "duration_years", "duration_months", "note"]
-    data = [(level, *[None if vals.get(c) is None else (str(vals.get(c)) if c == "note" else float(vals.get(c))) for c in cols])
-            for level, vals in rows.items()]
-    schema = "program_degree_level string, " + ", ".join(f"{c} {'string' if c == 'note' else 'double'}" for c in cols)
-    return spark.createDataFrame(data, schema)
+def tuition_table(spark: SparkSession, overrides: Mapping | None = None) -> DataFrame:
+    """``tuition_rows`` as a table, one row per level."""
+    rows = tuition_rows(overrides)
+    data = [(level, *[None if v.get(c) is None else str(v[c]) if c == "note" else float(v[c]) for c in TUITION_FIELDS]) for level, v in rows.items()]
+    return spark.createDataFrame(data, "program_degree_level string, " + ", ".join(
+        f"{c} {'string' if c == 'note' else 'double'}" for c in TUITION_FIELDS))

@@ -13,8 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import rules as R
+from ..operators.cohorts import cohort_contacts, cohort_fields
 from ..operators.entities import activity_events, association_links, contacts_base, deals_clean
 from ..operators.fact import build_contacts_clean, lead_deal_fact
+from ..operators.journey import student_journey_fact
+from ..operators.kpi import paid_vendor_performance, salesman_metrics, vendor_costs
 from ..session import cut_lineage
 from ..sources import crm_view
 
@@ -38,6 +41,17 @@ def process_crm(raw: dict[str, DataFrame], today, mapping=None, materialize=None
     return out
 
 
+def gold_facts(tables: dict[str, DataFrame], costs: DataFrame, today) -> dict[str, DataFrame]:
+    """The facts built on ``process_crm``'s tables: journeys, cohorts, vendors, salesmen."""
+    contacts, fact, events = tables["contacts_clean"], tables["lead_deal_fact"], tables["activity_events"]
+    return {
+        "student_journey_fact": student_journey_fact(contacts, fact, events),
+        "cohort_fact": cohort_fields(cohort_contacts(contacts, fact)),
+        "vendor_fact": paid_vendor_performance(contacts.where("paid_lead_flag"), fact, vendor_costs(costs)),
+        "salesman_revenue_fact": salesman_metrics(contacts, fact),
+    }
+
+
 def silver(spark: SparkSession, sf_dir: str, materialize: bool = True) -> dict[str, DataFrame]:
     """Silver tables for the CRM view over ``sf_dir`` (cached per session and folder)."""
     key = (spark.sparkContext.applicationId, sf_dir, materialize)

@@ -1110,25 +1110,40 @@ RAW_CONTACT_COLUMNS = ["hs_object_id", "createdate", "hubspot_owner_id", "hubspo
                        "notes_next_activity_date", "num_notes", "hs_time_to_first_engagement"]
 
 
+RAW_DEAL_COLUMNS = ["hs_object_id", "createdate", "hubspot_owner_id", "dealstage", "pipeline", "closedate", "amount"]
+
+
 def q_profile_fields(spark, d):
-    raw = _V.contacts(spark, d).withColumn("__o", F.col("hs_object_id").try_cast("long"))
-    return _PF.profile_fields(raw, "contact", order_col="__o")
+    parts = [_PF.profile_fields(raw.withColumn("__o", F.col("hs_object_id").try_cast("long")), kind, order_col="__o")
+             for kind, raw in (("contact", _V.contacts(spark, d)), ("deal", _V.deals(spark, d)))]
+    return parts[0].unionByName(parts[1])
 
 
-def sql_profile_fields():
-    cols = ", ".join(RAW_CONTACT_COLUMNS)
-    return _sql(f"""SELECT 'contact' AS object_type, m.property_name, m.property_name AS label, CAST(NULL AS VARCHAR) AS data_type,
+PROFILED = [("contact", "raw_contacts", RAW_CONTACT_COLUMNS), ("deal", "raw_deals", RAW_DEAL_COLUMNS)]
+
+
+def _profile_values_sql(kind: str, table: str, columns: list[str]) -> str:
+    return (f"""u_{kind} AS (SELECT __o, property_name, {O.txt('v')} AS v FROM (UNPIVOT (SELECT CAST(hs_object_id AS BIGINT) AS __o,
+            {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in columns)}
+            FROM {table}) ON COLUMNS(* EXCLUDE (__o)) INTO NAME property_name VALUE v) WHERE {O.txt('v')} <> '')""")
+
+
+def _profile_select_sql(kind: str, table: str, columns: list[str]) -> str:
+    u = f"u_{kind}"
+    return f"""SELECT '{kind}' AS object_type, m.property_name, m.property_name AS label, CAST(NULL AS VARCHAR) AS data_type,
         coalesce(c.n, 0) AS non_null_count,
         CASE WHEN t.total > 0 THEN round(coalesce(c.n, 0) / t.total * 100, 2) ELSE 0.0 END AS percent_filled,
         coalesce(s.sample_values, '') AS sample_values, coalesce(c.n, 0) > 0 AS usable
-      FROM (SELECT unnest({[c for c in RAW_CONTACT_COLUMNS]}) AS property_name) m
-      CROSS JOIN (SELECT count(*) AS total FROM raw_contacts) t
-      LEFT JOIN (SELECT property_name, count(*) AS n FROM u GROUP BY 1) c USING (property_name)
+      FROM (SELECT unnest({columns}) AS property_name) m
+      CROSS JOIN (SELECT count(*) AS total FROM {table}) t
+      LEFT JOIN (SELECT property_name, count(*) AS n FROM {u} GROUP BY 1) c USING (property_name)
       LEFT JOIN (SELECT property_name, string_agg(v, ' | ' ORDER BY rn) AS sample_values FROM (
           SELECT property_name, v, row_number() OVER (PARTITION BY property_name ORDER BY f, v) AS rn
-          FROM (SELECT property_name, v, min(__o) AS f FROM u GROUP BY 1, 2)) WHERE rn <= 5 GROUP BY 1) s USING (property_name)""",
-                [f"""u AS (SELECT __o, property_name, {O.txt('v')} AS v FROM (UNPIVOT (SELECT CAST(hs_object_id AS BIGINT) AS __o, {cols}
-            FROM raw_contacts) ON COLUMNS(* EXCLUDE (__o)) INTO NAME property_name VALUE v) WHERE {O.txt('v')} <> '')"""])
+          FROM (SELECT property_name, v, min(__o) AS f FROM {u} GROUP BY 1, 2)) WHERE rn <= 5 GROUP BY 1) s USING (property_name)"""
+
+
+def sql_profile_fields():
+    return _sql(" UNION ALL ".join(f"({_profile_select_sql(*p)})" for p in PROFILED), [_profile_values_sql(*p) for p in PROFILED])
 
 
 def q_flatten_crm_objects(spark, d):
@@ -1160,21 +1175,35 @@ def sql_refresh_audit():
                 f"{O.TODAY_TS} AS refreshed_at", O.activity_ctes())
 
 
+# name, only paid leads, grouping column, status column the uploaded pivot counts
+PIVOTS = [("Paid PLS", True, "paid_lead_list", "lead_status"), ("Paid PLC", True, "paid_lead_list", "lifecycle_stage"),
+          ("UDR L2C", False, "contact_owner", "lead_status"), ("UDR L2A", False, "contact_owner", "lifecycle_stage")]
+
+
 def q_pivot_reconciliation(spark, d):
     leads = _leads(spark, d)
-    cells = _Q.pivot_cells(leads, "contact_owner", "lead_status", "L2C")
-    pivot = _Q.pivot_sheet_rows(cells, ["grand_total"])
-    return _Q.pivot_reconciliation([_Q.compare_pivot_totals(leads, pivot, "contact_owner", "UDR L2C")])
+    parts = []
+    for name, paid, group, status in PIVOTS:
+        raw = leads.where(F.col("lead_type") == "Paid") if paid else leads
+        pivot = _Q.pivot_sheet_rows(_Q.pivot_cells(raw, group, status, name.split()[1]), ["grand_total"])
+        parts.append(_Q.compare_pivot_totals(raw, pivot, group, name))
+    return _Q.pivot_reconciliation(parts)
+
+
+def _pivot_select_sql() -> str:
+    parts = []
+    for name, paid, group, _ in PIVOTS:
+        rows = "(SELECT * FROM leads_f WHERE lead_type = 'Paid')" if paid else "leads_f"
+        parts.append(f"""SELECT {O.q(name)} AS pivot_name, coalesce(r.g, p.g, 'Unmapped') AS "group", coalesce(r.n, 0.0) AS raw_total,
+            coalesce(p.n, 0.0) AS pivot_total, coalesce(r.n, 0.0) - coalesce(p.n, 0.0) AS difference
+          FROM (SELECT CASE WHEN {O.txt(group)} = '' THEN 'Unmapped' ELSE {group} END AS g, CAST(count(*) AS DOUBLE) AS n FROM {rows} GROUP BY 1) r
+          FULL OUTER JOIN (SELECT {O.txt(group)} AS g, CAST(count(*) AS DOUBLE) AS n FROM {rows}
+                           WHERE {O.txt('record_id')} <> '' AND {O.txt(group)} <> '' GROUP BY 1) p ON r.g = p.g""")
+    return " UNION ALL ".join(f"({p})" for p in parts)
 
 
 def sql_pivot_reconciliation():
-    return _usql(f"""SELECT 'UDR L2C' AS pivot_name, coalesce(r.g, p.g, 'Unmapped') AS "group", coalesce(r.n, 0.0) AS raw_total,
-        coalesce(p.n, 0.0) AS pivot_total, coalesce(r.n, 0.0) - coalesce(p.n, 0.0) AS difference
-      FROM (SELECT CASE WHEN {O.txt('contact_owner')} = '' THEN 'Unmapped' ELSE contact_owner END AS g, CAST(count(*) AS DOUBLE) AS n
-            FROM leads_f GROUP BY 1) r
-      FULL OUTER JOIN (SELECT CASE WHEN {O.txt('contact_owner')} = '' THEN '(blank)' ELSE {O.txt('contact_owner')} END AS g,
-            CAST(count(*) AS DOUBLE) AS n FROM leads_f WHERE {O.txt('record_id')} <> '' AND {O.txt('contact_owner')} <> '' GROUP BY 1) p
-        ON r.g = p.g""", leads=True)
+    return _usql(_pivot_select_sql(), leads=True)
 
 
 def q_qa_checks(spark, d):
@@ -1317,8 +1346,7 @@ def sql_qa_checks():
         count_if(TRY_CAST(CAST(revenue AS VARCHAR) AS DOUBLE) IS NULL) AS m_rev, {miss('payment_funding')} AS m_pay,
         count_if({t('enrolled_date')} <> '' AND TRY_CAST({t('enrolled_date')} AS TIMESTAMP) IS NULL) AS bad_date,
         count_if(CAST(days_to_enroll AS DOUBLE) < 0) AS neg_days, count(*) AS actual FROM enr)"""
-    recon_select = sql_pivot_reconciliation()[sql_pivot_reconciliation().index("SELECT 'UDR L2C'"):]
-    pv = f"pv AS (SELECT count_if(coalesce(CAST(difference AS DOUBLE), 0.0) <> 0) AS pivot_n FROM ({recon_select}))"
+    pv = f"pv AS (SELECT count_if(coalesce(CAST(difference AS DOUBLE), 0.0) <> 0) AS pivot_n FROM ({_pivot_select_sql()}))"
     rows = [("Duplicate Record IDs", "High", "''", "la.dup_id"), ("Duplicate emails", "Medium", "''", "la.dup_email"),
             ("Missing email", "Medium", "''", "la.m_email"), ("Missing contact owner/UDR", "High", "''", "la.m_owner"),
             ("Missing lead status", "Medium", "''", "la.m_status"), ("Missing lifecycle stage", "Medium", "''", "la.m_life"),
@@ -1360,9 +1388,7 @@ def sql_choose_field_mapping():
                         f"[{', '.join(O.q(t.lower()) for t in toks)}]::VARCHAR[], {len(toks)})")
     wanted = f"wanted AS (SELECT * FROM (VALUES {', '.join(rows)}) w(object_type, logical_name, preferred, tokens, n_tokens))"
     inv = "inv AS (SELECT * FROM prof WHERE usable)"
-    prof_sql = sql_profile_fields()
-    prof_select = prof_sql[prof_sql.index("SELECT 'contact' AS object_type"):]
-    prof_ctes = [f"prof AS ({prof_select})"]
+    prof_ctes = [f"prof AS ({' UNION ALL '.join(f'({_profile_select_sql(*p)})' for p in PROFILED)})"]
     hay = "replace(lower(i.property_name || ' ' || coalesce(i.label, '')), '_', ' ')"
     return _sql(f"""SELECT w.object_type, w.logical_name, coalesce(p.prop, a.prop) AS selected_property,
         array_to_string(w.preferred, ', ') AS preferred_candidates
@@ -1378,13 +1404,7 @@ def sql_choose_field_mapping():
           FROM wanted w JOIN inv i ON i.object_type = w.object_type
           WHERE len(list_filter(list_distinct(w.tokens), lambda t: contains({hay}, t))) >= least(2, w.n_tokens)) WHERE rn = 1) a
         ON a.object_type = w.object_type AND a.logical_name = w.logical_name""",
-                [_profile_u_cte(), *prof_ctes, wanted, inv])
-
-
-def _profile_u_cte() -> str:
-    cols = ", ".join(RAW_CONTACT_COLUMNS)
-    return (f"""u AS (SELECT __o, property_name, {O.txt('v')} AS v FROM (UNPIVOT (SELECT CAST(hs_object_id AS BIGINT) AS __o, {cols}
-            FROM raw_contacts) ON COLUMNS(* EXCLUDE (__o)) INTO NAME property_name VALUE v) WHERE {O.txt('v')} <> '')""")
+                [*[_profile_values_sql(*p) for p in PROFILED], *prof_ctes, wanted, inv])
 
 
 ORACLE.update({"choose_field_mapping": sql_choose_field_mapping})
@@ -1564,3 +1584,49 @@ ORACLE.update({
     "enrollment_bad_dates": sql_enrollment_bad_dates,
     "source_coverage": sql_source_coverage,
 })
+
+
+# ---- filters, owners, newest records, contact flags ---------------------------------------------
+
+def q_lead_filters(spark, d):
+    leads = _E.apply_filters(_leads(spark, d), {"lifecycle_stage": ["lead", "Applicant"], "degree": [], "contact_owner": ["NATION_1", "NATION_2", "NATION_3"]})
+    return _E.filter_date_range(leads, "create_date", "1996-01-01", "2001-06-30").select("record_id", "contact_owner", "lifecycle_stage", "create_date")
+
+
+def sql_lead_filters():
+    return _usql("""SELECT record_id, contact_owner, lifecycle_stage, create_date FROM leads_f WHERE lifecycle_stage IN ('lead', 'Applicant')
+        AND coalesce(contact_owner, '') IN ('NATION_1', 'NATION_2', 'NATION_3') AND create_date >= DATE '1996-01-01' AND create_date < DATE '2001-07-01'""", leads=True)
+
+
+def q_filter_options(spark, d):
+    return _E.filter_options([_leads(spark, d), _enr(spark, d)], "normalized_source")
+
+
+def sql_filter_options():
+    return _usql(f"""SELECT DISTINCT normalized_source FROM (SELECT {O.txt('normalized_source')} AS normalized_source FROM leads_f
+        UNION ALL SELECT {O.txt('normalized_source')} FROM enr) WHERE normalized_source <> ''""", leads=True, enr=True)
+
+
+CONTACT_FLAGS = ["contact_id", "lead_temperature", "dead_reason", "reviveable_flag", "archive_remove_flag"]
+
+
+def sql_contact_flags():
+    has = " OR ".join(f"{O.txt_na(c)} <> ''" for c in ("program", "email", "phone"))
+    archive = " OR ".join(f"contains(coalesce(dead_reason, ''), {O.q(t.replace(' ', '_'))})" for t in _R.ARCHIVE_TERMS)
+    return _sql(f"""SELECT contact_id, lead_temperature, dead_reason,
+        lead_temperature = 'Dead' AND coalesce(dead_reason, '') IN ('inactive_60_days_no_open_deal', 'never_contacted_30_days', 'low_score')
+          AND (paid_lead_flag OR {has} OR last_activity_date IS NOT NULL) AS reviveable_flag, ({archive}) AS archive_remove_flag FROM contacts_clean""")
+
+
+QUERIES.update({
+    "lead_filters": q_lead_filters,
+    "filter_options": q_filter_options,
+    "contact_flags": lambda s, d: _s(s, d)["contacts_clean"].select(*CONTACT_FLAGS),
+    "latest_records": lambda s, d: _PL.latest_records(_V.deals(s, d), 100).select("hs_object_id", "createdate"),
+})
+ORACLE.update({
+    "lead_filters": sql_lead_filters,
+    "filter_options": sql_filter_options,
+    "contact_flags": sql_contact_flags,
+    "latest_records": lambda: _sql("SELECT hs_object_id, createdate FROM raw_deals ORDER BY createdate DESC NULLS LAST, hs_object_id DESC NULLS LAST LIMIT 100"),
+})

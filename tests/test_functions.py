@@ -88,3 +88,31 @@ def test_source_alias_and_udr_key(spark):
     rows = df.select(normalize_source_value(F.col("s")).alias("n"), udr_key(F.col("s")).alias("k")).collect()
     assert [r.n for r in rows] == ["Project Falcon", "Unmapped", "Kara Leads", "UDR 07", "Maria Lopez"]
     assert rows[3].k == "udr 07" and rows[4].k == "maria"
+
+
+def test_tuition_overrides_reach_the_fields(spark):
+    from funnelspark.functions.tuition import add_program_tuition_fields, tuition_table
+    config = {"_note": "ignored", "Master": {"estimated_total_tuition": 1.5, "note": "own"}}
+    df = spark.createDataFrame([("MBA",), ("Certificate in AI",)], "program string")
+    rows = {r.program: r for r in add_program_tuition_fields(df, config=config).collect()}
+    plain = {r.program: r for r in add_program_tuition_fields(df).collect()}
+    assert (rows["MBA"].estimated_total_tuition, rows["MBA"].duration_note) == (1.5, "own") and plain["MBA"].estimated_total_tuition != 1.5
+    assert rows["MBA"].credits_required == plain["MBA"].credits_required and rows["Certificate in AI"][1:] == plain["Certificate in AI"][1:]
+    assert {r.program_degree_level: r.estimated_total_tuition for r in tuition_table(spark, config).collect()}["Master"] == 1.5
+
+
+def test_source_rules_can_be_passed_in(spark):
+    from funnelspark.functions.classify import add_source_classification
+    df = spark.createDataFrame([("kiosk",), ("google ads",)], "utm_source string")
+    rows = {r.utm_source: r for r in add_source_classification(df, ["utm_source"], paid_terms=["kiosk"], search_terms=["kiosk"]).collect()}
+    assert rows["kiosk"].paid_lead_flag and rows["kiosk"].source_group == "Paid Search"
+    assert not rows["google ads"].paid_lead_flag and rows["google ads"].source_group == "Other"
+
+
+def test_gold_facts(spark):
+    from funnelspark.plans.process import gold_facts, silver
+    from funnelspark.sources import crm_view
+    d = "/root/testdata/sf0.001"
+    facts = gold_facts(silver(spark, d), crm_view.vendor_costs_raw(spark, d), crm_view.TODAY)
+    assert all(df.count() > 0 for df in facts.values())
+    assert set(facts) == {"student_journey_fact", "cohort_fact", "vendor_fact", "salesman_revenue_fact"}
