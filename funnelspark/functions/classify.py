@@ -60,26 +60,6 @@ def first_pipe_part(text: Column) -> Column:
     return F.get(F.filter(parts, lambda p: p != ""), 0)
 
 
-def detect_vendor(cols: Sequence[str], aliases=None) -> Column:
-    """struct(vendor, confidence, field): alias hit (High) -> first '|' part (Medium) -> Unknown/Low."""
-    aliases = R.VENDOR_ALIASES if aliases is None else aliases
-    high = [
-        F.when(clean_text(F.col(c)) != "", F.struct(
-            _alias_vendor(F.lower(clean_text(F.col(c))), aliases).alias("vendor"),
-            F.lit("High").alias("confidence"), F.lit(c).alias("field")))
-        for c in cols
-    ]
-    high = [F.when(h.getField("vendor").isNotNull(), h) for h in high]
-    medium = [
-        F.when(first_pipe_part(clean_text(F.col(c))).isNotNull(), F.struct(
-            first_pipe_part(clean_text(F.col(c))).alias("vendor"),
-            F.lit("Medium").alias("confidence"), F.lit(c).alias("field")))
-        for c in cols
-    ]
-    low = F.struct(F.lit("Unknown").alias("vendor"), F.lit("Low").alias("confidence"), F.lit("").alias("field"))
-    return F.coalesce(*high, *medium, low)
-
-
 def add_source_classification(df: DataFrame, cols: Sequence[str] | None = None, aliases=None,
                               paid_terms=None, social_terms=None, search_terms=None) -> DataFrame:
     """source_text, paid_lead_flag, source_group, vendor, vendor_confidence, vendor_source_field, paid_vendor.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.classify import normalize_source_value, with_normalized_source_value
-from ..functions.expr import avg_exact, clean_text, safe_div, strip_ws, sum_money
+from ..functions.expr import avg_exact, clean_text, elapsed_days_floor, safe_div, strip_ws, sum_money, ts_literal
 
 SPECIAL_LABELS = [("total", "Total"), ("starts", "Starts"), ("start%", "Start%")]
 SUMMARY_METRICS = ["budget", "enrolled", "starts", "start%"]
@@ -29,45 +29,17 @@ def _season_label(code: Column) -> Column:
     return out
 
 
-def parse_term_header(c: Column) -> Column:
-    """'SP2-G', 'SP-1 A', 'SU2 -A' -> struct(raw_term, term, term_label, term_metric); NULL if not a term."""
-    text = clean_text(c, "collapse")
-    compact = F.translate(F.regexp_replace(F.upper(text), "[\\s_\u00a0]+", ""), "\u2013\u2014", "--")
-    season = F.regexp_extract(compact, TERM_HEADER_PATTERN, 1)
-    number = F.regexp_extract(compact, TERM_HEADER_PATTERN, 2)
-    suffix = F.regexp_extract(compact, TERM_HEADER_PATTERN, 3)
-    metric = F.when(suffix == "G", "goal").when(suffix == "A", "actual").otherwise("term")
-    return F.when((text != "") & compact.rlike(TERM_HEADER_PATTERN), F.struct(
-        text.alias("raw_term"), F.concat(season, number).alias("term"),
-        F.concat(_season_label(season), F.lit(" "), number).alias("term_label"), metric.alias("term_metric")))
-
-
-def normalize_term_token(c: Column) -> Column:
-    """Header form, 'SP2', or 'Spring 2' -> 'SP2'; blank -> ''; anything else -> the cleaned text."""
-    text = clean_text(c, "collapse")
-    header = parse_term_header(c)
-    compact = F.translate(F.regexp_replace(F.upper(text), "[\\s_\u00a0-]+", ""), "\u2013\u2014", "")
-    direct = F.regexp_extract(compact, r"^(SP|SU|FA)([12])$", 0)
-    words = strip_ws(F.regexp_replace(F.upper(text), "[^A-Z0-9]+", " "))
-    named_season = F.regexp_extract(words, r"^(SPRING|SUMMER|FALL)\s*([12])$", 1)
-    named_num = F.regexp_extract(words, r"^(SPRING|SUMMER|FALL)\s*([12])$", 2)
-    code = None
-    for c_, label in R.SEASON_LABELS:
-        cond = named_season == label.upper()
-        code = F.when(cond, F.lit(c_)) if code is None else code.when(cond, F.lit(c_))
-    return (F.when(text == "", F.lit("")).when(header.isNotNull(), header.getField("term"))
-            .when(direct != "", direct).when(named_season != "", F.concat(code, named_num)).otherwise(text))
-
-
-def display_term_label(c: Column) -> Column:
-    token = normalize_term_token(c)
-    m = F.regexp_extract(token, r"^(SP|SU|FA)([12])$", 1)
-    n = F.regexp_extract(token, r"^(SP|SU|FA)([12])$", 2)
-    return F.when(m != "", F.concat(_season_label(m), F.lit(" "), n)).otherwise(clean_text(c, "collapse"))
+def with_display_term_label(df: DataFrame, src: str, out: str) -> DataFrame:
+    """'SP2', 'Spring 2', 'SP2-G' -> 'Spring 2'; anything else -> the cleaned text."""
+    df = with_term_token(df, src, "__dl")
+    season, number = F.substring("__dl", 1, 2), F.substring("__dl", 3, 1)
+    named = F.concat(_season_label(season), F.lit(" "), number)
+    return df.withColumn(out, F.when(F.col("__dl").rlike("^(SP|SU|FA)[12]$"), named).otherwise(clean_text(F.col(src), "collapse"))).drop("__dl")
 
 
 def with_term_header(df: DataFrame, src: str, out: str) -> DataFrame:
-    """``parse_term_header`` as staged columns (keeps the plan small when reused)."""
+    """'SP2-G', 'SP-1 A', 'SU2 -A' -> struct(raw_term, term, term_label, term_metric); NULL if not a term.
+    Staged as columns, which keeps the plan small when it is reused."""
     p = f"__th_{out}_"
     df = df.withColumn(p + "text", clean_text(F.col(src), "collapse"))
     df = df.withColumn(p + "cmp", F.translate(F.regexp_replace(F.upper(F.col(p + "text")), "[\\s_\u00a0]+", ""),
@@ -82,7 +54,7 @@ def with_term_header(df: DataFrame, src: str, out: str) -> DataFrame:
 
 
 def with_term_token(df: DataFrame, src: str, out: str) -> DataFrame:
-    """``normalize_term_token`` as staged columns."""
+    """Header form, 'SP2', or 'Spring 2' -> 'SP2'; blank -> ''; anything else -> the cleaned text."""
     p = f"__tt_{out}_"
     df = with_term_header(df, src, p + "hdr")
     df = df.withColumn(p + "text", clean_text(F.col(src), "collapse"))
@@ -369,13 +341,11 @@ def only_term(enr: DataFrame) -> Column:
     return labels.agg(F.when(F.count(F.lit(1)) == 1, F.min("__tok"))).scalar()
 
 
-def required_weekly_pace(enr: DataFrame, remaining: Column, today) -> Column:
+def required_weekly_pace(remaining: Column, last_term: Column, today) -> Column:
     """remaining / max(days to the last term date / 7, 1); 0 when nothing remains or no term dates."""
-    from ..functions.expr import elapsed_days_floor, ts_literal
-    last = enr.agg(F.max(F.col("term").cast("timestamp"))).scalar()
-    days = F.greatest(elapsed_days_floor(ts_literal(today), last), F.lit(1))
-    return (F.when((remaining <= 0) | last.isNull(), F.lit(0.0))
-            .otherwise(remaining.cast("double") / F.greatest(days / F.lit(7.0), F.lit(1.0))))
+    days = F.greatest(elapsed_days_floor(ts_literal(today), last_term), F.lit(1))
+    pace = remaining.cast("double") / F.greatest(days / F.lit(7.0), F.lit(1.0))
+    return F.when((remaining <= 0) | last_term.isNull(), F.lit(0.0)).otherwise(pace)
 
 
 def _or_chain(*vals: Column) -> Column:
@@ -398,7 +368,6 @@ def executive_overview(leads: DataFrame, paid_leads: DataFrame, enr: DataFrame,
                        selected: Sequence[str] | None = None, today=None) -> DataFrame:
     """26 measures with the goal / starts / actual / start-rate precedence chain (one row).  Every
     one-row input enters once as a packed scalar subquery; derived values are columns."""
-    from ..functions.expr import elapsed_days_floor, ts_literal
     from .enrollment import lead_summary
     tracker_summary = budget_summary.limit(0) if tracker_summary is None else tracker_summary
     tracker_terms = budget_terms.limit(0) if tracker_terms is None else tracker_terms
@@ -428,12 +397,7 @@ def executive_overview(leads: DataFrame, paid_leads: DataFrame, enr: DataFrame,
         .otherwise(F.lit(0.0)),
         "remaining": F.greatest(c("goal") - c("act"), F.lit(0.0)),
     })
-    if today is not None:
-        days = F.greatest(elapsed_days_floor(ts_literal(today), c("last_term")), F.lit(1))
-        pace = F.when((c("remaining") <= 0) | c("last_term").isNull(), F.lit(0.0)).otherwise(
-            c("remaining") / F.greatest(days / F.lit(7.0), F.lit(1.0)))
-    else:
-        pace = F.lit(0.0)
+    pace = F.lit(0.0) if today is None else required_weekly_pace(c("remaining"), c("last_term"), today)
     return row.select(
         c("l_total_leads").alias("total_leads"), _or_chain(c("p_total_leads"), c("l_paid_leads")).alias("paid_leads"),
         _or_chain(c("l_organic_leads"), c("p_organic_leads")).alias("organic_leads"), c("l_applicants").alias("applicants"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -56,10 +56,11 @@ def wanted_fields(spark, fields: Mapping[str, Mapping[str, Sequence[str]]] | Non
     return spark.createDataFrame(rows, "object_type string, logical_name string, preferred array<string>, tokens array<string>")
 
 
-def match_score(tokens, property_name, label):
-    """Number of tokens found in 'name label' (lower-cased, '_' -> ' ')."""
-    hay = F.regexp_replace(F.lower(F.concat_ws(" ", property_name, label)), "_", " ")
-    return F.size(F.filter(tokens, lambda t: hay.contains(F.lower(t))))
+def matched_tokens(vocabulary: Sequence[str], property_name: Column, label: Column) -> Column:
+    """The vocabulary's tokens found in 'name label' (lower-cased, '_' -> ' '); a field's match score is
+    how many of its tokens are among them."""
+    hay = F.regexp_replace(F.lower(F.concat_ws(" ", property_name, F.coalesce(label, F.lit("")))), "_", " ")
+    return F.filter(F.array(*[F.lit(t) for t in vocabulary]), lambda t: hay.contains(t))
 
 
 def choose_field_mapping(inventory: DataFrame, wanted: DataFrame, fields=None) -> DataFrame:
@@ -75,9 +76,8 @@ def choose_field_mapping(inventory: DataFrame, wanted: DataFrame, fields=None) -
             .groupBy("object_type", "logical_name").agg(F.min(F.struct("__pos", "property_name")).getField("property_name").alias("__pref")))
     fields = R.DASHBOARD_FIELDS if fields is None else fields
     vocab = sorted({t.lower() for obj in fields.values() for name in obj for t in _tokens(name)})
-    hay = F.regexp_replace(F.lower(F.concat_ws(" ", F.col("property_name"), F.coalesce(F.col("label"), F.lit("")))), "_", " ")
     matched = inv.select("object_type", "property_name", F.coalesce(F.col("percent_filled").cast("double"), F.lit(0.0)).alias("p"),
-                         F.explode(F.filter(F.array(*[F.lit(t) for t in vocab]), lambda t: hay.contains(t))).alias("token"))
+                         F.explode(matched_tokens(vocab, F.col("property_name"), F.col("label"))).alias("token"))
     field_tokens = wanted.select("object_type", "logical_name", F.size("tokens").alias("n_tokens"),
                                  F.explode(F.array_distinct(F.transform("tokens", lambda t: F.lower(t)))).alias("token"))
     scored = (field_tokens.join(matched, ["object_type", "token"])

@@ -8,7 +8,7 @@ from funnelspark.functions.classify import add_source_classification, normalize_
 from funnelspark.functions.expr import elapsed_days_floor, with_parsed_datetimes
 from funnelspark.functions.scoring import score_leads
 from funnelspark.functions.tuition import degree_level
-from funnelspark.operators.budget import display_term_label, normalize_term_token, parse_term_header, udr_key
+from funnelspark.operators.budget import udr_key, with_display_term_label, with_term_header, with_term_token
 
 TODAY = "2026-06-10 00:00:00"
 
@@ -74,8 +74,7 @@ def test_degree_rules_are_ordered_substrings(spark):
 
 def test_term_codes(spark):
     df = spark.createDataFrame([("SP2-G",), ("SP-1 A",), ("SU2 -A",), ("Spring 2",), ("fa1",), ("other",)], "t string")
-    rows = df.select(parse_term_header(F.col("t")).alias("h"), normalize_term_token(F.col("t")).alias("k"),
-                     display_term_label(F.col("t")).alias("d")).collect()
+    rows = with_display_term_label(with_term_token(with_term_header(df, "t", "h"), "t", "k"), "t", "d").collect()
     assert rows[0].h.term == "SP2" and rows[0].h.term_metric == "goal"
     assert rows[1].h.term == "SP1" and rows[1].h.term_metric == "actual"
     assert rows[2].h.term_label == "Summer 2"
