@@ -16,11 +16,10 @@ stage's operator says in its module.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from funnelspark.llm.common import shared_dir, stored
 from funnelspark.llm.jaccard_join import one_of_each
-from funnelspark.llm.line_dedup import dedup_documents
+from funnelspark.llm.line_dedup import rewritten_documents
 from funnelspark.llm.mixing import mixed_documents
 from funnelspark.llm.packing import pack
 from funnelspark.llm.quality_rules import quality_filter
@@ -32,10 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_documents(docs)
-    text = F.when(F.col("_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("_dropped") > 0, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return rewritten_documents(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,11 +45,27 @@ def checked_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``_row``: no name of theirs can then clash with a working column;
+    ``select("_row.*")`` unpacks it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def words(text: Column) -> Column:
     """All maximal runs of characters other than the six white spaces; null has none."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RE))
 
 
+def word_hashes(w: Column) -> Column:
+    """64-bit hashes of the words ``w``; n-gram hashes are made of them, so a word's letters are read once."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def hash_at(hashes: Column | str, first: Column, n: int) -> Column:
+    """Hash of the n-gram whose word hashes begin at position ``first`` (from 0) of a stored column."""
+    return F.xxhash64(*[F.get(hashes, first + k) for k in range(n)])
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())

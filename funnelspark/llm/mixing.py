@@ -28,13 +28,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import shared_dir, stored, words
+from funnelspark.llm.common import shared_dir, stored, whole_row, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK_WORDS = 2048
 #: Rows a hash bucket of a source's shuffle, or a chunk of the schedule, should hold.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -140,9 +140,9 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     report = mix_report(docs, id_col=id_col, text_col=text_col, **options)
     copies = (report.groupBy("id", "h").agg(F.avg(F.col("taken") / F.greatest("size", F.lit(1))).alias("c"))
               .select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.round("c").cast("int").alias("_c")).filter("_c > 0"))
-    keyed = docs.withColumn("_h0", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(copies, (keyed["_h0"] == copies["_h"]) & keyed[id_col].eqNullSafe(copies["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole_row(docs), F.col(id_col).alias("_id0"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h0"))
+    joined = keyed.join(copies, (F.col("_h0") == F.col("_h")) & F.col("_id0").eqNullSafe(F.col("_id")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_copy")).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from funnelspark.llm.classifier import op5_quality_classifier
 from funnelspark.llm.fingerprints import op10_simhash
-from funnelspark.llm.html_text import op3_html_extraction
+from funnelspark.llm.html_text import OP3_SQL, op3_html_extraction
 from funnelspark.llm.jaccard_join import op1_jaccard_join
 from funnelspark.llm.line_dedup import OP4_SQL, op4_line_dedup
 from funnelspark.llm.mixing import op9_mixing
 from funnelspark.llm.packing import op8_best_fit_packing
 from funnelspark.llm.quality_rules import op7_quality_rules
 from funnelspark.llm.sharding import op6_sharding
-from funnelspark.llm.warc import op2_warc
+from funnelspark.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
@@ -27,4 +27,4 @@ QUERIES = {
 }
 
 #: The others are tested against brute force, an exact round trip or held-out labels.
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_html_extraction": OP3_SQL, "op4_line_dedup": OP4_SQL}

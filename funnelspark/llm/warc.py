@@ -225,3 +225,22 @@ def round_trip(pages: DataFrame, *, min_bytes: int = 0, split_bytes: int = SPLIT
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return round_trip(pages)
+
+
+def _base32_sql(hexadecimal: str) -> str:
+    """Bare upper-case base32 of a 40-digit hexadecimal number: five digits are four letters."""
+    letters = []
+    for k in range(8):
+        five = f"CAST('0x' || substr({hexadecimal}, {5 * k + 1}, 5) AS INTEGER)"
+        letters += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({five} >> {shift}) & 31) + 1, 1)" for shift in (15, 10, 5, 0)]
+    return " || ".join(letters)
+
+
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, {_base32_sql('h')} AS payload_digest,
+       CASE WHEN first < page_id OR (page_id IS NULL AND first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id OR page_id IS NULL THEN first END AS refers_to
+FROM f
+"""

@@ -67,6 +67,14 @@ def test_run_gives_the_rows_of_the_stages(spark, sf_dir, stages):
     assert key(C.run(spark, sf_dir)) == key(stages["best_fit_packing"][1])
 
 
+def test_line_stage_keeps_other_rows_as_they_are(spark, make_docs):
+    line = "a line that is long enough to be counted, in many documents"
+    df = make_docs([(i, f"{line}\nown {i}") for i in range(6)] + [(10, None), (11, "")])
+    out = {r["doc_id"]: r for r in C.line_dedup(spark, df, "").collect()}
+    assert C.line_dedup(spark, df, "").columns == df.columns
+    assert out[0]["text"] == "own 0" and out[0]["n_chars"] == 5 and out[5]["text"] == f"{line}\nown 5" and out[10]["text"] is None and out[11]["text"] == ""
+
+
 def test_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
