@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .expr import as_text, as_bool, clean_text, contains_any, strip_ws, to_number
+from .expr import as_text, as_bool, contains_any, strip_ws, to_number
 
 TUITION_FIELDS = [
     "degree_level", "program_degree_level", "tuition_per_credit", "credits_required",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.classify import normalize_source_value, with_normalized_source_value
+from ..functions.classify import with_normalized_source_value
 from ..functions.expr import avg_exact, clean_text, elapsed_days_floor, safe_div, strip_ws, sum_money, ts_literal
 
 SPECIAL_LABELS = [("total", "Total"), ("starts", "Starts"), ("start%", "Start%")]

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from funnelspark.operators import budget as B
 from funnelspark.operators import cohorts as C
