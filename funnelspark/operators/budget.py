@@ -363,12 +363,13 @@ def _packed(df: DataFrame, prefix: str) -> list[Column]:
     return [s.getField(c).alias(f"{prefix}{c}") for c in df.columns]
 
 
-def executive_overview(leads: DataFrame, paid_leads: DataFrame, enr: DataFrame, budget_summary: DataFrame,
+def executive_overview(leads: DataFrame, paid_leads: DataFrame | None, enr: DataFrame, budget_summary: DataFrame,
                        budget_terms: DataFrame, tracker_summary: DataFrame | None = None, tracker_terms: DataFrame | None = None,
                        selected: Sequence[str] | None = None, today=None) -> DataFrame:
     """26 measures with the goal / starts / actual / start-rate precedence chain (one row).  Every
-    one-row input enters once as a packed scalar subquery; derived values are columns."""
-    from .enrollment import lead_summary
+    one-row input enters once as a packed scalar subquery; derived values are columns.  Without
+    ``paid_leads`` the paid ones among ``leads`` are meant, which saves passes."""
+    from .enrollment import lead_and_paid_summary, lead_summary
     tracker_summary = budget_summary.limit(0) if tracker_summary is None else tracker_summary
     tracker_terms = budget_terms.limit(0) if tracker_terms is None else tracker_terms
     chosen = lambda tok: in_effective_terms(tok, selected, enr)
@@ -383,7 +384,8 @@ def executive_overview(leads: DataFrame, paid_leads: DataFrame, enr: DataFrame,
                    F.coalesce(avg_exact(F.col("days_to_enroll")), F.lit(0.0)).alias("avg_days"),
                    F.max(F.col("term").cast("timestamp")).alias("last_term"))
     row = base.select("*", *_packed(term_stats(budget_terms, chosen), "b_"), *_packed(term_stats(tracker_terms, chosen), "t_"),
-                      *_packed(lead_summary(leads), "l_"), *_packed(lead_summary(paid_leads), "p_"),
+                      *(_packed(lead_and_paid_summary(leads), "") if paid_leads is None
+                        else [*_packed(lead_summary(leads), "l_"), *_packed(lead_summary(paid_leads), "p_")]),
                       *_packed(firsts(tracker_summary), "ts_"), *_packed(firsts(budget_summary), "bs_"))
     c = F.col
     row = row.withColumns({

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.classify import normalize_source_value
 from ..functions.expr import clean_text
+from ..session import cut_lineage
 
 QA_COLUMNS = ["check", "status", "severity", "count", "details"]
 
@@ -145,7 +146,9 @@ def pivot_cells(leads: DataFrame, dim: str, status_col: str, sheet: str) -> Data
     src = leads.where(clean_text(F.col("record_id")) != "")
     lab = F.when(clean_text(F.col(dim)) == "", F.lit("(blank)")).otherwise(clean_text(F.col(dim)))
     st = F.when(clean_text(F.col(status_col)) == "", F.lit("(blank)")).otherwise(clean_text(F.col(status_col)))
-    counts = src.groupBy(lab.alias("label"), st.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    # one row per label and status, read many times below
+    counts = cut_lineage(src.groupBy(lab.alias("label"), st.alias("status")).agg(F.count(F.lit(1)).alias("n")))
+    src = counts
     statuses = counts.select("status").distinct().withColumn("col", F.row_number().over(Window.orderBy("status")))
     labels = counts.select("label").distinct().withColumn("row", F.row_number().over(Window.orderBy("label")) + 2)
     n_status = statuses.agg(F.max("col")).scalar()

@@ -540,7 +540,6 @@ def _prepared(spark, sf_dir):
     """Prepared cohort contacts (the gold input of every cohort table), materialised once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PREPARED:
-        from ..session import cut_lineage
         s = _s(spark, sf_dir)
         _PREPARED[key] = cut_lineage(_C.cohort_contacts(s["contacts_clean"], s["lead_deal_fact"]))
     return _PREPARED[key]
@@ -791,6 +790,7 @@ ORACLE.update({
 # ---- uploaded leads, enrollments, budget -----------------------------------------------------
 from ..operators import budget as _B  # noqa: E402
 from ..operators import enrollment as _E  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 from . import oracle_uploaded as U  # noqa: E402
 
 SELECTED_TERMS = ["Summer 2"]
@@ -802,7 +802,6 @@ _UPLOAD_CACHE: dict = {}
 def _landed(key, build):
     """Uploaded spreadsheets are landed once per session (Parquet below the shared folder), like files."""
     if key not in _UPLOAD_CACHE:
-        from ..session import cut_lineage
         _UPLOAD_CACHE[key] = cut_lineage(build())
     return _UPLOAD_CACHE[key]
 
@@ -822,7 +821,6 @@ def _grid(spark, d):
     """The landed budget grid is materialised once per session (Parquet below the shared folder), like a file."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _GRID_CACHE:
-        from ..session import cut_lineage
         cells = cut_lineage(_V.budget_cells(spark, d))
         _GRID_CACHE[key] = tuple(cut_lineage(x) for x in (
             _B.budget_summary_rows(cells), _B.budget_allocations(cells), _B.budget_term_allocations(cells)))
@@ -1182,12 +1180,13 @@ PIVOTS = [("Paid PLS", True, "paid_lead_list", "lead_status"), ("Paid PLC", True
 
 def q_pivot_reconciliation(spark, d):
     leads = _leads(spark, d)
-    parts = []
-    for name, paid, group, status in PIVOTS:
-        raw = leads.where(F.col("lead_type") == "Paid") if paid else leads
-        pivot = _Q.pivot_sheet_rows(_Q.pivot_cells(raw, group, status, name.split()[1]), ["grand_total"])
-        parts.append(_Q.compare_pivot_totals(raw, pivot, group, name))
-    return _Q.pivot_reconciliation(parts)
+    raw = {name: leads.where(F.col("lead_type") == "Paid") if paid else leads for name, paid, _, _ in PIVOTS}
+    cells = None
+    for name, _, group, status in PIVOTS:
+        sheet = _Q.pivot_cells(raw[name], group, status, name)
+        cells = sheet if cells is None else cells.unionByName(sheet)
+    rows = cut_lineage(_Q.pivot_sheet_rows(cells, ["grand_total"]))  # all sheets at once
+    return _Q.pivot_reconciliation([_Q.compare_pivot_totals(raw[name], rows.where(F.col("sheet") == name), group, name) for name, _, group, _ in PIVOTS])
 
 
 def _pivot_select_sql() -> str:
@@ -1243,25 +1242,21 @@ ORACLE.update({
 })
 
 
-def q_executive_overview(spark, d):
-    leads = _leads(spark, d)
+def _executive_overview(spark, d, selected=None):
     summ, _, terms = _grid(spark, d)
-    return _B.executive_overview(leads, leads.where(F.col("lead_type") == "Paid"), _enr(spark, d), summ, terms,
-                                 selected=None, today=_V.TODAY)
+    return _B.executive_overview(_leads(spark, d), None, _enr(spark, d), summ, terms, selected=selected, today=_V.TODAY)
+
+
+def q_executive_overview(spark, d):
+    return _executive_overview(spark, d)
 
 
 def q_executive_overview_term(spark, d):
-    leads = _leads(spark, d)
-    summ, _, terms = _grid(spark, d)
-    return _B.executive_overview(leads, leads.where(F.col("lead_type") == "Paid"), _enr(spark, d), summ, terms,
-                                 selected=SELECTED_TERMS, today=_V.TODAY)
+    return _executive_overview(spark, d, SELECTED_TERMS)
 
 
 def q_executive_overview_terms(spark, d):
-    leads = _leads(spark, d)
-    summ, _, terms = _grid(spark, d)
-    return _B.executive_overview(leads, leads.where(F.col("lead_type") == "Paid"), _enr(spark, d), summ, terms,
-                                 selected=["Summer 2", "Spring 1"], today=_V.TODAY)
+    return _executive_overview(spark, d, ["Summer 2", "Spring 1"])
 
 
 QUERIES.update({"executive_overview": q_executive_overview, "executive_overview_term": q_executive_overview_term,
