@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from funnelspark.llm.common import lower_ascii, words
+from funnelspark.llm.common import hash_at, lower_ascii, shared_dir, stored, word_hashes, words
 
 RADIUS = 3
 BLOCKS = 6
@@ -36,13 +36,11 @@ MAX_BUCKETS = 50_000
 _STEP = 1 << 14
 
 
-def terms(w: Column) -> Column:
-    """Hashes of all adjacent pairs of the words ``w``, repeats included; a single word is a term of its own.
-
-    ``w`` should be a stored column: it is read once per pair.
-    """
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))
-    return F.when(F.size(w) >= 2, pairs).otherwise(F.transform(w, lambda x: F.xxhash64(x)))
+def terms(h: Column) -> Column:
+    """Hashes of all adjacent pairs of the words with hashes ``h`` (a stored column), repeats included; a
+    single word is a term of its own."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: hash_at(h, i, 2))
+    return F.when(F.size(h) >= 2, pairs).otherwise(h)
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -102,7 +100,8 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = rows.withColumn("edited", F.when(~F.col("helper"), edited))
-    rows = rows.withColumn("w", words(lower_ascii(F.col("text")))).withColumn("ew", words(lower_ascii(F.col("edited"))))
+    rows = rows.withColumn("w", word_hashes(words(lower_ascii(F.col("text"))))).withColumn(
+        "ew", word_hashes(words(lower_ascii(F.col("edited")))))
     rows = rows.select("bucket", "helper", "id", "h", n.cast("long").alias("n_chars"),
                        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
                        simhash_udf(terms(F.col("w"))).alias("fp"), simhash_udf(terms(F.col("ew"))).alias("edited_fp"))
@@ -162,8 +161,14 @@ def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RAD
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents; ``n_within_radius`` (ids divisible by 20, else null): how many of all
+    documents have a fingerprint at most RADIUS bits away, itself included."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = fingerprint_report(docs)
+    out = stored(fingerprint_report(docs), f"{shared_dir(spark)}/fingerprints")
+    near = within_radius(out, out.filter("id % 20 = 0")).select("fp", F.col("near").alias("n"))
+    asked = out.filter("id % 20 = 0").join(near, "fp", "left").withColumn("n_within_radius", F.col("n")).drop("n")
+    rest = out.filter("id is null or id % 20 != 0").withColumn("n_within_radius", F.lit(None).cast("long"))
+    out = asked.unionByName(rest)
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"),
                       as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-                      likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+                      likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_within_radius")

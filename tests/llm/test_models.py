@@ -82,9 +82,12 @@ def plain_simhash(text):
 
 
 def _chain(parts):
+    hashes = [xxhash.xxh64(p.encode(), seed=42).intdigest() for p in parts]
+    if len(hashes) == 1:
+        return hashes[0]
     h = 42
-    for p in parts:
-        h = xxhash.xxh64(p.encode(), seed=h).intdigest()
+    for x in hashes:
+        h = xxhash.xxh64(x.to_bytes(8, "little"), seed=h).intdigest()
     return h
 
 
@@ -127,6 +130,10 @@ def test_query_likeness(spark, sf_dir):
     rows = S.op10_simhash(spark, sf_dir).collect()
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and len(r["fingerprint"]) == 16 for r in rows)
     assert sum(r["near_edited"] > r["near_next"] for r in rows) > 0.9 * len(rows)
+    fps = [int(r["fingerprint"], 16) for r in rows]
+    for r in rows:
+        near = sum((int(r["fingerprint"], 16) ^ x).bit_count() <= S.RADIUS for x in fps)
+        assert r["n_within_radius"] == (near if r["doc_id"] % 20 == 0 else None)
 
 
 @pytest.mark.parametrize(("radius", "blocks"), [(0, 2), (3, 6), (5, 7)])
