@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import SPACES, checked_small, words
+from funnelspark.llm.common import SPACES, checked_small, hash_at, whole_row, word_hashes, words
 
 BUCKETS = 1 << 14
 SCALE = 10_000
@@ -35,24 +35,24 @@ MAX_REPEATED_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 
 
-def _bucket(*parts: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
-def _pairs(w: Column) -> Column:
-    """Positions 1..n-1, the second words of all adjacent pairs; empty below two words."""
-    return F.when(F.size(w) >= 2, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+def _starts(n_words: Column, n: int) -> Column:
+    """Positions (from 0) at which an n-gram begins; none if there are fewer words."""
+    return F.when(n_words >= n, F.sequence(F.lit(0), n_words - n)).otherwise(F.array().cast("array<int>"))
 
 
 def learn_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, *, id_col: str = "doc_id",
                   text_col: str = "text", label_col: str = "quality") -> list[int]:
     """Integer weights per bucket, counted over all documents and all labelled target documents."""
     trusted = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("k")).filter("k is not null").distinct()
-    rows = docs.select(F.col(id_col).alias("k"), words(F.col(text_col)).alias("w"))
+    rows = docs.select(F.col(id_col).alias("k"), word_hashes(words(F.col(text_col))).alias("h"))
     rows = rows.join(checked_small(trusted.withColumn("hit", F.lit(1))), "k", "left")
     grams = F.concat(
-        F.transform("w", lambda x: _bucket(x, buckets=buckets)),
-        F.transform(_pairs(F.col("w")), lambda i: _bucket(F.get("w", i - 1), F.get("w", i), buckets=buckets)),
+        F.transform("h", lambda x: _bucket(x, buckets)),
+        F.transform(_starts(F.size("h"), 2), lambda i: _bucket(hash_at("h", i, 2), buckets)),
     )
     counts = (rows.select(F.explode(grams).alias("b"), F.coalesce("hit", F.lit(0)).alias("hit"))
               .groupBy("b").agg(F.count("*").alias("raw"), F.sum("hit").alias("target")))
@@ -76,29 +76,34 @@ def _weight_at(weights: list[int]) -> tuple[Column, int]:
 
 def score_documents(docs: DataFrame, weights: list[int], threshold: float = THRESHOLD, *, text_col: str = "text") -> DataFrame:
     """``docs`` plus a struct column ``_q`` with the counts, the score and the verdict."""
+    return _judged(docs, weights, threshold, text_col).select("_row.*", "_q")
+
+
+def _judged(docs: DataFrame, weights: list[int], threshold: float, text_col: str) -> DataFrame:
+    """(_row, _q): every row of ``docs`` as a struct, and its verdict."""
     table, buckets = _weight_at(weights)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.withColumn("_t", text).withColumn("_w", words(F.col("_t")))
-    step = step.withColumn("_n", F.size("_w"))
-    positions = F.when(F.col("_n") >= WINDOW, F.sequence(F.lit(1), F.col("_n") - (WINDOW - 1))).otherwise(
-        F.array().cast("array<int>"))
+    step = docs.select(whole_row(docs), text.alias("_t"))
+    step = step.withColumn("_w", words(F.col("_t")))
+    step = step.withColumn("_h", word_hashes(F.col("_w"))).withColumn("_n", F.size("_w"))
+    positions = _starts(F.col("_n"), WINDOW)
     # a cheap test first: only texts in which two windows hash alike take the exact path
-    hashes = F.transform(positions, lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))
-    step = step.withColumn("_h", hashes)
-    step = step.withColumn("_twice", F.size(F.array_distinct("_h")) < F.size("_h"))
-    keyed = F.sort_array(F.transform(positions, lambda i: F.struct(
-        F.concat_ws(" ", F.slice("_w", i, WINDOW)).alias("k"), i.alias("p"))))
+    step = step.withColumn("_g", F.transform(positions, lambda i: hash_at("_h", i, WINDOW)))
+    step = step.withColumn("_twice", F.size(F.array_distinct("_g")) < F.size("_g"))
+    keyed = F.sort_array(F.transform("_g", lambda x, i: F.struct(x.alias("g"), i.alias("p"))))
     step = step.withColumn("_s", F.when(F.col("_twice"), keyed))
     last = F.size("_s") - 1
-    same = lambda a, b: F.get("_s", a)["k"] == F.get("_s", b)["k"]
+    window = lambda a: F.slice("_w", F.get("_s", a)["p"] + 1, WINDOW)
+    # neighbours in hash order; where hashes agree the words decide
+    same = lambda a, b: F.when(F.get("_s", a)["g"] == F.get("_s", b)["g"], window(a) == window(b)).otherwise(F.lit(False))
     repeated = F.filter(F.sequence(F.lit(0), last), lambda j: F.coalesce(same(j, j - 1), F.lit(False)) | F.coalesce(same(j, j + 1), F.lit(False)))
     step = step.withColumn("_p", F.when(F.col("_twice"), F.array_sort(F.transform(repeated, lambda j: F.get("_s", j)["p"]))))
     covered = F.aggregate(F.sequence(F.lit(0), F.size("_p") - 1), F.lit(0).cast("long"), lambda acc, j: acc + F.least(
         F.lit(WINDOW), F.coalesce(F.get("_p", j + 1) - F.get("_p", j), F.lit(WINDOW))))
     n_repeat = F.when(F.size("_p") > 0, covered).otherwise(F.lit(0).cast("long"))
-    total = (F.aggregate("_w", F.lit(0).cast("long"), lambda acc, x: acc + F.get(table, _bucket(x, buckets=buckets)))
-             + F.aggregate(_pairs(F.col("_w")), F.lit(0).cast("long"), lambda acc, i: acc + F.get(
-                 table, _bucket(F.get("_w", i - 1), F.get("_w", i), buckets=buckets))))
+    total = (F.aggregate("_h", F.lit(0).cast("long"), lambda acc, x: acc + F.get(table, _bucket(x, buckets)))
+             + F.aggregate(_starts(F.col("_n"), 2), F.lit(0).cast("long"), lambda acc, i: acc + F.get(
+                 table, _bucket(hash_at("_h", i, 2), buckets))))
     step = step.withColumn("_r", n_repeat).withColumn("_sum", total)
     n = F.col("_n").cast("long")
     n_grams = n + F.greatest(n - 1, F.lit(0))
@@ -114,14 +119,13 @@ def score_documents(docs: DataFrame, weights: list[int], threshold: float = THRE
         (~base_failed & (F.col("_sum") >= limit * n_grams)).alias("kept"),
         F.when(n > 0, F.col("_sum") / (F.lit(float(SCALE)) * n_grams)).alias("score"))
     # the explode keeps a later filter on the verdict from being moved below, which would repeat the work per word
-    return step.select(*docs.columns, F.explode(F.array(verdict)).alias("_q"))
+    return step.select("_row", F.explode(F.array(verdict)).alias("_q"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """The rows of ``docs`` that pass, all columns unchanged."""
-    names = docs.columns
-    judged = score_documents(docs, learn_weights(docs, labels, buckets), threshold)
-    return judged.filter("_q.kept").select(*names)
+    judged = _judged(docs, learn_weights(docs, labels, buckets), threshold, "text")
+    return judged.filter("_q.kept").select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

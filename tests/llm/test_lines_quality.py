@@ -67,9 +67,12 @@ def test_lines_of_empty_table(make_docs):
 
 def brute_quality(rows, good, threshold=Q.THRESHOLD, buckets=Q.BUCKETS):
     def bucket(*parts):
-        h = 42
-        for p in parts:
-            h = xxhash.xxh64(p.encode(), seed=h).intdigest()
+        hashes = [xxhash.xxh64(p.encode(), seed=42).intdigest() for p in parts]
+        h = hashes[0]
+        if len(hashes) > 1:
+            h = 42
+            for x in hashes:
+                h = xxhash.xxh64(x.to_bytes(8, "little"), seed=h).intdigest()
         return (h - (1 << 64) if h >= 1 << 63 else h) % buckets
 
     def grams(text):
