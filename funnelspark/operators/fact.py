@@ -26,15 +26,19 @@ TYPE_DEAL_ONLY = "deal_without_contact"
 def dedupe_by_key(df: DataFrame, key: str, order_col: str, keep: str = "last") -> DataFrame:
     """One row per non-NULL key, the last (or first) by ``order_col``.
 
-    A grouped ``max_by``/``min_by`` over the whole row is partially aggregated on the map side,
-    so a key holding a large share of rows never reaches one task whole.
+    Keys are counted on their own column first.  Rows of keys that occur once pass as they are; only
+    those of repeated keys are aggregated whole (``max_by``/``min_by``, combined on the map side, so a
+    key with a large share of rows never reaches one task whole).
     """
     cols = [c for c in df.columns]
-    row = F.struct(*[F.col(c) for c in cols])
+    keyed = df.where(F.col(key).isNotNull())
+    repeated = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key)
     order = F.coalesce(F.col(order_col), F.lit(ORDER_MAX if keep == "first" else -ORDER_MAX - 1))
+    row = F.struct(*[F.col(c) for c in cols])
     pick = F.max_by(row, order) if keep == "last" else F.min_by(row, order)
-    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(pick.alias("__r"))
-            .select(*[F.col(f"__r.{c}").alias(c) for c in cols]))
+    picked = (keyed.join(repeated, key, "left_semi").groupBy(key).agg(pick.alias("__r"))
+              .select(*[F.col(f"__r.{c}").alias(c) for c in cols]))
+    return keyed.join(repeated, key, "left_anti").select(*cols).unionByName(picked)
 
 
 def deal_link_stats(links: DataFrame) -> DataFrame:
