@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import checked_small, lower_ascii, shared_dir, stored, words
+from funnelspark.llm.common import checked_small, hash_at, lower_ascii, shared_dir, stored, whole_row, word_hashes, words
 from funnelspark.llm.components import components
 
 NGRAM = 5
@@ -55,10 +55,10 @@ OWN, BELOW, OWN_LESS, BELOW_LESS, ASK_LESS, HEAD = range(6)
 SIGNATURES = "sig long, node long, kind tinyint, head struct<n:int,total:int,cover:int>"
 
 
-def shingles(w: Column, n: int = NGRAM) -> Column:
-    """Distinct hashes of the n-grams of the words ``w`` (a stored column)."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
-    return (F.when(F.size(w) >= n, F.array_distinct(grams)).when(F.size(w) > 0, F.array(F.xxhash64(w)))
+def shingles(h: Column, n: int = NGRAM) -> Column:
+    """Distinct hashes of the n-grams of the words with hashes ``h`` (a stored column)."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: hash_at(h, i, n))
+    return (F.when(F.size(h) >= n, F.array_distinct(grams)).when(F.size(h) > 0, F.array(F.xxhash64(h, F.size(h))))
             .otherwise(F.array().cast("array<long>")))
 
 
@@ -229,7 +229,8 @@ class JaccardJoin:
         self.singles = self.texts.join(checked_small(copies), "node", "left_anti").select("node", "text")
 
     def _sets(self, rows: DataFrame) -> DataFrame:
-        return rows.select("node", words(lower_ascii(F.col("text"))).alias("w")).select("node", shingles(F.col("w"), self.ngram).alias("set"))
+        hashed = rows.select("node", word_hashes(words(lower_ascii(F.col("text")))).alias("h"))
+        return hashed.select("node", shingles(F.col("h"), self.ngram).alias("set"))
 
     def _shared(self) -> DataFrame:
         """Signatures held by several sets, with their number ``cost``, and all HEAD rows."""
@@ -367,11 +368,11 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = JaccardJoin(docs, id_col=id_col, text_col=text_col, **options).classes()
     first = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "h1")).alias("m")).select(F.col("m.id").alias("_id"), F.col("m.h1").alias("_h"))
     first = first.distinct()
-    rows = docs.withColumn("_h0", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = rows.join(first, (rows["_h0"] == first["_h"]) & rows[id_col].cast("long").eqNullSafe(first["_id"]), "left_semi")
+    rows = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("_id0"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h0"))
+    kept = rows.join(first, (F.col("_h0") == F.col("_h")) & F.col("_id0").eqNullSafe(F.col("_id")), "left_semi")
     if not classes.groupBy("node").count().filter("count > 1").isEmpty():  # rows of equal id and text: one stays
-        kept = kept.dropDuplicates([id_col, "_h0"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.dropDuplicates(["_id0", "_h0"])
+    return kept.select("_row.*")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
