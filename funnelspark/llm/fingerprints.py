@@ -152,7 +152,8 @@ def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RAD
             expr = F.when(x.bitwiseAND(F.lit(key_masks[i])) == 0, F.lit(i)).otherwise(expr)
         return expr
 
-    joined = asked.join(chunks, ["t", "key"])
+    # merged, not broadcast: a row per table makes the asked side larger than its estimate
+    joined = asked.hint("merge").join(chunks, ["t", "key"])
     near = F.aggregate("held", F.lit(0).cast("long"), lambda acc, e: acc + F.when(
         (F.bit_count(e["fp"].bitwiseXOR(F.col("q"))) <= radius) & (first_table(e["fp"].bitwiseXOR(F.col("q"))) == F.col("t")),
         e["n"]).otherwise(F.lit(0)))
