@@ -5,11 +5,12 @@ it occurs.  Every term hash votes with its weight on 64 signed counters, and the
 the signs.  The angle between the term vectors of two texts is about pi times the share of differing
 bits, so ``likeness`` is the cosine of that angle, at least 0.
 
-``within_radius`` finds all pairs (query, fingerprint) that differ in at most ``radius`` bits: the 64
-bits are cut into ``blocks``; one table per choice of blocks - radius blocks is keyed by those blocks.
-At most ``radius`` blocks can differ, so at least one table brings the pair together; it is counted in
-the first such table only.  Fingerprints of a key are gathered in salted chunks and compared inside
-the expression, so no row per pair is made.
+``pairs_within_radius`` finds all pairs (query, fingerprint) that differ in at most ``radius`` bits, and
+``within_radius`` counts them without a row per pair.  The 64 bits are cut into ``blocks``, each with
+a radius of its own; these radii plus one sum up to radius + 1, so a pair is within the radius of
+at least one block, and it is taken at the first such block only.  Fingerprints are keyed by the bits of
+each block, queries by all values within the block's radius.  What meets at a key is gathered in
+chunks and compared there.
 
 Defined cases: a null or empty text has fingerprint 0; equal texts have equal fingerprints; the next
 document follows in falling id (null ids last, equal ids by text hash), after the last comes the
@@ -18,6 +19,7 @@ first, and a lone document follows itself; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,10 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from funnelspark.llm.common import hash_at, lower_ascii, shared_dir, stored, word_hashes, words
+from funnelspark.llm.common import checked_small, hash_at, lower_ascii, shared_dir, stored, word_hashes, words
 
-RADIUS = 3
-BLOCKS = 6
+#: Bits; see the README for the share of near copies within it.
+RADIUS = 11
+BLOCKS = 4
+#: Fingerprints gathered in a chunk; parts into which the queries of a chunk are dealt.
+CHUNK, ASK_SALTS = 512, 4
 #: Documents per ordered bucket, and at most so many buckets (their heads are broadcast).
 BUCKET_DOCS = 2_000
 MAX_BUCKETS = 50_000
@@ -109,11 +114,12 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.withColumn("next_fp", F.lead("fp").over(order)).filter("not helper").drop("helper", "bucket", "h")
 
 
-def _block_tables(radius: int, blocks: int) -> list[tuple[int, ...]]:
-    """Bit masks of the blocks, per table the indices of its key blocks."""
-    if not 0 <= radius < blocks:
-        raise ValueError("radius must be below the number of blocks")
-    return list(combinations(range(blocks), blocks - radius))
+def _block_radii(radius: int, blocks: int) -> list[int]:
+    """Bits by which each block may differ (-1: block not searched): all of them plus one sum up to radius + 1."""
+    if radius < 0 or not 1 <= blocks <= 64:
+        raise ValueError("radius must be at least 0, the number of blocks 1 to 64")
+    each, more = divmod(radius + 1 - blocks, blocks)
+    return [each] * (blocks - more) + [each + 1] * more
 
 
 def _masks(blocks: int) -> list[int]:
@@ -125,40 +131,78 @@ def _masks(blocks: int) -> list[int]:
     return out
 
 
-def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
-                  salts: int = 64) -> DataFrame:
-    """(fp, near): for every distinct ``fp`` of ``queries`` the fingerprints at most ``radius`` bits away.
+def _flips(mask: int, most: int) -> list[int]:
+    """Every choice of at most ``most`` bits of the mask, as signed numbers."""
+    bits = [1 << i for i in range(64) if mask >> i & 1]
+    return [_signed(sum(c)) for k in range(min(most, len(bits)) + 1) for c in combinations(bits, k)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
-    ``near`` is their number, each weighed by ``n`` (rows of that fingerprint; column of the result
-    of grouping ``fingerprints``), the query's own included if it is among them.
-    """
-    masks, tables = _masks(blocks), _block_tables(radius, blocks)
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    key_masks = [signed(sum(m % (1 << 64) for m in (masks[b] for b in t))) for t in tables]
 
-    def keyed(fp: Column) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(i).alias("t"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(key_masks)]))
+def _search(fingerprints: DataFrame, queries: DataFrame, radius: int, blocks: int, salts: int, pairs: bool) -> DataFrame:
+    """(q, fp, n, bits) per pair, or (q, near) with the pairs of a chunk summed up inside the task."""
+    masks, radii = _masks(blocks), _block_radii(radius, blocks)
+    used = [(i, m, r) for i, (m, r) in enumerate(zip(masks, radii, strict=True)) if r >= 0]
+    places = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).alias("mask")) for i, m, _ in used])
+    probes = [F.array(*[F.lit(x) for x in _flips(m % (1 << 64), r)]) for _, m, r in used]
 
     stock = fingerprints.groupBy("fp").agg(F.count("*").alias("n"))
-    chunks = (stock.select("fp", "n", keyed(F.col("fp")).alias("k")).select("fp", "n", "k.t", "k.key")
-              .groupBy("t", "key", F.pmod(F.xxhash64("fp"), F.lit(salts)).alias("salt"))
-              .agg(F.collect_list(F.struct("fp", "n")).alias("held")))
-    asked = queries.select("fp").distinct().select(F.col("fp").alias("q"), keyed(F.col("fp")).alias("k")).select("q", "k.t", "k.key")
-
-    def first_table(x: Column) -> Column:
-        """Number of the first table whose key blocks all agree, given the differing bits."""
-        expr = F.lit(len(key_masks))
-        for i in range(len(key_masks) - 1, -1, -1):
-            expr = F.when(x.bitwiseAND(F.lit(key_masks[i])) == 0, F.lit(i)).otherwise(expr)
-        return expr
-
-    # merged, not broadcast: a row per table makes the asked side larger than its estimate
-    joined = asked.hint("merge").join(chunks, ["t", "key"])
-    near = F.aggregate("held", F.lit(0).cast("long"), lambda acc, e: acc + F.when(
-        (F.bit_count(e["fp"].bitwiseXOR(F.col("q"))) <= radius) & (first_table(e["fp"].bitwiseXOR(F.col("q"))) == F.col("t")),
-        e["n"]).otherwise(F.lit(0)))
-    found = joined.select("q", near.alias("near")).groupBy("q").agg(F.sum("near").alias("near"))
-    return found.select(F.col("q").alias("fp"), "near")
+    stock = stock.select("fp", "n", F.explode(F.transform(places, lambda p: F.struct(
+        p["t"].alias("t"), F.col("fp").bitwiseAND(p["mask"]).alias("key")))).alias("k")).select("k.t", "k.key", "fp", "n")
+
+    def probed(i: int, mask: int, flips: Column) -> Column:
+        return F.transform(flips, lambda x: F.struct(F.lit(i).alias("t"), F.col("q").bitwiseAND(F.lit(mask)).bitwiseXOR(x).alias("key")))
+
+    keys = F.concat(*[probed(i, m, f) for (i, m, _), f in zip(used, probes, strict=True)])
+    asked = queries.select(F.col("fp").alias("q")).distinct().select("q", F.explode(keys).alias("k")).select("k.t", "k.key", "q")
+
+    # keys with more rows than a chunk holds; there are at most 2 ** (64 / blocks) keys per block
+    full = F.greatest(F.ceil(F.col("c") / CHUNK).cast("int"), F.lit(salts))
+    cut = stock.groupBy("t", "key").agg(F.count("*").alias("c")).select("t", "key", full.alias("salts")).filter("salts > 1")
+    cut = checked_small(cut)
+    stock = stock.join(cut, ["t", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int"))
+    asked = asked.join(cut, ["t", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    chunks = (stock.repartition("t", "key", "salt").groupBy("t", "key", "salt")
+              .agg(F.collect_list(F.struct("fp", "n")).alias("held")).select("t", "key", "salt", F.col("held.fp").alias("fp"), F.col("held.n").alias("n")))
+    asks = (asked.repartition("t", "key", "salt").groupBy("t", "key", "salt", F.pmod(F.xxhash64("q"), F.lit(ASK_SALTS)).alias("ask"))
+            .agg(F.collect_list("q").alias("q")).drop("ask"))
+    joined = asks.hint("merge").join(chunks, ["t", "key", "salt"]).select("t", "q", "fp", "n")
+    wide = [np.uint64(m % (1 << 64)) for m in masks]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+            for t, asked, held, n in zip(batch["t"], batch["q"], batch["fp"], batch["n"], strict=True):
+                asked, held, n = (np.asarray(v, dtype=np.int64) for v in (asked, held, n))
+                for at in range(0, len(asked), CHUNK):
+                    apart = asked[at:at + CHUNK, None].view(np.uint64) ^ held[None, :].view(np.uint64)
+                    i, j = np.nonzero(np.bitwise_count(apart) <= radius)
+                    apart = apart[i, j]
+                    first = np.ones(len(i), dtype=bool)  # no block before t brings the pair together
+                    for b in range(t):
+                        first &= np.bitwise_count(apart & wide[b]).astype(np.int64) > radii[b]
+                    i, j, apart = i[first], j[first], apart[first]
+                    found.append((asked[at + i], held[j], n[j], np.bitwise_count(apart).astype(np.int64)))
+            out = pd.DataFrame({c: np.concatenate(v) for c, v in zip(("q", "fp", "n", "bits"), zip(*found, strict=True), strict=True)})
+            yield out if pairs else out.groupby("q", as_index=False)["n"].sum().rename(columns={"n": "near"})
+
+    return joined.mapInPandas(compare, "q long, fp long, n long, bits long" if pairs else "q long, near long")
+
+
+def pairs_within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, salts: int = 1) -> DataFrame:
+    """(q, fp, n, bits): every pair of a distinct ``fp`` of ``queries`` and a distinct one of ``fingerprints``
+    that differ in at most ``radius`` bits, with the number ``n`` of rows that have ``fp``.  Its members are
+    the rows of ``fingerprints`` with that ``fp``."""
+    return _search(fingerprints, queries, radius, blocks, salts, pairs=True)
+
+
+def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, salts: int = 1) -> DataFrame:
+    """(fp, near): for every distinct ``fp`` of ``queries`` how many rows of ``fingerprints`` are at most
+    ``radius`` bits away: the sum of ``n`` over the pairs of ``pairs_within_radius``, without a row per pair."""
+    found = _search(fingerprints, queries, radius, blocks, salts, pairs=False)
+    return found.groupBy(F.col("q").alias("fp")).agg(F.sum("near").alias("near"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,20 @@ def test_search_finds_everything_within_the_radius(spark, radius, blocks):
     assert got == {q: sum(bin((q ^ x) & (2**64 - 1)).count("1") <= radius for x in fps) for q in asked}
 
 
+def test_pairs_within_the_radius(spark):
+    """The pairs themselves, at the registered radius, which holds most near copies; a crowded key is cut into chunks."""
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 2**63, 12)]
+    fps = [_signed(b ^ sum(1 << int(i) for i in rng.choice(64, k, replace=False))) for b in base for k in range(14)] + [_signed(base[0])] * 3
+    table = spark.createDataFrame([(x,) for x in fps], "fp long")
+    queries = spark.createDataFrame([(_signed(b),) for b in base], "fp long")
+    far = {(q, x): bin((q ^ x) & (2**64 - 1)).count("1") for q in map(_signed, base) for x in fps}
+    expected = sorted((q, x, fps.count(x), d) for (q, x), d in far.items() if d <= S.RADIUS)
+    assert S.RADIUS >= 10 and any(d == 10 for *_, d in expected)
+    for salts in (1, 3):
+        assert sorted(tuple(r) for r in S.pairs_within_radius(table, queries, salts=salts).select("q", "fp", "n", "bits").collect()) == expected
+
+
 def test_likeness_is_the_cosine(spark):
     row = spark.sql("select 0L a, 255L b, -1L c").select(S.likeness(F.col("a"), F.col("a")).alias("same"), S.likeness(F.col("a"), F.col("b")).alias("near"), S.likeness(F.col("a"), F.col("c")).alias("far")).first()
     assert (row["same"], row["far"]) == (1.0, 0.0) and row["near"] == pytest.approx(math.cos(math.pi / 8))
