@@ -14,8 +14,8 @@ Method: universe partition with the pigeonhole principle.
 * Cost-based allocation: a segment's cost is the number of sets that hold it.  A segment nobody else
   holds costs nothing, and a set with H + 1 of these has no smaller partner and is done.  The others
   take the cheapest segments until the sum is reached.  A set whose tokens lie in too few segments
-  takes one-deletion thresholds too; if even that can't reach the sum, the universe is cut anew with
-  another seed, so no set is ever left out.
+  takes one-deletion thresholds too; if even that can't reach the sum, it asks in another cut of the
+  universe, which the sets of its partners' sizes enter, so no set is ever left out.
 * Candidates are verified exactly on the sets.
 
 Equal texts are merged first.  Candidates are not expanded inside large groups: each set is first
@@ -47,6 +47,8 @@ PERCENT = 75
 SMALL_SET = 64
 #: Segments beyond H + 1, relative and absolute: room to leave costly and empty ones out.
 SPARE, SPARE_LEAST = 1.25, 12
+#: Cuts of the universe a set is tried in; each but the first holds only what the cut before didn't suit.
+CUTS = 16
 #: Tokens handled at once inside a task.
 SLICE_TOKENS = 200_000
 #: Sets in a block, sets compared with a block at once, rows of one Python call.
@@ -197,6 +199,12 @@ def links_between(queries: pd.DataFrame, block: pd.DataFrame, percent: int) -> l
     return out
 
 
+def _no_asker(asks: Column) -> Column:
+    """Column ``kind``; sets that don't ask enter their own segments as those of a band below do."""
+    kind = F.col("kind")
+    return F.when(asks, kind).when(kind == OWN, F.lit(BELOW)).when(kind == OWN_LESS, F.lit(BELOW_LESS)).otherwise(kind).cast("tinyint")
+
+
 class JaccardJoin:
     """The join over one table; ``classes()`` gives its result, one row per document."""
 
@@ -233,17 +241,46 @@ class JaccardJoin:
         return hashed.select("node", shingles(F.col("h"), self.ngram).alias("set"))
 
     def _shared(self) -> DataFrame:
-        """Signatures held by several sets, with their number ``cost``, and all HEAD rows."""
-        for seed in range(16):
-            found = signatures(self._sets(self.singles), self.percent, seed)
-            over = Window.partitionBy("sig")
-            found = (found.withColumn("cost", F.count("*").over(over))
-                     .withColumn("asked", F.max(F.col("kind").isin(OWN, ASK_LESS)).over(over))
-                     .filter((F.col("kind") == HEAD) | ((F.col("cost") > 1) & F.col("asked"))).drop("asked"))
-            found = stored(found, f"{self.folder}/shared{seed}")
-            if found.filter((F.col("kind") == HEAD) & (F.col("head.n") > 0) & (F.col("head.cover") < self._need("head.n"))).isEmpty():
+        """Signatures held by several sets, with their number ``cost``, and all HEAD rows.
+
+        Sets that a cut of the universe doesn't suit ask in another one instead, which the sets of the
+        sizes of their smaller partners enter, not to ask there themselves.
+        """
+        found = self._cut(self.singles, 0, None)
+        short = self._short(found, 0)
+        for seed in range(1, CUTS):
+            if short.isEmpty():
                 return found
-        raise RuntimeError("no cut of the universe suits all sets")
+            sizes = short.select(F.explode(F.sequence(F.ceil(F.col("n") * self.percent / 100).cast("int"), "n")).alias("n")).distinct()
+            heads = found.filter(F.col("kind") == HEAD).select("node", F.col("head.n").alias("n"))
+            near = heads.join(sizes, "n", "left_semi").select("node")
+            again = short.select("node").distinct()
+            more = self._cut(self.singles.join(near, "node", "left_semi"), seed, again)
+            left = found.join(again.withColumn("again", F.lit(True)), "node", "left")
+            left = left.filter(F.col("again").isNull() | ~F.col("kind").isin(HEAD, ASK_LESS)).withColumn("kind", _no_asker(F.col("again").isNull())).drop("again")
+            found = stored(left.select(more.columns).unionByName(more), f"{self.folder}/both{seed}")
+            short = self._short(more, seed)
+        if short.isEmpty():
+            return found
+        raise RuntimeError(f"none of {CUTS} cuts of the universe suits some set")
+
+    def _cut(self, singles: DataFrame, seed: int, askers: DataFrame | None) -> DataFrame:
+        """The shared signatures of one cut; only ``askers`` (None: all sets) ask and have HEAD rows."""
+        found = signatures(self._sets(singles), self.percent, seed)
+        if askers is not None:
+            found = found.join(askers.withColumn("asker", F.lit(True)), "node", "left")
+            found = found.filter(F.col("asker").isNotNull() | ~F.col("kind").isin(HEAD, ASK_LESS))
+            found = found.withColumn("kind", _no_asker(F.col("asker").isNotNull())).select("sig", "node", "kind", "head")
+        over = Window.partitionBy("sig")
+        found = (found.withColumn("cost", F.count("*").over(over))
+                 .withColumn("asked", F.max(F.col("kind").isin(OWN, ASK_LESS)).over(over))
+                 .filter((F.col("kind") == HEAD) | ((F.col("cost") > 1) & F.col("asked"))).drop("asked"))
+        return stored(found, f"{self.folder}/shared{seed}")
+
+    def _short(self, found: DataFrame, seed: int) -> DataFrame:
+        """(node, n) of the sets whose segments can't reach the sum."""
+        short = found.filter((F.col("kind") == HEAD) & (F.col("head.n") > 0) & (F.col("head.cover") < self._need("head.n")))
+        return stored(short.select("node", "head.n"), f"{self.folder}/short{seed}")
 
     def _need(self, size: str) -> Column:
         return F.floor(2 * F.col(size) * (100 - self.percent) / F.lit(100 + self.percent)) + 1

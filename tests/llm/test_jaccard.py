@@ -105,6 +105,26 @@ def test_large_group_of_near_copies(make_docs):
     assert run(make_docs(rows)) == brute(rows)
 
 
+def test_sets_no_cut_suits_at_once(make_docs, monkeypatch):
+    """With few spare segments every cut leaves some sets short: only these ask in another cut."""
+    monkeypatch.setattr(J, "SPARE", 1.0)
+    monkeypatch.setattr(J, "SPARE_LEAST", 2)
+    monkeypatch.setattr(J, "SMALL_SET", 1)
+    rng = random.Random(6)
+    rows = []
+    for n in (50, 60, 71, 72, 73, 75, 90, 110, 128):
+        base = [f"v{rng.randrange(5000)}" for _ in range(n + 4)]
+        for k in range(30):
+            w = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = f"n{rng.random()}"
+            rows.append((1000 * n + k, " ".join(w)))
+    df = make_docs(rows)
+    join = J.JaccardJoin(df)
+    assert not join._short(join._cut(join.singles, 0, None), 0).isEmpty()
+    assert run(df) == brute(rows)
+
+
 def test_pigeonhole_holds_for_every_pair():
     """Without Spark: every similar pair shares an asked signature, small and deficient sets included."""
     rng = np.random.default_rng(0)
