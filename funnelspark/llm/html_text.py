@@ -8,7 +8,8 @@ passed up and then down the tree give every run's exact marginal, and the runs a
 the main text.
 
 Defined cases: null or empty html and pages without main text give an empty text; unclosed, stray and
-badly nested tags never fail; rows are judged each by itself, so repeated rows give equal results;
+badly nested tags never fail; an unseen element without end tag hides nothing (script, style,
+textarea, title and iframe: the rest of the page), formulas are text; rows are judged each by itself, so repeated rows give equal results;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,10 +33,15 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|data-y|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
-UNSEEN = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "title", "textarea", "math", "audio", "video"))
+UNSEEN = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "title", "textarea", "audio", "video"))
+#: Those of them whose content is letters up to the end tag, or to the end of the page without one.
+RAW = frozenset(("script", "style", "textarea", "title", "iframe"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark",
-                    "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"))
+                    "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+                    "math", "semantics", "annotation", "annotation-xml", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn",
+                    "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup",
+                    "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none"))
 #: A start tag of the key ends an open element of the value.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Element kinds that share a parent-child potential.
@@ -58,8 +64,30 @@ class Tree:
         return len(self.parent) - 1
 
 
+def _ends(page: str) -> dict[int, int]:
+    """Where the element of each closed start tag of UNSEEN (but RAW) ends, by where the tag begins."""
+    ends: dict[int, int] = {}
+    starts: dict[str, list[int]] = {}
+    for found in _TOKEN.finditer(page):
+        tag = (found[2] or found[5] or "").lower()
+        if tag not in UNSEEN or tag in RAW:
+            continue
+        if not (found[1] or found[4]):
+            if not _closed(tag, found):
+                starts.setdefault(tag, []).append(found.start())
+        elif starts.get(tag):
+            ends[starts[tag].pop()] = found.end()
+    return ends
+
+
+def _closed(tag: str, found: re.Match) -> bool:
+    """Whether a start tag ends its element itself."""
+    return tag == "svg" and (found[3] or found[6] or "").rstrip().endswith("/")
+
+
 def parse(page: str) -> Tree:
     tree = Tree()
+    ends: dict[int, int] | None = None
     stack, opened = [(0, "#page")], Counter()
     run: list[str] = []
     link_depth = linked = 0
@@ -94,9 +122,14 @@ def parse(page: str) -> Tree:
         tag = tag.lower()
         closing = found[1] or found[4]
         if tag in UNSEEN:
-            if not closing:
+            if closing:
+                continue
+            if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = stop.end() if stop else size
+            elif not _closed(tag, found):  # one that is never closed hides nothing
+                ends = _ends(page) if ends is None else ends
+                at = ends.get(found.start(), at)
             continue
         if tag in VOID:
             if tag in ("br", "wbr"):

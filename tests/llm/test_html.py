@@ -78,3 +78,22 @@ def test_awkward_pages(spark, model):
     by_id = {r["page_id"]: r["text"] for r in rows}
     assert by_id[0] == by_id[1] == by_id[2] == "" and by_id[9].endswith("A") and by_id[None] == "A text."
     assert H.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("inside", "seen"), [
+    ('<svg width="9" viewBox="0 0 1 1"/>', ""), ("<SVG/>", ""), ("<svg><title>no</title><text>no</text></svg>", ""), ("<svg><svg><g>no</g></svg>no</svg>", ""),
+    ("<math/>", ""), ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"), ("<noscript>no</noscript>", ""), ("<video><p>no</p></video>", ""),
+    *[(f"<{tag}>", "") for tag in ("object", "noscript", "canvas", "video", "audio", "template", "svg")],
+    ("<object><p>Some words, seen too.</p><object>no</object>", None)])
+def test_unseen_elements_hide_only_their_content(model, inside, seen):
+    """Closed by '/>', never closed, nested, and formulas: no other text of the article is lost."""
+    page = f"<html><body><article><h1>A title</h1><p>First part, of words {inside} and more of them.</p><p>Second part, of other words.</p></article></body></html>"
+    text = H.main_text(page, model)
+    if seen is None:
+        assert "Some words, seen too." in text and "Second part, of other words." in text and "no" not in text.split()
+    else:
+        assert text == " ".join(f"A title\n\nFirst part, of words {seen} and more of them.".split(" ")).replace("  ", " ") + "\n\nSecond part, of other words."
+
+
+def test_many_unclosed_elements(model):
+    assert H.main_text("<article>" + "<p>Some words, seen.</p><video><object>" * 3000 + "</article>", model).count("Some words, seen.") == 3000
