@@ -19,8 +19,10 @@ Method: universe partition with the pigeonhole principle.
 * Candidates are verified exactly on the sets.
 
 Equal texts are merged first.  Candidates are not expanded inside large groups: each set is first
-verified against one centre; then sets are compared with whole blocks of sets, and only where
-their classes differ so far, so every link between different classes is found and classes are exact.
+verified against one centre; then sets are compared with whole blocks of sets that share a signature
+they ask.  Every pair of different texts is so verified where its larger set asks (equal sizes: the
+larger id), and counted for both; pairs themselves are no rows.  Where only classes are wanted, blocks
+whose class is the set's own are left out: every link between different classes is still found.
 
 Defined cases: null and empty texts have empty sets and are linked with nothing; with fewer words than
 n the whole sequence is one shingle; rows with equal ids and texts are one document, rows with equal
@@ -179,24 +181,42 @@ def signatures(sets: DataFrame, percent: int = PERCENT, seed: int = 0) -> DataFr
     return sets.mapInArrow(run, SIGNATURES)
 
 
-def links_between(queries: pd.DataFrame, block: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """(query, member) for each query and each other class of which a member of the block is similar enough."""
+def links_between(queries: pd.DataFrame, block: pd.DataFrame, percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Links (query, member) that connect all classes of which a query and a member of the block are similar
+    enough (a spanning forest, so there are fewer than classes); and (set, number) of the documents linked with each, a pair taken where its larger set asks."""
     size = np.array([len(x) for x in block["t_set"]], dtype=np.int64)
     tokens = np.concatenate([np.asarray(x, dtype=np.int64) for x in block["t_set"]]) if len(size) else np.zeros(0, np.int64)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], np.repeat(np.arange(len(size)), size)[order]
-    node, label = block["t_node"].to_numpy(), block["t_label"].to_numpy()
-    out = []
-    for q, q_label, q_set in zip(queries["q_node"], queries["q_label"], queries["q_set"], strict=True):
+    node, label, weight = block["t_node"].to_numpy(), block["t_label"].to_numpy(), block["t_weight"].to_numpy()
+    held, out, counts = np.zeros(len(size), np.int64), [], []
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for q, q_label, q_weight, q_set in zip(queries["q_node"], queries["q_label"], queries["q_weight"], queries["q_set"], strict=True):
         q_set = np.asarray(q_set, dtype=np.int64)
         first, last = np.searchsorted(tokens, q_set, "left"), np.searchsorted(tokens, q_set, "right")
         span = last - first
         hits = np.repeat(first - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
         common = np.bincount(owner[hits], minlength=len(size))
-        good = np.flatnonzero((100 * common >= percent * (size + len(q_set) - common)) & (label != q_label))
-        _, one = np.unique(label[good], return_index=True)
-        out += [(int(q), int(node[i])) for i in good[one]]
-    return out
+        good = 100 * common >= percent * (size + len(q_set) - common)
+        other = np.flatnonzero(good & (label != q_label))
+        _, one = np.unique(label[other], return_index=True)
+        for i in other[one]:
+            mine, its = root(int(q_label)), root(int(label[i]))
+            if mine != its:
+                up[its] = mine
+                out.append((int(q), int(node[i])))
+        less = good & ((size < len(q_set)) | ((size == len(q_set)) & (node < q)))
+        if less.any():
+            held[less] += q_weight
+            counts.append((int(q), int(weight[less].sum())))
+    counts += [(int(node[i]), int(held[i])) for i in np.flatnonzero(held)]
+    return out, counts
 
 
 def _no_asker(asks: Column) -> Column:
@@ -208,8 +228,9 @@ def _no_asker(asks: Column) -> Column:
 class JaccardJoin:
     """The join over one table; ``classes()`` gives its result, one row per document."""
 
-    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, ngram: int = NGRAM):
-        self.spark, self.percent, self.ngram = docs.sparkSession, percent, ngram
+    def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, ngram: int = NGRAM,
+                 count: bool = False):
+        self.spark, self.percent, self.ngram, self.count = docs.sparkSession, percent, ngram, count
         self.folder = shared_dir(self.spark)
         text = F.coalesce(F.col(text_col), F.lit(""))
         raw = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
@@ -231,8 +252,8 @@ class JaccardJoin:
             hashed, self.texts = named(hashed), named(self.texts)
         else:
             hashed, self.texts = hashed.withColumn("node", node), self.texts.withColumn("node", node)
-        reps = hashed.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("rows"))
-        self.rows = stored(hashed.join(reps, ["h1", "h2"]).select("id", "node", "rep", "h1", "rows"), f"{self.folder}/rows")
+        reps = hashed.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count_distinct("node").alias("copies"))
+        self.rows = stored(hashed.join(reps, ["h1", "h2"]).select("id", "node", "rep", "h1", "copies"), f"{self.folder}/rows")
         copies = self.rows.filter("node != rep").select("node").distinct()
         self.singles = self.texts.join(checked_small(copies), "node", "left_anti").select("node", "text")
 
@@ -311,64 +332,74 @@ class JaccardJoin:
         pairs = best.filter("node != centre").select(F.greatest("node", "centre").alias("x"), F.least("node", "centre").alias("y")).distinct()
         links = stored(self._verified(pairs, sets), f"{self.folder}/links0")
         labels = stored(components(links, f"{self.folder}/cc0"), f"{self.folder}/labels0")
-        more = stored(self._between(members, best, sets, labels), f"{self.folder}/links1")
-        return links.unionByName(more)
+        more = stored(self._between(asked, members, best, sets, labels), f"{self.folder}/links1")
+        self.counts = more.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("k").alias("linked"))
+        return links.unionByName(more.filter("b is not null").select("a", "b"))
 
     def _has_repeated_rows(self) -> bool:
         return not self.rows.groupBy("node").count().filter("count > 1").isEmpty()
 
-    def _between(self, members: DataFrame, best: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links between sets that share a signature and lie in different classes so far.
+    def _between(self, asked: DataFrame, members: DataFrame, best: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links (a, b) between sets that share an asked signature and lie in different classes so far, and
+        (a, k) with parts of the number of documents linked with set ``a``.
 
-        Sets are dealt into blocks of about BLOCK_SETS by their centre.  Of every signature the class
-        with most members is set apart; the members outside it are compared with all blocks that hold
-        the signature.  A row stands for a set and a block, never for a pair, and a set reports one
-        link per block and class.
+        Sets are dealt into blocks of about BLOCK_SETS by their centre.  A set is compared with all
+        blocks that hold a signature it asks; without ``counts`` those signatures and blocks are left out
+        whose sets are all in one class.  A row stands for a set and a block, never for a pair, and a
+        block reports fewer links than classes.
         """
         above = best.select(F.col("node").alias("centre"), F.col("centre").alias("root"))  # a centre may prefer another one
         named = best.join(above, "centre").select("node", F.col("root").alias("centre"))
         named = named.join(labels, "node", "left").select("node", "centre", F.coalesce("label", "node").alias("label"))
         chunks = named.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("chunks"))
         named = named.join(chunks, "centre").withColumn("block", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.col("chunks"))))
-        named = stored(named, f"{self.folder}/named")
+        weights = self.rows.filter("node = rep").select("node", F.col("copies").alias("weight")).distinct()
+        named = stored(named.join(weights, "node"), f"{self.folder}/named")
         held = members.join(named, "node")
-        main = held.groupBy("sig", "label").agg(F.count("*").alias("k")).groupBy("sig").agg(
-            F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
-        held = stored(held.join(main, "sig"), f"{self.folder}/held")
-        places = held.groupBy("sig", "centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        # the centres of a signature, not its members
-        places = places.groupBy("sig").agg(F.collect_list(F.struct("centre", "lo", "hi")).alias("places"))
-        asks = held.filter("label != main").select("sig", "node", "label").join(places, "sig")
-        open_places = F.filter("places", lambda p: (p["lo"] != F.col("label")) | (p["hi"] != F.col("label")))
-        asks = asks.select("node", "label", F.transform(open_places, lambda p: p["centre"]).alias("centres"))
-        asks = asks.groupBy("node", "label").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("centres"))
-        asks = asks.select("node", "label", F.explode("centres").alias("centre"))
+        if self.count:
+            places = held.groupBy("sig").agg(F.collect_set("centre").alias("centres"))
+            asks = asked.select("sig", F.col("x").alias("node")).join(named.select("node", "label", "weight"), "node").join(places, "sig")
+        else:
+            main = held.groupBy("sig", "label").agg(F.count("*").alias("k")).groupBy("sig").agg(
+                F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
+            held = stored(held.join(main, "sig"), f"{self.folder}/held")
+            places = held.groupBy("sig", "centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+            # the centres of a signature, not its members
+            places = places.groupBy("sig").agg(F.collect_list(F.struct("centre", "lo", "hi")).alias("places"))
+            asks = held.filter("label != main").select("sig", "node", "label", "weight").join(places, "sig")
+            open_places = F.filter("places", lambda p: (p["lo"] != F.col("label")) | (p["hi"] != F.col("label")))
+            asks = asks.select("node", "label", "weight", F.transform(open_places, lambda p: p["centre"]).alias("centres"))
+        asks = asks.select("node", "label", "weight", F.explode("centres").alias("centre")).distinct()
         blocks = named.select(F.col("centre").alias("c"), F.col("block").alias("at")).distinct()
-        asks = asks.join(blocks, F.col("centre") == F.col("c")).select("node", "label", "at")
+        asks = asks.join(blocks, F.col("centre") == F.col("c")).select("node", "label", "weight", "at")
         asks = stored(asks, f"{self.folder}/asks")
         rounds = asks.groupBy("at").agg(F.count("*").alias("k"), F.ceil(F.count("*") / BLOCK_ASKS).cast("long").alias("rounds"))
         totals = rounds.agg(F.sum("k"), F.sum("rounds")).first()
         bins = max(1, -(-((totals[0] or 0) + BLOCK_SETS * (totals[1] or 0)) // BIN_ROWS))
 
         def binned(df: DataFrame, p: str) -> DataFrame:
-            own = df.select(*[F.col(c).alias(p + c) for c in ("at", "round", "node", "label", "set")])
+            own = df.select(*[F.col(c).alias(p + c) for c in ("at", "round", "node", "label", "weight", "set")])
             return own.withColumn(f"{p}bin", F.pmod(F.xxhash64(f"{p}at", f"{p}round"), F.lit(bins)))
 
         left = asks.join(rounds.drop("k"), "at").withColumn("round", F.pmod(F.xxhash64("node"), F.col("rounds"))).drop("rounds")
         left = binned(left.join(sets, "node"), "q_")
-        right = named.select("node", "label", "block").join(rounds.drop("k"), F.col("block") == F.col("at")).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
+        right = named.select("node", "label", "weight", "block").join(rounds.drop("k"), F.col("block") == F.col("at")).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
         right = binned(right.join(sets, "node"), "t_")
-        percent = self.percent
+        percent, count = self.percent, self.count
 
         def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             targets = dict(tuple(held.groupby(["t_at", "t_round"])))
-            out: list[tuple[int, int]] = []
+            links: list[tuple[int, int]] = []
+            counts: list[tuple[int, int]] = []
             for key, queries in asked.groupby(["q_at", "q_round"]):
                 if key in targets:
-                    out += links_between(queries, targets[key], percent)
-            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    more, numbers = links_between(queries, targets[key], percent)
+                    links += more
+                    counts += numbers if count else []
+            a, b, k = [x for x, _ in links + counts], [y for _, y in links] + [None] * len(counts), [0] * len(links) + [y for _, y in counts]
+            return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="Int64"), "k": pd.Series(k, dtype="int64")})
 
-        return left.groupBy("q_bin").cogroup(right.groupBy("t_bin")).applyInPandas(compare, "a long, b long")
+        return left.groupBy("q_bin").cogroup(right.groupBy("t_bin")).applyInPandas(compare, "a long, b long, k long")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (x, y) that reach the threshold, as links (a, b)."""
@@ -380,24 +411,29 @@ class JaccardJoin:
                 .select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def classes(self) -> DataFrame:
-        """(id, h1, n, node, label) per input row; ``label`` names the class."""
+        """(id, h1, n, node, label) per input row, with ``count`` also n_links; ``label`` names the class."""
         links = self.links()
         labels = stored(components(links, f"{self.folder}/cc1"), f"{self.folder}/labels1")
         sizes = self.heads.select(F.col("node").alias("rep"), "n").distinct()
         out = self.rows.join(sizes, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         label = F.when(F.col("n") == 0, F.col("node")).otherwise(F.coalesce("label", "rep"))
-        return stored(out.select("id", "h1", F.col("n").cast("long").alias("n"), "node", label.alias("label")), f"{self.folder}/classes")
+        columns = ["id", "h1", F.col("n").cast("long").alias("n"), "node", label.alias("label")]
+        if self.count:  # documents of the same text and of linked texts
+            out = out.join(self.counts, "rep", "left")
+            columns.append(F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        return stored(out.select(*columns), f"{self.folder}/classes")
 
 
 def class_report(docs: DataFrame, **options) -> DataFrame:
-    """(id, n_shingles, component_id, class_size) per input row; component_id is the smallest id of the class."""
-    join = JaccardJoin(docs, **options)
+    """(id, n_shingles, component_id, class_size, n_links) per input row; component_id is the smallest id of
+    the class, n_links the number of other documents that reach the threshold with this one."""
+    join = JaccardJoin(docs, count=True, **options)
     classes = join.classes()
     if join.repeats:
         per = classes.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("class_size"))
     else:
         per = classes.groupBy("label").agg(F.count("*").alias("class_size")).withColumn("component_id", F.col("label"))
-    return classes.join(per, "label").select("id", F.col("n").alias("n_shingles"), "component_id", "class_size")
+    return classes.join(per, "label").select("id", F.col("n").alias("n_shingles"), "component_id", "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -105,6 +105,30 @@ def test_large_group_of_near_copies(make_docs):
     assert run(make_docs(rows)) == brute(rows)
 
 
+def partners(rows):
+    """[(id, number of other documents at the threshold)]; equal id and text are one document."""
+    docs = list(dict.fromkeys((key, text or "") for key, text in rows))
+    sets = [shingle_set(t) for _, t in docs]
+    n = [sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) if a else 0 for i, a in enumerate(sets)]
+    found = dict(zip(docs, n, strict=True))
+    return sorted(((key, found[key, text or ""]) for key, text in rows), key=repr)
+
+
+def test_links_are_counted_inside_classes(make_docs):
+    """Chains and groups of copies around the threshold, equal texts, equal sizes, repeated rows and ids."""
+    rng = random.Random(9)
+    rows = planted(5, groups=8) + [(9000 + i, " ".join(f"c{k}" for k in range(4 * i, 4 * i + 40))) for i in range(9)]
+    base = [f"b{i}" for i in range(90)]
+    for k in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(90)] = f"n{rng.randrange(40)}"
+        rows.append((20_000 - k, " ".join(w)))
+    rows += [(30_000, rows[-1][1]), (30_001, rows[-1][1]), (30_001, rows[-1][1]), (None, rows[-2][1]), (30_002, None), (30_003, ""), (9000, "one text more")]
+    got = J.class_report(make_docs(rows)).select("id", "n_links").collect()
+    assert sorted(map(tuple, got), key=repr) == partners(rows)
+
+
 def test_sets_no_cut_suits_at_once(make_docs, monkeypatch):
     """With few spare segments every cut leaves some sets short: only these ask in another cut."""
     monkeypatch.setattr(J, "SPARE", 1.0)
