@@ -7,6 +7,7 @@ from funnelspark.llm.fingerprints import op10_simhash
 from funnelspark.llm.html_text import OP3_SQL, op3_html_extraction
 from funnelspark.llm.jaccard_join import op1_jaccard_join
 from funnelspark.llm.line_dedup import OP4_SQL, op4_line_dedup
+from funnelspark.llm.merkle import OP11_SQL, op11_merkle_manifest
 from funnelspark.llm.mixing import op9_mixing
 from funnelspark.llm.packing import op8_best_fit_packing
 from funnelspark.llm.quality_rules import op7_quality_rules
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: The others are tested against brute force, an exact round trip or held-out labels.
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_html_extraction": OP3_SQL, "op4_line_dedup": OP4_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_html_extraction": OP3_SQL, "op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
