@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from funnelspark.llm.classifier import op5_quality_classifier
 from funnelspark.llm.fingerprints import op10_simhash
+from funnelspark.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from funnelspark.llm.html_text import OP3_SQL, op3_html_extraction
 from funnelspark.llm.jaccard_join import op1_jaccard_join
+from funnelspark.llm.license_scan import op13_license_scan
 from funnelspark.llm.line_dedup import OP4_SQL, op4_line_dedup
 from funnelspark.llm.merkle import OP11_SQL, op11_merkle_manifest
 from funnelspark.llm.mixing import op9_mixing
@@ -26,7 +28,10 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_license_scan": op13_license_scan,
 }
 
 #: The others are tested against brute force, an exact round trip or held-out labels.
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_html_extraction": OP3_SQL, "op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op3_html_extraction": OP3_SQL, "op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL,
+              "op12_hard_negatives": OP12_SQL}
