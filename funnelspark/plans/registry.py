@@ -290,11 +290,13 @@ def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _utc(fn) for name, fn in QUERIES.items()}
+    from . import registry_landed  # imports this module
+    return {name: _utc(fn) for name, fn in (QUERIES | registry_landed.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: f() for k, f in ORACLE.items() if k in QUERIES}
+    from . import registry_landed
+    return {k: f() for k, f in (ORACLE | registry_landed.ORACLE).items()}
 
 
 # ---- pipeline health -------------------------------------------------------------------------

@@ -7,7 +7,7 @@ the executors.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from ..functions.expr import clean_id, clean_text
 
 OBJECT_PAGE_SCHEMA = ("results array<struct<id: string, createdAt: string, updatedAt: string, archived: boolean, "
                       "properties: map<string, string>>>")
-OWNER_PAGE_SCHEMA = "results array<struct<id: string, userId: string, email: string, firstName: string, lastName: string>>"
-LINK_PAGE_SCHEMA = ("results array<struct<from: struct<id: string>, to: array<struct<toObjectId: string, "
+OWNER_PAGE_SCHEMA = "results array<struct<id: string, userId: string, email: string, firstName: string, lastName: string, archived: boolean>>"
+LINK_PAGE_SCHEMA = ("results array<struct<from: struct<id: string>, fromObjectId: string, to: array<struct<toObjectId: string, id: string, "
                     "associationTypes: array<struct<category: string, typeId: bigint, label: string>>>>>>")
 
 
@@ -37,22 +37,24 @@ def flatten_crm_objects(pages: DataFrame, properties: Sequence[str]) -> DataFram
 
 
 def flatten_owners(pages: DataFrame) -> DataFrame:
-    """owner_id, user_id, email, names; salesman_name = full name, else email, else id."""
+    """owner_id, user_id, email, names, archived; salesman_name = full name, else email, else id."""
     o = pages.select(F.explode("results").alias("o")).select("o.*")
     full = F.trim(F.concat_ws(" ", clean_text(F.col("firstName")), clean_text(F.col("lastName"))))
     return o.select(clean_id(F.col("id")).alias("owner_id"), F.col("userId").alias("user_id"), F.col("email"),
                     F.col("firstName").alias("first_name"), F.col("lastName").alias("last_name"),
                     F.coalesce(F.nullif(full, F.lit("")), F.nullif(clean_text(F.col("email")), F.lit("")),
-                               clean_id(F.col("id"))).alias("salesman_name"))
+                               clean_id(F.col("id"))).alias("salesman_name"),
+                    F.coalesce(F.col("archived"), F.lit(False)).alias("archived"))
 
 
 def flatten_links(pages: DataFrame, from_name: str, to_name: str) -> DataFrame:
-    """(from id, to id, first association label else typeId), distinct."""
+    """(from id, to id, first association label else typeId), distinct; ids under either of their names."""
     r = pages.select(F.explode("results").alias("r"))
-    t = r.select(F.col("r.from.id").alias("f"), F.explode_outer("r.to").alias("t"))
+    either = lambda *names: F.coalesce(*[clean_id(F.col(n)) for n in names])
+    t = r.select(either("r.from.id", "r.fromObjectId").alias("f"), F.explode_outer("r.to").alias("t"))
     first = F.get(F.col("t.associationTypes"), 0)
     label = F.coalesce(F.nullif(clean_text(first.getField("label")), F.lit("")), first.getField("typeId").cast("string"))
-    return (t.select(clean_id(F.col("f")).alias(from_name), clean_id(F.col("t.toObjectId")).alias(to_name),
+    return (t.select(F.col("f").alias(from_name), either("t.toObjectId", "t.id").alias(to_name),
                      label.alias("association_type"))
             .where(F.col(from_name).isNotNull() & F.col(to_name).isNotNull()).distinct())
 
@@ -72,18 +74,6 @@ def latest_records(df: DataFrame, n: int = 0, by: str = "createdate", key: str =
     return ordered.limit(n) if n else df
 
 
-def union_activities(frames: Mapping[str, DataFrame], links: DataFrame) -> DataFrame:
-    """Per activity type: left-join its links on (type, id), tag the type; union with differing
-    columns; types without a frame are skipped."""
-    out = None
-    for atype, frame in frames.items():
-        lk = links.where(F.col("activity_type") == atype).select(F.col("activity_id").alias("__aid"), "contact_id")
-        tagged = (frame.join(lk, clean_id(F.col("hs_object_id")) == F.col("__aid"), "left").drop("__aid")
-                  .withColumn("activity_type", F.lit(atype)))
-        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    return out
-
-
 # ---- payload view over the driver tables (pages of 100 objects) -------------------------------
 
 def contact_pages(contacts_raw: DataFrame, page_size: int = 100) -> DataFrame:
@@ -100,10 +90,10 @@ def contact_pages(contacts_raw: DataFrame, page_size: int = 100) -> DataFrame:
 def link_pages(assoc_raw: DataFrame, page_size: int = 100) -> DataFrame:
     """Raw associations as API link pages of about ``page_size`` results; a result holds one link, so a
     contact with very many deals is spread over the pages."""
-    to = F.struct(F.col("deal_id").alias("toObjectId"), F.array(F.struct(
+    to = F.struct(F.col("deal_id").alias("toObjectId"), F.lit(None).cast("string").alias("id"), F.array(F.struct(
         F.lit("HUBSPOT_DEFINED").alias("category"), F.lit(4).cast("bigint").alias("typeId"),
         F.col("association_type").alias("label"))).alias("associationTypes"))
-    res = F.struct(F.struct(F.col("contact_id").alias("id")).alias("from"), F.array(to).alias("to"))
+    res = F.struct(F.struct(F.col("contact_id").alias("id")).alias("from"), F.lit(None).cast("string").alias("fromObjectId"), F.array(to).alias("to"))
     pages = assoc_raw.agg(F.greatest(F.ceil(F.count(F.lit(1)) / page_size), F.lit(1))).scalar()
     page = F.pmod(F.xxhash64("contact_id", "deal_id", "association_type"), pages)
     return assoc_raw.groupBy(page.alias("page")).agg(F.collect_list(res).alias("results"))

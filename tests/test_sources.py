@@ -28,14 +28,15 @@ def test_flatten_objects_owners_links(spark, tmp_path):
     objs = P.flatten_crm_objects(P.read_pages(spark, str(src), P.OBJECT_PAGE_SCHEMA), ["email", "hs_object_id"])
     rows = objs.collect()
     assert len(rows) == 12 and all(r.hs_object_id == r.id for r in rows)
-    owners = spark.createDataFrame([([("1", "u", "a@x", "Ana", " "), ("2", "v", "b@x", None, None), ("3", "w", None, None, None)],)],
+    owners = spark.createDataFrame([([("1", "u", "a@x", "Ana", " ", None), ("2", "v", "b@x", None, None, True), ("3", "w", None, None, None, False)],)],
                                    P.OWNER_PAGE_SCHEMA)
     names = {r.owner_id: r.salesman_name for r in P.flatten_owners(owners).collect()}
     assert names == {"1": "Ana", "2": "b@x", "3": "3"}
-    links = spark.createDataFrame([([(("c1",), [("d1", [("HUBSPOT_DEFINED", 4, "")]), ("d1", [("X", 4, "Primary")])])],)],
+    links = spark.createDataFrame([([(("c1",), None, [("d1", None, [("HUBSPOT_DEFINED", 4, "")]), ("d1", "old", [("X", 4, "Primary")])]),
+                                     (None, " c2 ", [(None, "d2", None), (" ", None, None)]), (("c3",), None, None)],)],
                                   P.LINK_PAGE_SCHEMA)
     got = sorted((r.contact_id, r.deal_id, r.association_type) for r in P.flatten_contact_deal_links(links).collect())
-    assert got == [("c1", "d1", "4"), ("c1", "d1", "Primary")]
+    assert got == [("c1", "d1", "4"), ("c1", "d1", "Primary"), ("c2", "d2", None)]
 
 
 def test_storage_round_trip_and_freshness(spark, tmp_path):
