@@ -1,8 +1,8 @@
 """Budget grids, term codes and UDR / budget performance.
 
-Spreadsheet grids enter as a cells table ``(sheet, row, col, value)``.  The header row, total
-column and stop row are per-sheet aggregates (one row per sheet) joined back to the cells, so a
-grid is parsed with joins and filters, never by iterating rows on the driver.
+Spreadsheet grids enter as a cells table ``(sheet, row, col, value)`` of any number of sheets.  Cells are
+grouped into lines once; header row, total column, term columns and stop row are one row per sheet,
+joined to its lines, so a workbook is parsed in one pass, never by iterating rows on the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.classify import with_normalized_source_value
 from ..functions.expr import avg_exact, clean_text, elapsed_days_floor, safe_div, strip_ws, sum_money, ts_literal
+from ..session import cut_lineage
 
 SPECIAL_LABELS = [("total", "Total"), ("starts", "Starts"), ("start%", "Start%")]
 SUMMARY_METRICS = ["budget", "enrolled", "starts", "start%"]
@@ -91,82 +92,88 @@ def budget_summary_rows(cells: DataFrame) -> DataFrame:
 
 
 def roundup_value(summary: DataFrame, metric: str) -> Column:
-    """First (by row) numeric value of a named metric, case-insensitive; a scalar subquery."""
+    """First (by sheet and row) numeric value of a named metric, case-insensitive; a scalar subquery."""
     hit = summary.where(F.lower(clean_text(F.col("metric"))) == metric.lower())
-    return hit.agg(F.min_by("numeric_value", "_seq")).scalar()
+    return hit.agg(F.min_by("numeric_value", F.struct("sheet", "_seq"))).scalar()
 
 
-def _grid(cells: DataFrame):
-    """Per sheet: header row (first row holding a 'budget' cell), total column (its last
-    'budget' cell), name column, stop row (first 'start%' label below the header)."""
-    c = _cells(cells)
-    first = (c.where(F.lower(F.col("text")) == "budget").groupBy("sheet")
-             .agg(F.min(F.struct(F.col("row").alias("r"), (-F.col("col")).alias("nc"))).alias("m")))
-    tot = (first.select("sheet", F.col("m.r").alias("hdr_row"), (-F.col("m.nc")).alias("total_col"))
-           .where(F.col("total_col") > 0).withColumn("name_col", F.col("total_col") - 1))
-    stop = (c.where(F.lower(F.col("text")) == "start%").join(tot, "sheet")
-            .where((F.col("col") == F.col("name_col")) & (F.col("row") > F.col("hdr_row")))
-            .groupBy("sheet").agg(F.min("row").alias("stop_row")))
-    meta = tot.join(stop, "sheet", "left")
-    labels = (c.join(meta, "sheet").where((F.col("col") == F.col("name_col")) & (F.col("row") > F.col("hdr_row")))
-              .select("sheet", "row", F.col("text").alias("label")))
-    headers = c.join(meta, "sheet").where((F.col("row") == F.col("hdr_row")) & (F.col("col") > F.col("total_col")) & (F.col("text") != ""))
-    headers = (with_term_header(headers, "value", "meta").select("sheet", "col", F.col("text").alias("header"), "meta")
-               .where(F.col("meta").isNotNull() & F.col("meta.term_metric").isin("actual", "goal")))
-    return c, meta, labels, headers
-
-
-def _grid_rows(cells: DataFrame):
-    c, meta, labels, headers = _grid(cells)
-    rows = (labels.join(meta, "sheet")
-            .where(F.col("stop_row").isNull() | (F.col("row") <= F.col("stop_row"))))
-    totals = (c.join(meta.select("sheet", "total_col"), "sheet").where(F.col("col") == F.col("total_col"))
-              .select("sheet", "row", F.col("value").try_cast("double").alias("total")))
-    rows = rows.join(totals, ["sheet", "row"], "left")
-    values = (c.join(headers, ["sheet", "col"])
-              .select("sheet", "row", "col", F.col("meta"), F.col("value").try_cast("double").alias("term_value")))
-    return rows, values
+def _cell(of: str, col: Column, field: str) -> Column:
+    """A field of the cell in column ``col`` of the row's cells; null if there is none."""
+    return F.get(F.filter(of, lambda x: x["col"] == col), 0)[field]
 
 
-def budget_term_allocations(cells: DataFrame, dimension: str = "UDR allocation") -> DataFrame:
-    """Term columns unpivoted to (name, raw_term, term, label, metric, value, planned); the Total /
-    Starts / Start% rows become roundup metrics; rows after Start% are ignored."""
-    rows, values = _grid_rows(cells)
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """One row per line of every sheet below its header: sheet, row, label, total, stop_row, values.
+
+    A sheet's header is its first row with a 'budget' cell, the total column that row's last one, and names stand
+    left of it; sheets may have them anywhere.  ``values`` holds the term columns to the right: col, raw_term,
+    term, term_label, term_metric, value.  ``stop_row`` is the first 'Start%' line, and lines behind it are left
+    out.  Cells are brought together by line once (a line is as wide as a sheet); what is known of a sheet is
+    one row, joined to its lines.
+    """
+    c = _cells(cells)
+    lines = c.groupBy("sheet", "row").agg(F.collect_list(F.struct("col", "value", "text")).alias("cells"))
+    budget_cols = F.transform(F.filter("cells", lambda x: F.lower(x["text"]) == "budget"), lambda x: x["col"])
+    heads = lines.withColumn("total_col", F.array_max(budget_cols)).where(F.col("total_col").isNotNull())
+    heads = heads.groupBy("sheet").agg(F.min_by(F.struct("row", "total_col", "cells"), "row").alias("h"))
+    heads = heads.select("sheet", F.col("h.row").alias("hdr_row"), F.col("h.total_col").alias("total_col"), F.col("h.cells").alias("cells"))
+    heads = heads.where(F.col("total_col") > 0)
+    names = heads.select("sheet", "total_col", F.explode("cells").alias("x")).where(F.col("x.col") > F.col("total_col")).select(
+        "sheet", F.col("x.col").alias("col"), F.col("x.value").alias("value"))
+    terms = with_term_header(names, "value", "meta").where(F.col("meta").isNotNull() & F.col("meta.term_metric").isin("actual", "goal"))
+    terms = terms.groupBy("sheet").agg(F.collect_list(F.struct("col", "meta")).alias("terms"))  # as many as the sheet has columns
+    heads = heads.drop("cells").join(terms, "sheet", "left")
+    below = lines.join(heads, "sheet").where(F.col("row") > F.col("hdr_row"))
+    value = lambda h: F.struct(h["col"].alias("col"), h["meta"]["raw_term"].alias("raw_term"), h["meta"]["term"].alias("term"),
+                               h["meta"]["term_label"].alias("term_label"), h["meta"]["term_metric"].alias("term_metric"),
+                               _cell("cells", h["col"], "value").try_cast("double").alias("value"))
+    below = below.select("sheet", "row", _cell("cells", F.col("total_col") - 1, "text").alias("label"),
+                         _cell("cells", F.col("total_col"), "value").try_cast("double").alias("total"),
+                         F.coalesce(F.transform("terms", value), F.array()).alias("values")).where(F.col("label").isNotNull())
+    stop = below.where(F.lower("label") == "start%").groupBy("sheet").agg(F.min("row").alias("stop_row"))
+    return below.join(stop, "sheet", "left").where(F.col("stop_row").isNull() | (F.col("row") <= F.col("stop_row")))
+
+
+def _special(low: Column) -> Column:
+    return low.isin(*[k for k, _ in SPECIAL_LABELS])
+
+
+def _term_rows(rows: DataFrame, dimension: str) -> DataFrame:
     low = F.lower(F.col("label"))
-    special = low.isin(*[k for k, _ in SPECIAL_LABELS])
-    vals = values.where(F.col("term_value").isNotNull())
-    j = rows.join(vals, ["sheet", "row"], "left")
-    row_info = j.groupBy("sheet", "row").agg(
-        F.count("term_value").alias("__n_terms"),
-        F.sum(F.when(F.col("meta.term_metric") == "goal", F.col("term_value"))).alias("__goal_sum"))
-    j = j.join(row_info, ["sheet", "row"])
+    special = _special(low)
+    known = F.filter("values", lambda v: v["value"].isNotNull())
+    goals = F.filter(known, lambda v: v["term_metric"] == "goal")
+    rows = rows.where(special | (F.col("label") != "")).withColumn("known", known)
+    rows = rows.withColumn("goals", F.aggregate(goals, F.lit(0.0), lambda acc, v: acc + v["value"]))
+    rows = with_normalized_source_value(rows, F.col("label"), "__norm")
     special_name = None
     for k, v in SPECIAL_LABELS:
         special_name = F.when(low == k, F.lit(v)) if special_name is None else special_name.when(low == k, F.lit(v))
-    named_ok = (F.col("label") != "") & ~(F.col("total").isNull() & (F.col("__n_terms") == 0))
-    metric = (F.when(low == "total", F.col("meta.term_metric")).when(low == "starts", F.lit("starts"))
-              .when(low == "start%", F.lit("start_rate")).otherwise(F.col("meta.term_metric")))
-    j = with_normalized_source_value(j, F.col("label"), "__norm")
-    normalized = F.col("__norm")
-    planned = F.when(special, F.coalesce(F.col("total"), F.lit(0.0))).otherwise(
-        F.coalesce(F.col("total"), F.coalesce(F.col("__goal_sum"), F.lit(0.0))))
-    out = j.where(F.col("term_value").isNotNull() & (special | named_ok)).select(
+    metric = F.when(low == "starts", F.lit("starts")).when(low == "start%", F.lit("start_rate")).otherwise(F.col("v.term_metric"))
+    planned = F.coalesce(F.col("total"), F.when(special, F.lit(0.0)).otherwise(F.col("goals")))
+    return rows.withColumn("v", F.explode("known")).select(
         "sheet",
         F.when(special, F.lit("roundup_metric")).otherwise(F.lit(dimension)).alias("budget_dimension"),
         F.when(special, special_name).otherwise(F.col("label")).alias("budget_name"),
-        F.when(special, special_name).otherwise(normalized).alias("source"),
-        F.col("meta.raw_term").alias("raw_term"), F.col("meta.term").alias("term"),
-        F.col("meta.term_label").alias("term_label"), metric.alias("term_metric"),
-        F.col("term_value"), F.col("term_value").alias("term_budget"), planned.alias("planned_budget"),
-        F.col("row").alias("_row"), F.col("col").alias("_col"))
-    return out
+        F.when(special, special_name).otherwise(F.col("__norm")).alias("source"),
+        "v.raw_term", "v.term", "v.term_label", metric.alias("term_metric"),
+        F.col("v.value").alias("term_value"), F.col("v.value").alias("term_budget"), planned.alias("planned_budget"),
+        F.col("row").alias("_row"), F.col("v.col").alias("_col"))
 
 
-def roundup_allocations(cells: DataFrame) -> DataFrame:
-    """The tracker's roundup sheet: the term rows of ``budget_term_allocations`` under the dimension 'UDR',
-    with labels as they stand, and one row per named line for its total."""
-    terms = budget_term_allocations(cells, "UDR").withColumn("source", F.col("budget_name"))
-    totals = budget_allocations(cells, "UDR").select(
+def _allocation_rows(rows: DataFrame, dimension: str) -> DataFrame:
+    keep = (F.col("label") != "") & ~_special(F.lower(F.col("label"))) & F.col("total").isNotNull() & \
+        (F.col("stop_row").isNull() | (F.col("row") < F.col("stop_row")))
+    rows = with_normalized_source_value(rows.where(keep), F.col("label"), "__norm")
+    norm = F.col("__norm")
+    return rows.select("sheet", F.lit(dimension).alias("budget_dimension"), F.col("label").alias("budget_name"),
+                       norm.alias("normalized_budget_name"), norm.alias("source"), F.col("total").alias("planned_budget"),
+                       F.lit("goal").alias("budget_metric"), F.col("row").alias("_row"))
+
+
+def _roundup_rows(rows: DataFrame) -> DataFrame:
+    terms = _term_rows(rows, "UDR").withColumn("source", F.col("budget_name"))
+    totals = _allocation_rows(rows, "UDR").select(
         "sheet", "budget_dimension", "budget_name", F.col("budget_name").alias("source"), F.lit(None).cast("string").alias("raw_term"),
         F.lit("Total").alias("term"), F.lit("Total").alias("term_label"), F.lit("total").alias("term_metric"),
         F.col("planned_budget").alias("term_value"), F.col("planned_budget").alias("term_budget"), "planned_budget",
@@ -174,18 +181,27 @@ def roundup_allocations(cells: DataFrame) -> DataFrame:
     return terms.unionByName(totals)
 
 
+def budget_term_allocations(cells: DataFrame, dimension: str = "UDR allocation") -> DataFrame:
+    """Term columns unpivoted to (name, raw_term, term, label, metric, value, planned); the Total /
+    Starts / Start% rows become roundup metrics; rows after Start% are ignored."""
+    return _term_rows(sheet_rows(cells), dimension)
+
+
 def budget_allocations(cells: DataFrame, dimension: str = "UDR allocation") -> DataFrame:
     """One row per named line (not Total/Starts/Start%) that has a total in the total column."""
-    rows, _ = _grid_rows(cells)
-    low = F.lower(F.col("label"))
-    keep = (F.col("label") != "") & ~low.isin(*[k for k, _ in SPECIAL_LABELS]) & F.col("total").isNotNull() & \
-        (F.col("stop_row").isNull() | (F.col("row") < F.col("stop_row")))
-    rows = with_normalized_source_value(rows, F.col("label"), "__norm")
-    norm = F.col("__norm")
-    return rows.where(keep).select("sheet", F.lit(dimension).alias("budget_dimension"), F.col("label").alias("budget_name"),
-                                   norm.alias("normalized_budget_name"), norm.alias("source"),
-                                   F.col("total").alias("planned_budget"), F.lit("goal").alias("budget_metric"),
-                                   F.col("row").alias("_row"))
+    return _allocation_rows(sheet_rows(cells), dimension)
+
+
+def roundup_allocations(cells: DataFrame) -> DataFrame:
+    """The tracker's roundup sheet: the term rows of ``budget_term_allocations`` under the dimension 'UDR',
+    with labels as they stand, and one row per named line for its total."""
+    return _roundup_rows(sheet_rows(cells))
+
+
+def budget_tables(cells: DataFrame, dimension: str = "UDR allocation") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Allocations, term allocations and roundup rows of one workbook, whose lines are read once."""
+    rows = cut_lineage(sheet_rows(cells))
+    return _allocation_rows(rows, dimension), _term_rows(rows, dimension), _roundup_rows(rows)
 
 
 def udr_key(c: Column) -> Column:
@@ -377,7 +393,7 @@ def executive_overview(leads: DataFrame, paid_leads: DataFrame | None, enr: Data
     def firsts(summ: DataFrame) -> DataFrame:
         hit = summ.withColumn("__m", F.lower(clean_text(F.col("metric"))))
         return hit.agg(*[F.min_by(F.when(F.col("__m") == m.lower(), F.col("numeric_value")),
-                                   F.when(F.col("__m") == m.lower(), F.col("_seq"))).alias(m.replace("%", "_pct"))
+                                   F.when(F.col("__m") == m.lower(), F.struct("sheet", "_seq"))).alias(m.replace("%", "_pct"))
                          for m in ("Budget", "Starts", "Enrolled", "Start%")])
 
     base = enr.agg(F.count(F.lit(1)).alias("act"), sum_money(F.col("revenue")).alias("revenue"),

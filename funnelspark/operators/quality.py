@@ -1,21 +1,22 @@
 """QA checks, pivot grids and reconciliation.
 
 Each table is scanned once by a wide aggregate; check rows are produced with ``stack``.  Source
-coverage uses ``left_anti`` joins over distinct source sets; the names are a table of their own
-(``source_coverage``) and the check rows hold their number.
+coverage is one aggregate over the distinct sources of three tables; the names are a table of their own
+(``source_coverage``) and the check rows hold their number.  All pivot sheets are made from one scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.classify import normalize_source_value
 from ..functions.expr import clean_text
-from ..session import cut_lineage
+from ..functions.numbering import numbered
 
 QA_COLUMNS = ["check", "status", "severity", "count", "details"]
 
@@ -54,19 +55,25 @@ def _rows(agg: DataFrame, specs: Sequence[tuple[str, str, str, Column]]) -> Data
 
 
 def known_sources(df: DataFrame, col: str) -> DataFrame:
-    """Distinct normalised sources (``s``) of a column, the unknown one left out."""
-    return df.where(F.col(col).isNotNull()).select(normalize_source_value(F.col(col)).alias("s")).where(F.col("s") != R.UNKNOWN_SOURCE).distinct()
+    """Distinct normalised sources (``s``) of a column, the unknown one left out; the alias rules run on its distinct values only."""
+    values = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).distinct()
+    return values.select(normalize_source_value(F.col("v")).alias("s")).where(F.col("s") != R.UNKNOWN_SOURCE).distinct()
 
 
 def source_coverage(leads: DataFrame, enr: DataFrame, allocations: DataFrame) -> DataFrame:
-    """(check, source): every source of one table that another lacks, one row each, uncut."""
-    crm, budget, tracker = known_sources(leads, "normalized_source"), known_sources(allocations, "source"), known_sources(enr, "normalized_source")
-    out = None
-    for check, a, b in [("Budget source not found in HubSpot", budget, crm), ("HubSpot source not found in budget", crm, budget),
-                        ("Tracker source not found in budget", tracker, budget)]:
-        part = a.join(b, "s", "left_anti").select(F.lit(check).alias("check"), F.col("s").alias("source"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(check, source): every source of one table that another lacks, one row each, uncut.  The three sets
+    meet in one aggregate per source, which says where it occurs."""
+    sets = {"crm": known_sources(leads, "normalized_source"), "budget": known_sources(allocations, "source"),
+            "tracker": known_sources(enr, "normalized_source")}
+    tagged = None
+    for name, sources in sets.items():
+        part = sources.withColumn("t", F.lit(name))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    found = tagged.groupBy("s").agg(*[F.bool_or(F.col("t") == name).alias(name) for name in sets])
+    gap = lambda check, a, b: F.when(F.col(a) & ~F.col(b), F.lit(check))
+    gaps = F.array_compact(F.array(gap("Budget source not found in HubSpot", "budget", "crm"), gap("HubSpot source not found in budget", "crm", "budget"),
+                                   gap("Tracker source not found in budget", "tracker", "budget")))
+    return found.select(F.explode(gaps).alias("check"), F.col("s").alias("source"))
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
@@ -140,28 +147,56 @@ def qa_checks(leads: DataFrame, enr: DataFrame, allocations: DataFrame, pivot_di
 
 # ---- pivot grids -----------------------------------------------------------------------------
 
-def pivot_cells(leads: DataFrame, dim: str, status_col: str, sheet: str) -> DataFrame:
-    """A 'Row Labels' x status count grid (with Grand Total) as cells, built by Spark from leads
-    that carry a record id — the workbook's own pivot, recomputed."""
-    src = leads.where(clean_text(F.col("record_id")) != "")
-    lab = F.when(clean_text(F.col(dim)) == "", F.lit("(blank)")).otherwise(clean_text(F.col(dim)))
-    st = F.when(clean_text(F.col(status_col)) == "", F.lit("(blank)")).otherwise(clean_text(F.col(status_col)))
-    # one row per label and status, read many times below
-    counts = cut_lineage(src.groupBy(lab.alias("label"), st.alias("status")).agg(F.count(F.lit(1)).alias("n")))
-    src = counts
-    statuses = counts.select("status").distinct().withColumn("col", F.row_number().over(Window.orderBy("status")))
-    labels = counts.select("label").distinct().withColumn("row", F.row_number().over(Window.orderBy("label")) + 2)
-    n_status = statuses.agg(F.max("col")).scalar()
-    header = statuses.select(F.lit(2).alias("row"), "col", F.col("status").alias("value")).unionByName(
-        src.limit(1).select(F.lit(2).alias("row"), F.lit(0).alias("col"), F.lit("Row Labels").alias("value"))).unionByName(
-        src.limit(1).select(F.lit(2).alias("row"), (n_status + 1).alias("col"), F.lit("Grand Total").alias("value")))
-    body = counts.join(statuses, "status").join(labels, "label").select("row", "col", F.col("n").cast("string").alias("value"))
-    names = labels.select("row", F.lit(0).alias("col"), F.col("label").alias("value"))
-    totals = (counts.groupBy("label").agg(F.sum("n").alias("t")).join(labels, "label")
-              .select("row", (n_status + 1).alias("col"), F.col("t").cast("string").alias("value")))
-    title = src.limit(1).select(F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(f"{sheet} pivot").alias("value"))
-    cells = header.unionByName(body).unionByName(names).unionByName(totals).unionByName(title)
-    return cells.select(F.lit(sheet).alias("sheet"), F.col("row").cast("int"), F.col("col").cast("int"), "value")
+@dataclass(frozen=True)
+class Pivot:
+    """An uploaded pivot sheet: leads (all, or those of one type) counted by a grouping and a status column."""
+
+    name: str
+    group: str
+    status: str
+    lead_type: str | None = None
+
+
+def _pivot_entries(leads: DataFrame, pivots: Sequence[Pivot]) -> DataFrame:
+    """(sheet, has_id, raw, label, status): every lead once for each pivot it belongs to, from one scan."""
+    blank = lambda c: F.when(clean_text(c) == "", F.lit("(blank)")).otherwise(clean_text(c))
+    entries = []
+    for p in pivots:
+        group = F.col(p.group)
+        entry = F.struct(F.lit(p.name).alias("sheet"), F.when(clean_text(group) == "", F.lit("Unmapped")).otherwise(group.cast("string")).alias("raw"),
+                         blank(group).alias("label"), blank(F.col(p.status)).alias("status"))
+        entries.append(entry if p.lead_type is None else F.when(F.col("lead_type") == p.lead_type, entry))
+    has_id = (clean_text(F.col("record_id")) != "").alias("has_id")
+    return leads.select(has_id, F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*", "has_id")
+
+
+def pivot_counts(leads: DataFrame, pivots: Sequence[Pivot]) -> DataFrame:
+    """(sheet, raw, label, status, n, with_id): leads per cell of every pivot; what the sheets and their check are made of."""
+    return _pivot_entries(leads, pivots).groupBy("sheet", "raw", "label", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("has_id").alias("with_id"))
+
+
+def pivot_cells(counts: DataFrame) -> DataFrame:
+    """The pivot sheets as cells, recomputed from ``pivot_counts``: a title, 'Row Labels' x status with 'Grand Total', and
+    a line per label; leads without a record id don't count.  Lines and columns are numbered range by range over
+    all sheets together, so a sheet's have gaps."""
+    n = counts.where(F.col("with_id") > 0).groupBy("sheet", "label", "status").agg(F.sum("with_id").alias("n"))
+    statuses = numbered(n.select("sheet", "status").distinct(), ["sheet", "status"], "col")
+    labels = numbered(n.select("sheet", "label").distinct(), ["sheet", "label"], "line").withColumn("row", F.col("line") + 2).drop("line")
+    last = statuses.agg(F.max("col") + 1).scalar()
+    sheets = n.select("sheet").distinct()
+    cell = lambda df, row, col, value: df.select("sheet", row.cast("int").alias("row"), col.cast("int").alias("col"), value.cast("string").alias("value"))
+    totals = n.groupBy("sheet", "label").agg(F.sum("n").alias("n")).join(labels, ["sheet", "label"])
+    parts = [
+        cell(sheets, F.lit(0), F.lit(0), F.concat("sheet", F.lit(" pivot"))), cell(sheets, F.lit(2), F.lit(0), F.lit("Row Labels")),
+        cell(sheets, F.lit(2), last, F.lit("Grand Total")), cell(statuses, F.lit(2), F.col("col"), F.col("status")),
+        cell(n.join(statuses, ["sheet", "status"]).join(labels, ["sheet", "label"]), F.col("row"), F.col("col"), F.col("n")),
+        cell(totals, F.col("row"), F.lit(0), F.col("label")), cell(totals, F.col("row"), last, F.col("n")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def pivot_sheet_rows(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -182,19 +217,27 @@ def pivot_sheet_rows(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.drop("row")
 
 
+def _compared(raw: DataFrame, pivot: DataFrame) -> DataFrame:
+    """(pivot_name, g, raw_total) full outer (pivot_name, p, pivot_total), and the difference."""
+    j = raw.join(pivot.withColumnRenamed("pivot_name", "__name"), (F.col("pivot_name") == F.col("__name")) & (F.col("g") == F.col("p")), "full_outer")
+    return j.select(F.coalesce("pivot_name", "__name").alias("pivot_name"), F.coalesce("g", "p", F.lit("Unmapped")).alias("group"),
+                    F.coalesce("raw_total", F.lit(0.0)).alias("raw_total"), F.coalesce("pivot_total", F.lit(0.0)).alias("pivot_total")
+                    ).withColumn("difference", F.col("raw_total") - F.col("pivot_total"))
+
+
+def _pivot_totals(rows: DataFrame, name) -> DataFrame:
+    return rows.select(name.alias("pivot_name"), F.col("row_label").alias("p"),
+                       F.coalesce(F.col("grand_total").try_cast("double"), F.lit(0.0)).alias("pivot_total"))
+
+
 def compare_pivot_totals(raw: DataFrame, pivot: DataFrame, group_col: str, pivot_name: str) -> DataFrame:
     """Raw row counts per group (blank -> Unmapped, merged) ⟗ pivot grand totals, difference."""
     lab = F.when(clean_text(F.col(group_col)) == "", F.lit("Unmapped")).otherwise(F.col(group_col).cast("string"))
-    rc = raw.groupBy(lab.alias("g")).agg(F.count(F.lit(1)).cast("double").alias("raw_total"))
-    pc = pivot.select(F.col("row_label").alias("p"), F.coalesce(F.col("grand_total").try_cast("double"), F.lit(0.0)).alias("pivot_total"))
-    j = rc.join(pc, rc.g == pc.p, "full_outer")
-    return j.select(F.lit(pivot_name).alias("pivot_name"), F.coalesce("g", "p", F.lit("Unmapped")).alias("group"),
-                    F.coalesce("raw_total", F.lit(0.0)).alias("raw_total"), F.coalesce("pivot_total", F.lit(0.0)).alias("pivot_total")
-                    ).withColumn("difference", F.col("raw_total") - F.col("pivot_total"))
+    counts = raw.groupBy(lab.alias("g")).agg(F.count(F.lit(1)).cast("double").alias("raw_total")).withColumn("pivot_name", F.lit(pivot_name))
+    return _compared(counts, _pivot_totals(pivot, F.lit(pivot_name)))
 
 
-def pivot_reconciliation(comparisons: Sequence[DataFrame]) -> DataFrame:
-    out = comparisons[0]
-    for c in comparisons[1:]:
-        out = out.unionByName(c)
-    return out
+def pivot_reconciliation(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``compare_pivot_totals`` for all pivots at once: ``pivot_counts`` against the parsed sheets (sheet, row_label, grand_total)."""
+    raw = counts.groupBy(F.col("sheet").alias("pivot_name"), F.col("raw").alias("g")).agg(F.sum("n").cast("double").alias("raw_total"))
+    return _compared(raw, _pivot_totals(rows, F.col("sheet")))

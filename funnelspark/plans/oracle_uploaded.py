@@ -91,41 +91,42 @@ def enr_ctes() -> list[str]:
 
 def cells_ctes() -> list[str]:
     hs = V.BUDGET_TERM_HEADERS
-    k = "n_nationkey"
     tcols = []
     for i, (_, t, m) in enumerate(hs):
-        v = f"{k} * 3 + {t}" if m == "g" else (f"{k} * 2 + {t % 5}" if t <= 4 else "CAST(NULL AS BIGINT)")
+        v = f"kk * 3 + {t}" if m == "g" else (f"kk * 2 + {t % 5}" if t <= 4 else "CAST(NULL AS BIGINT)")
         tcols.append(f"{v} AS t{i}")
-    pn = f"""per_nation AS (SELECT {k} + 1 AS row,
-        CASE WHEN {k} % 5 = 0 THEN 'UDR ' || lpad(CAST({k} AS VARCHAR), 2, '0') ELSE n_name END AS name,
-        CASE WHEN {k} % 8 = 7 THEN NULL ELSE {k} * 18 + 21 END AS total, {', '.join(tcols)} FROM nation)"""
-    sums = "sums AS (SELECT sum(total) AS total, " + ", ".join(f"sum(t{i}) AS t{i}" for i in range(len(hs))) + " FROM per_nation)"
+    lines = f"""lines AS (SELECT nk, nk % {V.HEADER_ROWS} AS head, nk % {V.COLUMN_SHIFTS} AS shift, nk % {V.HEADER_ROWS} + 1 + k AS row,
+        CASE WHEN k % 5 = 0 THEN 'UDR ' || lpad(CAST(k AS VARCHAR), 5, '0') ELSE n_name END AS name,
+        CASE WHEN k % 8 = 7 THEN NULL ELSE kk * 18 + 21 END AS total, {', '.join(tcols)}
+      FROM (SELECT s_suppkey AS k, s_suppkey % 50 AS kk, s_nationkey AS nk FROM supplier) JOIN nation ON nk = n_nationkey)"""
+    sums = ("sums AS (SELECT nk, head, shift, max(row) + 1 AS base, sum(total) AS total, "
+            + ", ".join(f"sum(t{i}) AS t{i}" for i in range(len(hs))) + " FROM lines GROUP BY nk, head, shift)")
     a_idx = [i for i, (_, _, m) in enumerate(hs) if m == "a"]
     numtxt = lambda x: f"coalesce(CAST(CAST({x} AS BIGINT) AS VARCHAR), '')"
-    first = 3
-    parts = [f"SELECT 0 AS row, 1 AS col, 'UDR' AS value", "SELECT 0, 2, 'Budget'"]
-    parts += [f"SELECT 0, {first + i}, {q(h)}" for i, (h, _, _) in enumerate(hs)]
-    parts += ["SELECT row, 1, name FROM per_nation", f"SELECT row, 2, {numtxt('total')} FROM per_nation"]
-    parts += [f"SELECT row, {first + i}, {numtxt(f't{i}')} FROM per_nation" for i in range(len(hs))]
-    base = f"((SELECT max({k}) + 1 FROM nation) + 1)"
-    parts += [f"SELECT {base}, 1, 'Total' FROM sums", f"SELECT {base}, 2, {numtxt('total')} FROM sums"]
-    parts += [f"SELECT {base}, {first + i}, {numtxt(f't{i}')} FROM sums" for i in range(len(hs))]
-    parts += [f"SELECT {base} + 1, 1, 'Starts' FROM sums", f"SELECT {base} + 1, 2, '' FROM sums"]
-    parts += [f"SELECT {base} + 1, {first + i}, {numtxt(f'floor(t{i} * CAST(0.7 AS DOUBLE))')} FROM sums" for i in a_idx]
-    rate = lambda i: f"coalesce(CAST(CAST(round(floor(t{i} * CAST(0.7 AS DOUBLE)) / nullif(t{i}, 0), 4) AS DECIMAL(10,4)) AS VARCHAR), '')"
-    parts += [f"SELECT {base} + 2, 1, 'Start%' FROM sums", f"SELECT {base} + 2, 2, '' FROM sums"]
-    parts += [f"SELECT {base} + 2, {first + i}, {rate(i)} FROM sums" for i in a_idx]
-    parts += [f"SELECT {base} + 3, 1, 'After stop' FROM sums", f"SELECT {base} + 3, 2, '5' FROM sums"]
+    started = lambda i: f"floor(t{i} * CAST(0.7 AS DOUBLE))"
+    ratio = lambda x, y: f"CAST(CAST(round(({x}) / nullif({y}, 0), 4) AS DECIMAL(10,4)) AS VARCHAR)"
+    at = lambda i: f"{3 + i} + shift"
+    from_lines = [("row", "1 + shift", "name"), ("row", "2 + shift", numtxt("total"))] + [("row", at(i), numtxt(f"t{i}")) for i in range(len(hs))]
+    fixed = [("0", "0", "'2001 plan'"), ("head", "1 + shift", "'UDR'"), ("head", "2 + shift", "'Budget'")]
+    fixed += [("head", at(i), q(h)) for i, (h, _, _) in enumerate(hs)]
+    fixed += [("base", "1 + shift", "'Total'"), ("base", "2 + shift", numtxt("total"))]
+    fixed += [("base", at(i), numtxt(f"t{i}")) for i in range(len(hs))]
+    fixed += [("base + 1", "1 + shift", "'Starts'"), ("base + 1", "2 + shift", "''")]
+    fixed += [("base + 1", at(i), numtxt(started(i))) for i in a_idx]
+    fixed += [("base + 2", "1 + shift", "'Start%'"), ("base + 2", "2 + shift", "''")]
+    fixed += [("base + 2", at(i), f"coalesce({ratio(started(i), f't{i}')}, '')") for i in a_idx]
+    fixed += [("base + 3", "1 + shift", "'After stop'"), ("base + 3", "2 + shift", "'5'")]
     all_a = " + ".join(f"coalesce(t{i}, 0)" for i in a_idx)
-    all_s = " + ".join(f"coalesce(floor(t{i} * CAST(0.7 AS DOUBLE)), 0)" for i in a_idx)
-    summ = [(5, "Budget", numtxt("total")), (6, "Enrolled", numtxt(all_a)), (7, "Starts", numtxt(all_s)),
-            (8, "Start%", f"CAST(CAST(round(({all_s}) / nullif({all_a}, 0), 4) AS DECIMAL(10,4)) AS VARCHAR)"),
-            (9, "Budget", "''"), (10, "Budget", numtxt("t1 + t3"))]
-    for off, label, v in summ:
-        parts += [f"SELECT {base} + {off - 1} + 1, 1, {q(label)} FROM sums", f"SELECT {base} + {off - 1} + 1, 2, {v} FROM sums"]
-    cells = ("cells AS (SELECT 'Budget' AS sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(value AS VARCHAR) AS value "
-             f"FROM ({' UNION ALL '.join(parts)}))")
-    return [pn, sums, cells]
+    all_s = " + ".join(f"coalesce({started(i)}, 0)" for i in a_idx)
+    plain = lambda x: f"CAST(CAST({x} AS BIGINT) AS VARCHAR)"
+    for off, label, v in [(5, "Budget", plain("total")), (6, "Enrolled", plain(all_a)), (7, "Starts", plain(all_s)), (8, "Start%", ratio(all_s, all_a)),
+                          (9, "Budget", "''"), (10, "Budget", plain("t1 + t3"))]:
+        fixed += [(f"base + {off}", "1", q(label)), (f"base + {off}", "2", v)]
+    parts = [f"SELECT nk, {r} AS row, {c} AS col, {v} AS value FROM lines" for r, c, v in from_lines]
+    parts += [f"SELECT nk, {r}, {c}, {v} FROM sums" for r, c, v in fixed]
+    cells = ("cells AS (SELECT 'Budget ' || lpad(CAST(nk AS VARCHAR), 2, '0') AS sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, "
+             f"CAST(value AS VARCHAR) AS value FROM ({' UNION ALL '.join(parts)}))")
+    return [lines, sums, cells]
 
 
 def parse_header_sql(x: str) -> tuple[str, str, str, str]:

@@ -20,8 +20,9 @@ from ..operators.journey import student_journey_fact
 from ..operators.kpi import paid_vendor_performance, salesman_metrics, vendor_costs
 from ..session import cut_lineage
 from ..sources import crm_view
+from ..sources.versions import folder_version
 
-_CACHE: dict[tuple, dict[str, DataFrame]] = {}
+_CACHE: dict[tuple, tuple[str, dict[str, DataFrame]]] = {}
 
 
 def process_crm(raw: dict[str, DataFrame], today, mapping=None, materialize=None) -> dict[str, DataFrame]:
@@ -53,13 +54,11 @@ def gold_facts(tables: dict[str, DataFrame], costs: DataFrame, today) -> dict[st
 
 
 def silver(spark: SparkSession, sf_dir: str, materialize: bool = True) -> dict[str, DataFrame]:
-    """Silver tables for the CRM view over ``sf_dir`` (cached per session and folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir, materialize)
-    if key in _CACHE:
-        return _CACHE[key]
-    tables = process_crm(crm_view.raw_crm(spark, sf_dir), crm_view.TODAY, materialize=cut_lineage if materialize else None)
-    _CACHE[key] = tables
-    return tables
+    """Silver tables for the CRM view over ``sf_dir`` (cached per session and folder, until a file below it changes)."""
+    key, version = (spark.sparkContext.applicationId, sf_dir, materialize), folder_version(spark, sf_dir)
+    if _CACHE.get(key, ("", {}))[0] != version:
+        _CACHE[key] = version, process_crm(crm_view.raw_crm(spark, sf_dir), crm_view.TODAY, materialize=cut_lineage if materialize else None)
+    return _CACHE[key][1]
 
 
 def clear_cache() -> None:

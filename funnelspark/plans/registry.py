@@ -535,16 +535,12 @@ def sql_paid_mix():
                 _cohort_ctes())
 
 
-_PREPARED: dict = {}
-
-
 def _prepared(spark, sf_dir):
     """Prepared cohort contacts (the gold input of every cohort table), materialised once."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PREPARED:
+    def build():
         s = _s(spark, sf_dir)
-        _PREPARED[key] = cut_lineage(_C.cohort_contacts(s["contacts_clean"], s["lead_deal_fact"]))
-    return _PREPARED[key]
+        return cut_lineage(_C.cohort_contacts(s["contacts_clean"], s["lead_deal_fact"]))
+    return _landed(spark, sf_dir, "cohorts", build)
 
 
 QUERIES.update({
@@ -793,40 +789,38 @@ ORACLE.update({
 from ..operators import budget as _B  # noqa: E402
 from ..operators import enrollment as _E  # noqa: E402
 from ..session import cut_lineage  # noqa: E402
+from ..sources.versions import folder_version  # noqa: E402
 from . import oracle_uploaded as U  # noqa: E402
 
 SELECTED_TERMS = ["Summer 2"]
 
 
-_UPLOAD_CACHE: dict = {}
+_LANDED: dict = {}
 
 
-def _landed(key, build):
-    """Uploaded spreadsheets are landed once per session (Parquet below the shared folder), like files."""
-    if key not in _UPLOAD_CACHE:
-        _UPLOAD_CACHE[key] = cut_lineage(build())
-    return _UPLOAD_CACHE[key]
+def _landed(spark, d, name, build):
+    """Uploaded spreadsheets are landed once per session (Parquet below the shared folder), like files, and again
+    when a file below ``d`` has changed."""
+    key, version = (spark.sparkContext.applicationId, d, name), folder_version(spark, d)
+    if _LANDED.get(key, ("", None))[0] != version:
+        _LANDED[key] = version, build()
+    return _LANDED[key][1]
 
 
 def _leads(spark, d):
-    return _landed((spark.sparkContext.applicationId, d, "leads"), lambda: _E.standardize_leads(_V.leads(spark, d), "HubSpot leads view"))
+    return _landed(spark, d, "leads", lambda: cut_lineage(_E.standardize_leads(_V.leads(spark, d), "HubSpot leads view")))
 
 
 def _enr(spark, d):
-    return _landed((spark.sparkContext.applicationId, d, "enr"), lambda: _E.standardize_enrollments(_V.enrollments(spark, d)))
-
-
-_GRID_CACHE: dict = {}
+    return _landed(spark, d, "enr", lambda: cut_lineage(_E.standardize_enrollments(_V.enrollments(spark, d))))
 
 
 def _grid(spark, d):
-    """The landed budget grid is materialised once per session (Parquet below the shared folder), like a file."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _GRID_CACHE:
+    """The budget workbook's cells, landed, and what is read from them: summary, allocations, terms, roundup rows."""
+    def build():
         cells = cut_lineage(_V.budget_cells(spark, d))
-        _GRID_CACHE[key] = tuple(cut_lineage(x) for x in (
-            _B.budget_summary_rows(cells), _B.budget_allocations(cells), _B.budget_term_allocations(cells)))
-    return _GRID_CACHE[key]
+        return tuple(cut_lineage(x) for x in (_B.budget_summary_rows(cells), *_B.budget_tables(cells)))
+    return _landed(spark, d, "grid", build)
 
 
 def _usql(select: str, extra: list[str] | None = None, grid: bool = False, leads: bool = False, enr: bool = False) -> str:
@@ -864,7 +858,7 @@ def sql_program_mix():
 
 
 def _roundup_sql(metric: str) -> str:
-    return (f"(SELECT numeric_value FROM summary WHERE lower({O.txt('metric')}) = {O.q(metric.lower())} ORDER BY _seq LIMIT 1)")
+    return (f"(SELECT numeric_value FROM summary WHERE lower({O.txt('metric')}) = {O.q(metric.lower())} ORDER BY sheet, _seq LIMIT 1)")
 
 
 def sql_enrollment_summary():
@@ -1012,7 +1006,7 @@ QUERIES.update({
     "udr_performance": lambda s, d: _B.udr_performance(_leads(s, d), _enr(s, d), _grid(s, d)[2], _grid(s, d)[1]),
     "udr_performance_term": lambda s, d: _B.udr_performance(_leads(s, d), _enr(s, d), _grid(s, d)[2].limit(0), _grid(s, d)[1],
                                                             SELECTED_TERMS, tracker_terms=_grid(s, d)[2]),
-    "roundup_allocations": lambda s, d: _B.roundup_allocations(_V.budget_cells(s, d)),
+    "roundup_allocations": lambda s, d: _grid(s, d)[3],
     "budget_performance": lambda s, d: _B.budget_performance(_leads(s, d), _enr(s, d), _grid(s, d)[0]),
     "source_performance": lambda s, d: _E.source_performance(_leads(s, d), _enr(s, d), _grid(s, d)[1]),
 })
@@ -1175,26 +1169,20 @@ def sql_refresh_audit():
                 f"{O.TODAY_TS} AS refreshed_at", O.activity_ctes())
 
 
-# name, only paid leads, grouping column, status column the uploaded pivot counts
-PIVOTS = [("Paid PLS", True, "paid_lead_list", "lead_status"), ("Paid PLC", True, "paid_lead_list", "lifecycle_stage"),
-          ("UDR L2C", False, "contact_owner", "lead_status"), ("UDR L2A", False, "contact_owner", "lifecycle_stage")]
+PIVOTS = [_Q.Pivot("Paid PLS", "paid_lead_list", "lead_status", "Paid"), _Q.Pivot("Paid PLC", "paid_lead_list", "lifecycle_stage", "Paid"),
+          _Q.Pivot("UDR L2C", "contact_owner", "lead_status"), _Q.Pivot("UDR L2A", "contact_owner", "lifecycle_stage")]
 
 
 def q_pivot_reconciliation(spark, d):
-    leads = _leads(spark, d)
-    raw = {name: leads.where(F.col("lead_type") == "Paid") if paid else leads for name, paid, _, _ in PIVOTS}
-    cells = None
-    for name, _, group, status in PIVOTS:
-        sheet = _Q.pivot_cells(raw[name], group, status, name)
-        cells = sheet if cells is None else cells.unionByName(sheet)
-    rows = cut_lineage(_Q.pivot_sheet_rows(cells, ["grand_total"]))  # all sheets at once
-    return _Q.pivot_reconciliation([_Q.compare_pivot_totals(raw[name], rows.where(F.col("sheet") == name), group, name) for name, _, group, _ in PIVOTS])
+    counts = cut_lineage(_Q.pivot_counts(_leads(spark, d), PIVOTS))
+    return _Q.pivot_reconciliation(counts, _Q.pivot_sheet_rows(cut_lineage(_Q.pivot_cells(counts)), ["grand_total"]))
 
 
 def _pivot_select_sql() -> str:
     parts = []
-    for name, paid, group, _ in PIVOTS:
-        rows = "(SELECT * FROM leads_f WHERE lead_type = 'Paid')" if paid else "leads_f"
+    for pivot in PIVOTS:
+        name, group = pivot.name, pivot.group
+        rows = "(SELECT * FROM leads_f WHERE lead_type = 'Paid')" if pivot.lead_type else "leads_f"
         parts.append(f"""SELECT {O.q(name)} AS pivot_name, coalesce(r.g, p.g, 'Unmapped') AS "group", coalesce(r.n, 0.0) AS raw_total,
             coalesce(p.n, 0.0) AS pivot_total, coalesce(r.n, 0.0) - coalesce(p.n, 0.0) AS difference
           FROM (SELECT CASE WHEN {O.txt(group)} = '' THEN 'Unmapped' ELSE {group} END AS g, CAST(count(*) AS DOUBLE) AS n FROM {rows} GROUP BY 1) r
@@ -1245,7 +1233,7 @@ ORACLE.update({
 
 
 def _executive_overview(spark, d, selected=None):
-    summ, _, terms = _grid(spark, d)
+    summ, _, terms, _ = _grid(spark, d)
     return _B.executive_overview(_leads(spark, d), None, _enr(spark, d), summ, terms, selected=selected, today=_V.TODAY)
 
 
@@ -1491,9 +1479,11 @@ STUDENT_ORDER = ["row_key", "revenue", "udr", "program", "source", "enrolled_dat
 
 
 def _owner_map(spark, d):
-    _, alloc, terms = _grid(spark, d)
-    frames = [(x, _R.OWNER_LABEL_COLUMNS) for x in (_leads(spark, d), _enr(spark, d), alloc, terms)]
-    return _PR.label_pseudonyms(frames, "UDR")
+    def build():
+        _, alloc, terms, _ = _grid(spark, d)
+        frames = [(x, _R.OWNER_LABEL_COLUMNS) for x in (_leads(spark, d), _enr(spark, d), alloc, terms)]
+        return cut_lineage(_PR.label_pseudonyms(frames, "UDR"))
+    return _landed(spark, d, "owner map", build)
 
 
 def _published(name, columns):

@@ -273,8 +273,9 @@ BUDGET_TERM_HEADERS = [
     ("SU1-A", 3, "a"), ("SU1-G", 3, "g"), ("SU2 -A", 4, "a"), ("SU2- G", 4, "g"),
     ("FA1- A", 5, "a"), ("FA1 -G", 5, "g"), ("FA2 -A", 6, "a"), ("FA2 -G", 6, "g"),
 ]
-BUDGET_SHEET = "Budget"
 FIRST_TERM_COL = 3
+#: Header row and column shift of a sheet, by nation key modulo these.
+HEADER_ROWS, COLUMN_SHIFTS = 4, 3
 
 
 def _num_text(c: Column) -> Column:
@@ -282,52 +283,50 @@ def _num_text(c: Column) -> Column:
 
 
 def budget_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The budget workbook as cells (sheet, row, col, value): a header row, one row per nation
-    (admissions owner), Total / Starts / Start% rows, a row past the stop row, then the summary
-    block (Budget, Enrolled, Starts, Start%, a blank Budget and a second Budget).  Goals and
-    actuals come from the nation key; totals are Spark aggregates over those rows."""
-    nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    k = F.col("n_nationkey")
-    n_rows = nat.agg(F.max("n_nationkey") + 1).scalar()
-    name = F.when(k % 5 == 0, F.concat(F.lit("UDR "), F.lpad(k.cast("string"), 2, "0"))).otherwise(F.col("n_name"))
-    goal = {t: k * 3 + t for t in range(1, 7)}
-    actual = {t: (k * 2 + (t % 5)) if t <= 4 else F.lit(None).cast("long") for t in range(1, 7)}
-    total = F.when(k % 8 == 7, F.lit(None).cast("long")).otherwise(k * 18 + 21)
-    per_nation = nat.select(
-        (k + 1).alias("row"), name.alias("name"), total.alias("total"),
+    """The budget workbook as cells (sheet, row, col, value): one sheet per nation, one line per supplier.
+
+    A sheet has its header in its own row and column, title cells above it, then the lines (admissions owners and
+    numbered ones), Total / Starts / Start% lines, a line past the stop line, and the summary block in the second
+    and third column (Budget, Enrolled, Starts, Start%, a blank Budget and a second Budget).  Goals and actuals come
+    from the supplier key; totals are Spark aggregates over a sheet's lines."""
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nk"))
+    nat = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nk"), "n_name")
+    k = F.col("s_suppkey")
+    kk = k % 50
+    name = F.when(k % 5 == 0, F.concat(F.lit("UDR "), F.lpad(k.cast("string"), 5, "0"))).otherwise(F.col("n_name"))
+    goal = {t: kk * 3 + t for t in range(1, 7)}
+    actual = {t: (kk * 2 + (t % 5)) if t <= 4 else F.lit(None).cast("long") for t in range(1, 7)}
+    total = F.when(k % 8 == 7, F.lit(None).cast("long")).otherwise(kk * 18 + 21)
+    head, shift = F.col("nk") % HEADER_ROWS, F.col("nk") % COLUMN_SHIFTS
+    lines = sup.join(nat, "nk").select(
+        "nk", (head + 1 + k).alias("row"), name.alias("name"), total.alias("total"),
         *[(actual[t] if m == "a" else goal[t]).alias(f"t{i}") for i, (_, t, m) in enumerate(BUDGET_TERM_HEADERS)])
-    name_cells = per_nation.select("row", F.explode(F.array(
-        F.struct(F.lit(1).alias("col"), F.col("name").alias("value")),
-        F.struct(F.lit(2).alias("col"), F.coalesce(_num_text(F.col("total")), F.lit("")).alias("value")),
-        *[F.struct(F.lit(FIRST_TERM_COL + i).alias("col"), F.coalesce(_num_text(F.col(f"t{i}")), F.lit("")).alias("value"))
-          for i in range(len(BUDGET_TERM_HEADERS))])).alias("c")).select("row", "c.col", "c.value")
-    sums = per_nation.agg(F.sum("total").alias("total"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(len(BUDGET_TERM_HEADERS))])
+    n = len(BUDGET_TERM_HEADERS)
+    cell = lambda row, col, value: F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), value.cast("string").alias("value"))
+    at = lambda i: F.lit(FIRST_TERM_COL + i) + shift
+    line_cells = lines.select("nk", F.explode(F.array(
+        cell(F.col("row"), 1 + shift, F.col("name")), cell(F.col("row"), 2 + shift, F.coalesce(_num_text(F.col("total")), F.lit(""))),
+        *[cell(F.col("row"), at(i), F.coalesce(_num_text(F.col(f"t{i}")), F.lit(""))) for i in range(n)])).alias("c"))
+    sums = lines.groupBy("nk").agg(F.max("row").alias("last"), F.sum("total").alias("total"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(n)])
     a_idx = [i for i, (_, _, m) in enumerate(BUDGET_TERM_HEADERS) if m == "a"]
     starts = {i: F.floor(F.col(f"t{i}") * 0.7) for i in a_idx}
-    rate = {i: F.round(F.try_divide(F.floor(F.col(f"t{i}") * 0.7), F.col(f"t{i}")), 4).cast("decimal(10,4)").cast("string") for i in a_idx}
+    ratio = lambda x, y: F.round(F.try_divide(x, y), 4).cast("decimal(10,4)").cast("string")
     all_actual = sum(F.coalesce(F.col(f"t{i}"), F.lit(0)) for i in a_idx)
     all_starts = sum(F.coalesce(starts[i], F.lit(0)) for i in a_idx)
-    first_goals = F.col("t1") + F.col("t3")
-    base_row = n_rows + 1
-    fixed: list[tuple[Column, int, Column]] = [(F.lit(0), 1, F.lit("UDR")), (F.lit(0), 2, F.lit("Budget"))]
-    fixed += [(F.lit(0), FIRST_TERM_COL + i, F.lit(h)) for i, (h, _, _) in enumerate(BUDGET_TERM_HEADERS)]
-    fixed += [(base_row, 1, F.lit("Total")), (base_row, 2, _num_text(F.col("total")))]
-    fixed += [(base_row, FIRST_TERM_COL + i, F.coalesce(_num_text(F.col(f"t{i}")), F.lit(""))) for i in range(len(BUDGET_TERM_HEADERS))]
-    fixed += [(base_row + 1, 1, F.lit("Starts")), (base_row + 1, 2, F.lit(""))]
-    fixed += [(base_row + 1, FIRST_TERM_COL + i, F.coalesce(_num_text(starts[i]), F.lit(""))) for i in a_idx]
-    fixed += [(base_row + 2, 1, F.lit("Start%")), (base_row + 2, 2, F.lit(""))]
-    fixed += [(base_row + 2, FIRST_TERM_COL + i, F.coalesce(rate[i], F.lit(""))) for i in a_idx]
-    fixed += [(base_row + 3, 1, F.lit("After stop")), (base_row + 3, 2, F.lit("5"))]
-    summary = [
-        (5, "Budget", _num_text(F.col("total"))), (6, "Enrolled", _num_text(all_actual)), (7, "Starts", _num_text(all_starts)),
-        (8, "Start%", F.round(F.try_divide(all_starts, all_actual), 4).cast("decimal(10,4)").cast("string")),
-        (9, "Budget", F.lit("")), (10, "Budget", _num_text(first_goals)),
-    ]
+    base = F.col("last") + 1
+    fixed = [(F.lit(0), F.lit(0), F.lit("2001 plan")), (head, 1 + shift, F.lit("UDR")), (head, 2 + shift, F.lit("Budget"))]
+    fixed += [(head, at(i), F.lit(h)) for i, (h, _, _) in enumerate(BUDGET_TERM_HEADERS)]
+    fixed += [(base, 1 + shift, F.lit("Total")), (base, 2 + shift, F.coalesce(_num_text(F.col("total")), F.lit("")))]
+    fixed += [(base, at(i), F.coalesce(_num_text(F.col(f"t{i}")), F.lit(""))) for i in range(n)]
+    fixed += [(base + 1, 1 + shift, F.lit("Starts")), (base + 1, 2 + shift, F.lit(""))]
+    fixed += [(base + 1, at(i), F.coalesce(_num_text(starts[i]), F.lit(""))) for i in a_idx]
+    fixed += [(base + 2, 1 + shift, F.lit("Start%")), (base + 2, 2 + shift, F.lit(""))]
+    fixed += [(base + 2, at(i), F.coalesce(ratio(starts[i], F.col(f"t{i}")), F.lit(""))) for i in a_idx]
+    fixed += [(base + 3, 1 + shift, F.lit("After stop")), (base + 3, 2 + shift, F.lit("5"))]
+    summary = [(5, "Budget", _num_text(F.col("total"))), (6, "Enrolled", _num_text(all_actual)), (7, "Starts", _num_text(all_starts)),
+               (8, "Start%", ratio(all_starts, all_actual)), (9, "Budget", F.lit("")), (10, "Budget", _num_text(F.col("t1") + F.col("t3")))]
     for off, label, v in summary:
-        fixed += [(base_row + off, 1, F.lit(label)), (base_row + off, 2, v)]
-    fixed_cells = sums.select(F.explode(F.array(*[
-        F.struct(r.cast("long").alias("row"), F.lit(c).alias("col"), v.cast("string").alias("value")) for r, c, v in fixed
-    ])).alias("c")).select("c.row", "c.col", "c.value")
-    out = name_cells.unionByName(fixed_cells)
-    return out.select(F.lit(BUDGET_SHEET).alias("sheet"), F.col("row").cast("int").alias("row"),
-                      F.col("col").cast("int").alias("col"), F.col("value").cast("string").alias("value"))
+        fixed += [(base + off, F.lit(1), F.lit(label)), (base + off, F.lit(2), v)]
+    sheet_cells = sums.select("nk", F.explode(F.array(*[cell(*f) for f in fixed])).alias("c"))
+    return line_cells.unionByName(sheet_cells).select(
+        F.concat(F.lit("Budget "), F.lpad(F.col("nk").cast("string"), 2, "0")).alias("sheet"), "c.row", "c.col", "c.value")
