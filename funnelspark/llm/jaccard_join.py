@@ -234,7 +234,8 @@ class JaccardJoin:
         self.folder = shared_dir(self.spark)
         text = F.coalesce(F.col(text_col), F.lit(""))
         raw = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-        hashed = raw.select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+        # the constant first: a hash is the seed of the next column's, and behind the text it would follow from h1
+        hashed = raw.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
         hashed = stored(hashed, f"{self.folder}/hashed")
         odd = hashed.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("id is null or lo != hi").select("id")
         node = F.col("id")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from funnelspark.llm import jaccard_join as J
 from plain import LOWER, words
@@ -182,3 +183,10 @@ def test_registered_query_matches_brute_force(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = J.op1_jaccard_join(spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
+def test_texts_that_agree_in_one_hash_are_not_merged(make_docs):
+    join = J.JaccardJoin(make_docs([(k, f"text {k}") for k in range(50)]))
+    rows = join.spark.read.parquet(f"{join.folder}/hashed").collect()
+    follows = [xxhash.xxh64((1).to_bytes(4, "little"), seed=r["h1"] % 2**64).intdigest() for r in rows]  # what a chained hash would be
+    assert all(f != r["h2"] % 2**64 for f, r in zip(follows, rows)) and len({r["h2"] for r in rows}) == 50
