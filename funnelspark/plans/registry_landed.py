@@ -11,9 +11,16 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import sum_money
+from ..operators import privacy as _PR
 from ..session import ensure_checkpoint_dir
+from ..sources import crm_view as CV
 from ..sources import landed as _L
 from ..sources import payloads as _PL
+from ..sources import versions as V
+from . import oracle as O
+from . import registry as G
+from .process import gold_facts
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -123,3 +130,104 @@ ORACLE.update({
     "union_activities": sql_union_activities,
     "landed_rejects": sql_landed_rejects,
 })
+
+
+# ---- versioned tables, freshness, gold facts, the published baseline ------------------------------
+
+REFRESHED_AT = "2001-07-31 06:00:00"
+EXPECTED_TABLES = ["contacts_clean", "deals_clean", "lead_deal_fact", "student_journey_fact", "cohort_fact", "vendor_fact",
+                   "salesman_revenue_fact", "activity_events"]
+
+
+def _gold_store(spark, d) -> str:
+    """The store after two refreshes: the silver tables, the fact by month of closing, then the gold facts."""
+    def build():
+        root = landing_folder(spark)
+        s = G._s(spark, d)
+        fact = s["lead_deal_fact"].withColumn("close_month", V.month_of(F.col("close_date")))
+        V.commit_tables(spark, root, {"contacts_clean": s["contacts_clean"], "lead_deal_fact": fact, "deals_clean": s["deals_clean"].limit(0)},
+                        partitions={"lead_deal_fact": ["close_month"]}, at="2001-07-30 06:00:00")
+        gold = gold_facts(s, CV.vendor_costs_raw(spark, d), CV.TODAY)
+        V.commit_tables(spark, root, gold | {"deals_clean": s["deals_clean"], "late_links": s["links"].limit(0)}, at=REFRESHED_AT)
+        return root
+    return G._landed(spark, d, "gold store", build)
+
+
+def q_gold_facts(spark, d):
+    return V.stored_tables(spark, _gold_store(spark, d))
+
+
+def sql_gold_facts() -> str:
+    parts = [f"SELECT '{name}' AS \"table\", (SELECT count(*) FROM ({sql})) AS rows, {version} AS table_version, '{by}' AS partitioned_by" for name, sql, version, by in [
+        ("contacts_clean", G._sql("SELECT contact_id FROM contacts_clean"), 1, ""),
+        ("lead_deal_fact", G._sql("SELECT deal_id FROM lead_deal_fact"), 1, "close_month"),
+        ("deals_clean", G._sql("SELECT deal_id FROM deals_clean"), 2, ""),
+        ("student_journey_fact", G.ORACLE["student_journey_fact"](), 2, ""), ("cohort_fact", G.ORACLE["cohort_fields"](), 2, ""),
+        ("vendor_fact", G.ORACLE["paid_vendor_performance"](), 2, ""), ("salesman_revenue_fact", G.ORACLE["salesman_metrics"](), 2, ""),
+        ("late_links", "SELECT 1 WHERE false", 2, "")]]
+    return " UNION ALL ".join(parts)
+
+
+def q_table_freshness(spark, d):
+    """From the manifest alone; the empty and missing tables as one text."""
+    row = V.stored_freshness(spark, _gold_store(spark, d), CV.TODAY, EXPECTED_TABLES)
+    return row.withColumn("empty_tables", F.array_join("empty_tables", ","))
+
+
+def sql_table_freshness() -> str:
+    return f"""SELECT TIMESTAMP '{REFRESHED_AT}' AS last_refresh, (epoch(TIMESTAMP '{CV.TODAY}') - epoch(TIMESTAMP '{REFRESHED_AT}')) / 3600.0 AS age_hours,
+        epoch(TIMESTAMP '{CV.TODAY}') - epoch(TIMESTAMP '{REFRESHED_AT}') > 24 * 3600 AS stale, 'activity_events,late_links' AS empty_tables,
+        (SELECT count(*) FROM orders) > 0 AS has_cache"""
+
+
+FACT_MONTHS = ("1996-01", "1996-06")
+
+
+def q_load_tables(spark, d):
+    """Half a year of the stored fact: only its months' folders are read."""
+    fact = V.read_tables(spark, _gold_store(spark, d), ["lead_deal_fact"])["lead_deal_fact"]
+    return fact.where(F.col("close_month").between(*FACT_MONTHS)).groupBy("close_month").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("is_won").alias("won"), sum_money(F.col("revenue_attributed")).alias("revenue"))
+
+
+def sql_load_tables() -> str:
+    return G._sql(f"""SELECT strftime(close_date, '%Y-%m') AS close_month, count(*) AS rows, count_if(is_won) AS won, {O.money_sum('revenue_attributed')} AS revenue
+        FROM lead_deal_fact WHERE strftime(close_date, '%Y-%m') BETWEEN '{FACT_MONTHS[0]}' AND '{FACT_MONTHS[1]}' GROUP BY 1""")
+
+
+def q_published_baseline(spark, d):
+    """What a reader finds in the published baseline: per table and owner label the rows and the sum of its figure."""
+    leads, enr, (_, alloc, _, _) = G._leads(spark, d), G._enr(spark, d), G._grid(spark, d)
+    paid = leads.where(F.col("lead_type") == "Paid")
+    root = landing_folder(spark)
+    _PR.publish_baseline(spark, root, {"leads": leads, "paid_leads": paid, "enrollments": enr, "allocations": alloc}, G._owner_map(spark, d),
+                         _PR.public_metadata(leads, paid, enr, alloc), {"enrollments": G.STUDENT_ORDER}, at=REFRESHED_AT)
+    held = V.read_tables(spark, root)
+    out = None
+    for name, label, figure in PUBLISHED:
+        value = F.lit(0.0) if figure is None else F.col(figure)
+        part = held[name].groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("rows"), sum_money(value).alias("figure"))
+        part = part.select(F.lit(name).alias("table"), "label", "rows", "figure")
+        out = part if out is None else out.unionByName(part)
+    meta = held["metadata"]
+    return out.unionByName(meta.select(F.lit("metadata").alias("table"), F.lit(None).cast("string").alias("label"), F.col("udr_rows").alias("rows"),
+                                       F.col("tracker_revenue").alias("figure")))
+
+
+PUBLISHED = [("leads", "contact_owner", None), ("paid_leads", "contact_owner", None), ("enrollments", "udr", "revenue"), ("allocations", "budget_name", "planned_budget")]
+
+
+def sql_published_baseline() -> str:
+    source = {"leads": "leads_f", "paid_leads": "(SELECT * FROM leads_f WHERE lead_type = 'Paid')", "enrollments": "enr", "allocations": "allocations"}
+    parts = []
+    for name, label, figure in PUBLISHED:
+        amount = "0.0" if figure is None else O.money_sum(f"t.{figure}")
+        parts.append(f"""SELECT '{name}' AS "table", coalesce(m.pseudonym, t.{label}) AS label, count(*) AS rows, {amount} AS figure
+          FROM {source[name]} t LEFT JOIN owner_map m ON m.label = {O.txt(f't.{label}')} GROUP BY 2""")
+    parts.append(f"SELECT 'metadata', NULL, (SELECT count(*) FROM leads_f), {O.money_sum('revenue')} FROM enr")
+    return G._usql(" UNION ALL ".join(parts), [G._owner_map_sql()], leads=True, enr=True, grid=True)
+
+
+QUERIES.update({"gold_facts": q_gold_facts, "table_freshness": q_table_freshness, "load_tables": q_load_tables, "published_baseline": q_published_baseline})
+ORACLE.update({"gold_facts": sql_gold_facts, "table_freshness": sql_table_freshness, "load_tables": sql_load_tables,
+               "published_baseline": sql_published_baseline})
