@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import sum_money
 from ..operators import privacy as _PR
 from ..session import ensure_checkpoint_dir
+from ..sources import baseline as _BL
 from ..sources import crm_view as CV
 from ..sources import landed as _L
 from ..sources import payloads as _PL
@@ -231,3 +232,38 @@ def sql_published_baseline() -> str:
 QUERIES.update({"gold_facts": q_gold_facts, "table_freshness": q_table_freshness, "load_tables": q_load_tables, "published_baseline": q_published_baseline})
 ORACLE.update({"gold_facts": sql_gold_facts, "table_freshness": sql_table_freshness, "load_tables": sql_load_tables,
                "published_baseline": sql_published_baseline})
+
+
+# ---- typed baseline files -------------------------------------------------------------------------
+
+def _baseline_files(spark, d):
+    def build():
+        folder = _BL.enrollment_files(spark, d, landing_folder(spark) + "/enrollments")
+        return _BL.load_baseline(spark, folder, _BL.ENROLLMENT_COLUMNS, "row_key", "enrollments")
+    return G._landed(spark, d, "baseline files", build)
+
+
+def sql_load_baseline() -> str:
+    flags = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(["true", "false", "true", "NULL", "false"]))
+    return f"""SELECT 'E' || k AS row_key, 'S' || k AS student, CASE WHEN k % 41 <> 0 THEN o_orderdate END AS enrolled_date,
+        CASE WHEN k % 53 <> 0 AND k % 19 <> 0 THEN o_totalprice END AS revenue,
+        CASE WHEN k % 29 = 0 THEN NULL WHEN k % 7 = 0 THEN k % 90 ELSE k % 90 - 5 END AS days_to_enroll,
+        CASE WHEN k % 37 <> 0 THEN CASE k % 5 {flags} END END AS title_iv, CAST(NULL AS TIMESTAMP) AS term
+      FROM (SELECT *, o_orderkey AS k FROM orders) WHERE k % 97 <> 0"""
+
+
+def sql_load_baseline_rejects() -> str:
+    day = """CASE k % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%-m/%-d/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END"""
+    flag = "CASE k % 5 WHEN 0 THEN 'true' WHEN 1 THEN '0' WHEN 2 THEN 'YES' WHEN 3 THEN '' ELSE 'no' END"
+    days = "CASE WHEN k % 29 = 0 THEN '12.5' WHEN k % 7 = 0 THEN (k % 90) || '.0' ELSE CAST(k % 90 - 5 AS VARCHAR) END"
+    cells = " UNION ALL ".join(f"SELECT k, '{c}' AS \"column\", '{v}' AS value FROM o WHERE k % {n} = 0" for c, v, n in [
+        ("enrolled_date", "TBD", 41), ("revenue", "n/a", 53), ("days_to_enroll", "12.5", 29), ("title_iv", "maybe", 37)])
+    return f"""WITH o AS (SELECT *, o_orderkey AS k FROM orders)
+      SELECT 'enrollments' AS "table", 'value' AS reason, 'E' || k AS row_key, "column", value FROM ({cells}) WHERE k % 97 <> 0
+      UNION ALL SELECT 'enrollments', 'row', NULL, NULL, 'E' || k || ',Last, S' || k || ',' || CASE WHEN k % 41 = 0 THEN 'TBD' ELSE {day} END || ',' ||
+        CASE WHEN k % 53 = 0 THEN 'n/a' WHEN k % 19 = 0 THEN '' ELSE CAST(o_totalprice AS VARCHAR) END || ',' || {days} || ',' ||
+        CASE WHEN k % 37 = 0 THEN 'maybe' ELSE {flag} END FROM o WHERE k % 97 = 0"""
+
+
+QUERIES.update({"load_baseline": lambda s, d: _baseline_files(s, d)[0], "load_baseline_rejects": lambda s, d: _baseline_files(s, d)[1]})
+ORACLE.update({"load_baseline": sql_load_baseline, "load_baseline_rejects": sql_load_baseline_rejects})
