@@ -1,7 +1,8 @@
 """Degree level, tuition lookup and program revenue fields.
 
-The tuition table has five rows, so the lookup is folded into ``CASE`` expressions (no join,
-nothing to broadcast).  ``tuition_table`` exposes the same rows as a DataFrame.
+The fixed tuition table has five rows, so its lookup is folded into ``CASE`` expressions (no join,
+nothing to broadcast).  Rules that are a table of their own (``tuition_table``, ``refreshed_tuition``, or landed
+overrides) are joined on the level; programs are matched to levels first.
 """
 
 from __future__ import annotations
@@ -63,10 +64,21 @@ def _lookup(level: Column, field: str, rows: Mapping[str, Mapping]) -> Column:
     return out
 
 
+def _with_level_values(df: DataFrame, config: Mapping | DataFrame | None) -> DataFrame:
+    """A struct column ``__tuition`` with the values of the row's ``__level``: joined from a rules table, else folded."""
+    if isinstance(config, DataFrame):
+        note = F.coalesce(F.col("note"), F.lit(""))
+        rules = config.select(F.col("program_degree_level").alias("__rule"), F.struct(*[(note if f == "note" else F.col(f).cast("double")).alias(f) for f in TUITION_FIELDS]).alias("__tuition"))
+        return df.join(rules, F.col("__level") == F.col("__rule"), "left").drop("__rule")
+    rows = tuition_rows(config)
+    return df.withColumn("__tuition", F.struct(*[_lookup(F.col("__level"), f, rows).alias(f) for f in TUITION_FIELDS]))
+
+
 def add_program_tuition_fields(df: DataFrame, program_col: str = "program", degree_col: str = "degree_level",
-                               config: Mapping | None = None) -> DataFrame:
-    """Adds the 11 tuition columns (``config`` overrides the fixed table); an explicit level is honoured only when revenue_confidence is
-    absent or 'High' (second pass on the fact).  Intermediate texts are staged as columns so the
+                               config: Mapping | DataFrame | None = None) -> DataFrame:
+    """Adds the 11 tuition columns; an explicit level is honoured only when revenue_confidence is
+    absent or 'High' (second pass on the fact).  ``config`` overrides the fixed table: a mapping per level, or
+    a table of rules, one row per level, that takes its place.  Intermediate texts are staged as columns so the
     ordered rules are evaluated once per row, not once per looked-up field."""
     program = F.col(program_col) if program_col in df.columns else F.lit(None).cast("string")
     explicit = F.col(degree_col) if degree_col in df.columns else F.lit(None).cast("string")
@@ -75,24 +87,25 @@ def add_program_tuition_fields(df: DataFrame, program_col: str = "program", degr
     out = df.withColumns({"__ex_txt": explicit.cast("string"), "__pg_txt": program.cast("string")})
     out = out.withColumns({"__explicit": degree_level(F.col("__ex_txt")), "__inferred": degree_level(F.col("__pg_txt"))})
     out = out.withColumn("__level", F.coalesce(F.col("__explicit"), F.col("__inferred")))
-    level, rows = F.col("__level"), tuition_rows(config)
+    level = F.col("__level")
+    out = _with_level_values(out, config)
     matched = level.isNotNull()
     confidence = F.when(F.col("__explicit").isNotNull(), "High").when(F.col("__inferred").isNotNull(), "Medium").otherwise("Low")
     out = out.withColumns({
         "degree_level": level,
         "program_degree_level": level,
-        "tuition_per_credit": _lookup(level, "tuition_per_credit", rows),
-        "credits_required": _lookup(level, "credits_required", rows),
-        "estimated_total_tuition": _lookup(level, "estimated_total_tuition", rows),
-        "estimated_annual_tuition": _lookup(level, "estimated_annual_tuition", rows),
-        "program_duration_years": _lookup(level, "duration_years", rows),
-        "program_duration_months": _lookup(level, "duration_months", rows),
-        "duration_note": F.when(matched, _lookup(level, "note", rows))
+        "tuition_per_credit": F.col("__tuition.tuition_per_credit"),
+        "credits_required": F.col("__tuition.credits_required"),
+        "estimated_total_tuition": F.col("__tuition.estimated_total_tuition"),
+        "estimated_annual_tuition": F.col("__tuition.estimated_annual_tuition"),
+        "program_duration_years": F.col("__tuition.duration_years"),
+        "program_duration_months": F.col("__tuition.duration_months"),
+        "duration_note": F.when(matched, F.coalesce(F.col("__tuition.note"), F.lit("")))
         .otherwise("Program missing or not matched to a configured degree level."),
         "tuition_estimate_source": F.when(matched, F.lit(R.TUITION_SOURCE_LABEL)).otherwise("unmatched_program"),
         "revenue_confidence": confidence,
     })
-    return out.drop("__ex_txt", "__pg_txt", "__explicit", "__inferred", "__level")
+    return out.drop("__ex_txt", "__pg_txt", "__explicit", "__inferred", "__level", "__tuition")
 
 
 def _per(total: Column, divisor: Column) -> Column:
@@ -141,7 +154,7 @@ def revenue_note(df: DataFrame) -> Column:
 
 
 def add_program_revenue_fields(df: DataFrame, total_col: str = "revenue_attributed", program_col: str = "program",
-                               config: Mapping | None = None) -> DataFrame:
+                               config: Mapping | DataFrame | None = None) -> DataFrame:
     """Tuition fields, realised windows, potential windows, pipeline revenue, note (T4, T5)."""
     out = add_program_tuition_fields(df, program_col, config=config)
     total = to_number(F.col(total_col), floor_zero=True, fill=0) if total_col in out.columns else F.lit(0.0)
@@ -178,3 +191,27 @@ def tuition_table(spark: SparkSession, overrides: Mapping | None = None) -> Data
     data = [(level, *[None if v.get(c) is None else str(v[c]) if c == "note" else float(v[c]) for c in TUITION_FIELDS]) for level, v in rows.items()]
     return spark.createDataFrame(data, "program_degree_level string, " + ", ".join(
         f"{c} {'string' if c == 'note' else 'double'}" for c in TUITION_FIELDS))
+
+
+PRICE_FIELDS = ["tuition_per_credit", "credits_required", "estimated_total_tuition", "estimated_annual_tuition"]
+
+
+def overridden(rules: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``rules`` with landed overrides (program_degree_level, any of the fields) merged in, field by field: a value
+    that an override has replaces the rule's, its nulls leave it, and levels without a rule are added.  Comment
+    rows (levels that start with '_') and rows without a level are left out; of several overrides of a level the
+    newest by ``refreshed_at`` counts for each field, where they have that column, then the larger value."""
+    has = [f for f in TUITION_FIELDS if f in overrides.columns]
+    when = F.col("refreshed_at") if "refreshed_at" in overrides.columns else F.lit(0)
+    fresh = overrides.where(F.col("program_degree_level").isNotNull() & ~F.col("program_degree_level").startswith("_"))
+    fresh = fresh.groupBy("program_degree_level").agg(*[
+        F.max(F.when(F.col(f).isNotNull(), F.struct(when.alias("w"), F.col(f).alias("v"))))["v"].alias(f"__o_{f}") for f in has])
+    out = rules.join(fresh, "program_degree_level", "full_outer") if has else rules
+    return out.select("program_degree_level", *[F.coalesce(F.col(f"__o_{f}").cast("string" if f == "note" else "double"), F.col(f)).alias(f) if f in has else F.col(f)
+                                                for f in TUITION_FIELDS])
+
+
+def refreshed_tuition(rules: DataFrame, prices: DataFrame, key: str = "page_id") -> DataFrame:
+    """``rules`` with the prices of ``extract_price_table``: per level those of its newest page, all four from one page."""
+    newest = prices.groupBy("program_degree_level").agg(F.max_by(F.struct(*PRICE_FIELDS), F.struct(key, *PRICE_FIELDS)).alias("p"))
+    return overridden(rules, newest.select("program_degree_level", "p.*"))

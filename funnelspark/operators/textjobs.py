@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,23 +46,12 @@ def extract_data_lines(docs: DataFrame, text_col: str = "text", key: str = "doc_
     return lines if limit is None else lines.where(F.col("line_no") <= limit)
 
 
-def price_page_text(pages: DataFrame) -> DataFrame:
-    """Page text plus a published price block built from the page key (FIXTURES: price lines by
-    ``concat`` on page_id); pages with key % 3 == 0 carry no block."""
-    k = F.col("page_id")
-    blocks = []
-    for i, (level, _) in enumerate(R.PRICE_LINE_PATTERNS):
-        tuition = F.lit(500) + (k * 7 + i * 31) % 400
-        credits = F.lit(12) + (k + i * 13) % 110
-        total = tuition * credits
-        annual = F.floor(total / F.greatest(F.floor(credits / 30), F.lit(1))).cast("long")
-        heading = {"Certificate": F.lit("Certificate Programs"), "Associate": F.lit("Associate Degree"),
-                   "Bachelor": F.when(k % 2 == 0, F.lit("Bachelor's Degree")).otherwise(F.lit("Bachelors Degree")),
-                   "Master": F.lit("Master's Degree Programs"), "Doctoral": F.lit("Doctoral Degree Programs")}[level]
-        blocks.append(F.concat(heading, F.lit("\n  $"), F.format_number(tuition, 0), F.lit("  "), credits.cast("string"),
-                               F.lit(" $"), F.format_number(total, 0), F.lit("\t$"), F.format_number(annual, 0)))
-    block = F.when(k % 3 != 0, F.concat_ws("\n", *blocks)).otherwise(F.lit(""))
-    return html_to_text(pages).select("page_id", F.concat_ws("\n", F.col("text"), block).alias("text"))
+def read_text_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, text) of text files landed below ``folder``, each read whole, so that blocks over several lines
+    stay together.  Files land in folders ``page_id=<id>``; elsewhere a file's name is its id."""
+    pages = spark.read.option("wholetext", True).text(folder)
+    key = F.col("page_id") if "page_id" in pages.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+    return pages.select(key.alias("page_id"), F.col("value").alias("text"))
 
 
 def extract_price_table(pages_text: DataFrame, text_col: str = "text", key: str = "page_id") -> DataFrame:

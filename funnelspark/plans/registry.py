@@ -1066,28 +1066,6 @@ def sql_extract_data_lines():
       SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS line_no, line FROM f WHERE line <> ''"""
 
 
-def sql_extract_price_table():
-    """Builds the landed text and parses it with the same patterns (never the numbers themselves)."""
-    blocks = []
-    for i, (level, _) in enumerate(_R.PRICE_LINE_PATTERNS):
-        t, c = f"(500 + (page_id * 7 + {i * 31}) % 400)", f"(12 + (page_id + {i * 13}) % 110)"
-        head = {"Certificate": "'Certificate Programs'", "Associate": "'Associate Degree'",
-                "Bachelor": "CASE WHEN page_id % 2 = 0 THEN 'Bachelor''s Degree' ELSE 'Bachelors Degree' END",
-                "Master": "'Master''s Degree Programs'", "Doctoral": "'Doctoral Degree Programs'"}[level]
-        money = lambda x: f"'$' || format('{{:,}}', CAST({x} AS BIGINT))"
-        blocks.append(f"({head}) || chr(10) || '  ' || {money(t)} || '  ' || CAST({c} AS VARCHAR) || ' ' || {money(f'{t} * {c}')} || chr(9) || "
-                      + money(f"floor(({t} * {c}) / greatest(floor({c} / 30), 1))"))
-    block = f"CASE WHEN page_id % 3 <> 0 THEN {' || chr(10) || '.join(blocks)} ELSE '' END"
-    parts = []
-    for level, pattern in _R.PRICE_LINE_PATTERNS:
-        pat = O.q("(?i)" + pattern)
-        num = lambda g: f"TRY_CAST(replace(regexp_extract(norm, {pat}, {g}), ',', '') AS BIGINT)"  # noqa: E731,B023
-        parts.append(f"""SELECT page_id, {O.q(level)} AS program_degree_level, {num(1)} AS tuition_per_credit, {num(2)} AS credits_required,
-            {num(3)} AS estimated_total_tuition, {num(4)} AS estimated_annual_tuition FROM landed WHERE regexp_matches(norm, {pat})""")
-    return f"""WITH landed AS (SELECT page_id, regexp_replace(text || chr(10) || {block}, '\\s+', ' ', 'g') AS norm
-        FROM ({sql_html_to_text()})) """ + " UNION ALL ".join(parts)
-
-
 _KEEP_SQL = ", ".join(O.q(x) for x in _R.PUBLIC_KEEP_VALUES)
 
 
@@ -1209,7 +1187,6 @@ def q_field_mapping(spark, d):
 QUERIES.update({
     "html_to_text": lambda s, d: _T.html_to_text(_read(s, d, "pages")).select("page_id", "text"),
     "extract_data_lines": q_extract_data_lines,
-    "extract_price_table": lambda s, d: _T.extract_price_table(_T.price_page_text(_read(s, d, "pages"))),
     "label_pseudonyms": lambda s, d: _PR.label_pseudonyms([(_leads(s, d), ["contact_owner"]), (_enr(s, d), ["udr"])], "UDR",
                                                           keep=["Unassigned"]),
     "profile_fields": q_profile_fields,
@@ -1222,7 +1199,6 @@ QUERIES.update({
 })
 ORACLE.update({
     "extract_data_lines": sql_extract_data_lines,
-    "extract_price_table": sql_extract_price_table,
     "label_pseudonyms": sql_label_pseudonyms,
     "profile_fields": sql_profile_fields,
     "flatten_crm_objects": sql_flatten_crm_objects,

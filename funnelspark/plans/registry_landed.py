@@ -11,9 +11,12 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+from ..functions import tuition as TU
 from ..functions.expr import sum_money
 from ..operators import privacy as _PR
-from ..session import ensure_checkpoint_dir
+from ..operators import textjobs as _TJ
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import baseline as _BL
 from ..sources import crm_view as CV
 from ..sources import landed as _L
@@ -267,3 +270,102 @@ def sql_load_baseline_rejects() -> str:
 
 QUERIES.update({"load_baseline": lambda s, d: _baseline_files(s, d)[0], "load_baseline_rejects": lambda s, d: _baseline_files(s, d)[1]})
 ORACLE.update({"load_baseline": sql_load_baseline, "load_baseline_rejects": sql_load_baseline_rejects})
+
+
+# ---- published prices, tuition rules --------------------------------------------------------------
+
+def _prices(spark, d):
+    def build():
+        pages = _TJ.read_text_pages(spark, _L.land_price_pages(spark, d, landing_folder(spark) + "/prices"))
+        return cut_lineage(_TJ.extract_price_table(pages))
+    return G._landed(spark, d, "prices", build)
+
+
+def _tuition_rules(spark, d):
+    """The fixed table, refreshed from the newest published prices, then the landed overrides."""
+    def build():
+        folder = _BL.override_files(spark, d, landing_folder(spark) + "/overrides")
+        overrides, _ = _BL.load_baseline(spark, folder, _BL.OVERRIDE_COLUMNS, "program_degree_level", "overrides")
+        return cut_lineage(TU.overridden(TU.refreshed_tuition(TU.tuition_table(spark), _prices(spark, d)), overrides))
+    return G._landed(spark, d, "tuition rules", build)
+
+
+PROGRAM_REVENUE_COLUMNS = ["hs_object_id", "program_degree_level", "tuition_per_credit", "credits_required", "estimated_total_tuition",
+                           "estimated_annual_tuition", "program_duration_years", "program_duration_months", "duration_note", "revenue_confidence",
+                           "total_program_revenue", "annualized_program_revenue", "six_month_revenue", "potential_six_month_revenue",
+                           "potential_revenue", "enrolled_revenue", "revenue_realization_note"]
+
+
+def q_program_revenue(spark, d):
+    out = TU.add_program_revenue_fields(CV.contacts(spark, d), "standard_tuition_total", config=_tuition_rules(spark, d))
+    return out.select(*PROGRAM_REVENUE_COLUMNS)
+
+
+def sql_extract_price_table() -> str:
+    """Builds the page texts and parses them with the same patterns (never the numbers themselves)."""
+    n = len(_L.PRICE_HEADINGS)
+    heading = "CASE i " + " ".join(f"WHEN {i} THEN CASE WHEN credits % 2 = 0 THEN {O.q(even)} ELSE {O.q(odd)} END" for i, (_, even, odd) in enumerate(_L.PRICE_HEADINGS)) + " END"
+    money = lambda x: f"'$' || format('{{:,}}', CAST({x} AS BIGINT))"
+    total = "price * credits"
+    parts = []
+    for level, pattern in R.PRICE_LINE_PATTERNS:
+        pat = O.q("(?i)" + pattern)
+        num = lambda g: f"TRY_CAST(replace(regexp_extract(norm, {pat}, {g}), ',', '') AS BIGINT)"  # noqa: E731,B023
+        parts.append(f"""SELECT page_id, {O.q(level)} AS program_degree_level, {num(1)} AS tuition_per_credit, {num(2)} AS credits_required,
+            {num(3)} AS estimated_total_tuition, {num(4)} AS estimated_annual_tuition FROM landed WHERE regexp_matches(norm, {pat})""")
+    return f"""WITH per AS (SELECT p_partkey // {_L.PARTS_PER_PAGE} AS page_id, p_partkey % {n} AS i, CAST(floor(max(p_retailprice)) AS BIGINT) AS price,
+          min(p_size) + 12 AS credits, sum(p_size) AS size FROM part GROUP BY 1, 2),
+        lines AS (SELECT page_id, i, size, CASE WHEN credits % 7 <> 0 THEN {heading} || CASE WHEN price % 2 = 0 THEN chr(10) || '  ' ELSE chr(9) END || {money('price')}
+          || '  ' || credits || ' ' || {money(total)} || chr(9) || {money(f'floor(({total}) / greatest(floor(credits / 30), 1))')} ELSE '(on request)' END AS line FROM per),
+        texts AS (SELECT page_id, sum(size) AS size, 'Tuition and fees' || chr(10) || 'Associate Degree from $999' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text
+          FROM lines GROUP BY 1),
+        landed AS (SELECT page_id, regexp_replace(CASE WHEN size % 4 = 0 THEN 'Prices on request.' || chr(10) || 'Certificate Programs: call us.'
+          WHEN size % 3 = 0 THEN upper(text) ELSE text END, '\\s+', ' ', 'g') AS norm FROM texts) """ + " UNION ALL ".join(parts)
+
+
+def _tuition_rules_cte() -> str:
+    levels = " ".join(f"WHEN {i} THEN {O.q(x)}" for i, x in enumerate(_BL._OVERRIDE_LEVELS))
+    fixed = ", ".join("(" + ", ".join(O.q(v) if isinstance(v, str) else f"CAST({v} AS DOUBLE)" for v in row) + ")" for row in R.DEGREE_TUITION)
+    newest = lambda f: f"max_by({f}, refreshed_at) FILTER (WHERE {f} IS NOT NULL) AS {f}"
+    prices = ", ".join(f"CAST(coalesce(p.{f}, f.{f}) AS DOUBLE) AS {f}" for f in TU.PRICE_FIELDS)
+    more = ", ".join(f"coalesce(o.{f}, f.{f}) AS {f}" for f in ("duration_years", "duration_months", "note"))
+    return f"""fixed AS (SELECT * FROM (VALUES {fixed}) t(program_degree_level, tuition_per_credit, credits_required, estimated_total_tuition,
+          estimated_annual_tuition, duration_years, duration_months, note)),
+        prices AS ({sql_extract_price_table()}),
+        newest AS (SELECT program_degree_level, {', '.join(f'max_by({f}, page_id) AS {f}' for f in TU.PRICE_FIELDS)} FROM prices GROUP BY 1),
+        files AS (SELECT CASE p_partkey % {len(_BL._OVERRIDE_LEVELS)} {levels} END AS program_degree_level, CASE WHEN p_size % 3 <> 0 THEN 'see ' || p_name END AS note,
+          CAST(p_size + 6 AS DOUBLE) AS duration_months, CASE WHEN p_size % 2 = 0 THEN CAST(2 AS DOUBLE) END AS duration_years, p_partkey AS refreshed_at
+          FROM part WHERE p_partkey % 101 = 7),
+        overrides AS (SELECT program_degree_level, {', '.join(newest(f) for f in ('note', 'duration_months', 'duration_years'))} FROM files
+          WHERE program_degree_level <> '' AND NOT starts_with(program_degree_level, '_') GROUP BY 1),
+        rules AS (SELECT f.program_degree_level, {prices}, {more} FROM fixed f LEFT JOIN newest p USING (program_degree_level)
+          LEFT JOIN overrides o USING (program_degree_level))"""
+
+
+def sql_tuition_table() -> str:
+    return f"WITH {_tuition_rules_cte()} SELECT * FROM rules"
+
+
+def sql_program_revenue() -> str:
+    level = f"coalesce({O.degree_sql('degree_level')}, {O.degree_sql('program')})"
+    status = f"regexp_matches(lower(coalesce(enrollment_status, '')), {O.q(R.REVENUE_ENROLLED_PATTERN)})"
+    per = lambda x, y: f"CASE WHEN {y} > 0 THEN {x} / {y} ELSE 0.0 END"
+    months = "CASE WHEN duration_months = floor(duration_months) THEN CAST(CAST(duration_months AS BIGINT) AS VARCHAR) ELSE CAST(duration_months AS VARCHAR) END"
+    return G._sql(f"""SELECT hs_object_id, c.level AS program_degree_level, tuition_per_credit, credits_required, estimated_total_tuition, estimated_annual_tuition,
+        duration_years AS program_duration_years, duration_months AS program_duration_months,
+        CASE WHEN c.level IS NULL THEN 'Program missing or not matched to a configured degree level.' ELSE coalesce(note, '') END AS duration_note, confidence AS revenue_confidence,
+        total AS total_program_revenue, {per('total', 'duration_years')} AS annualized_program_revenue, least(({per('total', 'duration_months')}) * 6.0, total) AS six_month_revenue,
+        least(({per('potential', 'duration_months')}) * 6.0, potential) AS potential_six_month_revenue, CASE WHEN {status} THEN 0.0 ELSE potential END AS potential_revenue,
+        CASE WHEN {status} THEN potential ELSE 0.0 END AS enrolled_revenue,
+        CASE WHEN c.level IS NULL THEN 'Program duration could not be matched; update config/degree_tuition.json.'
+          WHEN total <= 0 THEN c.level || ' potential tuition is based on published rates over ' || {months} || ' months; realized revenue is not counted until a deal is won/countable.'
+          ELSE c.level || ' revenue uses available tuition/revenue over ' || {months} || ' months' || CASE WHEN trim(coalesce(note, '')) <> '' THEN '; ' || trim(note) || '.' ELSE '.' END
+        END AS revenue_realization_note
+      FROM (SELECT *, {level} AS level, greatest(coalesce(TRY_CAST(standard_tuition_total AS DOUBLE), 0.0), 0.0) AS total,
+          CASE WHEN {O.degree_sql('degree_level')} IS NOT NULL THEN 'High' WHEN {O.degree_sql('program')} IS NOT NULL THEN 'Medium' ELSE 'Low' END AS confidence FROM raw_contacts) c
+        LEFT JOIN (SELECT *, greatest(coalesce(estimated_total_tuition, 0.0), 0.0) AS potential0 FROM rules) r ON r.program_degree_level = c.level
+        , LATERAL (SELECT coalesce(potential0, 0.0) AS potential)""", [_tuition_rules_cte()])
+
+
+QUERIES.update({"extract_price_table": _prices, "tuition_table": _tuition_rules, "program_revenue": q_program_revenue})
+ORACLE.update({"extract_price_table": sql_extract_price_table, "tuition_table": sql_tuition_table, "program_revenue": sql_program_revenue})

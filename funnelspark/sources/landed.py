@@ -174,3 +174,35 @@ def activity_tables(spark: SparkSession, sf_dir: str, folder: str) -> str:
         ids = F.when(k % 40 == 0, F.lit(" ")).otherwise(k.cast("string")).alias("hs_object_id")
         rows.select(ids, *own[name]).write.parquet(f"{folder}/{name}")
     return folder
+
+
+# ---- published prices, one text file per page ------------------------------------------------------
+
+PARTS_PER_PAGE = 100
+#: Headings of the price lines by level, for even and odd credits (FIXED VALUES: what the price patterns look for).
+PRICE_HEADINGS = [("Certificate", "Certificate Programs", "Certificate Programs"), ("Associate", "Associate Degree", "Associate Degree"),
+                  ("Bachelor", "Bachelor's Degree", "Bachelors Degree"), ("Master", "Master's Degree Programs", "Masters Degree Programs"),
+                  ("Doctoral", "Doctoral Degree Programs", "Doctoral Degree Programs")]
+
+
+def land_price_pages(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Price pages from parts, a text file each: a level's price is the highest retail price among its parts of the
+    page, its credits the smallest size.  Lines are spelled in two ways, some levels are missing, some
+    pages are in capitals, some have no prices at all."""
+    p = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+    n = len(PRICE_HEADINGS)
+    parts = p.select(F.floor(F.col("p_partkey") / PARTS_PER_PAGE).alias("page_id"), (F.col("p_partkey") % n).cast("int").alias("i"), "p_retailprice", "p_size")
+    level = parts.groupBy("page_id", "i").agg(F.floor(F.max("p_retailprice")).cast("long").alias("price"), (F.min("p_size") + 12).cast("long").alias("credits"),
+                                              F.sum("p_size").alias("size"))
+    money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
+    total = F.col("price") * F.col("credits")
+    heading = F.element_at(F.array(*[F.when(F.col("credits") % 2 == 0, F.lit(even)).otherwise(F.lit(odd)) for _, even, odd in PRICE_HEADINGS]), F.col("i") + 1)
+    line = F.concat(heading, F.when(F.col("price") % 2 == 0, F.lit("\n  ")).otherwise(F.lit("\t")), money(F.col("price")), F.lit("  "), F.col("credits").cast("string"),
+                    F.lit(" "), money(total), F.lit("\t"), money(F.floor(total / F.greatest(F.floor(F.col("credits") / 30), F.lit(1)))))
+    line = F.when(F.col("credits") % 7 != 0, line).otherwise(F.lit("(on request)"))
+    page = level.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("lines"), F.sum("size").alias("size"))
+    text = F.concat(F.lit("Tuition and fees\nAssociate Degree from $999\n"), F.array_join("lines.line", "\n"))
+    text = F.when(F.col("size") % 3 == 0, F.upper(text)).otherwise(text)
+    text = F.when(F.col("size") % 4 == 0, F.lit("Prices on request.\nCertificate Programs: call us.")).otherwise(text)
+    page.select("page_id", text.alias("value")).write.partitionBy("page_id").text(folder)
+    return folder
