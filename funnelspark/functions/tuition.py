@@ -202,11 +202,13 @@ def overridden(rules: DataFrame, overrides: DataFrame) -> DataFrame:
     rows (levels that start with '_') and rows without a level are left out; of several overrides of a level the
     newest by ``refreshed_at`` counts for each field, where they have that column, then the larger value."""
     has = [f for f in TUITION_FIELDS if f in overrides.columns]
+    if not has:
+        return rules.select("program_degree_level", *TUITION_FIELDS)
     when = F.col("refreshed_at") if "refreshed_at" in overrides.columns else F.lit(0)
     fresh = overrides.where(F.col("program_degree_level").isNotNull() & ~F.col("program_degree_level").startswith("_"))
     fresh = fresh.groupBy("program_degree_level").agg(*[
         F.max(F.when(F.col(f).isNotNull(), F.struct(when.alias("w"), F.col(f).alias("v"))))["v"].alias(f"__o_{f}") for f in has])
-    out = rules.join(fresh, "program_degree_level", "full_outer") if has else rules
+    out = rules.join(fresh, "program_degree_level", "full_outer")
     return out.select("program_degree_level", *[F.coalesce(F.col(f"__o_{f}").cast("string" if f == "note" else "double"), F.col(f)).alias(f) if f in has else F.col(f)
                                                 for f in TUITION_FIELDS])
 
