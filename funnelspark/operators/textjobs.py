@@ -49,7 +49,7 @@ def extract_data_lines(docs: DataFrame, text_col: str = "text", key: str = "doc_
 def read_text_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, text) of text files landed below ``folder``, each read whole, so that blocks over several lines
     stay together.  Files land in folders ``page_id=<id>``; elsewhere a file's name is its id."""
-    pages = spark.read.option("wholetext", True).text(folder)
+    pages = spark.read.text(folder, wholetext=True)
     key = F.col("page_id") if "page_id" in pages.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     return pages.select(key.alias("page_id"), F.col("value").alias("text"))
 

@@ -315,7 +315,7 @@ def sql_extract_price_table() -> str:
             {num(3)} AS estimated_total_tuition, {num(4)} AS estimated_annual_tuition FROM landed WHERE regexp_matches(norm, {pat})""")
     return f"""WITH per AS (SELECT p_partkey // {_L.PARTS_PER_PAGE} AS page_id, p_partkey % {n} AS i, CAST(floor(max(p_retailprice)) AS BIGINT) AS price,
           min(p_size) + 12 AS credits, sum(p_size) AS size FROM part GROUP BY 1, 2),
-        lines AS (SELECT page_id, i, size, CASE WHEN credits % 7 <> 0 THEN {heading} || CASE WHEN price % 2 = 0 THEN chr(10) || '  ' ELSE chr(9) END || {money('price')}
+        lines AS (SELECT page_id, i, size, CASE WHEN credits % 7 <> 0 THEN {heading} || CASE WHEN credits % 3 <> 0 THEN chr(10) || '  ' ELSE chr(9) END || {money('price')}
           || '  ' || credits || ' ' || {money(total)} || chr(9) || {money(f'floor(({total}) / greatest(floor(credits / 30), 1))')} ELSE '(on request)' END AS line FROM per),
         texts AS (SELECT page_id, sum(size) AS size, 'Tuition and fees' || chr(10) || 'Associate Degree from $999' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text
           FROM lines GROUP BY 1),

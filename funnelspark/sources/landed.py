@@ -197,7 +197,7 @@ def land_price_pages(spark: SparkSession, sf_dir: str, folder: str) -> str:
     money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
     total = F.col("price") * F.col("credits")
     heading = F.element_at(F.array(*[F.when(F.col("credits") % 2 == 0, F.lit(even)).otherwise(F.lit(odd)) for _, even, odd in PRICE_HEADINGS]), F.col("i") + 1)
-    line = F.concat(heading, F.when(F.col("price") % 2 == 0, F.lit("\n  ")).otherwise(F.lit("\t")), money(F.col("price")), F.lit("  "), F.col("credits").cast("string"),
+    line = F.concat(heading, F.when(F.col("credits") % 3 != 0, F.lit("\n  ")).otherwise(F.lit("\t")), money(F.col("price")), F.lit("  "), F.col("credits").cast("string"),
                     F.lit(" "), money(total), F.lit("\t"), money(F.floor(total / F.greatest(F.floor(F.col("credits") / 30), F.lit(1)))))
     line = F.when(F.col("credits") % 7 != 0, line).otherwise(F.lit("(on request)"))
     page = level.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("lines"), F.sum("size").alias("size"))
