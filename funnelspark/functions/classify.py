@@ -168,7 +168,7 @@ def add_source_columns(df: DataFrame) -> DataFrame:
 
 
 def source_set(df: DataFrame, column: str = "normalized_source") -> DataFrame:
-    """Distinct normalised sources excluding Unmapped (one column ``source``)."""
-    norm = normalize_source_value(F.col(column))
-    return (df.where(F.col(column).isNotNull()).select(norm.alias("source"))
-            .where(F.col("source") != R.UNKNOWN_SOURCE).distinct())
+    """Distinct normalised sources excluding Unmapped (one column ``source``); the alias rules run on the column's
+    distinct values only."""
+    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull()).distinct()
+    return values.select(normalize_source_value(F.col("v")).alias("source")).where(F.col("source") != R.UNKNOWN_SOURCE).distinct()

@@ -213,8 +213,9 @@ def paid_leads_by_campaign(contacts: DataFrame) -> DataFrame:
     return paid.groupBy("utm_campaign").agg(F.countDistinct("contact_id").alias("paid_leads")).orderBy(F.desc("paid_leads"), "utm_campaign")
 
 
-def paid_lead_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:
-    """Paid KPI row: leads, revenue windows, potential, close rate, days, revenue per paid lead."""
+def paid_lead_metrics(contacts: DataFrame, fact: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """Paid KPI row: leads, revenue windows, potential, close rate, days, revenue per paid lead, and whether there are
+    any vendor costs."""
     paid_c = contacts.where(as_bool(F.col("paid_lead_flag")))
     paid_f = countable_won(fact).where(as_bool(F.col("paid_lead_flag")))
     c = paid_c.agg(F.countDistinct("contact_id").alias("paid_leads"),
@@ -232,6 +233,7 @@ def paid_lead_metrics(contacts: DataFrame, fact: DataFrame) -> DataFrame:
         safe_div(fs["paid_won_deals"], F.col("paid_leads")).alias("paid_close_rate"),
         fs["average_paid_days_to_close"].alias("average_paid_days_to_close"),
         safe_div(fs["total_program_revenue"], F.col("paid_leads")).alias("revenue_per_paid_lead"),
+        (F.lit(False) if costs is None else costs.agg(F.count(F.lit(1)) > 0).scalar()).alias("vendor_cost_data_available"),
     )
 
 

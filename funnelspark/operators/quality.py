@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.classify import normalize_source_value
+from ..functions.classify import source_set
 from ..functions.expr import clean_text
 from ..functions.numbering import numbered
 
@@ -54,26 +54,20 @@ def _rows(agg: DataFrame, specs: Sequence[tuple[str, str, str, Column]]) -> Data
     return agg.select(F.explode(F.array(*cols)).alias("r")).select("r.*")
 
 
-def known_sources(df: DataFrame, col: str) -> DataFrame:
-    """Distinct normalised sources (``s``) of a column, the unknown one left out; the alias rules run on its distinct values only."""
-    values = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).distinct()
-    return values.select(normalize_source_value(F.col("v")).alias("s")).where(F.col("s") != R.UNKNOWN_SOURCE).distinct()
-
-
 def source_coverage(leads: DataFrame, enr: DataFrame, allocations: DataFrame) -> DataFrame:
     """(check, source): every source of one table that another lacks, one row each, uncut.  The three sets
     meet in one aggregate per source, which says where it occurs."""
-    sets = {"crm": known_sources(leads, "normalized_source"), "budget": known_sources(allocations, "source"),
-            "tracker": known_sources(enr, "normalized_source")}
+    sets = {"crm": source_set(leads), "budget": source_set(allocations, "source"),
+            "tracker": source_set(enr)}
     tagged = None
     for name, sources in sets.items():
         part = sources.withColumn("t", F.lit(name))
         tagged = part if tagged is None else tagged.unionByName(part)
-    found = tagged.groupBy("s").agg(*[F.bool_or(F.col("t") == name).alias(name) for name in sets])
+    found = tagged.groupBy("source").agg(*[F.bool_or(F.col("t") == name).alias(name) for name in sets])
     gap = lambda check, a, b: F.when(F.col(a) & ~F.col(b), F.lit(check))
     gaps = F.array_compact(F.array(gap("Budget source not found in HubSpot", "budget", "crm"), gap("HubSpot source not found in budget", "crm", "budget"),
                                    gap("Tracker source not found in budget", "tracker", "budget")))
-    return found.select(F.explode(gaps).alias("check"), F.col("s").alias("source"))
+    return found.select(F.explode(gaps).alias("check"), "source")
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:

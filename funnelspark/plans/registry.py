@@ -61,11 +61,6 @@ def q_paid_leads_by_campaign(spark, sf_dir):
     return kpi.paid_leads_by_campaign(_s(spark, sf_dir)["contacts_clean"])
 
 
-def q_paid_lead_metrics(spark, sf_dir):
-    s = _s(spark, sf_dir)
-    return kpi.paid_lead_metrics(s["contacts_clean"], s["lead_deal_fact"])
-
-
 def q_stuck_leads(spark, sf_dir):
     return kpi.stuck_leads(_s(spark, sf_dir)["contacts_clean"])
 
@@ -95,7 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "salesman_metrics": q_salesman_metrics,
     "paid_leads_by_source": q_paid_leads_by_source,
     "paid_leads_by_campaign": q_paid_leads_by_campaign,
-    "paid_lead_metrics": q_paid_lead_metrics,
     "stuck_leads": q_stuck_leads,
     "data_quality_metrics": q_data_quality_metrics,
     "monthly_leads": q_monthly_leads,
@@ -268,7 +262,6 @@ ORACLE: dict[str, Callable[[], str]] = {
                                          "WHERE paid_lead_flag GROUP BY 1"),
     "paid_leads_by_campaign": lambda: _sql(f"SELECT utm_campaign, count(DISTINCT contact_id) AS paid_leads FROM contacts_clean "
                                            f"WHERE paid_lead_flag AND {O.txt('utm_campaign')} <> '' GROUP BY 1 ORDER BY 2 DESC"),
-    "paid_lead_metrics": sql_paid_lead_metrics,
     "stuck_leads": sql_stuck,
     "data_quality_metrics": sql_quality,
     "monthly_leads": lambda: _sql("SELECT strftime(contact_created_at, '%Y-%m') AS month, count(DISTINCT contact_id) AS leads "
@@ -290,13 +283,13 @@ def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import registry_landed  # imports this module
-    return {name: _utc(fn) for name, fn in (QUERIES | registry_landed.QUERIES).items()}
+    from . import registry_filters, registry_landed  # which import this module
+    return {name: _utc(fn) for name, fn in (QUERIES | registry_filters.QUERIES | registry_landed.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import registry_landed
-    return {k: f() for k, f in (ORACLE | registry_landed.ORACLE).items()}
+    from . import registry_filters, registry_landed
+    return {k: f() for k, f in (ORACLE | registry_filters.ORACLE | registry_landed.ORACLE).items()}
 
 
 # ---- pipeline health -------------------------------------------------------------------------
