@@ -14,8 +14,10 @@ rewritten O(log batches) times.  Runs share the bucketing, so batches and runs m
 without shuffling a run again.
 
 ``dedup_documents`` feeds a table in batches of descending document ids, so the first batch that
-holds a key holds its largest id.  Lines of ``min_chars`` code points or more found in ``min_docs``
-documents or more then lose all copies except those in the keeper.
+holds a key holds its largest id.  There is a batch per ``BATCH_DOCS`` documents, at
+least ``MIN_BATCHES`` (so runs are compacted at every size) and at most ``MAX_BATCHES`` (each batch reads all runs);
+their edges are quantiles of the ids, so a far-off id doesn't unbalance them.  Lines of ``min_chars`` code points
+or more found in ``min_docs`` documents or more then lose all copies except those in the keeper.
 
 Only built-in functions run on the rows.  Lines are compared by the MD5 of their key (128 bits).
 
@@ -37,6 +39,9 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 #: Copies of a frequent key in the final join, so that a line held by a third of all documents meets its key in so many tasks.
 SALTS = 32
+#: Documents that a batch should hold, and the fewest and most batches of a table.
+BATCH_DOCS = 20_000_000
+MIN_BATCHES, MAX_BATCHES = 5, 64
 
 
 def line_key(line: Column) -> Column:
@@ -110,73 +115,87 @@ class LineRuns:
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, key, pos, first) for every line of at least ``min_chars``; ``first`` marks a key's first line in its row.
+def _id(docs_id: str) -> Column:
+    return F.coalesce(F.col(docs_id).cast("long"), F.lit(-(2**63)))
 
-    """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+
+def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, text_hash, key, pos, first) for every line of at least ``min_chars``; ``first`` marks a key's first line in its row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     long_enough = F.filter(
-        F.transform(lines, lambda x, i: F.struct(line_key(x).alias("key"), i.alias("pos"))),
+        F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("pos"))),
         lambda x: F.char_length(x["key"]) >= min_chars)
     hashed = F.transform(long_enough, lambda x: F.struct(F.unhex(F.md5(x["key"])).alias("key"), x["pos"].alias("pos")))
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(-(2**63))).cast("long").alias("id"),
-                       F.sort_array(hashed).alias("keys"))
+    rows = docs.select(_id(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.sort_array(hashed).alias("keys"))
     flagged = F.transform("keys", lambda x, i: F.struct(
         x["key"].alias("key"), x["pos"].alias("pos"),
         F.coalesce(F.get("keys", i - 1)["key"] != x["key"], F.lit(True)).alias("first")))
-    return rows.select("id", F.inline(flagged))
+    return rows.select("id", "text_hash", F.inline(flagged))
 
 
 def dedup_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-                    min_docs: int = MIN_DOCS, batches: int = 3, fanout: int = 4) -> DataFrame:
+                    min_docs: int = MIN_DOCS, batch_docs: int = BATCH_DOCS, fanout: int = 4) -> DataFrame:
     """``docs`` plus ``_kept`` (text without dropped lines), ``_lines`` and ``_dropped`` (counts)."""
-    return _deduped(docs, id_col, text_col, min_chars, min_docs, batches, fanout).select("_row.*", "_out.*")
+    return _deduped(docs, id_col, text_col, min_chars, min_docs, batch_docs, fanout).select("_row.*", "_out.*")
 
 
 def rewritten_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
                         **options) -> DataFrame:
     """``docs`` with the dropped lines gone from the text and the character count (if there is one) renewed."""
-    out = _deduped(docs, id_col, text_col, **{"min_chars": MIN_CHARS, "min_docs": MIN_DOCS, "batches": 3, "fanout": 4, **options})
+    out = _deduped(docs, id_col, text_col, **{"min_chars": MIN_CHARS, "min_docs": MIN_DOCS, "batch_docs": BATCH_DOCS, "fanout": 4, **options})
     changed = F.col("_out._dropped") > 0
     new = {text_col: F.col("_out._kept"), chars_col: F.char_length("_out._kept").cast("long")}
     return out.select(*[F.when(changed, new[c]).otherwise(F.col("_row").getField(c)).alias(c) if c in new else F.col("_row").getField(c).alias(c)
                         for c in docs.columns])
 
 
-def _deduped(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+def _edges(ids: DataFrame, batch_docs: int) -> list[int]:
+    """Ids that end the batches but the last, rising; equal ids fall into one batch."""
+    batches = min(MAX_BATCHES, max(MIN_BATCHES, -(-ids.count() // batch_docs)))
+    found = ids.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def _frequent(lines: DataFrame, batches: int, work: str, min_docs: int, fanout: int) -> DataFrame:
+    """(key, keeper) of the lines in ``min_docs`` rows or more; batch 0 has the largest ids."""
+    store = LineRuns(lines.sparkSession, work, fanout)
+    try:
+        for b in range(batches):
+            store.add(lines.filter((F.col("batch") == b) & F.col("first")).select("key", "id"))
+        return stored(store.merged().filter(F.col("n_docs") >= min_docs).select("key", "keeper"), f"{work}/frequent")
+    finally:
+        store.drop()
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batch_docs: int, fanout: int) -> DataFrame:
     """(_row, _out): every row of ``docs`` as a struct, and its kept text and counts."""
     spark = docs.sparkSession
     work = shared_dir(spark)
-    lines = keyed_lines(docs, id_col, text_col, min_chars)
-    low, high = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    width = max(1, (high - low) // batches + 1)
-    batch = F.when(F.col("id") < low, F.lit(batches)).otherwise(F.floor((F.lit(high) - F.col("id")) / width)).cast("int")
-    (lines.withColumn("batch", batch).write.mode("overwrite").partitionBy("batch").parquet(f"{work}/lines"))
-    lines = spark.read.schema("id long, key binary, pos int, first boolean, batch int").parquet(f"{work}/lines")
-    store = LineRuns(spark, work, fanout)
-    for b in range(batches + 1):  # the last batch holds null ids only
-        one = lines.filter((F.col("batch") == b) & F.col("first")).select("key", "id")
-        if b < batches or not one.isEmpty():
-            store.add(one)
-    frequent = stored(store.merged().filter((F.col("n_docs") >= min_docs)), f"{work}/frequent")
-    store.drop()
+    edges = _edges(docs.select(_id(id_col).alias("id")), batch_docs)
+    batch = F.lit(0)
+    for edge in edges:  # at most MAX_BATCHES
+        batch = batch + (F.col("id") <= edge).cast("int")
+    lines = keyed_lines(docs, id_col, text_col, min_chars).withColumn("batch", batch)
+    lines.write.partitionBy("batch").parquet(f"{work}/lines")
+    lines = spark.read.schema("id long, text_hash long, key binary, pos int, first boolean, batch int").parquet(f"{work}/lines")
+    frequent = _frequent(lines, len(edges) + 1, work, min_docs, fanout)
     salted = frequent.select("key", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = (lines.select("id", "pos", "key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    hits = (lines.select("id", "text_hash", "pos", "key", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt"))
             # merged, not broadcast: the copies per salt make this side larger than its estimate
             .join(salted.hint("merge"), ["key", "salt"]).filter("id < keeper"))
-    # one row per document: positions to drop, at most its own lines
-    drops = hits.select("id", F.struct("pos", "key").alias("hit")).distinct().groupBy("id").agg(
+    # one row per document: positions to drop, at most its own lines (documents without an id differ by their text)
+    drops = hits.select("id", "text_hash", F.struct("pos", "key").alias("hit")).distinct().groupBy("id", "text_hash").agg(
         F.collect_list("hit").alias("_hits"))
-    rows = docs.select(whole_row(docs), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"),
-                       F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_all"))
-    return _without(rows.join(drops.withColumnRenamed("id", "_id"), "_id", "left"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(whole_row(docs), _id(id_col).alias("_id"), F.xxhash64(text).alias("_text"), F.split(text, "\n", -1).alias("_all"))
+    return _without(rows.join(drops.withColumnsRenamed({"id": "_id", "text_hash": "_text"}), ["_id", "_text"], "left"))
 
 
 def _without(rows: DataFrame) -> DataFrame:
     """Drop the lines at the positions in ``_hits``, where the line there still has that key.
 
-    Rows of one id share their hits; the key tells which of them a position belongs to.
+    Rows of equal id and text share their hits, and so would texts of one id whose hashes agree; the key tells which
+    of them a position belongs to.
     """
     # touched documents only: a position counts if the line there has the key of the hit
     own = F.filter("_hits", lambda h: F.coalesce(

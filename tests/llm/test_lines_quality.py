@@ -48,10 +48,29 @@ def line_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (3, 4), (6, 2)])
-def test_lines_match_brute_force_for_any_batches(make_docs, batches, fanout):
-    rows = [(k, t) for k, t in {k: t for k, t in line_rows(batches)}.items()]
-    assert run_lines(make_docs(rows), batches=batches, fanout=fanout) == brute_lines(rows)
+@pytest.mark.parametrize(("batch_docs", "fanout"), [(1000, 2), (1000, 4), (6, 2)])
+def test_lines_match_brute_force_for_any_batches(make_docs, monkeypatch, batch_docs, fanout):
+    compacted = []
+    whole = L.LineRuns.compact
+    monkeypatch.setattr(L.LineRuns, "compact", lambda self, level: (compacted.append(level), whole(self, level)))
+    rows = [(k, t) for k, t in {k: t for k, t in line_rows(batch_docs)}.items()]
+    assert run_lines(make_docs(rows), batch_docs=batch_docs, fanout=fanout) == brute_lines(rows)
+    assert compacted and (fanout > 2 or max(compacted) > 0)  # runs are compacted, over several levels if the fan-out is small
+
+
+def test_batches_of_far_off_and_missing_ids(spark, make_docs):
+    rows = [(k, f"text {k}") for k in range(400)] + [(2**60, "far"), (None, "x"), (None, "y")]
+    edges = L._edges(make_docs(rows).selectExpr(f"coalesce(doc_id, {-2**63}) id"), 50)
+    sizes = [sum(lo < (-2**63 if k is None else k) <= hi for k, _ in rows) for lo, hi in zip([-2**64, *edges], [*edges, 2**62], strict=True)]
+    assert len(sizes) == 9 and max(sizes) < 100
+
+
+def test_documents_without_ids_meet_in_no_list(make_docs):
+    line = "a line of more than forty characters, which several documents hold"
+    rows = [(None, f"{line} {i % 3}\nown {i}") for i in range(60)] + [(7, f"{line} {i}") for i in range(3)]
+    assert run_lines(make_docs(rows)) == brute_lines(rows)
+    lines = L.keyed_lines(make_docs(rows), "doc_id", "text")
+    assert lines.select("id", "text_hash").distinct().count() == 63
 
 
 def test_lines_of_awkward_rows(make_docs):
