@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1024
@@ -32,8 +32,10 @@ STRIDE = 4
 EMBED = 8
 FILTERS = 24
 HIDDEN = 16
+#: Training rows per label, and the bytes that they and each of them may have; chosen texts are learned from whole.
 SAMPLE = 1500
-SAMPLE_CHUNKS = 4
+SAMPLE_BYTES = 12 << 20
+SAMPLE_TEXT_BYTES = 1 << 20
 EPOCHS = 14
 BATCH = 64
 FOLDS = 5
@@ -172,21 +174,24 @@ def fold_of(id_col: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         sample: int = SAMPLE) -> ByteCNN | None:
-    """Train on the bounded sample of labelled rows outside the held-out fold."""
+    """Train on the bounded sample of labelled rows outside the held-out fold: up to ``sample`` rows per label in the
+    order of a hash, as long as their texts have ``SAMPLE_BYTES`` together, each with all its chunks."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id is not null and y in (0, 1)")
     known = known.filter(fold_of("id") != 0).groupBy("id").agg(F.max("y").alias("y"))
     picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])  # at most 2 * sample rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one row of a repeated id
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(so_far)).filter(F.col("bytes") <= SAMPLE_BYTES)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for key, text, y in zip(pdf["id"], pdf["text"], pdf["y"], strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                starts = chunk_starts(len(data))
-                spaced = [starts[i] for i in np.unique(np.linspace(0, len(starts) - 1, SAMPLE_CHUNKS).round().astype(int))]
-                out += [(key, c.tobytes(), int(y)) for c in chunk_matrix(data, spaced)]
+                data = text.encode("utf-8", "surrogatepass")
+                out += [(key, c.tobytes(), int(y)) for c in chunk_matrix(data, chunk_starts(len(data)))]
             yield pd.DataFrame(out, columns=["id", "chunk", "y"])
 
     got = rows.mapInPandas(cut, "id long, chunk binary, y int").toPandas()

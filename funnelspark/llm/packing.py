@@ -5,11 +5,15 @@ of about ``group_pieces`` and every group is packed by itself, so a task holds o
 whatever the corpus; with thousands of pieces in a group the loss against one global packing is a
 fraction of a bin per group.
 
-Inside a group, pieces go by falling size into the open bin they fill best.  If none has room, a bin
-of the least cost per word that can still fill it is opened.  That is tried with all permitted
-lengths jointly and again without the shortest, the two shortest and so on; at the end each bin is
+A sequence of length c costs its c tokens, a fixed ``overhead`` and the work of attention, which grows with the
+square: c + overhead + c * c / attention.  So a token is cheaper in a short sequence than in a long one, and a
+well-filled one cheaper than a half-empty one; long sequences are for long pieces.
+
+Inside a group, pieces go by falling size into the open bin they fill best.  If none has room, the permitted
+lengths compete for the new bin: for each that holds the piece, what could go beside it is looked up among the
+pieces still to come (the largest that fit, one after another), and the length of least cost per word wins.
+That is tried with every subset of the permitted lengths that can hold the longest piece; at the end each bin is
 downsized to the shortest permitted length that holds its contents, and the cheapest trial wins.
-A sequence of length c costs c + ``overhead``.
 
 Defined cases: null or empty texts are one piece of 0 words (any bin takes it); rows with equal ids
 are packed each; an empty table gives no rows; other columns are ignored.
@@ -18,6 +22,7 @@ are packed each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import accumulate, combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,49 +32,71 @@ from funnelspark.llm.common import shared_dir, stored, words
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16
+#: Length at which attention costs as much as all else.
+ATTENTION = 16_384
 GROUP_PIECES = 10_000
 
 
-def _one_trial(sizes: list[int], lengths: tuple[int, ...], overhead: int) -> list[list[int]]:
+def sequence_cost(length: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
+    return length + overhead + length * length / attention
+
+
+def _beside(minus: list[int], behind: list[int], at: int, free: int) -> int:
+    """Words that go into ``free`` if the largest fitting pieces from position ``at`` on are put in, one after another.
+
+    ``minus`` are the negated sizes (rising), ``behind`` the words of all pieces from a position on."""
+    filled = 0
+    while free:
+        at = bisect_left(minus, -free, at)
+        if at >= len(minus) or not minus[at]:
+            break
+        if behind[at] <= free:
+            return filled + behind[at]
+        filled, free, at = filled - minus[at], free + minus[at], at + 1
+    return filled
+
+
+def _one_trial(sizes: list[int], lengths: tuple[int, ...], costs: dict[int, float]) -> list[list[int]]:
     """Bins (lists of positions in ``sizes``, which falls) opened at ``lengths`` only."""
     bins: list[list[int]] = []
     room: list[tuple[int, int]] = []  # (free words, bin), sorted
-    rest = sum(sizes)
+    minus = [-s for s in sizes]
+    behind = [*accumulate(reversed(sizes))][::-1]
     for i, size in enumerate(sizes):
         at = bisect_left(room, (size, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            free = min((c for c in lengths if c >= size), key=lambda c: ((c + overhead) / max(1, min(c, rest)), c))
+            free = min((c for c in lengths if c >= size),
+                       key=lambda c: (costs[c] / max(1, size + _beside(minus, behind, i + 1, c - size)), c))
             b = len(bins)
             bins.append([])
         bins[b].append(i)
         insort(room, (free - size, b))
-        rest -= size
     return bins
 
 
-def pack_group(sizes: list[int], lengths: tuple[int, ...], overhead: int) -> list[tuple[int, list[int]]]:
+def pack_group(sizes: list[int], lengths: tuple[int, ...], overhead: int, attention: int = ATTENTION) -> list[tuple[int, list[int]]]:
     """[(length, positions in ``sizes``)] of the cheapest trial; ``sizes`` must fall."""
     ordered = tuple(sorted(lengths))
-    best: tuple[int, list[tuple[int, list[int]]]] | None = None
+    costs = {c: sequence_cost(c, overhead, attention) for c in ordered}
+    best: tuple[float, list[tuple[int, list[int]]]] | None = None
     longest = sizes[0] if sizes else 0
-    for first in range(len(ordered)):
-        tops = ordered[first:]
-        if tops[-1] < longest:
+    for some in (s for k in range(len(ordered), 0, -1) for s in combinations(ordered, k)):
+        if some[-1] < longest:
             continue
         packed = []
-        for members in _one_trial(sizes, tops, overhead):
+        for members in _one_trial(sizes, some, costs):
             held = sum(sizes[i] for i in members)
             packed.append((next(c for c in ordered if c >= held), members))
-        cost = sum(c + overhead for c, _ in packed)
+        cost = sum(costs[c] for c, _ in packed)
         if best is None or cost < best[0]:
             best = (cost, packed)
     return best[1] if best else []
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS,
-         overhead: int = OVERHEAD, group_pieces: int = GROUP_PIECES) -> DataFrame:
+         overhead: int = OVERHEAD, attention: int = ATTENTION, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: id, piece, start_word, n_words, bin_id, bin_length, bin_offset."""
     spark = docs.sparkSession
     longest = max(lengths)
@@ -89,7 +116,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
         sizes = pdf["n_words"].tolist()
         bin_id, bin_length, offset = [0] * len(sizes), [0] * len(sizes), [0] * len(sizes)
         base = int(pdf["group"].iloc[0]) << 32
-        for b, (length, members) in enumerate(pack_group(sizes, lengths, overhead)):
+        for b, (length, members) in enumerate(pack_group(sizes, lengths, overhead, attention)):
             at = 0
             for i in members:
                 bin_id[i], bin_length[i], offset[i] = base + b, length, at

@@ -1,6 +1,7 @@
 """Sharding, mixing and packing: laws, brute force and awkward rows."""
 
 import collections
+import random
 import zlib
 
 import pytest
@@ -182,8 +183,33 @@ def test_pack_group_against_all_partitions():
 
     lengths, overhead = (4, 8, 12), 1
     for sizes in ([12, 3], [8, 8, 4, 4], [5, 4, 3, 2], [7, 5, 5, 3, 2, 1], [6, 6, 6], [1], [2, 2, 2, 2, 2, 2], [0, 0]):
-        packed = P.pack_group(sizes, lengths, overhead)
-        assert sorted(i for _, m in packed for i in m) == list(range(len(sizes)))
-        cost = sum(c + overhead for c, _ in packed)
-        best = min(sum(min(c for c in lengths if c >= sum(b)) + overhead for b in way) for way in partitions(sizes) if all(sum(b) <= 12 for b in way))
-        assert best <= cost <= 1.25 * best
+        for attention in (16, 10**9):
+            price = lambda c: P.sequence_cost(c, overhead, attention)  # noqa: E731,B023
+            packed = P.pack_group(sizes, lengths, overhead, attention)
+            assert sorted(i for _, m in packed for i in m) == list(range(len(sizes)))
+            cost = sum(price(c) for c, _ in packed)
+            best = min(sum(price(min(c for c in lengths if c >= sum(b))) for b in way) for way in partitions(sizes) if all(sum(b) <= 12 for b in way))
+            assert best <= cost * (1 + 1e-9) and cost <= 1.25 * best
+
+
+def test_lengths_compete():
+    """Trials differ, bins use several lengths, and the joint choice is cheaper than any single length."""
+    rng = random.Random(2)
+    sizes = sorted((min(4096, int(rng.lognormvariate(5.5, 1.1)) + 1) for _ in range(3000)), reverse=True)
+    costs = {c: P.sequence_cost(c) for c in P.LENGTHS}
+    trials = {tuple(map(tuple, P._one_trial(sizes, some, costs))) for some in [P.LENGTHS, P.LENGTHS[1:], (4096,), (512, 4096)]}
+    assert len(trials) == 4
+    packed = P.pack_group(sizes, P.LENGTHS, P.OVERHEAD)
+    assert len({c for c, _ in packed}) == 4
+    cost = sum(costs[c] for c, _ in packed)
+    single = len(P._one_trial(sizes, (4096,), costs)) * costs[4096]
+    assert cost < 0.9 * single
+    words_held = sum(sizes)
+    assert words_held / sum(c for c, _ in packed) > 0.95
+
+
+def test_ties_between_lengths_and_empty_pieces():
+    assert P.pack_group([0, 0, 0], (4, 8), 1) == [(4, [0, 1, 2])]
+    assert P.pack_group([], (4, 8), 1) == []
+    assert P._beside([-9, -5, -5, -2, 0], [21, 12, 7, 2, 0], 1, 8) == 7 and P._beside([-9, -5], [14, 5], 0, 4) == 0
+    assert [c for c, _ in P.pack_group([4, 4], (4, 8), 0, 10**12)] in ([8], [4, 4])
