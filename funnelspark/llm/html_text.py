@@ -1,8 +1,9 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 A page becomes a tree of block elements with the runs of text between them as leaves.  Every node has
-a hidden state, main text or not.  A node's own potential comes from its features (tag, words of its
-class and id, and for runs of text length, links and punctuation); a potential joins each parent
+a hidden state, main text or not.  A node's own potential comes from its features: of an element its tag, the words
+of its class and id, how much text and how many links it holds, its like siblings and what its first words say
+of it; of a run of text its length, links, punctuation and telling words.  A potential joins each parent
 with each child, by the child's kind.  Both are counted on labelled pages.  Sum-product messages
 passed up and then down the tree give every run's exact marginal, and the runs at 0.5 or more are
 the main text.
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelspark.llm.labelled_pages import labelled_pages
+from funnelspark.llm.labelled_pages import ASIDE_NAMES, COMMENT_NAMES, MAIN_NAMES, labelled_pages
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -46,7 +47,8 @@ INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "c
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Element kinds that share a parent-child potential.
 KINDS = {"p": "para", "h1": "head", "h2": "head", "h3": "head", "h4": "head", "h5": "head", "h6": "head", "ul": "list", "ol": "list", "li": "item",
-         "#text": "text", "div": "box", "section": "box", "table": "table", "tbody": "table", "tr": "table", "td": "table", "blockquote": "para", "pre": "para"}
+         "#text": "text", "div": "box", "section": "box", "table": "table", "tbody": "table", "thead": "table", "tr": "table", "td": "table", "th": "table",
+         "caption": "table", "blockquote": "para", "pre": "para", "dl": "list", "dt": "item", "dd": "item", "figure": "box", "figcaption": "para"}
 MAIN, OTHER = 1, 0
 
 
@@ -181,16 +183,56 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def _features(tree: Tree, i: int) -> list[str]:
-    tag = tree.tag[i]
-    if tag != "#text":
-        return ["t:" + tag, *("n:" + w for w in tree.names[i])]
-    text = tree.text[i]
-    n = len(text)
-    share = tree.linked[i] / n
-    last = text[-1]
-    return [f"len:{min(9, n.bit_length())}", f"link:{0 if share == 0 else 1 if share < 0.5 else 2}",
-            f"end:{'stop' if last in '.!?…。' else 'other'}", f"comma:{',' in text}", f"copy:{'©' in text[:3]}"]
+#: Words by which parts that are not main text tell what they are; a node has those of its own first words.
+TELLING = frozenset(("ad", "advert", "advertisement", "anzeige", "promoted", "promotion", "sponsored", "comment", "comments", "reply", "replies", "responses", "readers", "reader",
+                     "discussion", "related", "recommended", "trending", "popular", "newsletter", "subscribe", "sign", "share", "follow", "cookies", "cookie",
+                     "log", "login", "tags", "categories", "archive", "sources", "references", "notes", "see", "bibliography", "reading", "next"))
+
+
+#: Names that say alike what a part is, so that rare ones are judged by the others.
+NAMED = {"aside": frozenset((*ASIDE_NAMES, *COMMENT_NAMES)), "main": frozenset(MAIN_NAMES)}
+LANDMARKS = frozenset(("article", "main", "aside", "nav", "header", "footer", "blockquote", "form", "figure", "table"))
+
+
+def _told(text: str, most: int) -> set[str]:
+    return TELLING.intersection(_NAME.findall(text.lower())) if len(text) <= most else set()
+
+
+def features(tree: Tree) -> list[list[str]]:
+    """The features of every node: its own, and for an element those of all that it holds (words, links, first words)."""
+    n = len(tree.parent)
+    held, linked, first, kin = [0] * n, [0] * n, [0] * n, Counter(zip(tree.parent, tree.tag, strict=True))
+    within = ["page"] * n  # the nearest landmark above
+    for i in range(1, n):
+        p = tree.parent[i]
+        within[i] = tree.tag[p] if tree.tag[p] in LANDMARKS else within[p]
+    for i in range(n - 1, 0, -1):
+        if tree.tag[i] == "#text":
+            held[i], linked[i], first[i] = len(tree.text[i]), tree.linked[i], i
+        p = tree.parent[i]
+        held[p], linked[p], first[p] = held[p] + held[i], linked[p] + linked[i], first[i] or first[p]
+    before, last_of = [0] * n, [0] * n  # the node before, under the same parent
+    for i in range(1, n):
+        before[i], last_of[tree.parent[i]] = last_of[tree.parent[i]], i
+    few = ["few"] if tree.tag.count("#text") <= 2 else []  # a page of one or two runs is hardly all menu
+    out: list[list[str]] = [[]]
+    for i in range(1, n):
+        tag = tree.tag[i]
+        if tag == "#text":
+            text = tree.text[i]
+            share = tree.linked[i] / len(text)
+            last = text[-1]
+            out.append([f"len:{min(9, len(text).bit_length())}", *few, f"link:{0 if share == 0 else 1 if share < 0.5 else 2}",
+                        f"in:{within[i]}>{tree.tag[tree.parent[i]]}>text", f"end:{'stop' if last in '.!?…。' else 'other'}", f"comma:{',' in text}", f"copy:{text[:9].lower().startswith(('©', '(c)', 'copyright'))}",
+                        *("s:" + w for w in _told(text, 100))])
+        else:
+            share = linked[i] / held[i] if held[i] else 0
+            links = 0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3
+            out.append(["t:" + tag, f"in:{within[i]}>{tag}", *("n:" + w for w in tree.names[i]), *(f"named:{k}" for k, words in NAMED.items() if words & set(tree.names[i])), f"links:{links}",
+                        f"holds:{min(12, held[i].bit_length()) // 2}", f"kin:{min(3, kin[tree.parent[i], tag])}",
+                        *("b:" + w for w in _told(tree.text[first[i]], 40)),
+                        *("a:" + w for w in _told(tree.text[first[before[i]]], 40) if before[i])])
+    return out
 
 
 class Model:
@@ -200,18 +242,18 @@ class Model:
     conditional likelihood, whose gradient is what the marginals expect less what is marked.
     """
 
-    def __init__(self, pages: list[str], prior: float = 0.5, epochs: int = 8, rate: float = 0.15):
+    def __init__(self, pages: list[str], prior: float = 0.5, epochs: int = 20, rate: float = 0.15):
         self.unary: dict[str, list[float]] = {}
         self.pair: dict[tuple[str, int], list[float]] = {}
         examples = []
         for page in pages:
             tree = parse(page)
-            state = self.states(tree)
-            examples.append((tree, state))
+            state, given = self.states(tree), features(tree)
+            examples.append((tree, state, given))
             for i in range(1, len(state)):
                 if state[i] is None:
                     continue
-                for f in _features(tree, i):
+                for f in given[i]:
                     self.unary.setdefault(f, [0.0, 0.0])[state[i]] += 1
                 above = state[tree.parent[i]]
                 if above is not None:
@@ -221,16 +263,16 @@ class Model:
                 table[key] = [strength * math.log((c[s] + prior) / (sum(c) + 2 * prior)) for s in (0, 1)]
         for epoch in range(epochs):
             step = rate / (1 + epoch)
-            for tree, state in examples:
-                self._fit(tree, state, step)
+            for tree, state, given in examples:
+                self._fit(tree, state, given, step)
 
-    def _fit(self, tree: Tree, state: list[int | None], step: float) -> None:
-        chance, edges = self.infer(tree)
+    def _fit(self, tree: Tree, state: list[int | None], given: list[list[str]], step: float) -> None:
+        chance, edges = self.infer(tree, given=given)
         for i in range(1, len(state)):
             if state[i] is None:
                 continue
             miss = state[i] - chance[i]
-            for f in _features(tree, i):
+            for f in given[i]:
                 w = self.unary.setdefault(f, [0.0, 0.0])
                 w[1] += step * miss
                 w[0] -= step * miss
@@ -261,13 +303,14 @@ class Model:
         """P(main text) of every node."""
         return self.infer(tree, edges=False)[0]
 
-    def infer(self, tree: Tree, edges: bool = True) -> tuple[list[float], list[tuple[float, ...]]]:
+    def infer(self, tree: Tree, edges: bool = True, given: list[list[str]] | None = None) -> tuple[list[float], list[tuple[float, ...]]]:
         """Messages up, then down: P(main text) of every node and P(parent's state, own state) of every edge."""
         n = len(tree.parent)
         even = (math.log(0.5), math.log(0.5))
         up0, up1 = [0.0] * n, [0.0] * n  # a node's own potential and the messages of its children
+        given = given or features(tree)
         for i in range(1, n):
-            for f in _features(tree, i):
+            for f in given[i]:
                 w = self.unary.get(f)
                 if w:
                     up0[i] += w[0]
@@ -306,7 +349,7 @@ def _either(a: float, b: float) -> float:
 
 
 @cache
-def trained(pages: int = 400, seed: int = 3) -> Model:
+def trained(pages: int = 600, seed: int = 3) -> Model:
     return Model(labelled_pages(pages, seed))
 
 
