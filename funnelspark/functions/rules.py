@@ -331,3 +331,45 @@ LEAD_HEADINGS = {
     "hs_last_sales_activity_timestamp": "last_activity_date", "notes_last_updated": "last_activity_date",
     "createdate": "create_date", "program": "degree",
 }
+
+# --- FIXED VALUES: student journeys (columns, labels and sentences that reports show) ------------------
+JOURNEY_FACT_COLUMNS = [
+    "contact_id", "student_name", "full_name", "first_name", "last_name", "email", "phone", "salesman_name",
+    "owner_assigned_date", "contact_created_at", "first_activity_date", "last_activity_date", "next_activity_date",
+    "number_of_sales_activities", "time_to_first_engagement", "application_date", "enrollment_date", "program",
+    "degree_level", "cohort", "start_term", "campus", "modality", "vendor", "campaign", "source", "source_group",
+    "paid_lead_flag", "lead_status", "final_lead_status", "enrollment_status", "lead_temperature", "deal_created_at",
+    "deal_stage", "close_date", "actual_revenue", "estimated_enrolled_revenue", "potential_revenue",
+]
+PROFILE_FIELDS = [
+    ("student_name", "Name"), ("email", "Email"), ("phone", "Phone"), ("salesman_name", "Contact owner / salesman"),
+    ("lifecycle_stage", "Lifecycle stage"), ("lead_status", "Lead status"), ("final_lead_status", "Final lead status"),
+    ("source_group", "Source group"), ("paid_vendor", "Vendor"), ("utm_campaign", "Campaign"),
+    ("paid_lead_flag", "Paid lead flag"), ("program", "Program"), ("degree_level", "Degree level"), ("cohort", "Cohort"),
+    ("campus", "Campus"), ("modality", "Modality"), ("estimated_total_tuition", "Estimated tuition"),
+    ("actual_revenue", "Actual revenue"), ("potential_revenue", "Potential revenue"),
+]
+# contact date column, event label, description
+CONTACT_EVENTS = [
+    ("contact_created_at", "Contact created", "HubSpot contact record created"),
+    ("owner_assigned_date", "Owner assigned", "Contact owner assigned"),
+    ("first_outreach_date", "First outreach", "First outreach date from HubSpot summary"),
+    ("first_engagement_date", "First engagement", "First engagement date from HubSpot summary"),
+    ("application_date", "Application", "Application date"),
+    ("enrollment_date", "Enrollment", "Enrollment date"),
+    ("last_sales_activity_timestamp", "Last sales activity", "Last sales activity timestamp"),
+    ("last_activity_date", "Last activity", "Last activity date"),
+    ("next_activity_date", "Next activity", "Next scheduled activity"),
+]
+DEAL_EVENTS = {"created": "Deal created", "close": "Deal close date", "won": "Closed won", "lost": "Closed lost"}
+NEXT_ACTIONS = {
+    "hot": "Call today and schedule the next enrollment step.",
+    "open deal": "Follow up on the open deal and confirm next action.",
+    "untouched": "Make first contact attempt and log the outcome.",
+    "idle": "Re-engage with a call and email sequence.",
+    "else": "Continue normal follow-up cadence.",
+}
+# --- FIXED VALUES: spellings of a term (season code and half) -------------------------------------------
+TERM_HEADER_PATTERN = r"^(SP|SU|FA)-?([12])(?:-?([AG]))?$"
+TERM_CODE_PATTERN = r"^(SP|SU|FA)([12])$"
+TERM_NAME_PATTERN = r"^(SPRING|SUMMER|FALL)\s*([12])$"

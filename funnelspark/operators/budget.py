@@ -20,7 +20,6 @@ from ..session import cut_lineage
 
 SPECIAL_LABELS = [("total", "Total"), ("starts", "Starts"), ("start%", "Start%")]
 SUMMARY_METRICS = ["budget", "enrolled", "starts", "start%"]
-TERM_HEADER_PATTERN = r"^(SP|SU|FA)-?([12])(?:-?([AG]))?$"
 
 
 def _season_label(code: Column) -> Column:
@@ -45,10 +44,10 @@ def with_term_header(df: DataFrame, src: str, out: str) -> DataFrame:
     df = df.withColumn(p + "text", clean_text(F.col(src), "collapse"))
     df = df.withColumn(p + "cmp", F.translate(F.regexp_replace(F.upper(F.col(p + "text")), "[\\s_\u00a0]+", ""),
                                               "\u2013\u2014", "--"))
-    df = df.withColumns({p + str(i): F.regexp_extract(F.col(p + "cmp"), TERM_HEADER_PATTERN, i) for i in (1, 2, 3)})
+    df = df.withColumns({p + str(i): F.regexp_extract(F.col(p + "cmp"), R.TERM_HEADER_PATTERN, i) for i in (1, 2, 3)})
     season, number, suffix = F.col(p + "1"), F.col(p + "2"), F.col(p + "3")
     metric = F.when(suffix == "G", "goal").when(suffix == "A", "actual").otherwise("term")
-    df = df.withColumn(out, F.when((F.col(p + "text") != "") & F.col(p + "cmp").rlike(TERM_HEADER_PATTERN), F.struct(
+    df = df.withColumn(out, F.when((F.col(p + "text") != "") & F.col(p + "cmp").rlike(R.TERM_HEADER_PATTERN), F.struct(
         F.col(p + "text").alias("raw_term"), F.concat(season, number).alias("term"),
         F.concat(_season_label(season), F.lit(" "), number).alias("term_label"), metric.alias("term_metric"))))
     return df.drop(*[p + x for x in ("text", "cmp", "1", "2", "3")])
@@ -61,11 +60,11 @@ def with_term_token(df: DataFrame, src: str, out: str) -> DataFrame:
     df = df.withColumn(p + "text", clean_text(F.col(src), "collapse"))
     df = df.withColumns({
         p + "direct": F.regexp_extract(F.translate(F.regexp_replace(F.upper(F.col(p + "text")), "[\\s_\u00a0-]+", ""),
-                                                   "\u2013\u2014", ""), r"^(SP|SU|FA)([12])$", 0),
+                                                   "\u2013\u2014", ""), R.TERM_CODE_PATTERN, 0),
         p + "words": strip_ws(F.regexp_replace(F.upper(F.col(p + "text")), "[^A-Z0-9]+", " ")),
     })
-    df = df.withColumns({p + "ns": F.regexp_extract(F.col(p + "words"), r"^(SPRING|SUMMER|FALL)\s*([12])$", 1),
-                         p + "nn": F.regexp_extract(F.col(p + "words"), r"^(SPRING|SUMMER|FALL)\s*([12])$", 2)})
+    df = df.withColumns({p + "ns": F.regexp_extract(F.col(p + "words"), R.TERM_NAME_PATTERN, 1),
+                         p + "nn": F.regexp_extract(F.col(p + "words"), R.TERM_NAME_PATTERN, 2)})
     code = None
     for c_, label in R.SEASON_LABELS:
         cond = F.col(p + "ns") == label.upper()
@@ -219,8 +218,8 @@ def _tokens(selected: Sequence[str] | None) -> list[str]:
     for label in selected or []:
         text = " ".join(str(label).replace("\u00a0", " ").split())
         compact = re.sub(r"[\s_]+", "", text.upper()).translate({0x2013: "-", 0x2014: "-"})
-        code = re.match(TERM_HEADER_PATTERN, compact) or re.match("^(SP|SU|FA)([12])$", compact.replace("-", ""))
-        named = re.match(r"^(SPRING|SUMMER|FALL)\s*([12])$", re.sub(r"[^A-Z0-9]+", " ", text.upper()).strip())
+        code = re.match(R.TERM_HEADER_PATTERN, compact) or re.match(R.TERM_CODE_PATTERN, compact.replace("-", ""))
+        named = re.match(R.TERM_NAME_PATTERN, re.sub(r"[^A-Z0-9]+", " ", text.upper()).strip())
         if code:
             out.add(code[1] + code[2])
         elif named:

@@ -1400,7 +1400,7 @@ def sql_student_profile():
     src = {"degree_level": "degree_level_resolved"}
     money = {"estimated_total_tuition", "actual_revenue", "potential_revenue"}
     parts = []
-    for col, label in _J.PROFILE_FIELDS:
+    for col, label in _R.PROFILE_FIELDS:
         c = src.get(col, col)
         if col in money:
             v = f"'$' || format('{{:,.0f}}', coalesce(CAST({c} AS DOUBLE), 0.0))"

@@ -74,6 +74,15 @@ def latest_records(df: DataFrame, n: int = 0, by: str = "createdate", key: str =
     return ordered.limit(n) if n else df
 
 
+def newest_objects(objects: DataFrame, key: str = "id", by: str = "updatedAt") -> DataFrame:
+    """One row per object: what was landed last of it (greatest ``by``; of equal ones the greatest row), for objects
+    that are landed again whenever they change.  A grouped aggregate, so an object landed very often collapses
+    before the shuffle; rows without a key are left out, all columns stay."""
+    row = F.struct(F.col(by).alias("__by"), *[F.col(f"`{c}`") for c in objects.columns])
+    newest = objects.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(row).alias("__row"))
+    return newest.select(*[F.col("__row").getField(c).alias(c) for c in objects.columns])
+
+
 # ---- payload view over the driver tables (pages of 100 objects) -------------------------------
 
 def contact_pages(contacts_raw: DataFrame, page_size: int = 100) -> DataFrame:

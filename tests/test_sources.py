@@ -62,4 +62,16 @@ def test_streaming_landing_available_now(spark, tmp_path):
                                                              "properties": {"email": "n@x"}}]}))
     q2 = land_object_pages(spark, str(src), str(tmp_path / "bronze"), str(tmp_path / "ckpt"), ["email"])
     q2.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "bronze")).count() == 13  # only the new file is processed
+    bronze = spark.read.parquet(str(tmp_path / "bronze"))
+    assert bronze.count() == 13  # only the new file is processed
+    (src / "page10.json").write_text(json.dumps({"results": [{"id": "99", "createdAt": "x", "updatedAt": "y", "archived": False,
+                                                              "properties": {"email": "changed@x"}}]}))
+    land_object_pages(spark, str(src), str(tmp_path / "bronze"), str(tmp_path / "ckpt"), ["email"]).awaitTermination(120)
+    newest = P.newest_objects(spark.read.parquet(str(tmp_path / "bronze")))
+    assert newest.columns == bronze.columns and newest.count() == 13
+    assert newest.where("id = '99'").first()["email"] == "changed@x"
+
+
+def test_newest_objects_of_awkward_rows(spark):
+    rows = spark.createDataFrame([("1", None, "a"), ("1", "2", "b"), ("1", "2", "b"), (None, "9", "c"), ("2", None, None)], "id string, updatedAt string, x string")
+    assert sorted((r["id"], r["x"]) for r in P.newest_objects(rows).collect()) == [("1", "b"), ("2", None)]
