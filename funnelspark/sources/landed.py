@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import clean_id
+from .crm_view import spread
 
 _CORRUPT = "_corrupt_record"
 
@@ -204,5 +205,6 @@ def land_price_pages(spark: SparkSession, sf_dir: str, folder: str) -> str:
     text = F.concat(F.lit("Tuition and fees\nAssociate Degree from $999\n"), F.array_join("lines.line", "\n"))
     text = F.when(F.col("size") % 3 == 0, F.upper(text)).otherwise(text)
     text = F.when(F.col("size") % 4 == 0, F.lit("Prices on request.\nCertificate Programs: call us.")).otherwise(text)
-    page.select("page_id", text.alias("value")).write.partitionBy("page_id").text(folder)
+    # a page is a row of some hundred bytes but a file of its own: dealt over all cores, not by size
+    spread(page.select("page_id", text.alias("value")), "page_id").write.partitionBy("page_id").text(folder)
     return folder
