@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.classify import with_normalized_source_value
-from ..functions.expr import avg_exact, clean_text, elapsed_days_floor, safe_div, strip_ws, sum_money, ts_literal
+from ..functions.expr import avg_exact, clean_text, elapsed_days_floor, money, safe_div, strip_ws, sum_money, ts_literal
 from ..session import cut_lineage
 
 SPECIAL_LABELS = [("total", "Total"), ("starts", "Starts"), ("start%", "Start%")]
@@ -305,9 +305,14 @@ def udr_performance(leads: DataFrame, enr: DataFrame, terms: DataFrame, allocati
     lp = lp.withColumns({rate: safe_div(F.col(part), F.col("leads")) for rate, part in [
         ("l2c", "contacted_progressed"), ("l2a", "applicants"), ("l2e", "crm_enrolled"), ("bad_lead_rate", "bad_leads")]})
     owner = label_or(F.col("udr"), "Missing")
-    ep = enr.groupBy(udr_key(owner).alias("_udr_key")).agg(
-        F.min(owner).alias("tracker_udr"), F.count("student").alias("actual_enrollments"),
-        sum_money(F.col("revenue")).alias("revenue"), avg_exact(F.col("days_to_enroll")).alias("average_days_to_enroll"))
+    # per owner as it stands first: the key's regular expressions run on owners, not on rows; sums are exact decimals
+    days = F.col("days_to_enroll").cast("double").cast("decimal(28,9)")
+    ep = enr.groupBy("udr").agg(F.count("student").alias("__n"), F.sum(money(F.col("revenue"))).alias("__revenue"),
+                                F.sum(days).alias("__days"), F.count("days_to_enroll").alias("__n_days"))
+    ep = ep.groupBy(udr_key(owner).alias("_udr_key")).agg(
+        F.min(owner).alias("tracker_udr"), F.sum("__n").alias("actual_enrollments"),
+        F.sum("__revenue").cast("double").alias("revenue"),
+        (F.sum("__days").cast("double") / F.sum("__n_days")).alias("average_days_to_enroll"))
     if tracker_terms is not None:
         bare = terms.agg(F.count(F.lit(1)) == 0).scalar()
         terms = terms.unionByName(tracker_terms.where(bare), allowMissingColumns=True)
