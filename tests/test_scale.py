@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from funnelspark.functions import classify
 from funnelspark.functions.expr import clean_text, strip_ws, with_parsed_datetimes
+from funnelspark.functions.numbering import numbered
 from funnelspark.functions.tuition import add_program_tuition_fields
+from funnelspark.operators import budget
 from funnelspark.plans import process
 from funnelspark.sources import crm_view, landed
 
@@ -37,6 +39,14 @@ def test_small_customer_file_is_spread(spark, tmp_path):
     assert sorted(int(r.hs_object_id) for r in contacts.collect()) == list(range(40))
 
 
+def test_small_customer_file_is_spread_for_leads(spark, tmp_path):
+    _customers(spark, tmp_path)
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey"), F.lit("x").alias("n_name")).write.parquet(f"{tmp_path}/nation.parquet")
+    leads = crm_view.leads(spark, str(tmp_path))
+    assert leads.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert leads.count() == 40
+
+
 def test_price_pages_are_written_by_many_tasks(spark, tmp_path):
     n = 40 * landed.PARTS_PER_PAGE
     spark.range(n).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"), F.lit(900.0).alias("p_retailprice")).coalesce(1).write.parquet(
@@ -71,3 +81,27 @@ def test_events_are_made_when_asked_for():
     tables = process._Silver({"links": 1}, lambda: made.append(1) or "events")
     assert tables["links"] == 1 and not made
     assert tables["activity_events"] == tables["activity_events"] == "events" and made == [1]
+
+
+def test_ledger_is_grouped_by_owner_before_keys_are_made(spark):
+    leads = spark.createDataFrame([("Ann B", "", "", "", "", "Paid", None)],
+                                  "contact_owner string, lead_status string, lifecycle_stage string, record_id string, email string, lead_type string, last_activity_date timestamp")
+    enr = spark.createDataFrame([("Ann B", "s1", 10.1, 4.0, "t"), ("ann  c", "s2", 0.2, None, "t"), ("UDR 7", "s3", 5.0, 1.0, "u"), (None, "s4", None, None, "u"), (" ", "s5", 2.0, 3.0, "u")],
+                                "udr string, student string, revenue double, days_to_enroll double, term_label string")
+    terms = spark.createDataFrame([], "budget_name string, term string, term_metric string, term_value double")
+    allocations = spark.createDataFrame([], "budget_name string, planned_budget double")
+    out = budget.udr_performance(leads, enr, terms, allocations)
+    got = {r._udr_key: (r.udr, r.actual_enrollments, r.revenue, r.average_days_to_enroll, r.leads) for r in out.collect()}
+    assert got == {"ann": ("Ann B", 2.0, 10.3, 4.0, 1.0), "udr 7": ("UDR 7", 1.0, 5.0, 1.0, 0.0), "missing": ("Missing", 2.0, 2.0, 3.0, 0.0)}
+    ledger = [part for part in _plan(out).split("Aggregate") if "student" in part]
+    assert any(part.lstrip().startswith("[udr#") for part in ledger)
+
+
+def test_numbering_sorts_its_rows_once(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), F.when(F.col("id") % 2 == 0, "a").alias("x")).repartition(5)
+    out = numbered(df, ["x", "k"], "n")
+    assert out.columns == ["k", "x", "n"]
+    rows = out.collect()
+    want = sorted(rows, key=lambda r: (r.x is not None, r.x or "", r.k))
+    assert [r.n for r in want] == list(range(1, 1001))
+    assert "row_number" not in _plan(out)
