@@ -5,10 +5,10 @@ import os
 from pyspark.sql import functions as F
 
 from funnelspark.functions import classify
-from funnelspark.functions.expr import clean_text, strip_ws, with_parsed_datetimes
+from funnelspark.functions.expr import clean_text, number_column, strip_ws, with_parsed_datetimes
 from funnelspark.functions.numbering import numbered
 from funnelspark.functions.tuition import add_program_tuition_fields
-from funnelspark.operators import budget
+from funnelspark.operators import budget, fact
 from funnelspark.plans import process
 from funnelspark.sources import crm_view, landed
 
@@ -105,3 +105,48 @@ def test_numbering_sorts_its_rows_once(spark):
     want = sorted(rows, key=lambda r: (r.x is not None, r.x or "", r.k))
     assert [r.n for r in want] == list(range(1, 1001))
     assert "row_number" not in _plan(out)
+
+
+def _fact_inputs(spark):
+    contacts = spark.createDataFrame([("1", 1, "7", "MBA", None, None, "ea signed", 0.0), ("2", 2, None, "", None, None, "", 100.0), ("3", 3, "8", "DBA", None, None, None, 0.0)],
+                                     "contact_id string, _seq long, contact_owner_id string, program string, degree_level string, revenue_confidence string, "
+                                     "enrollment_status string, program_total_tuition double")
+    contacts = contacts.selectExpr("*", "'x' as salesman_name", "contact_owner_id as salesman_id",
+                                   "timestamp'2001-01-01' as contact_created_at", "cast(50 as double) as estimated_total_tuition", "'c' as city")
+    deals = spark.createDataFrame([("a", 1, "8", "Closed Won", 10.0, True, False), ("b", 2, None, "Open", 5.0, False, False), ("z", 3, "9", "Closed Won", 4.0, True, False)],
+                                  "deal_id string, _deal_seq long, deal_owner_id string, deal_stage string, revenue double, is_won boolean, is_lost boolean")
+    deals = deals.selectExpr("*", "timestamp'2001-01-02' as deal_created_at", "timestamp'2001-01-11' as close_date")
+    links = spark.createDataFrame([("1", "a", "t"), ("2", "a", "t"), ("none", "b", "t")], "contact_id string, deal_id string, association_type string")
+    owners = spark.createDataFrame([("7", "Ann", ""), ("8", "Bob", "")], "owner_id string, salesman_name string, email string")
+    return contacts, deals, links, owners
+
+
+def test_program_rules_run_once_per_contact(spark):
+    out = fact.lead_deal_fact(*_fact_inputs(spark))
+    got = {(r.contact_id, r.deal_id): r for r in out.collect()}
+    assert set(got) == {("1", "a"), ("2", "a"), ("none", "b"), ("3", None), (None, "z")}
+    assert [got[k].salesman_name for k in [("1", "a"), ("2", "a"), ("none", "b"), ("3", None), (None, "z")]] == ["Ann", "Bob", "Unassigned", "Bob", "Unassigned"]
+    assert got["1", "a"].program_degree_level == "Master" and got["1", "a"].enrolled_revenue == got["1", "a"].potential_program_revenue > 0
+    assert got["1", "a"].program_revenue_input == 10.0 and got["1", "a"].program_revenue_source == "deal_revenue" and got["1", "a"].days_to_close == 10
+    assert got["2", "a"].program_revenue_input == 0.0 and got["2", "a"].city == "c" and got["none", "b"].city is None
+    for key in [("none", "b"), (None, "z")]:  # rows without a contact have what a contact without a program has
+        assert (got[key].revenue_confidence, got[key].tuition_estimate_source, got[key].potential_program_revenue) == ("Low", "unmatched_program", 0.0)
+        assert got[key].duration_note.startswith("Program missing") and got[key].program_degree_level is None
+    plan = _plan(out)
+    assert "mscis" in plan and "mscis" not in plan[:plan.index("Join")].lower()
+    widths = [line.split("[", 1)[1].count("#") for line in plan.splitlines() if line.strip(" :+-").startswith("Project [")]
+    assert "__contact" in plan and sum(w > 80 for w in widths) <= 1
+
+
+def test_numbers_are_not_read_from_their_text(spark):
+    df = spark.createDataFrame([(1.5, 3, "2.5"), (None, None, "x"), (-0.5, -1, " 7 ")], "a double, b long, c string")
+    out = df.select(*[number_column(df, c, floor_zero=True, fill=0).alias(c) for c in df.columns])
+    assert [tuple(r) for r in out.collect()] == [(1.5, 3.0, 2.5), (0.0, 0.0, 0.0), (0.0, 0.0, 7.0)]
+    assert "cast(a" not in _plan(out) and "as string" not in _plan(out)
+
+
+def test_empty_text_is_no_number_and_is_not_cast(spark):
+    df = spark.createDataFrame([("",), ("996710400000",), ("996710400000",)], "t string")
+    out = with_parsed_datetimes(df, ["t"])
+    assert [r.t is None for r in out.collect()] == [True, False, False]
+    assert "NOT (t#" in _plan(out).replace("((", "(")
