@@ -9,7 +9,7 @@ from funnelspark.functions.expr import clean_text, number_column, strip_ws, with
 from funnelspark.functions.numbering import numbered
 from funnelspark.functions.tuition import add_program_tuition_fields
 from funnelspark.operators import budget, fact
-from funnelspark.plans import process
+from funnelspark.plans import process, registry
 from funnelspark.sources import crm_view, landed
 
 
@@ -150,3 +150,15 @@ def test_empty_text_is_no_number_and_is_not_cast(spark):
     out = with_parsed_datetimes(df, ["t"])
     assert [r.t is None for r in out.collect()] == [True, False, False]
     assert "NOT (t#" in _plan(out).replace("((", "(")
+
+
+def test_owner_map_takes_rows_that_are_not_landed_as_they_are(spark, tmp_path, monkeypatch):
+    spark.range(1).write.parquet(f"{tmp_path}/x.parquet")
+    landed_rows, rows, folder = spark.range(2), spark.range(3), str(tmp_path)
+    monkeypatch.setattr(registry, "_LANDED", {})
+    make = lambda s, d: rows
+    assert registry._landed_or(spark, folder, "t", make) is rows and not registry._LANDED
+    registry._landed(spark, folder, "t", lambda: landed_rows)
+    assert registry._landed_or(spark, folder, "t", make) is landed_rows
+    spark.range(1).write.parquet(f"{tmp_path}/y.parquet")
+    assert registry._landed_or(spark, folder, "t", make) is rows
