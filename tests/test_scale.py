@@ -8,7 +8,7 @@ from funnelspark.functions import classify
 from funnelspark.functions.expr import clean_text, number_column, strip_ws, with_parsed_datetimes
 from funnelspark.functions.numbering import numbered
 from funnelspark.functions.tuition import add_program_tuition_fields
-from funnelspark.operators import budget, fact
+from funnelspark.operators import budget, fact, journey
 from funnelspark.plans import process, registry
 from funnelspark.sources import crm_view, landed
 
@@ -162,3 +162,32 @@ def test_owner_map_takes_rows_that_are_not_landed_as_they_are(spark, tmp_path, m
     assert registry._landed_or(spark, folder, "t", make) is landed_rows
     spark.range(1).write.parquet(f"{tmp_path}/y.parquet")
     assert registry._landed_or(spark, folder, "t", make) is rows
+
+
+def _journey_inputs(spark):
+    dates = ["owner_assigned_date", "first_outreach_date", "first_engagement_date", "application_date", "enrollment_date", "last_sales_activity_timestamp",
+             "last_activity_date", "next_activity_date"]
+    contacts = spark.createDataFrame([("1",), ("1",), ("2",), ("4",), (None,)], "contact_id string").selectExpr(
+        "*", "'Ann' as salesman_name", "if(contact_id = '4', null, timestamp'2001-01-01') as contact_created_at", "'hot' as lead_temperature", "false as has_open_deal",
+        "3.0D as num_notes", *[f"cast(null as timestamp) as {c}" for c in dates], "'' as start_term", "cast(null as double) as time_to_first_engagement")
+    deals = spark.createDataFrame([("1", "a"), ("none", "b"), (None, "c"), (" ", "d")], "contact_id string, deal_id string").selectExpr(
+        "*", "'Bo' as salesman_name", "'Open' as deal_stage", "false as is_won", "false as is_lost", "timestamp'2001-01-05 00:00:30' as deal_created_at",
+        "cast(null as timestamp) as close_date")
+    events = spark.createDataFrame([("1", "2001-01-05 00:00:10"), ("1", "2001-01-05 00:00:50"), ("1", "2001-01-09 00:00:30"), ("1", None), ("none", "2001-01-02"), (None, "2001-01-03"),
+                                    ("4", "2001-02-01"), ("4", "2001-02-04")], "contact_id string, at string").selectExpr(
+        "contact_id", "cast(at as timestamp) as event_date", "'Call' as event_type", "'Cy' as owner", "'' as description", "'' as outcome")
+    return contacts, deals, events
+
+
+def test_journeys_make_no_list_of_contacts_to_broadcast(spark):
+    inputs = _journey_inputs(spark)
+    out = journey.journey_events(*inputs)
+    rows = sorted((r.contact_id, str(r.event_date), r.event_type, r.days_since_previous_event) for r in out.collect())
+    assert rows == [("1", "2001-01-01 00:00:00", "Contact created", 0), ("1", "2001-01-01 00:00:00", "Contact created", 0), ("1", "2001-01-05 00:00:10", "Call", 4),
+                    ("1", "2001-01-05 00:00:30", "Deal created", 0), ("1", "2001-01-05 00:00:50", "Call", 0), ("1", "2001-01-09 00:00:30", "Call", 3),
+                    ("1", "None", "Call", 0), ("2", "2001-01-01 00:00:00", "Contact created", 0), ("4", "2001-02-01 00:00:00", "Call", 0), ("4", "2001-02-04 00:00:00", "Call", 3)]
+    assert "Join" not in _plan(out) and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    metrics = journey.journey_metrics(*inputs, "2001-03-01 00:00:00")
+    got = sorted((r.contact_id, r.number_of_calls, r.number_of_sales_touches, r.days_from_lead_creation_to_deal_creation) for r in metrics.collect())
+    assert got == [("1", 4, 4, 4), ("1", 4, 4, 4), ("2", 0, 3, None), ("4", 2, 2, None)]
+    assert "LeftSemi" not in _plan(metrics)
